@@ -79,30 +79,55 @@ NUMERIC = ["latitude", "longitude", "year", "hour", "day_of_week", "month", "lat
            "lon_rounded", "crime_subtype_freq", "location_type_freq", "district_hour_crime_count"]
 
 
+def _code_key(col: str, null_label: str = "nan"):
+    return F.coalesce(F.col(col).cast("string"), F.lit(null_label))
+
+
+def _encode_many(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Label-encode several columns (as text, null as 'nan') with code tables
+    all derived from the same ``df`` and joined once each (plan stays linear)."""
+    out = df.withColumns({f"_k_{c}": _code_key(c) for c in cols})
+    tables = {c: dense_codes(out.select(F.col(f"_k_{c}")), f"_k_{c}", f"_code_{c}") for c in cols}
+    for c, t in tables.items():
+        out = out.join(t, f"_k_{c}", "left")
+    return out.withColumns({c: F.col(f"_code_{c}") for c in cols}).drop(
+        *[f"_k_{c}" for c in cols], *[f"_code_{c}" for c in cols])
+
+
 def create_features(incidents: DataFrame, target: str = "arrest_made", clusters: DataFrame | None = None,
                     key: str = "incident_id", scale: bool = True) -> DataFrame:
     """Temporal -> spatial -> frequency -> ordinal codes -> group counts ->
     projection -> null drop -> categorical codes -> 0/1 -> z-scores.
 
-    ``clusters`` (key, location_cluster) comes from :func:`kmeans_clusters`
-    when wanted; without it the column is absent, as when coordinates are few.
+    Every lookup (frequencies, codes, group counts) is an aggregate of one
+    shared base joined back once, never an aggregate of an already joined
+    table, so the plan grows linearly with the number of features.
+    ``clusters`` (key, location_cluster) comes from :func:`kmeans_clusters`;
+    without it the column is absent, as when coordinates are few.
     """
-    df = incidents.withColumns({k: v for k, v in temporal_columns(F.col("incident_datetime")).items()
-                                if k != "year"})
-    df = df.withColumn("year", F.coalesce(F.year("incident_datetime").cast("bigint"), F.lit(None).cast("bigint")))
-    df = df.withColumns({"lat_rounded": round_half_even(F.col("latitude"), 2),
-                         "lon_rounded": round_half_even(F.col("longitude"), 2)})
+    base = incidents.withColumns({k: v for k, v in temporal_columns(F.col("incident_datetime")).items()
+                                  if k != "year"})
+    base = base.withColumn("year", F.year("incident_datetime").cast("bigint"))
+    base = base.withColumns({"lat_rounded": round_half_even(F.col("latitude"), 2),
+                             "lon_rounded": round_half_even(F.col("longitude"), 2)})
     if clusters is not None:
-        df = df.join(clusters, key, "left")
+        base = base.join(clusters, key, "left")
+    df = base
     for c in ["crime_subtype", "location_type", "block_address"]:
-        df = frequency_encode(df, c)
-    for c in ORDINAL:
-        df = label_encode(df, c, as_string=True)
-    df = group_count(df, ["district", "hour"], "district_hour_crime_count")
+        if c in base.columns:
+            freq = base.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias(f"{c}_freq"))
+            df = df.join(freq, c, "left")
+    # group counts use the encoded district ('nan' is a class), as the codes do
+    if "district" in base.columns:
+        dh = (base.where(F.col("hour").isNotNull())
+              .groupBy(_code_key("district").alias("_dk"), F.col("hour").alias("_hk"))
+              .agg(F.count(F.lit(1)).alias("district_hour_crime_count")))
+        df = df.join(dh, (_code_key("district") == F.col("_dk")) & (F.col("hour") == F.col("_hk")), "left") \
+               .drop("_dk", "_hk")
+    df = _encode_many(df, [c for c in ORDINAL if c in df.columns])
     df = select_available(df, [key, *FEATURE_COLUMNS], target)
     df = drop_nulls(df, [c for c in df.columns if c != key])
-    for c in [c for c in CATEGORICAL if c in df.columns]:
-        df = label_encode(df, c, as_string=True)
+    df = _encode_many(df, [c for c in CATEGORICAL if c in df.columns])
     df = df.withColumns({c: F.col(c).cast("int") for c in ["domestic_flag", "is_weekend", "is_night", target]
                          if c in df.columns})
     if scale:

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _cols(xs) -> list[Column]:
@@ -58,14 +59,24 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
     return dedup(df.where(~has_null)).unionByName(df.where(has_null))
 
 
-def dense_codes(values: DataFrame, col: str, code: str, partitions: int | None = None) -> DataFrame:
+def dense_codes(values: DataFrame, col: str, code: str, partitions: int | None = None,
+                max_local: int = 100_000) -> DataFrame:
     """0-based dense rank of the distinct non-null values of ``col``.
 
-    Distinct values are range-partitioned, numbered inside each partition and
-    shifted by the running count of the partitions before it (a table with one
-    row per partition).
+    When the distinct set is proven small (at most ``max_local`` values,
+    checked by collecting one more), the sorted code table is built on the
+    driver and broadcast.  Beyond that bound the distinct values are
+    range-partitioned, numbered inside each partition and shifted by the
+    running count of the partitions before it (one row per partition).
     """
     distinct = values.select(col).where(F.col(col).isNotNull()).distinct()
+    probe = distinct.limit(max_local + 1).collect()
+    if len(probe) <= max_local:
+        ordered = sorted(r[0] for r in probe)
+        field = distinct.schema.fields[0]
+        schema = T.StructType([T.StructField(col, field.dataType), T.StructField(code, T.LongType())])
+        table = values.sparkSession.createDataFrame([(v, i) for i, v in enumerate(ordered)], schema)
+        return F.broadcast(table)
     n = partitions or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = distinct.repartitionByRange(n, col).withColumn("_pid", F.spark_partition_id())
     local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(col)))

@@ -194,7 +194,7 @@ def _error_view(where: str, order: str, n: int) -> str:
     return with_matching(f"""SELECT {KEYS}, round(lexical_jaccard, 3) AS lexical_jaccard,
     round(embedding_header_only_cosine, 3) AS embedding_header_only_cosine,
     round(embedding_header_context_cosine, 3) AS embedding_header_context_cosine, is_match, '' AS note
-    FROM labelled WHERE {where} ORDER BY {order}, {KEYS} LIMIT {n}""")
+    FROM (SELECT * FROM labelled WHERE {where} ORDER BY {order}, {KEYS} LIMIT {n})""")
 
 
 def _pair_type() -> str:
