@@ -12,7 +12,7 @@ from schemaweave.operators.modeling import (class_report, feature_importance_top
                                             predictions, stratified_split, train_models)
 from schemaweave.plans.matching import table
 from schemaweave.plans.rows import incidents_from_events
-from schemaweave.session import scratch_path
+from schemaweave.session import checkpoint_root, scratch_path
 from schemaweave.sources.readers import dataset_registry, read_csv_robust, read_csv_sniff, scan_with_provenance
 from schemaweave.sources.sinks import write_table
 
@@ -83,17 +83,26 @@ FEATURES = ["crime_category", "crime_subtype", "location_type", "district", "dom
 
 
 def _train_test(spark: SparkSession, d: str):
+    """Features -> exact stratified split.  The split table is cut from its
+    lineage (reliable checkpoint in the shared folder) and cached, because the
+    iterative fits read it once per iteration."""
     f = _event_features(spark, d)
     f = f.withColumn("arrest_made", F.col("arrest_made").cast("int"))
-    split = stratified_split(f, "arrest_made", "incident_id", 0.2, 42)
+    checkpoint_root(spark)
+    split = stratified_split(f, "arrest_made", "incident_id", 0.2, 42).checkpoint(eager=True).cache()
     return split.where(~F.col("is_test")), split.where(F.col("is_test"))
 
 
+_FITTED: dict = {}
+
+
 def _models(spark: SparkSession, d: str):
-    train, test = _train_test(spark, d)
-    feats = [c for c in FEATURES if c in train.columns]
-    models = train_models(train, feats, "arrest_made", n_trees=20)
-    return models, test, feats
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITTED:
+        train, test = _train_test(spark, d)
+        feats = [c for c in FEATURES if c in train.columns]
+        _FITTED[key] = (train_models(train, feats, "arrest_made", n_trees=20), test, feats)
+    return _FITTED[key]
 
 
 def logreg(spark: SparkSession, d: str) -> DataFrame:
