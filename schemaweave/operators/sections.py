@@ -19,8 +19,14 @@ from schemaweave.constants import SECTION_HEADERS, SECTION_RULES
 
 
 def items_from_text(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
-    """Split texts into ordered items: one per non-empty trimmed line."""
-    lines = docs.select(F.col(doc_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "raw"))
+    """Split texts into ordered items: one per non-empty trimmed line.
+
+    Documents are hash-partitioned by id *before* the split: the per-document
+    window needs exactly that clustering, so the shuffle moves whole texts
+    once (instead of exploded lines) and the line work runs in parallel.
+    """
+    docs = docs.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("_text")).repartition("doc")
+    lines = docs.select("doc", F.posexplode(F.split(F.col("_text"), "\n")).alias("pos", "raw"))
     item = F.translate(F.regexp_replace(F.col("raw"), r"^\s+|\s+$", ""), "–—", "--")
     return (lines.select("doc", "pos", item.alias("item"))
                  .where((F.col("item") != "") & (F.lower(F.col("item")) != "nan")))
@@ -65,15 +71,16 @@ def extract_sections(items: DataFrame, headers: Mapping[str, str] = SECTION_HEAD
     paired = (F.when(mode == "next_not_code", F.col("_m") & has_next & ~F.col("_next_m"))
                .when(mode == "pair", F.col("_m") & even & has_next)
                .otherwise(F.lit(False)))
-    pairs = x.where(paired).select("section", F.col("item").alias("code"), F.col("_next").alias("description"))
     inline_sections = [s for s, r in rules.items() if r[0] == "inline"]
-    inl = x.where(F.col("section").isin(inline_sections) & ~F.col("_is_hdr"))
-    inl = inl.select("section", F.regexp_extract("item", _inline_pattern(rules), 1).alias("code"),
-                     F.regexp_extract("item", _inline_pattern(rules), 2).alias("description"),
-                     F.col("item").rlike(_inline_pattern(rules)).alias("_ok"))
-    inl = inl.where("_ok").drop("_ok")
+    pat = _inline_pattern(rules)
+    inline_ok = F.col("section").isin(inline_sections) & ~F.col("_is_hdr") & F.col("item").rlike(pat)
+    # one windowed pass emits both kinds of entry: a paired code or an inline split
+    entry = (F.when(paired, F.struct(F.col("item").alias("code"), F.col("_next").alias("description")))
+              .when(inline_ok, F.struct(F.regexp_extract("item", pat, 1).alias("code"),
+                                        F.regexp_extract("item", pat, 2).alias("description"))))
+    out = x.select("section", entry.alias("_e")).where(F.col("_e").isNotNull())
     del pattern
-    return pairs.unionByName(inl).distinct()
+    return out.select("section", "_e.code", "_e.description").distinct()
 
 
 def _inline_pattern(rules: Mapping[str, tuple[str, str]]) -> str:

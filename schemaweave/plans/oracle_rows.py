@@ -196,6 +196,7 @@ def rows_sql() -> dict[str, str]:
             CASE WHEN regexp_matches(upper(o_orderpriority), 'URGENT|HIGH') THEN 1 END AS priority_flag,
             CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS status_is_f FROM orders""",
         "token_sets": token_sets_sql(),
+        "features_full": features_sql(),
         "section_extract": sections_sql(),
         "source_roundtrip": """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment
             FROM customer""",
@@ -258,3 +259,55 @@ def rows_sql() -> dict[str, str]:
             b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY sc DESC, idx) AS rn FROM s)
             SELECT p_partkey, t AS best_target, round(sc, 9) AS best_score FROM b WHERE rn = 1 AND sc >= 0.3::DOUBLE AND sc > 0""",
     }
+
+
+NUMERIC = ["latitude", "longitude", "year", "hour", "day_of_week", "month", "lat_rounded", "lon_rounded",
+           "crime_subtype_freq", "location_type_freq", "district_hour_crime_count"]
+
+
+def features_sql() -> str:
+    """M5 over events x customer, step for step with create_features."""
+    z = ",\n    ".join(f"round(({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1), 6) AS {c}"
+                       for c in NUMERIC)
+    return f"""WITH inc AS (
+    SELECT CAST(e.event_id AS VARCHAR) AS incident_id, e.ts AS incident_datetime, e.event_type AS crime_category,
+        c.c_mktsegment AS crime_subtype, CASE WHEN e.value > 250 THEN 'high' ELSE 'low' END AS location_type,
+        'block ' || CAST(e.user_id % 7 AS VARCHAR) AS block_address, CAST(c.c_nationkey AS BIGINT) AS district,
+        CAST(e.user_id % 5 AS BIGINT) AS ward, CAST(e.user_id % 3 AS BIGINT) AS community_area,
+        e.event_type = 'error' AS domestic_flag, e.value / 10.0::DOUBLE AS latitude,
+        c.c_acctbal / 100.0::DOUBLE AS longitude, e.value > 100 AS arrest_made
+    FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey),
+base AS (SELECT *, CAST(hour(incident_datetime) AS INTEGER) AS hour,
+        CAST(isodow(incident_datetime) - 1 AS INTEGER) AS day_of_week, CAST(month(incident_datetime) AS INTEGER) AS month,
+        CASE WHEN isodow(incident_datetime) - 1 IN (5, 6) THEN 1 ELSE 0 END AS is_weekend,
+        CASE WHEN hour(incident_datetime) >= 22 OR hour(incident_datetime) <= 6 THEN 1 ELSE 0 END AS is_night,
+        CAST(year(incident_datetime) AS BIGINT) AS year,
+        round_even(latitude * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS lat_rounded,
+        round_even(longitude * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS lon_rounded,
+        coalesce(CAST(district AS VARCHAR), 'nan') AS dk, coalesce(CAST(ward AS VARCHAR), 'nan') AS wk,
+        coalesce(CAST(community_area AS VARCHAR), 'nan') AS ck FROM inc),
+f1 AS (SELECT *,
+        CASE WHEN crime_subtype IS NULL THEN NULL ELSE count(*) OVER (PARTITION BY crime_subtype) END AS crime_subtype_freq,
+        CASE WHEN location_type IS NULL THEN NULL ELSE count(*) OVER (PARTITION BY location_type) END AS location_type_freq,
+        CASE WHEN hour IS NULL THEN NULL ELSE count(*) OVER (PARTITION BY dk, hour) END AS district_hour_crime_count,
+        dense_rank() OVER (ORDER BY dk) - 1 AS district_code, dense_rank() OVER (ORDER BY wk) - 1 AS ward_code,
+        dense_rank() OVER (ORDER BY ck) - 1 AS community_code FROM base),
+sel AS (SELECT incident_id, crime_category, crime_subtype, location_type, district_code AS district, ward_code AS ward,
+        community_code AS community_area, domestic_flag, latitude, longitude, year, hour, day_of_week, month,
+        is_weekend, is_night, lat_rounded, lon_rounded, crime_subtype_freq, location_type_freq,
+        district_hour_crime_count, arrest_made FROM f1),
+kept AS (SELECT * FROM sel WHERE crime_category IS NOT NULL AND crime_subtype IS NOT NULL AND location_type IS NOT NULL
+        AND district IS NOT NULL AND ward IS NOT NULL AND community_area IS NOT NULL AND domestic_flag IS NOT NULL
+        AND latitude IS NOT NULL AND longitude IS NOT NULL AND year IS NOT NULL AND hour IS NOT NULL
+        AND day_of_week IS NOT NULL AND month IS NOT NULL AND is_weekend IS NOT NULL AND is_night IS NOT NULL
+        AND lat_rounded IS NOT NULL AND lon_rounded IS NOT NULL AND crime_subtype_freq IS NOT NULL
+        AND location_type_freq IS NOT NULL AND district_hour_crime_count IS NOT NULL AND arrest_made IS NOT NULL)
+SELECT incident_id,
+    dense_rank() OVER (ORDER BY coalesce(crime_category, 'nan')) - 1 AS crime_category,
+    dense_rank() OVER (ORDER BY coalesce(crime_subtype, 'nan')) - 1 AS crime_subtype,
+    dense_rank() OVER (ORDER BY coalesce(location_type, 'nan')) - 1 AS location_type,
+    district, ward, community_area, CAST(domestic_flag AS INTEGER) AS domestic_flag,
+    CAST(is_weekend AS INTEGER) AS is_weekend, CAST(is_night AS INTEGER) AS is_night,
+    CAST(arrest_made AS INTEGER) AS arrest_made,
+    {z}
+FROM kept"""
