@@ -30,10 +30,12 @@ def rename_to_canonical(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(present) if present else df
 
 
-def first_present(df: DataFrame, candidates: Sequence[str]) -> Column | None:
-    """The first candidate column that exists (a schema-time choice)."""
+def first_present(df, candidates: Sequence[str]) -> Column | None:
+    """The first candidate column that exists (a schema-time choice).
+    ``df`` is a DataFrame or its column list."""
+    present = set(df.columns if isinstance(df, DataFrame) else df)
     for c in candidates:
-        if c in df.columns:
+        if c in present:
             return F.col(f"`{c}`")
     return None
 
@@ -122,22 +124,23 @@ def presentation_rank(col, order: Sequence[str]) -> Column:
 def finalize_types(df: DataFrame, timestamp_formats: Sequence[str] | None = None) -> DataFrame:
     """Canonical casts in one projection; extra columns are kept after the canonical ones."""
     df = ensure_canonical(df)
+    dtypes = dict(df.dtypes)
     exprs = []
     for c in CANONICAL_COLUMNS:
         col = F.col(c)
         if c in BOOL_COLUMNS:
-            e = col if dict(df.dtypes)[c] == "boolean" else parse_bool(col)
+            e = col if dtypes[c] == "boolean" else parse_bool(col)
         elif c in INT_COLUMNS:
             e = to_int(col)
         elif c in FLOAT_COLUMNS:
             e = to_float(col)
         elif c in DATETIME_COLUMNS:
-            e = (col.cast("timestamp_ntz") if dict(df.dtypes)[c].startswith("timestamp")
+            e = (col.cast("timestamp_ntz") if dtypes[c].startswith("timestamp")
                  else parse_timestamp(col, timestamp_formats) if timestamp_formats else parse_timestamp(col))
         else:
             e = clean_text(col.cast("string")) if c in TEXT_COLUMNS else col.cast("string")
         exprs.append(e.alias(c))
-    extra = [c for c in df.columns if c not in CANONICAL_COLUMNS]
+    extra = [c for c in dtypes if c not in CANONICAL_COLUMNS]
     return df.select(*exprs, *extra)
 
 
@@ -182,23 +185,24 @@ def clean_source(df: DataFrame, spec: CleanSpec, null_keys: str = "keep",
                  timestamp_formats: Sequence[str] | None = None) -> DataFrame:
     """Source -> canonical, typed and de-duplicated, as one lazy plan."""
     df = drop_index_artifacts(df)
+    names = df.columns
     cols: dict[str, Column] = {}
     for src, dst in spec.rename.items():
-        if src in df.columns:
+        if src in names:
             cols[dst] = F.col(f"`{src}`")
     for dst, cands in spec.candidates.items():
         if dst not in cols:
-            c = first_present(df, cands)
+            c = first_present(names, cands)
             if c is not None:
                 cols[dst] = c
     if spec.datetime is not None:
-        d, t = first_present(df, spec.datetime[0]), first_present(df, spec.datetime[1])
+        d, t = first_present(names, spec.datetime[0]), first_present(names, spec.datetime[1])
         if d is not None and t is not None:
             cols["incident_datetime"] = date_plus_hhmm(d, t)
         elif d is not None:
             cols["incident_datetime"] = d
     for dst, (cands, pattern) in spec.flag.items():
-        c = first_present(df, cands)
+        c = first_present(names, cands)
         if c is not None:
             cols[dst] = flag_from_text(c, pattern)
     for dst, value in spec.constants.items():

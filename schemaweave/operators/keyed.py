@@ -87,3 +87,21 @@ def dense_codes(values: DataFrame, col: str, code: str, partitions: int | None =
     # one row per shuffle partition: a proven bound, so broadcast is safe
     return (local.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
             .select(col, (F.col("_off") + F.col("_rn") - 1).cast("bigint").alias(code)))
+
+
+def exclusive_running_sum(df: DataFrame, order_col: str, value_col: str, out: str,
+                          partitions: int | None = None) -> DataFrame:
+    """Sum of ``value_col`` over all rows strictly before each row in
+    ``order_col`` order (``order_col`` unique), computed without a
+    single-partition window: range partitions, a running sum inside each, and
+    the totals of earlier partitions (one row per partition) added on."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, order_col).withColumn("_pid", F.spark_partition_id())
+    inner = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("_local", F.coalesce(F.sum(value_col).over(inner), F.lit(0)))
+    totals = ranged.groupBy("_pid").agg(F.sum(value_col).alias("_t"))
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # one row per shuffle partition: a proven bound, so broadcast is safe
+    return (local.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
+            .withColumn(out, F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from schemaweave.operators.evaluate import prf
+from schemaweave.operators.keyed import exclusive_running_sum
 
 
 # --- W10 -------------------------------------------------------------------------------
@@ -47,13 +48,14 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
 
     h1 = d.groupBy(label, "_b1").agg(F.count(F.lit(1)).alias("_c")).join(sizes.select(label, "_k"), label)
     cut1 = boundary(h1.where(F.col("_k") > 0), "_b1", "_k")
-    inb = d.join(F.broadcast(cut1), label).where(F.col("_b1") == F.col("_b1_cut"))
+    inb = d.join(cut1, label).where(F.col("_b1") == F.col("_b1_cut"))
     h2 = inb.groupBy(label, "_b2").agg(F.count(F.lit(1)).alias("_c"), F.first("_k_in").alias("_k_in"))
     cut2 = boundary(h2, "_b2", "_k_in")
-    edge = (inb.join(F.broadcast(cut2), label).where(F.col("_b2") == F.col("_b2_cut"))
+    edge = (inb.join(cut2, label).where(F.col("_b2") == F.col("_b2_cut"))
             .withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_h", key)))
             .where(F.col("_r") <= F.col("_k_in_in")).select(key, F.lit(True).alias("_edge")))
-    tagged = d.join(F.broadcast(cut1), label, "left").join(F.broadcast(cut2.select(label, "_b2_cut")), label, "left")
+    # cut tables hold one row per class; AQE broadcasts them when that is small
+    tagged = d.join(cut1, label, "left").join(cut2.select(label, "_b2_cut"), label, "left")
     below = (F.col("_b1") < F.col("_b1_cut")) | ((F.col("_b1") == F.col("_b1_cut")) & (F.col("_b2") < F.col("_b2_cut")))
     out = tagged.join(edge, key, "left").withColumn(
         "is_test", F.coalesce(below, F.lit(False)) | F.coalesce(F.col("_edge"), F.lit(False)))
@@ -138,11 +140,10 @@ def roc_auc(pred: DataFrame, label: str = "label", score: str = "score") -> Data
     """Exact ROC AUC by the rank-sum formula, ties counted one half.
 
     Scores are grouped (partial aggregate), then the distinct scores are
-    ordered with a cumulative negative count.  The ordered pass runs over
-    distinct scores only."""
+    ordered with a cumulative negative count (a distributed prefix sum over
+    range partitions of the distinct scores, never one task)."""
     g = pred.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_q"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("_below", F.coalesce(F.sum("_q").over(w), F.lit(0)))
+    g = exclusive_running_sum(g, score, "_q", "_below")
     agg = g.agg(F.sum(F.col("_p") * (F.col("_below") + 0.5 * F.col("_q"))).alias("_s"),
                 F.sum("_p").alias("_np"), F.sum("_q").alias("_nq"))
     return agg.select(F.when((F.col("_np") > 0) & (F.col("_nq") > 0),

@@ -15,20 +15,32 @@ from schemaweave.functions.text import context_text, tokenize
 
 
 # --- J1 --------------------------------------------------------------------------------
-def candidate_pairs(catalog: DataFrame) -> DataFrame:
+def candidate_pairs(catalog: DataFrame, broadcast_limit: int = 200_000,
+                    partitions: int | None = None) -> DataFrame:
     """Cross-dataset column pairs that share at least one name token.
 
     An inverted-index equi-join on the token replaces the all-pairs nested
     loop: every pair with a non-zero lexical score is produced exactly once
     (it is emitted only under the smallest token the two names share), pairs
     with nothing in common are never materialised.  Each unordered dataset pair
-    appears once, in ``ds_order``.  A hot token is a skewed join key; AQE's
-    skew-join splitting spreads its partition.
+    appears once, in ``ds_order``.
+
+    The join output is much larger than its input, so the plan is chosen
+    explicitly: when the (column, token) table is proven small (at most
+    ``broadcast_limit`` rows, checked by counting one more) it is broadcast
+    and the probe side is spread round-robin over ``partitions`` tasks, so a
+    hot token costs no single task more than its share.  Beyond the bound it
+    is a sort-merge join on the token, and AQE splits a hot token's partition.
     """
     ent = catalog.select("city", "ds_order", "column_original", "column_final",
                          tokenize(F.col("column_final")).alias("tokens"))
     tok = ent.select("*", F.explode("tokens").alias("token"))
-    l, r = tok.alias("l"), tok.alias("r")
+    n_tok = tok.limit(broadcast_limit + 1).count()
+    if n_tok <= broadcast_limit:
+        n = partitions or int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        l, r = tok.repartition(n).alias("l"), F.broadcast(tok).alias("r")
+    else:
+        l, r = tok.alias("l"), tok.alias("r")
     joined = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.ds_order") < F.col("r.ds_order")))
     shared_min = F.array_min(F.array_intersect(F.col("l.tokens"), F.col("r.tokens")))
     return joined.where(F.col("l.token") == shared_min).select(

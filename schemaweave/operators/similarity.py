@@ -82,6 +82,43 @@ def tfidf_cosine(pairs: DataFrame, left_text: str, right_text: str, out_col: str
     return j.select(*PAIR_KEY, out_col)
 
 
+def text_pair_cosine(pairs: DataFrame, left_text: str, right_text: str, out_col: str,
+                     max_features: int = 100) -> DataFrame:
+    """TF-IDF cosine per distinct (left text, right text) as ``(_a, _b, out_col)``;
+    the fit uses every pair side (so text frequencies count pair occurrences)."""
+    corpus = pairs.select(F.col(left_text).alias("t")).unionAll(pairs.select(F.col(right_text).alias("t")))
+    vecs = tfidf_vectors(corpus, "t", max_features)
+    lv = vecs.select(F.col("text").alias("_lt"), F.col("vec").alias("_lv"))
+    rv = vecs.select(F.col("text").alias("_rt"), F.col("vec").alias("_rv"))
+    texts = pairs.select(F.col(left_text).alias("_a"), F.col(right_text).alias("_b")).distinct()
+    tj = (texts.join(lv, texts["_a"].eqNullSafe(lv["_lt"]), "left")
+               .join(rv, texts["_b"].eqNullSafe(rv["_rt"]), "left"))
+    return tj.select("_a", "_b", F.coalesce(map_dot(F.col("_lv"), F.col("_rv")), F.lit(0.0)).alias(out_col))
+
+
+def score_pairs(pairs_repr: DataFrame, max_features: int = 100) -> DataFrame:
+    """All four scores for every pair (Q1 + Q2/Q3, merged as J2 does).
+
+    Lexical and header cosine depend only on the two header texts, the context
+    cosine only on the two context texts, so each is computed once per distinct
+    text pair (tables bounded by the catalog's distinct names) and attached to
+    the pairs with one equi-join each; AQE broadcasts them when small.  No
+    join on the 4-column pair key is needed.
+    """
+    lh, rh, lc, rc = ("left_header_only", "right_header_only", "left_header_with_context",
+                      "right_header_with_context")
+    hcos = text_pair_cosine(pairs_repr, lh, rh, "embedding_header_only_cosine", max_features)
+    header = hcos.select("_a", "_b", jaccard(tokenize(F.col("_a")), tokenize(F.col("_b"))).alias("lexical_jaccard"),
+                         exact_match("_a", "_b").alias("exact_match"), "embedding_header_only_cosine")
+    ctx = text_pair_cosine(pairs_repr, lc, rc, "embedding_header_context_cosine", max_features) \
+        .withColumnsRenamed({"_a": "_ca", "_b": "_cb"})
+    j = pairs_repr.join(header, pairs_repr[lh].eqNullSafe(header["_a"]) & pairs_repr[rh].eqNullSafe(header["_b"]),
+                        "left")
+    j = j.join(ctx, j[lc].eqNullSafe(ctx["_ca"]) & j[rc].eqNullSafe(ctx["_cb"]), "left")
+    return j.select(*PAIR_KEY, "lexical_jaccard", "exact_match", "embedding_header_only_cosine",
+                    "embedding_header_context_cosine")
+
+
 def embedding_scores(pairs_repr: DataFrame, max_features: int = 100) -> DataFrame:
     """Header-only and header+context cosines (separate vocabularies)."""
     h = tfidf_cosine(pairs_repr, "left_header_only", "right_header_only",
