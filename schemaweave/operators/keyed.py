@@ -38,20 +38,22 @@ def attach_group_count(df: DataFrame, keys: Sequence[str], name: str) -> DataFra
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
                   null_keys: str = "keep") -> DataFrame:
-    """Keep the first row (by ascending ``order_by``, nulls first) of every key.
+    """Keep the first row (by ascending ``order_by``, nulls first; remaining
+    columns break ties) of every key.
 
     ``null_keys='keep'``: rows with a null key never merge with each other.
     ``null_keys='equal'``: null keys form one group (pandas drop_duplicates).
+
+    ``row_number() = 1`` is planned as a WindowGroupLimit on both sides of the
+    shuffle: every map task keeps one row per key before exchanging, so a key
+    holding a third of the rows costs each task one row, not one task a third.
     """
     order_by = [c for c in order_by if c not in keys]
-    payload = [c for c in df.columns if c not in keys and c not in order_by]
-    ordered = list(order_by) + payload
-    packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(ordered)])
-    rename = [F.col(f"_r._o{i}").alias(c) for i, c in enumerate(ordered)]
+    ties = [c for c, t in df.dtypes if c not in keys and c not in order_by and not t.startswith("map")]
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in [*order_by, *ties]])
 
     def dedup(part: DataFrame) -> DataFrame:
-        return (part.groupBy(*keys).agg(F.min(packed).alias("_r"))
-                .select(*keys, *rename).select(*df.columns))
+        return part.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
     if null_keys == "equal":
         return dedup(df)
