@@ -3,8 +3,9 @@
 * group counts: partial (map-side) ``count`` then a join back; AQE picks a
   broadcast when the count table is small and splits skewed partitions when
   it is not, so no task ever holds a hot group whole;
-* first row per key: ``min(struct(order..., payload...))`` is a partial
-  aggregate, so a hot key collapses on the map side before the shuffle;
+* first row per key: a ``row_number() = 1`` filter, planned as a
+  WindowGroupLimit on the map side, so a hot key collapses to one row per
+  task before the shuffle;
 * dense codes for sorted distinct values: range partitioning plus per
   partition offsets, never a single-partition window.
 """
@@ -18,10 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _cols(xs) -> list[Column]:
-    return [F.col(x) if isinstance(x, str) else x for x in xs]
-
-
 def any_null(keys: Sequence[str]) -> Column:
     out = F.col(keys[0]).isNull()
     for k in keys[1:]:

@@ -67,7 +67,6 @@ def extract_sections(items: DataFrame, headers: Mapping[str, str] = SECTION_HEAD
     even = ((F.col("_idx") - F.col("_start")) % 2) == 0
     has_next = F.col("_next").isNotNull() & ~F.col("_next_hdr")
     mode = _by_section(F.col("section"), rules, lambda r: F.lit(r[0]))
-    pattern = _by_section(F.col("section"), rules, lambda r: F.lit(r[1]))
     paired = (F.when(mode == "next_not_code", F.col("_m") & has_next & ~F.col("_next_m"))
                .when(mode == "pair", F.col("_m") & even & has_next)
                .otherwise(F.lit(False)))
@@ -79,7 +78,6 @@ def extract_sections(items: DataFrame, headers: Mapping[str, str] = SECTION_HEAD
               .when(inline_ok, F.struct(F.regexp_extract("item", pat, 1).alias("code"),
                                         F.regexp_extract("item", pat, 2).alias("description"))))
     out = x.select("section", entry.alias("_e")).where(F.col("_e").isNotNull())
-    del pattern
     return out.select("section", "_e.code", "_e.description").distinct()
 
 

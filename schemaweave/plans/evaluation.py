@@ -142,11 +142,9 @@ def matching_results(spark: SparkSession, d: str) -> DataFrame:
     """A13 for every (dataset, method) in one grouped plan (Q6)."""
     src = mapping_sources(spark, d)
     pred = predicted_mappings(spark, d)
-    methods = pred.select("method").distinct()
     true_map = src.select("dataset", "source", F.col("true_target").alias("target"))
     # one true mapping per method (two methods: a bounded literal list, no join)
     true_long = true_map.withColumn("method", F.explode(F.array(F.lit("lexical"), F.lit("token"))))
-    del methods
     q = E.match_quality(true_long, pred, group=("dataset", "method"))
     return q.select("dataset", "method", *[F.round(c, 9).alias(c) for c in ["accuracy", "precision", "recall", "f1"]])
 

@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from schemaweave.constants import COLUMN_TYPE_RULES, FIXED_THRESHOLDS, SCORE_METHODS
 from schemaweave.operators.evaluate import threshold_grid
-from schemaweave.plans.evaluation import DOC_HEADERS, DOC_RULES, LENGTH_THRESHOLD, METHOD_LABELS, METHOD_ORDER
+from schemaweave.plans.evaluation import METHOD_LABELS, METHOD_ORDER
 from schemaweave.plans.matching import PART_RULES
-from schemaweave.plans.rows import DRIVER_EXPECTED, REFERENCE_TOKENS
 
 KEYS = "left_city, right_city, left_column_final, right_column_final"
 KEY_LIST = ["left_city", "right_city", "left_column_final", "right_column_final"]

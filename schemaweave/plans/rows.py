@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaweave.constants import CANONICAL_COLUMNS
 from schemaweave.functions.casting import (date_plus_hhmm, flag_from_text, parse_bool, parse_timestamp,
                                            to_float, to_int)
 from schemaweave.functions.temporal import fill_year, round_half_even, temporal_columns
@@ -244,5 +243,3 @@ def features_full(spark: SparkSession, d: str) -> DataFrame:
     f = create_features(incidents_from_events(spark, d))
     return f.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in f.dtypes])
 
-
-__all__ = ["CANONICAL_COLUMNS"]
