@@ -38,6 +38,19 @@ def merge_scores(spark: SparkSession, d: str) -> DataFrame:
     return M.similarity_scores(spark, d)
 
 
+def merge_scores_join(spark: SparkSession, d: str) -> DataFrame:
+    """The same score table through the J2 operator: separately built lexical
+    and embedding score tables merged on the 4-column pair key."""
+    from schemaweave.operators.pairs import merge_scores as j2
+    from schemaweave.operators.similarity import embedding_scores, lexical_scores
+    rep = M.pairs_repr(spark, d)
+    lex = lexical_scores(rep).withColumnsRenamed({"left_column_final": "left_column",
+                                                  "right_column_final": "right_column"})
+    out = j2(lex, embedding_scores(rep))
+    return out.withColumns({c: F.round(c, M.SCORE_DIGITS) for c in
+                            ["lexical_jaccard", "embedding_header_only_cosine", "embedding_header_context_cosine"]})
+
+
 def top_n_template(spark: SparkSession, d: str, n: int = 20) -> DataFrame:
     return E.ground_truth_template(M.similarity_scores(spark, d), top_n=n)
 

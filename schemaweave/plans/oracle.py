@@ -209,6 +209,7 @@ def matching_sql() -> dict[str, str]:
         "tfidf_cosine": with_matching(
             f"SELECT {KEYS}, embedding_header_only_cosine, embedding_header_context_cosine FROM scores"),
         "merge_scores": with_matching("SELECT * FROM scores"),
+        "merge_scores_join": with_matching("SELECT * FROM scores"),
         "top_n_template": with_matching(f"""SELECT {KEYS}, lexical_jaccard, exact_match, embedding_header_only_cosine,
     embedding_header_context_cosine, CAST(NULL AS INTEGER) AS is_match, '' AS match_notes FROM scores
     QUALIFY row_number() OVER (PARTITION BY left_city || '__' || right_city
