@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from schemaweave.functions.temporal import round_half_even, temporal_columns
 from schemaweave.operators.clean import drop_nulls, select_available
 from schemaweave.operators.keyed import attach_group_count, dense_codes
+from schemaweave.session import scratch_path
 
 
 # --- A4 --------------------------------------------------------------------------------
@@ -83,19 +84,36 @@ def _code_key(col: str, null_label: str = "nan"):
     return F.coalesce(F.col(col).cast("string"), F.lit(null_label))
 
 
-def _encode_many(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def _encode_many(df: DataFrame, cols: Sequence[str], max_local: int = 100_000) -> DataFrame:
     """Label-encode several columns (as text, null as 'nan') with code tables
-    all derived from the same ``df`` and joined once each (plan stays linear)."""
+    all derived from the same ``df`` and joined once each (plan stays linear).
+
+    One job probes the distinct values of every column together; when the
+    total is proven small (at most ``max_local``) the sorted code tables are
+    built on the driver and broadcast, otherwise each column falls back to
+    the range-partitioned :func:`dense_codes`.
+    """
+    if not cols:
+        return df
     out = df.withColumns({f"_k_{c}": _code_key(c) for c in cols})
-    tables = {c: dense_codes(out.select(F.col(f"_k_{c}")), f"_k_{c}", f"_code_{c}") for c in cols}
-    for c, t in tables.items():
-        out = out.join(t, f"_k_{c}", "left")
+    pairs = out.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"_k_{c}").alias("v"))
+                                          for c in cols]))).distinct()
+    probe = pairs.limit(max_local + 1).collect()
+    spark = df.sparkSession
+    for c in cols:
+        if len(probe) <= max_local:
+            ordered = sorted(r["v"] for r in probe if r["c"] == c)
+            table = F.broadcast(spark.createDataFrame([(v, i) for i, v in enumerate(ordered)],
+                                                      f"`_k_{c}` string, `_code_{c}` bigint"))
+        else:
+            table = dense_codes(out.select(F.col(f"_k_{c}")), f"_k_{c}", f"_code_{c}")
+        out = out.join(table, f"_k_{c}", "left")
     return out.withColumns({c: F.col(f"_code_{c}") for c in cols}).drop(
         *[f"_k_{c}" for c in cols], *[f"_code_{c}" for c in cols])
 
 
 def create_features(incidents: DataFrame, target: str = "arrest_made", clusters: DataFrame | None = None,
-                    key: str = "incident_id", scale: bool = True) -> DataFrame:
+                    key: str = "incident_id", scale: bool = True, materialise: bool = True) -> DataFrame:
     """Temporal -> spatial -> frequency -> ordinal codes -> group counts ->
     projection -> null drop -> categorical codes -> 0/1 -> z-scores.
 
@@ -127,6 +145,12 @@ def create_features(incidents: DataFrame, target: str = "arrest_made", clusters:
     df = _encode_many(df, [c for c in ORDINAL if c in df.columns])
     df = select_available(df, [key, *FEATURE_COLUMNS], target)
     df = drop_nulls(df, [c for c in df.columns if c != key])
+    if materialise:
+        # the code probe, the scaler fit and the output all read this table:
+        # write it once to the shared checkpoint folder and cut the lineage
+        path = scratch_path(df.sparkSession, "features")
+        df.write.mode("overwrite").parquet(path)
+        df = df.sparkSession.read.parquet(path)
     df = _encode_many(df, [c for c in CATEGORICAL if c in df.columns])
     df = df.withColumns({c: F.col(c).cast("int") for c in ["domestic_flag", "is_weekend", "is_night", target]
                          if c in df.columns})
