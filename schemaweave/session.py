@@ -43,13 +43,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` names a shared file system path and
     is used as is.  Only when it is unset (local runs, tests) do we create one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="schemaweave-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
+        current = sc.getCheckpointDir()
+        root = current.rsplit("/", 1)[0] if current else tempfile.mkdtemp(prefix="schemaweave-ckpt-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
