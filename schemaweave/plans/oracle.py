@@ -175,7 +175,8 @@ def _confusion_select(specs, source: str = "labelled", extra_group: str = "") ->
         fp = f"count_if({pred} AND is_match = 0)"
         fn = f"count_if(NOT {pred} AND is_match = 1)"
         parts.append(f"""SELECT {extra_group}{q(method)} AS method, {q(score)} AS score_column, {dbl(th)} AS threshold,
-    {prf_cols('tp', 'fp', 'fn')}, tp, fp, fn FROM (SELECT {extra_group}{tp} AS tp, {fp} AS fp, {fn} AS fn FROM {source}
+    {prf_cols('tp', 'fp', 'fn')}, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn
+    FROM (SELECT {extra_group}{tp} AS tp, {fp} AS fp, {fn} AS fn FROM {source}
     {'GROUP BY ' + extra_group.rstrip(', ') if extra_group else ''})""")
     return "\nUNION ALL\n".join(parts)
 
@@ -248,7 +249,8 @@ def matching_sql() -> dict[str, str]:
     FROM labelled GROUP BY left_city || ' — ' || right_city"""),
         "bars": with_matching(f"""SELECT CASE method {' '.join(f'WHEN {q(m)} THEN {q(METHOD_LABELS[m])}' for m in METHOD_ORDER)}
         ELSE method END AS method_label,
-    CASE method {' '.join(f'WHEN {q(m)} THEN {i + 1}' for i, m in enumerate(METHOD_ORDER))} ELSE 0 END AS rank,
+    CAST(CASE method {' '.join(f'WHEN {q(m)} THEN {i + 1}' for i, m in enumerate(METHOD_ORDER))} ELSE 0 END AS BIGINT)
+        AS rank,
     f1, precision, recall, tp, fp, fn FROM ({_confusion_select(FIXED)})"""),
         "best_vs_lexical": with_matching(f"""SELECT 'lexical_jaccard' AS base_method,
     (SELECT f1 FROM m WHERE method = 'lexical_jaccard') AS base_value,

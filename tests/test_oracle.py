@@ -18,11 +18,17 @@ def con():
     return duck(SF)
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    got = entry.queries()[name](spark, SF).toPandas()
-    want = con.execute(entry.oracle_sql()[name]).df()
-    assert sorted(got.columns) == sorted(want.columns)
+    sdf = entry.queries()[name](spark, SF)
+    rel = con.sql(entry.oracle_sql()[name])
+    types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in sdf.dtypes} == types
+    got, want = sdf.toPandas(), rel.df()
     assert len(got) == len(want)
     assert canon(got) == canon(want)
 
