@@ -72,7 +72,7 @@ def _event_features(spark: SparkSession, d: str) -> DataFrame:
 
 def kmeans(spark: SparkSession, d: str) -> DataFrame:
     inc = incidents_from_events(spark, d)
-    clusters = kmeans_clusters(inc, "incident_id", k=10, restarts=2)
+    clusters = kmeans_clusters(inc, "incident_id", k=50, restarts=10, seed=42)
     if clusters is None:
         return spark.createDataFrame([], "location_cluster int, n bigint")
     return clusters.groupBy("location_cluster").agg(F.count(F.lit(1)).alias("n"))
@@ -101,7 +101,7 @@ def _models(spark: SparkSession, d: str):
     if key not in _FITTED:
         train, test = _train_test(spark, d)
         feats = [c for c in FEATURES if c in train.columns]
-        _FITTED[key] = (train_models(train, feats, "arrest_made", n_trees=20), test, feats)
+        _FITTED[key] = (train_models(train, feats, "arrest_made", n_trees=100), test, feats)
     return _FITTED[key]
 
 
