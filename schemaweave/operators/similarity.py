@@ -43,8 +43,14 @@ def tfidf_vectors(docs: DataFrame, text_col: str, max_features: int = 100) -> Da
           .groupBy("text", "occ", "term").agg(F.count(F.lit(1)).alias("tf")))
     stats = tf.groupBy("term").agg(F.sum(F.col("occ") * F.col("tf")).alias("freq"),
                                    F.sum("occ").alias("df"))
-    n_docs = occ.agg(F.sum("occ")).first()[0] or 0
-    vocab = stats.orderBy(F.desc("freq"), F.asc("term")).limit(max_features).collect()
+    # one job brings both fitted values: the top terms and (as a row with a
+    # null term) the corpus size
+    top = stats.orderBy(F.desc("freq"), F.asc("term")).limit(max_features)
+    total = occ.agg(F.sum("occ").alias("freq")).select(F.lit(None).cast("string").alias("term"), "freq",
+                                                        F.lit(None).cast("bigint").alias("df"))
+    fitted = top.select("term", "freq", "df").unionByName(total).collect()
+    n_docs = next((r["freq"] for r in fitted if r["term"] is None), 0) or 0
+    vocab = [r for r in fitted if r["term"] is not None]
     if not vocab:
         return occ.select("text", F.create_map().cast("map<string,double>").alias("vec"))
     idf = F.create_map(*[x for r in vocab for x in (

@@ -29,6 +29,13 @@ def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     return s.select(*PAIR_KEY, "lexical_jaccard", "exact_match")
 
 
+def exact_match(spark: SparkSession, d: str) -> DataFrame:
+    """N22 over every candidate pair: the pairs whose final names are equal,
+    with their other scores."""
+    s = M.similarity_scores(spark, d)
+    return s.where(F.col("exact_match") == 1).select(*PAIR_KEY, "lexical_jaccard", "embedding_header_only_cosine")
+
+
 def tfidf_cosine(spark: SparkSession, d: str) -> DataFrame:
     s = M.similarity_scores(spark, d)
     return s.select(*PAIR_KEY, "embedding_header_only_cosine", "embedding_header_context_cosine")

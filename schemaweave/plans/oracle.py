@@ -207,6 +207,8 @@ def matching_sql() -> dict[str, str]:
         "schema_pairs": with_matching("SELECT * FROM pairs"),
         "pair_context": with_matching("SELECT * FROM repr"),
         "jaccard_pairs": with_matching(f"SELECT {KEYS}, lexical_jaccard, exact_match FROM scores"),
+        "exact_match": with_matching(
+            f"SELECT {KEYS}, lexical_jaccard, embedding_header_only_cosine FROM scores WHERE exact_match = 1"),
         "tfidf_cosine": with_matching(
             f"SELECT {KEYS}, embedding_header_only_cosine, embedding_header_context_cosine FROM scores"),
         "merge_scores": with_matching("SELECT * FROM scores"),
