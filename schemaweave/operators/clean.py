@@ -215,3 +215,29 @@ def clean_source(df: DataFrame, spec: CleanSpec, null_keys: str = "keep",
         out = out.withColumn("year", fill_year("year", "incident_datetime"))
     out = out.select(*CANONICAL_COLUMNS)
     return deduplicate(out, spec.key_priority, spec.order_by or CANONICAL_COLUMNS[2:3], null_keys)
+
+
+# --- P14 ------------------------------------------------------------------------------
+def process_dispatch(tables: Mapping[str, DataFrame], specs: Mapping[str, CleanSpec],
+                     expected: Mapping[str, Sequence[str]], detectors=TYPE_DETECTORS,
+                     null_keys: str = "keep") -> tuple[dict[str, DataFrame], DataFrame]:
+    """Validate every table, then clean the valid ones with their type's spec.
+
+    Returns ({name: canonical DataFrame tagged with ``dataset_source``}, the
+    validation table).  A table of unknown type, failing validation, or
+    without a spec is left out, as the reference skips it; one lazy plan per
+    table, and nothing is read beyond the schema until an action runs.
+    """
+    from schemaweave.operators.catalog import validate
+
+    results, cleaned = None, {}
+    for name, df in tables.items():
+        dtype = detect_type(df.columns, detectors)
+        v = validate(df, name, expected.get(dtype, []), dtype)
+        results = v if results is None else results.unionByName(v)
+    valid = {r["dataset"] for r in results.where("is_valid").select("dataset").collect()} if results else set()
+    for name, df in tables.items():
+        dtype = detect_type(df.columns, detectors)
+        if name in valid and dtype in specs:
+            cleaned[name] = clean_source(df, specs[dtype], null_keys).withColumn("dataset_source", F.lit(dtype))
+    return cleaned, results
