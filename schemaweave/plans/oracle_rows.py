@@ -197,6 +197,8 @@ def rows_sql() -> dict[str, str]:
             CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS status_is_f FROM orders""",
         "token_sets": token_sets_sql(),
         "features_full": features_sql(),
+        "schema_catalog": schema_catalog_sql(),
+        "catalog_pairs": catalog_pairs_sql(),
         "section_extract": sections_sql(),
         "source_roundtrip": """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment
             FROM customer""",
@@ -311,3 +313,55 @@ SELECT incident_id,
     CAST(arrest_made AS INTEGER) AS arrest_made,
     {z}
 FROM kept"""
+
+
+TABLE_DTYPES = {
+    "customer": [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"),
+                 ("c_mktsegment", "string")],
+    "orders": [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+               ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")],
+    "part": [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
+             ("p_size", "int"), ("p_retailprice", "double")],
+    "supplier": [("s_suppkey", "bigint"), ("s_name", "string"), ("s_nationkey", "int"), ("s_acctbal", "double")],
+}
+
+
+def schema_catalog_sql() -> str:
+    from schemaweave.constants import ABBREVIATION_RULES
+    from schemaweave.plans.schema_catalog import PROFILED_TABLES
+    cells, ratios = [], []
+    for name, key in PROFILED_TABLES.items():
+        for i, (c, t) in enumerate(TABLE_DTYPES[name], start=1):
+            cells.append(f"SELECT {q(name)} AS dataset, {key} AS pos, {q(c)} AS col, "
+                         f"{strip_ws(f'CAST({c} AS VARCHAR)')} AS value FROM {name}")
+            ratios.append(f"SELECT {q(name)} AS dataset, {q(c)} AS col, {q(t)} AS dtype, CAST({i} AS INTEGER) AS pos, "
+                          f"round(count({c}) / count(*), 6) AS non_null_ratio FROM {name}")
+    e, tr = expanded("normalized_column_name", ABBREVIATION_RULES)
+    return f"""WITH cells AS ({' UNION ALL '.join(cells)}),
+firsts AS (SELECT dataset, col, value, min(pos) AS pos FROM cells WHERE value IS NOT NULL AND value <> ''
+    GROUP BY dataset, col, value),
+top AS (SELECT *, row_number() OVER (PARTITION BY dataset, col ORDER BY pos, value) AS rn FROM firsts),
+samples AS (SELECT dataset, col, string_agg(value, ' | ' ORDER BY rn) AS sample_values FROM top WHERE rn <= 5
+    GROUP BY dataset, col),
+ratios AS ({' UNION ALL '.join(ratios)}),
+prof AS (SELECT r.dataset AS dataset_key, r.col AS original_column_name, r.dtype AS inferred_dtype,
+    r.non_null_ratio AS non_null_ratio_est, coalesce(s.sample_values, '') AS sample_values, r.pos,
+    {ambiguous('r.col')} AS flag_ambiguous_or_abbrev,
+    {normalized('r.col')} AS normalized_column_name, {norm_trace('r.col')} AS normalization_steps
+    FROM ratios r LEFT JOIN samples s ON s.dataset = r.dataset AND s.col = r.col)
+SELECT *, {e} AS expanded_column_name, {tr} AS abbreviation_rules_applied FROM prof"""
+
+
+def catalog_pairs_sql() -> str:
+    from schemaweave.plans.oracle import jaccard
+    return f"""WITH cat AS ({schema_catalog_sql()}),
+ent AS (SELECT dataset_key AS city, original_column_name AS column_original, expanded_column_name AS column_final,
+    {tokens('expanded_column_name')} AS tokens FROM cat),
+tok AS (SELECT *, unnest(tokens) AS token FROM ent),
+pairs AS (SELECT l.city AS left_city, r.city AS right_city, l.column_final AS left_column_final,
+    r.column_final AS right_column_final
+    FROM tok l JOIN tok r ON l.token = r.token AND l.city < r.city
+    WHERE l.token = list_min(list_intersect(l.tokens, r.tokens)))
+SELECT left_city, right_city, left_column_final, right_column_final,
+    {jaccard(tokens('left_column_final'), tokens('right_column_final'))} AS lexical_jaccard,
+    CASE WHEN left_column_final = right_column_final THEN 1 ELSE 0 END AS exact_match FROM pairs"""
