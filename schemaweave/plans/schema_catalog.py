@@ -15,7 +15,7 @@ from schemaweave.functions.text import is_ambiguous, with_expanded, with_normali
 from schemaweave.operators.catalog import column_profile
 from schemaweave.operators.pairs import candidate_pairs
 from schemaweave.operators.similarity import lexical_scores
-from schemaweave.plans.matching import table
+from schemaweave.plans.matching import _materialised, table
 
 # --- fixed values: tables profiled and the key that orders their rows ---------
 PROFILED_TABLES = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey"}
@@ -23,7 +23,13 @@ PROFILED_TABLES = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_p
 
 def schema_catalog(spark: SparkSession, d: str, max_values: int = 5) -> DataFrame:
     """One row per (table, column): dtype, non-null ratio, sample values,
-    ambiguity flag, normalized and expanded names with their traces."""
+    ambiguity flag, normalized and expanded names with their traces.
+    Built once per session (one row per column) and re-read from the shared
+    checkpoint folder by the steps that follow."""
+    return _materialised(spark, f"schema_catalog_{max_values}", d, lambda: _schema_catalog(spark, d, max_values))
+
+
+def _schema_catalog(spark: SparkSession, d: str, max_values: int) -> DataFrame:
     out = None
     for name, key in PROFILED_TABLES.items():
         df = table(spark, d, name)
