@@ -35,8 +35,6 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
     b1 = F.conv(F.substring(F.col("_h"), 1, 4), 16, 10).cast("int")
     b2 = F.conv(F.substring(F.col("_h"), 5, 4), 16, 10).cast("int")
     d = df.withColumn("_h", h).withColumn("_b1", b1).withColumn("_b2", b2)
-    sizes = d.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_k", F.round(F.col("_n") * test_fraction).cast("bigint"))
 
     def boundary(hist: DataFrame, bucket: str, need: str) -> DataFrame:
         # cumulative counts per class over buckets (<= 65536 rows per class)
@@ -46,7 +44,9 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
         return hit.select(label, F.col(bucket).alias(f"{bucket}_cut"),
                           (F.col(need) - (F.col("_cum") - F.col("_c"))).alias(f"{need}_in"))
 
-    h1 = d.groupBy(label, "_b1").agg(F.count(F.lit(1)).alias("_c")).join(sizes.select(label, "_k"), label)
+    # class sizes come from the (small) first-level histogram, not another pass over the data
+    h1 = d.groupBy(label, "_b1").agg(F.count(F.lit(1)).alias("_c"))
+    h1 = h1.withColumn("_k", F.round(F.sum("_c").over(Window.partitionBy(label)) * test_fraction).cast("bigint"))
     cut1 = boundary(h1.where(F.col("_k") > 0), "_b1", "_k")
     inb = d.join(cut1, label).where(F.col("_b1") == F.col("_b1_cut"))
     h2 = inb.groupBy(label, "_b2").agg(F.count(F.lit(1)).alias("_c"), F.first("_k_in").alias("_k_in"))
