@@ -18,10 +18,19 @@ def write_canonical(df: DataFrame, out_dir: str, name: str, csv: bool = True) ->
     if csv:
         paths["csv"] = f"{out_dir}/{name}_clean.csv"
         df.write.mode("overwrite").option("header", True).csv(paths["csv"])
-    profile(df.sparkSession.read.parquet(paths["parquet"])).coalesce(1).write.mode("overwrite").json(paths["profile"])
+    profile_document(profile(df.sparkSession.read.parquet(paths["parquet"]))) \
+        .coalesce(1).write.mode("overwrite").json(paths["profile"])
     return paths
 
 
+def profile_document(prof: DataFrame) -> DataFrame:
+    """One row shaped {n_rows, n_cols, columns: {name: {dtype, null_pct}}} from
+    the long profile (one row per column, so the aggregate is bounded)."""
+    entry = F.struct(F.col("column"), F.struct("dtype", "null_pct"))
+    return prof.agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"),
+                    F.map_from_entries(F.collect_list(entry)).alias("columns"))
+
+
 # --- S7 --------------------------------------------------------------------------------
 def load_incidents(df: DataFrame, table_path: str, source: str,
                    key: tuple[str, ...] = ("incident_id", "dataset_source")) -> DataFrame:

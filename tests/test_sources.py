@@ -66,6 +66,9 @@ def test_clean_write_and_idempotent_load(spark, tmp_dir):
     assert clean.where("incident_id = '2'").first()["arrest_made"] is True
     paths = write_canonical(clean, tmp_dir, "t")
     assert spark.read.parquet(paths["parquet"]).count() == 2
+    doc = spark.read.json(paths["profile"]).first()
+    assert doc["n_rows"] == 2 and doc["n_cols"] == len(CANONICAL_COLUMNS)
+    assert doc["columns"]["beat"]["null_pct"] == 100.0 and doc["columns"]["district"]["dtype"] == "bigint"
     table = os.path.join(tmp_dir, "incidents")
     assert load_incidents(clean, table, "la").count() == 2
     assert load_incidents(clean, table, "la").count() == 0
