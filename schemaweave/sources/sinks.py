@@ -75,3 +75,9 @@ def union_sources(frames: dict[str, DataFrame]) -> DataFrame:
         tagged = df.withColumn("dataset_source", F.lit(name))
         out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
     return out
+
+
+def write_codebook(codebook: DataFrame, path: str) -> None:
+    """Code-book sink: (section, code, description) as JSON lines, one folder
+    per section (no section is gathered into a single document or task)."""
+    codebook.write.mode("overwrite").partitionBy("section").json(path)

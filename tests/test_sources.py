@@ -9,7 +9,7 @@ from schemaweave.constants import CANONICAL_COLUMNS
 from schemaweave.operators.clean import CleanSpec, clean_source, drop_index_artifacts
 from schemaweave.sources.readers import (dataset_registry, read_column_metadata, read_csv_robust, read_csv_sniff,
                                          scan_directory)
-from schemaweave.sources.sinks import load_incidents, write_canonical
+from schemaweave.sources.sinks import load_incidents, write_canonical, write_codebook
 
 
 def _write(path, text):
@@ -73,3 +73,13 @@ def test_clean_write_and_idempotent_load(spark, tmp_dir):
     assert load_incidents(clean, table, "la").count() == 2
     assert load_incidents(clean, table, "la").count() == 0
     assert spark.read.parquet(table).where(F.col("dataset_source") == "la").count() == 2
+
+
+def test_codebook_sink(spark, tmp_dir):
+    from schemaweave.operators.sections import extract_sections
+    items = ["RADIO CODES", "10-25", "RESPOND AS BACKUP", "Priorities", "A", "Emergency"]
+    df = spark.createDataFrame([(0, i, t) for i, t in enumerate(items)], "doc int, pos int, item string")
+    path = os.path.join(tmp_dir, "codebook")
+    write_codebook(extract_sections(df), path)
+    got = {(r["section"], r["code"], r["description"]) for r in spark.read.json(path).collect()}
+    assert got == {("radio_codes", "10-25", "RESPOND AS BACKUP"), ("priorities", "A", "Emergency")}
