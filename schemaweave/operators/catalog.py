@@ -68,33 +68,36 @@ def column_profile(df: DataFrame, dataset: str, order_by: str, max_values: int =
     """Per column: dtype, non-null ratio (6 dp), first ``max_values`` distinct
     trimmed non-empty values in ``order_by`` order joined by ' | '.
 
-    Values are unpivoted to (column, pos, value); the first position of every
-    distinct value is a partial aggregate, and the per-column top-n uses a
-    row_number filter that Spark turns into a WindowGroupLimit below the shuffle.
+    One scan: values are unpivoted to (column, pos, raw value) and aggregated
+    once by (column, raw value) with a count and the first position -- a
+    partial aggregate, so a hot value collapses on the map side.  Ratios come
+    from the per-column sums of that table; samples from a second, much
+    smaller aggregate on the trimmed value, then a row_number filter that
+    Spark turns into a WindowGroupLimit below the shuffle.
     """
     cols = df.columns
     dtypes = dict(df.dtypes)
-    ratios = df.agg(F.count(F.lit(1)).alias("_n"),
-                    *[F.count(_q(c)).alias(f"_c{i}") for i, c in enumerate(cols)])
-    ratio_rows = ratios.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"),
-                 F.when(F.col("_n") > 0, F.round(F.col(f"_c{i}") / F.col("_n"), 6))
-                  .otherwise(F.lit(0.0)).alias("non_null_ratio"))
-        for i, c in enumerate(cols)])))
     cells = df.select(_q(order_by).alias("_pos"), F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), strip_ws(_q(c).cast("string")).alias("value"))
-        for c in cols])))
-    firsts = (cells.where(F.col("value").isNotNull() & (F.col("value") != ""))
+        F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("raw")) for c in cols])))
+    by_raw = cells.groupBy("column", "raw").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_pos"))
+    ratio_rows = by_raw.groupBy("column").agg(
+        F.round(F.sum(F.when(F.col("raw").isNotNull(), F.col("_n")).otherwise(0)) / F.sum("_n"), 6)
+        .alias("non_null_ratio"))
+    firsts = (by_raw.select("column", strip_ws(F.col("raw")).alias("value"), "_pos")
+              .where(F.col("value").isNotNull() & (F.col("value") != ""))
               .groupBy("column", "value").agg(F.min("_pos").alias("_pos")))
     top = firsts.withColumn("_rn", F.row_number().over(
         Window.partitionBy("column").orderBy("_pos", "value"))).where(F.col("_rn") <= min(max_values, show))
     samples = top.groupBy("column").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("_rn", "value"))), lambda s: s["value"]), " | ").alias("sample_values"))
     dtype_map = F.create_map(*[F.lit(x) for c in cols for x in (c, dtypes[c])])
-    return (ratio_rows.join(samples, "column", "left")
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    # every column appears, also in an empty table (ratio 0, no samples)
+    return (names.join(ratio_rows, "column", "left").join(samples, "column", "left")
             .select(F.lit(dataset).alias("dataset"), "column",
                     F.element_at(dtype_map, F.col("column")).alias("dtype"),
-                    "non_null_ratio", F.coalesce("sample_values", F.lit("")).alias("sample_values")))
+                    F.coalesce("non_null_ratio", F.lit(0.0)).alias("non_null_ratio"),
+                    F.coalesce("sample_values", F.lit("")).alias("sample_values")))
 
 
 # --- N2 + W2 on a catalog ------------------------------------------------------------
