@@ -56,7 +56,12 @@ def raw_header(name_col) -> F.Column:
 
 
 def part_catalog(spark: SparkSession, d: str) -> DataFrame:
-    """(city, ds_order, column_original, column_final, description, pos)."""
+    """(city, ds_order, column_original, column_final, description, pos);
+    one row per distinct (brand, name), built once per session."""
+    return _materialised(spark, "part_catalog", d, lambda: _part_catalog(spark, d))
+
+
+def _part_catalog(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_name", "p_type")
     g = p.groupBy("p_brand", "p_name", "p_type").agg(F.count(F.lit(1)).alias("n"),
                                                      F.min("p_partkey").alias("k"))
