@@ -24,10 +24,16 @@ BASE_CONF = {
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "schemaweave", extra: dict | None = None) -> SparkSession:
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app_name)
+    """A session with the settings above.  Without ``master`` the launcher's
+    holds, or local mode where BENCH_CPUS asks for it or none is set; without
+    ``shuffle_partitions`` Spark's own setting stays, which AQE coalesces."""
+    builder = SparkSession.builder.appName(app_name)
+    cpus = os.environ.get("BENCH_CPUS")
+    if master or cpus:
+        builder = builder.master(master or f"local[{cpus}]")
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.driver.memory"] = os.environ.get("SPARK_DRIVER_MEMORY", "16g")
     conf.update(extra or {})
     for k, v in conf.items():
@@ -40,19 +46,31 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared file system path and
-    is used as is.  Only when it is unset (local runs, tests) do we create one.
+    ``spark.checkpoint.dir`` names a shared file system path and is used as is.
+    Only a local session without it gets a temporary folder; on a cluster that
+    would be one disk of one machine, so there it is an error.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
         current = sc.getCheckpointDir()
-        root = current.rsplit("/", 1)[0] if current else tempfile.mkdtemp(prefix="schemaweave-ckpt-")
+        if current:
+            root = current.rsplit("/", 1)[0]
+        elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            root = tempfile.mkdtemp(prefix="schemaweave-ckpt-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the checkpoint root for a written table."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh sub-folder of the checkpoint root for a written table; it is
+    removed when the session's JVM ends."""
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(target)
+    return path
