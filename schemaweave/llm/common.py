@@ -81,3 +81,24 @@ def range_ranked(df: DataFrame, keys: list[str], order: list[str], size: str | N
     if size:
         cols.append((F.col("_v0") + F.col("_sum")).cast("long").alias("before"))
     return out.select(*cols)
+
+
+_CHARS: list = []
+
+
+def char_table():
+    """uint8 flags by code point: 1 letter, 2 upper case, 4 digit, 8 white space."""
+    if not _CHARS:
+        import numpy as np
+
+        flags = np.zeros(0x110000, dtype=np.uint8)
+        for i in range(0x110000):
+            c = chr(i)
+            if c.isalpha():
+                flags[i] = 1 + 2 * c.isupper()
+            elif c.isdigit():
+                flags[i] = 4
+            elif c.isspace():
+                flags[i] = 8
+        _CHARS.append(flags)
+    return _CHARS[0]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from schemaweave.llm import mixing, packing
+from schemaweave.llm import brown_lm, language_id, mixing, packing, quality, toxicity
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
+    "op5_quality": quality.op5_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_curriculum_mixing": mixing.op8_curriculum_mixing,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_brown_lm": brown_lm.op10_brown_lm,
 }
 ORACLES: dict[str, str] = {}
