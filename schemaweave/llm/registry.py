@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from schemaweave.llm import brown_lm, language_id, mixing, packing, quality, toxicity
+from schemaweave.llm import brown_lm, language_id, mixing, order_minhash, packing, quality, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op4_order_minhash": order_minhash.op4_order_minhash,
     "op5_quality": quality.op5_quality,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_curriculum_mixing": mixing.op8_curriculum_mixing,
