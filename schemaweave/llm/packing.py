@@ -44,19 +44,18 @@ class BpeBytes(dict):
     """Word -> its token ids as little-endian 32-bit bytes, encoded when first
     met; the memory is emptied when ``limit`` words are held."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 120_000):
         super().__init__()
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        vocab = json.loads(open(path, encoding="utf-8").read())["model"]["vocab"]
+        self.path, self.limit, self.tokenizer = path, limit, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         hidden = [b for b in range(256) if b not in shown]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        ranks = {bytes(byte[c] for c in w): i for w, i in vocab.items() if w not in special}
-        self.special = sorted(special)
+        ranks = {bytes(byte[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in self.special}
         self.bpe = tiktoken.Encoding("bytes", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
     def __missing__(self, word: str) -> bytes:
@@ -69,6 +68,10 @@ class BpeBytes(dict):
     def encode(self, text: str) -> bytes:
         if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
             return b"".join(map(self.__getitem__, _SPLIT.findall(text)))
+        if self.tokenizer is None:  # few texts need it
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
