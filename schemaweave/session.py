@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -74,3 +75,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.deleteOnExit(target)
     return path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers (once), so that tasks
+    can import it wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_schemaweave_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="schemaweave-zip-"), "schemaweave"), "zip",
+                               os.path.dirname(here), os.path.basename(here))
+    sc.addPyFile(path)
+    sc._schemaweave_shipped = True
