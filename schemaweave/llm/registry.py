@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
-from schemaweave.llm import brown_lm, language_id, mixing, order_minhash, packing, quality, toxicity
+from functools import wraps
 
-QUERIES = {
+from schemaweave.llm import (bit_sliced, brown_lm, cover_tree, language_id, mixing, order_minhash, packing, quality,
+                             toxicity)
+from schemaweave.session import ship_package
+
+
+def _shipped(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _shipped(query) for name, query in {
     "op1_language_id": language_id.op1_language_id,
+    "op2_cover_tree": cover_tree.op2_cover_tree,
     "op4_order_minhash": order_minhash.op4_order_minhash,
     "op5_quality": quality.op5_quality,
+    "op6_bit_sliced_topk": bit_sliced.op6_bit_sliced_topk,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_curriculum_mixing": mixing.op8_curriculum_mixing,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_brown_lm": brown_lm.op10_brown_lm,
+}.items()}
+ORACLES: dict[str, str] = {
+    "op6_bit_sliced_topk": bit_sliced.ORACLE,
 }
-ORACLES: dict[str, str] = {}
