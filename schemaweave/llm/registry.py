@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import wraps
 
 from schemaweave.llm import (bit_sliced, brown_lm, cover_tree, language_id, mixing, order_minhash, packing, quality,
-                             toxicity)
+                             tool_calls, toxicity)
 from schemaweave.session import ship_package
 
 
@@ -21,6 +21,7 @@ def _shipped(query):
 QUERIES = {name: _shipped(query) for name, query in {
     "op1_language_id": language_id.op1_language_id,
     "op2_cover_tree": cover_tree.op2_cover_tree,
+    "op3_tool_calls": tool_calls.op3_tool_calls,
     "op4_order_minhash": order_minhash.op4_order_minhash,
     "op5_quality": quality.op5_quality,
     "op6_bit_sliced_topk": bit_sliced.op6_bit_sliced_topk,
@@ -30,5 +31,6 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op10_brown_lm": brown_lm.op10_brown_lm,
 }.items()}
 ORACLES: dict[str, str] = {
+    "op3_tool_calls": tool_calls.ORACLE,
     "op6_bit_sliced_topk": bit_sliced.ORACLE,
 }
