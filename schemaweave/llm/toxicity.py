@@ -9,8 +9,9 @@ letter lowers it a little instead of breaking the match.
 Training sees labelled sentences of a bounded sample of labelled documents.
 Landmarks are strings associated with label 1 (one per similar group) and common
 other ones.  A sentence is represented by its string nearest to a landmark; a
-document with label 1 gives its nearest sentence (and copies with an inserted or
-dropped letter), one with label 0 its nearest three and its last.  A linear SVM
+document with label 1 gives its nearest sentence and all strings close to a landmark
+(and copies with an inserted letter), one with label 0 its nearest three
+sentences and its last.  A linear SVM
 is fitted on the Nyström features.  Its value is linear in the explicit features
 of the kernel, so a string is scored from its own subsequences.  A document's
 score is the calibrated value of its most toxic string.
@@ -199,9 +200,9 @@ def choose_landmarks(toxic: list[str], common: list[str], n: int, near: float =
 
 
 def variants(string: str) -> list[str]:
-    """The string with one letter inserted, and with one dropped."""
+    """The string with one letter inserted at either side of its middle letter."""
     at = len(string) // 2
-    return [string[:at] + "x" + string[at:], string[:at] + string[at + 1:]]
+    return [string[:at] + "x" + string[at:], string[:at + 1] + "e" + string[at + 1:]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int = 8000, landmarks: int = 96,
@@ -239,7 +240,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
             for doc, label in zip(found, batch.column("y").to_pylist()):
                 best = [max(s, key=lambda w: (near[w], w)) for s in doc if s]
                 by = sorted(dict.fromkeys(best), key=lambda w: (-near[w], w))
-                picked = [*by[:1], *(v for w in by[:1] for v in variants(w))] if label else by[:3] + by[-1:]
+                if label:  # every string about as near to a landmark as the nearest
+                    by = by[:1] + [w for w in sorted(set().union(*doc)) if near[w] >= 0.8 and w not in by[:1]]
+                picked = [*by, *(v for w in by for v in variants(w))] if label else by[:3] + by[-1:]
                 strings += picked
                 ys += [label] * len(picked)
             k = linear(strings, z) @ nystroem if strings else np.zeros((0, nystroem.shape[1]))
@@ -251,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
     if len(m) < 2:
         return flat
     even = F.when(F.col("y") == 1, F.lit(m[0.0] / m[1.0])).otherwise(F.lit(1.0))
-    svm = LinearSVC(featuresCol="features", labelCol="y", weightCol="w", maxIter=40, regParam=1e-3, standardization=False)
+    svm = LinearSVC(featuresCol="features", labelCol="y", weightCol="w", maxIter=60, regParam=2e-4, standardization=False)
     svm = svm.fit(train.withColumn("w", even))
     beta = nystroem @ svm.coefficients.toArray()
     model = Model(z @ beta, float(svm.intercept), 1.0, 0.0)
@@ -259,10 +262,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
     def maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Scores(model.weights)
         for batch, texts in chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(model.values(texts, cache)), batch.column("y")], names=["v", "y"])
+            values, ys = model.values(texts, cache).tolist(), batch.column("y").to_pylist()
+            for text in [t for t, y in zip(texts, ys) if y]:  # its most toxic string with a letter inserted
+                worst = max(tokens_of(text), key=lambda t: (cache.get(t, -9e9), t), default="")
+                new = [v for w in windows(plain(worst)) for v in variants(w)[:1] if len(w) < WINDOW]
+                values += (linear(new, model.weights) + model.bias).tolist() if new else []
+                ys += [1] * len(new)
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.float64()), pa.array(ys, pa.int32())], names=["v", "y"])
 
     seen = materialise(sample.mapInArrow(maxima, "v double, y int"), "toxic-values")
-    seen = seen.select(array_to_vector(F.array("v")).alias("features"), F.col("y").cast("double"))
+    seen = seen.select(array_to_vector(F.array("v")).alias("features"), F.col("y").cast("double").alias("y"))
     curve = LogisticRegression(featuresCol="features", labelCol="y", maxIter=100, regParam=1e-4, standardization=False).fit(seen)
     model.slope, model.intercept = float(curve.coefficients[0]), float(curve.intercept)
     return model
