@@ -3,9 +3,9 @@
 Tokens are the words of the ASCII-lower-cased text and one end per document.
 The corpus is counted whole.  Clustering works on units: each of the most
 frequent words is a unit, every other word (seen or not) belongs to the unit of
-its last three bytes, or to one common unit.  Exchange rounds move units to the
-class that gains most log-likelihood; a round is a map over the units, whose
-number is bounded by parameters.  A token's probability is
+its last three bytes, or to one common unit.  Exchange moves one unit after the other to the
+class that gains most log-likelihood, on the bigrams of units, a table bounded by
+parameters.  A token's probability is
 P(class | previous class) * P(word | class), with the transition interpolated
 with the class's share and the emission (c + delta) / (T + delta * (V + 1)) over
 the T tokens and V words of the class; a document starts after an end.
@@ -117,7 +117,7 @@ def best_move(n: np.ndarray, own: int, out: np.ndarray, into: np.ndarray, self_n
     m[own, :] -= out
     m[:, own] -= into
     m[own, own] -= self_n
-    left, right = m.sum(1), m.sum(0)
+    left, right = m.sum(1) + into, m.sum(0) + out  # whatever the unit's class, the others keep their bigrams with it
     d = np.arange(len(m))
     rows = xlogx(m + out[None, :]) - xlogx(m)  # the unit's bigrams added to row b
     cols = xlogx(m + into[:, None]) - xlogx(m)  # and to column b
@@ -150,45 +150,53 @@ def class_bigrams(rows: DataFrame, cls: np.ndarray, k: int) -> np.ndarray:
 def exchange(bigrams: DataFrame, units: int, k: int, rounds: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the units and the class bigram counts.
 
-    ``bigrams`` has one row (a, b, n) per pair of units that occurs.  The end
-    stays alone in class 0; in turn one half of the other units may move."""
+    ``bigrams`` has one row (a, b, n) per pair of units that occurs, at most the
+    square of ``units`` whatever the corpus.  The end stays alone in class 0;
+    the other units move one after the other, in order of their number, until a
+    round moves none."""
     both = (bigrams.groupBy(F.col("a").alias("unit")).agg(F.collect_list(F.struct("b", "n")).alias("o"))
             .join(bigrams.groupBy(F.col("b").alias("unit")).agg(F.collect_list(F.struct("a", "n")).alias("i")), "unit", "full")
             .select("unit", F.col("o.b").alias("outs"), F.col("o.n").alias("out_n"),
                     F.col("i.a").alias("ins"), F.col("i.n").alias("in_n")))
-    rows = materialise(both.repartition(12), "brown-units")  # bounded: units squared entries
-    cls = 1 + np.arange(units) % (k - 1)
-    cls[end] = 0
-    n = class_bigrams(rows, cls, k)
-    for turn in range(rounds):
-
-        def move(batches: Iterator[pa.RecordBatch], cls=cls, n=n, turn=turn) -> Iterator[pa.RecordBatch]:
-            to: list[tuple[int, int]] = []
-            for b in batches:
-                for u, o, on, i, in_ in zip(*(b.column(c).to_pylist() for c in ("unit", "outs", "out_n", "ins", "in_n"))):
-                    if u == end or (u * 2654435761 >> 7) % 2 != turn % 2:
-                        continue
-                    o, on, i, in_ = (np.array(x or [], dtype=np.int64) for x in (o, on, i, in_))
-                    out = np.bincount(cls[o[o != u]], weights=on[o != u], minlength=k)
-                    into = np.bincount(cls[i[i != u]], weights=in_[i != u], minlength=k)
-                    best, gain = best_move(n, int(cls[u]), out, into, float(on[o == u].sum()))
-                    if gain > 0:
-                        to.append((u, best))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in to], pa.int64()), pa.array([x[1] for x in to], pa.int64())],
-                                             names=["unit", "cls"])
-
-        moves = rows.mapInArrow(move, "unit long, cls long").collect()  # at most one a unit
-        if not moves and turn:
-            break
-        cls = cls.copy()
-        for r in moves:
-            cls[r["unit"]] = r["cls"]
-        n = class_bigrams(rows, cls, k)
-    return cls, n
+    rows = materialise(both, "brown-units")
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls = 1 + np.arange(units) % (k - 1)
+        cls[end] = 0
+        n, own = np.zeros((k, k)), {}
+        for b in batches:
+            cells = [b.column(c) for c in ("outs", "out_n", "ins", "in_n")]
+            for r, u in enumerate(b.column("unit").to_pylist()):
+                o, on, i, in_ = (np.array(c[r].values if c[r].is_valid else [], dtype=np.int64) for c in cells)
+                n += np.bincount(cls[u] * k + cls[o], weights=on, minlength=k * k).reshape(k, k)
+                if u != end:
+                    own[u] = (o[o != u], on[o != u], i[i != u], in_[i != u], float(on[o == u].sum()))
+        for _ in range(rounds):
+            moved = 0
+            for u in sorted(own):
+                o, on, i, in_, self_n = own[u]
+                out = np.bincount(cls[o], weights=on, minlength=k)
+                into = np.bincount(cls[i], weights=in_, minlength=k)
+                to, gain = best_move(n, int(cls[u]), out, into, self_n)
+                if gain > 0:
+                    for c, sign in ((cls[u], -1), (to, 1)):
+                        n[c, :] += sign * out
+                        n[:, c] += sign * into
+                        n[c, c] += sign * self_n
+                    cls[u] = to
+                    moved += 1
+            if not moved:
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(units)), pa.array(cls)], names=["unit", "cls"])
+
+    cls = np.zeros(units, dtype=np.int64)
+    for r in rows.repartition(1).mapInArrow(move, "unit long, cls long").collect():  # a task for a bounded table
+        cls[r["unit"]] = r["cls"]
+    return cls, class_bigrams(rows, cls, k)
 
 
 def score_documents(docs: DataFrame, held_mod: int = 10, classes: int = 48, unit_words: int = 1000, endings: int = 500,
-                    head_words: int = 65_536, rounds: int = 8, prior: float = 20.0) -> DataFrame:
+                    head_words: int = 65_536, rounds: int = 10, prior: float = 20.0) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
