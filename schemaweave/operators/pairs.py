@@ -11,44 +11,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schemaweave.constants import PAIR_KEY
-from schemaweave.functions.text import context_text, tokenize
+from schemaweave.functions.text import context_text
 
 
 # --- J1 --------------------------------------------------------------------------------
-def candidate_pairs(catalog: DataFrame, broadcast_limit: int = 200_000,
-                    partitions: int | None = None) -> DataFrame:
-    """Cross-dataset column pairs that share at least one name token.
-
-    An inverted-index equi-join on the token replaces the all-pairs nested
-    loop: every pair with a non-zero lexical score is produced exactly once
-    (it is emitted only under the smallest token the two names share), pairs
-    with nothing in common are never materialised.  Each unordered dataset pair
-    appears once, in ``ds_order``.
-
-    The join output is much larger than its input, so the plan is chosen
-    explicitly: when the (column, token) table is proven small (at most
-    ``broadcast_limit`` rows, checked by counting one more) it is broadcast
-    and the probe side is spread round-robin over ``partitions`` tasks, so a
-    hot token costs no single task more than its share.  Beyond the bound it
-    is a sort-merge join on the token, and AQE splits a hot token's partition.
-    """
-    ent = catalog.select("city", "ds_order", "column_original", "column_final",
-                         tokenize(F.col("column_final")).alias("tokens"))
-    tok = ent.select("*", F.explode("tokens").alias("token"))
-    n_tok = tok.limit(broadcast_limit + 1).count()
-    if n_tok <= broadcast_limit:
-        n = partitions or int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        l, r = tok.repartition(n).alias("l"), F.broadcast(tok).alias("r")
-    else:
-        l, r = tok.alias("l"), tok.alias("r")
-    joined = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.ds_order") < F.col("r.ds_order")))
-    shared_min = F.array_min(F.array_intersect(F.col("l.tokens"), F.col("r.tokens")))
-    return joined.where(F.col("l.token") == shared_min).select(
-        F.col("l.city").alias("left_city"), F.col("r.city").alias("right_city"),
-        F.col("l.column_original").alias("left_column_original"),
-        F.col("l.column_final").alias("left_column_final"),
-        F.col("r.column_original").alias("right_column_original"),
-        F.col("r.column_final").alias("right_column_final"))
+def dataset_pairs(catalog: DataFrame) -> DataFrame:
+    """Each unordered pair of datasets once, in ``ds_order``: (left_city, right_city).
+
+    The list of datasets is the catalog's configuration (one entry per dataset)."""
+    listed = catalog.groupBy("city").agg(F.min("ds_order").alias("o")).agg(
+        F.array_sort(F.collect_list(F.struct("o", "city"))).alias("ds"))
+    left = listed.select("ds", F.posexplode("ds").alias("i", "l"))
+    return (left.select(F.col("l.city").alias("left_city"), F.explode(F.expr("slice(ds, i + 2, size(ds))")).alias("r"))
+            .select("left_city", F.col("r.city").alias("right_city")))
+
+
+def candidate_pairs(catalog: DataFrame) -> DataFrame:
+    """All column pairs of different datasets, each unordered dataset pair once.
+
+    Every pair is a candidate: its context texts may agree where its names share
+    nothing.  The result is what the operator is defined to return, the square of
+    the catalog's columns (never of table rows), so its work is dealt evenly: the
+    left columns, repeated per dataset pair, are spread by their full key before
+    they meet the right dataset's columns, and AQE splits a dataset that holds a
+    large share of the columns."""
+    ent = catalog.select("city", "column_original", "column_final")
+    n = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = (ent.withColumnsRenamed({"city": "left_city", "column_original": "left_column_original", "column_final": "left_column_final"})
+            .join(dataset_pairs(catalog), "left_city").repartition(n, "left_city", "right_city", "left_column_final"))
+    right = ent.withColumnsRenamed({"city": "right_city", "column_original": "right_column_original", "column_final": "right_column_final"})
+    return left.join(right, "right_city").select(
+        "left_city", "right_city", "left_column_original", "left_column_final", "right_column_original", "right_column_final")
 
 
 def all_pairs_count(catalog: DataFrame) -> DataFrame:
@@ -60,15 +53,21 @@ def all_pairs_count(catalog: DataFrame) -> DataFrame:
 
 
 # --- J3 + N20 ----------------------------------------------------------------------------
+def last_descriptions(catalog: DataFrame) -> DataFrame:
+    """(city, column_final, description): one row per name of a dataset, the last
+    catalog row (highest ``pos``) wins; no description gives ''."""
+    return (catalog.groupBy("city", "column_final")
+            .agg(F.max(F.struct("pos", F.coalesce("description", F.lit("")).alias("d"))).alias("_l"))
+            .select("city", "column_final", F.col("_l.d").alias("description")))
+
+
 def attach_context(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Header-only and header+context texts for both sides.
 
     Descriptions are looked up by (dataset, final name); when a name repeats
     the last catalog row (highest ``pos``) wins; no hit gives ''.
     """
-    last = (catalog.groupBy("city", "column_final")
-            .agg(F.max(F.struct("pos", F.coalesce("description", F.lit("")).alias("d"))).alias("_l"))
-            .select("city", "column_final", F.col("_l.d").alias("description")))
+    last = last_descriptions(catalog)
     ld = last.select(F.col("city").alias("left_city"), F.col("column_final").alias("left_column_final"),
                      F.col("description").alias("_ld"))
     rd = last.select(F.col("city").alias("right_city"), F.col("column_final").alias("right_column_final"),

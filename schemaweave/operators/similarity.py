@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
+import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from schemaweave.constants import PAIR_KEY
 from schemaweave.functions.text import exact_match, jaccard, tfidf_terms, tokenize
@@ -17,13 +15,9 @@ from schemaweave.functions.text import exact_match, jaccard, tfidf_terms, tokeni
 # --- Q1 + N22 ---------------------------------------------------------------------------
 def lexical_scores(pairs: DataFrame, left: str = "left_header_only",
                    right: str = "right_header_only") -> DataFrame:
-    """Jaccard and exact match, scored once per distinct (left, right) text and
-    joined back (many pairs share the same two headers)."""
-    texts = pairs.select(F.col(left).alias("_l"), F.col(right).alias("_r")).distinct()
-    scored = texts.select("_l", "_r", jaccard(tokenize(F.col("_l")), tokenize(F.col("_r"))).alias("lexical_jaccard"),
-                          exact_match("_l", "_r").alias("exact_match"))
-    j = pairs.join(scored, pairs[left].eqNullSafe(scored["_l"]) & pairs[right].eqNullSafe(scored["_r"]), "left")
-    return j.select(*PAIR_KEY, "lexical_jaccard", "exact_match")
+    """Jaccard and exact match of every pair's two headers."""
+    return pairs.select(*PAIR_KEY, jaccard(tokenize(F.col(left)), tokenize(F.col(right))).alias("lexical_jaccard"),
+                        exact_match(left, right).alias("exact_match"))
 
 
 # --- Q2 + Q3 + U3 -----------------------------------------------------------------------
@@ -70,68 +64,43 @@ def map_dot(a: Column, b: Column) -> Column:
     return F.aggregate(prods, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def tfidf_cosine(pairs: DataFrame, left_text: str, right_text: str, out_col: str,
-                 max_features: int = 100) -> DataFrame:
-    """Row-wise cosine of the two sides' TF-IDF vectors; the corpus is both
-    sides of every pair (a text counts once per pair side)."""
-    corpus = pairs.select(F.col(left_text).alias("t")).unionAll(pairs.select(F.col(right_text).alias("t")))
-    vecs = tfidf_vectors(corpus, "t", max_features)
-    lv = vecs.select(F.col("text").alias("_lt"), F.col("vec").alias("_lv"))
-    rv = vecs.select(F.col("text").alias("_rt"), F.col("vec").alias("_rv"))
-    # score each distinct (left text, right text) once, then join back
-    texts = pairs.select(F.col(left_text).alias("_a"), F.col(right_text).alias("_b")).distinct()
-    tj = (texts.join(lv, texts["_a"].eqNullSafe(lv["_lt"]), "left")
-               .join(rv, texts["_b"].eqNullSafe(rv["_rt"]), "left"))
-    scored = tj.select("_a", "_b", F.coalesce(map_dot(F.col("_lv"), F.col("_rv")), F.lit(0.0)).alias(out_col))
-    j = pairs.join(scored, pairs[left_text].eqNullSafe(scored["_a"]) & pairs[right_text].eqNullSafe(scored["_b"]),
-                   "left")
-    return j.select(*PAIR_KEY, out_col)
-
-
-def text_pair_cosine(pairs: DataFrame, left_text: str, right_text: str, out_col: str,
-                     max_features: int = 100) -> DataFrame:
-    """TF-IDF cosine per distinct (left text, right text) as ``(_a, _b, out_col)``;
-    the fit uses every pair side (so text frequencies count pair occurrences)."""
+def with_tfidf_cosine(pairs: DataFrame, left_text: str, right_text: str, out_col: str,
+                      max_features: int = 100) -> DataFrame:
+    """``pairs`` with the cosine of the two sides' TF-IDF vectors; the corpus is
+    both sides of every pair (a text counts once per pair side).
+
+    The vectors, one per distinct text, are looked up for each side, so a pair is
+    scored in place; no join on the pair key is needed."""
     corpus = pairs.select(F.col(left_text).alias("t")).unionAll(pairs.select(F.col(right_text).alias("t")))
     vecs = tfidf_vectors(corpus, "t", max_features)
     lv = vecs.select(F.col("text").alias("_lt"), F.col("vec").alias("_lv"))
     rv = vecs.select(F.col("text").alias("_rt"), F.col("vec").alias("_rv"))
-    texts = pairs.select(F.col(left_text).alias("_a"), F.col(right_text).alias("_b")).distinct()
-    tj = (texts.join(lv, texts["_a"].eqNullSafe(lv["_lt"]), "left")
-               .join(rv, texts["_b"].eqNullSafe(rv["_rt"]), "left"))
-    return tj.select("_a", "_b", F.coalesce(map_dot(F.col("_lv"), F.col("_rv")), F.lit(0.0)).alias(out_col))
+    j = pairs.join(lv, pairs[left_text].eqNullSafe(lv["_lt"]), "left").join(rv, pairs[right_text].eqNullSafe(rv["_rt"]), "left")
+    return j.select(*pairs.columns, F.coalesce(map_dot(F.col("_lv"), F.col("_rv")), F.lit(0.0)).alias(out_col))
 
 
-def score_pairs(pairs_repr: DataFrame, max_features: int = 100) -> DataFrame:
-    """All four scores for every pair (Q1 + Q2/Q3, merged as J2 does).
+def tfidf_cosine(pairs: DataFrame, left_text: str, right_text: str, out_col: str,
+                 max_features: int = 100) -> DataFrame:
+    return with_tfidf_cosine(pairs, left_text, right_text, out_col, max_features).select(*PAIR_KEY, out_col)
 
-    Lexical and header cosine depend only on the two header texts, the context
-    cosine only on the two context texts, so each is computed once per distinct
-    text pair (tables bounded by the catalog's distinct names) and attached to
-    the pairs with one equi-join each; AQE broadcasts them when small.  No
-    join on the 4-column pair key is needed.
-    """
+
+def score_pairs(pairs_repr: DataFrame, max_features: int = 100) -> DataFrame:
+    """All four scores for every pair (Q1 + Q2/Q3, as J2 merges them), computed in
+    one projection over the pairs with their looked-up vectors."""
     lh, rh, lc, rc = ("left_header_only", "right_header_only", "left_header_with_context",
                       "right_header_with_context")
-    hcos = text_pair_cosine(pairs_repr, lh, rh, "embedding_header_only_cosine", max_features)
-    header = hcos.select("_a", "_b", jaccard(tokenize(F.col("_a")), tokenize(F.col("_b"))).alias("lexical_jaccard"),
-                         exact_match("_a", "_b").alias("exact_match"), "embedding_header_only_cosine")
-    ctx = text_pair_cosine(pairs_repr, lc, rc, "embedding_header_context_cosine", max_features) \
-        .withColumnsRenamed({"_a": "_ca", "_b": "_cb"})
-    j = pairs_repr.join(header, pairs_repr[lh].eqNullSafe(header["_a"]) & pairs_repr[rh].eqNullSafe(header["_b"]),
-                        "left")
-    j = j.join(ctx, j[lc].eqNullSafe(ctx["_ca"]) & j[rc].eqNullSafe(ctx["_cb"]), "left")
-    return j.select(*PAIR_KEY, "lexical_jaccard", "exact_match", "embedding_header_only_cosine",
+    j = with_tfidf_cosine(pairs_repr, lh, rh, "embedding_header_only_cosine", max_features)
+    j = with_tfidf_cosine(j, lc, rc, "embedding_header_context_cosine", max_features)
+    return j.select(*PAIR_KEY, jaccard(tokenize(F.col(lh)), tokenize(F.col(rh))).alias("lexical_jaccard"),
+                    exact_match(lh, rh).alias("exact_match"), "embedding_header_only_cosine",
                     "embedding_header_context_cosine")
 
 
 def embedding_scores(pairs_repr: DataFrame, max_features: int = 100) -> DataFrame:
     """Header-only and header+context cosines (separate vocabularies)."""
-    h = tfidf_cosine(pairs_repr, "left_header_only", "right_header_only",
-                     "embedding_header_only_cosine", max_features)
-    c = tfidf_cosine(pairs_repr, "left_header_with_context", "right_header_with_context",
-                     "embedding_header_context_cosine", max_features)
-    return h.join(c, PAIR_KEY, "inner")
+    h = with_tfidf_cosine(pairs_repr, "left_header_only", "right_header_only", "embedding_header_only_cosine", max_features)
+    return with_tfidf_cosine(h, "left_header_with_context", "right_header_with_context", "embedding_header_context_cosine",
+                             max_features).select(*PAIR_KEY, "embedding_header_only_cosine", "embedding_header_context_cosine")
 
 
 # --- bounded target lists ------------------------------------------------------------------
@@ -148,26 +117,37 @@ def _norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
+def best_of(scores: Column, names: Column, keep) -> Column:
+    """0 or 1 (target, score) entries: the best of ``scores`` (the first on ties)
+    if ``keep(score)``.  Emitted with ``inline``, so the scores are evaluated
+    once and no filter can be pushed below them."""
+    top = F.array(scores)
+    picked = F.transform(top, lambda s: F.struct(
+        F.element_at(names, F.array_position(s, F.array_max(s)).cast("int")).alias("best_target"),
+        F.array_max(s).alias("best_score")))
+    return F.filter(picked, lambda e: keep(e["best_score"]))
+
+
 def vector_best_match(src: DataFrame, vec_col: str, targets: Sequence[tuple[str, Sequence[float]]],
                       threshold: float = 0.7) -> DataFrame:
     """Argmax cosine target per source row, kept only when strictly above ``threshold``.
 
-    ``targets`` is a bounded list (see :func:`collect_bounded`) compiled into
-    the projection, so sources stream through without a join or shuffle.
+    ``targets`` is a bounded list (see :func:`collect_bounded`), scaled to unit
+    length once and compiled into the projection, so sources stream through
+    without a join or shuffle.
     """
-    names = F.array(*[F.lit(n) for n, _ in targets])
-    tvecs = F.array(*[F.array(*[F.lit(float(x)) for x in v]) for _, v in targets])
+    unit = []
+    for n, v in targets:
+        size = math.sqrt(sum(float(x) ** 2 for x in v))
+        unit.append((n, [float(x) / size if size else None for x in v]))
+    names = F.array(*[F.lit(n) for n, _ in unit])
+    tvecs = F.array(*[F.array(*[F.lit(x).cast("double") for x in v]) for _, v in unit])
+    scores = F.transform(tvecs, lambda t: F.aggregate(
+        F.zip_with(F.col("_unit"), t, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x))
     v = F.col(vec_col)
-    nv = _norm(v)
-    scores = F.transform(tvecs, lambda t: F.try_divide(
-        F.aggregate(F.zip_with(v, t, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, x: acc + x),
-        nv * _norm(t)))
-    best = F.array_max(scores)
-    idx = F.array_position(scores, best)
-    return (src.withColumn("_best", best).withColumn("_idx", idx)
-               .where(F.col("_best") > threshold)
-               .withColumn("best_target", F.element_at(names, F.col("_idx").cast("int")))
-               .withColumnRenamed("_best", "best_score").drop("_idx"))
+    scaled = F.transform(F.array(_norm(v)), lambda n: F.transform(v, lambda a: F.try_divide(a.cast("double"), n)))
+    with_unit = src.withColumn("_unit", F.explode(scaled))
+    return with_unit.select(*src.columns, F.inline(best_of(scores, names, lambda s: s > threshold)))
 
 
 # --- Q5 / J8 (string scorers) ----------------------------------------------------------------
@@ -179,49 +159,12 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 
 
 def fuzzy_best_match(src: DataFrame, text_col: str, targets: Sequence[str],
-                     threshold: float = 0.6, scorer: str = "levenshtein") -> DataFrame:
-    """Best target per source: the highest score that is >= ``threshold`` and
-    > 0; the first target wins ties.  Sources without a match are dropped.
-
-    ``scorer='levenshtein'`` is a built-in expression; ``scorer='ratio'`` is the
-    sequence-matcher ratio computed by an Arrow-batched pandas UDF.
-    """
-    if scorer == "ratio":
-        scored = src.withColumn("_m", _ratio_best_udf(list(targets))(F.col(text_col)))
-        best, idx = F.col("_m.score"), F.col("_m.idx")
-    else:
-        tl = F.array(*[F.lit(t) for t in targets])
-        scores = F.transform(tl, lambda t: levenshtein_ratio(F.col(text_col), t))
-        scored = src.withColumn("_s", scores)
-        best = F.array_max("_s")
-        idx = F.array_position(F.col("_s"), best)
-    names = F.array(*[F.lit(t) for t in targets])
-    out = (scored.withColumn("best_score", best).withColumn("_idx", idx)
-                 .where((F.col("best_score") >= threshold) & (F.col("best_score") > 0))
-                 .withColumn("best_target", F.element_at(names, F.col("_idx").cast("int"))))
-    return out.drop("_s", "_m", "_idx")
-
-
-def _ratio_best_udf(targets: list[str]):
-    lowered = [t.lower() for t in targets]
-
-    @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()),
-                                T.StructField("idx", T.IntegerType())]))
-    def best(s: pd.Series) -> pd.DataFrame:
-        scores, idxs = [], []
-        for text in s:
-            if text is None:
-                scores.append(0.0)
-                idxs.append(0)
-                continue
-            low = text.lower()
-            top, at = 0.0, 0
-            for i, t in enumerate(lowered, start=1):
-                r = difflib.SequenceMatcher(None, low, t).ratio()
-                if r > top:
-                    top, at = r, i
-            scores.append(top)
-            idxs.append(at)
-        return pd.DataFrame({"score": scores, "idx": idxs})
-
-    return best
+                     threshold: float = 0.6) -> DataFrame:
+    """Best target per source by edit ratio: the highest score that is >=
+    ``threshold`` and > 0; the first target wins ties.  Sources without a match
+    are dropped.  Each distinct text is scored once and joined back."""
+    tl = F.array(*[F.lit(t) for t in targets])
+    scores = F.transform(tl, lambda t: levenshtein_ratio(F.col("_text"), t))
+    texts = src.select(F.col(text_col).alias("_text")).where("_text is not null").distinct()
+    best = texts.select("_text", F.inline(best_of(scores, tl, lambda s: (s >= threshold) & (s > 0))))
+    return src.join(best, src[text_col] == best["_text"]).drop("_text")

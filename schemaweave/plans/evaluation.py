@@ -150,12 +150,13 @@ def predicted_mappings(spark: SparkSession, d: str) -> DataFrame:
 
 def _token_best_match(src: DataFrame, targets: list[str], threshold: float) -> DataFrame:
     from schemaweave.functions.text import jaccard, tokenize
+    from schemaweave.operators.similarity import best_of
     tl = F.array(*[F.lit(t) for t in targets])
-    scores = F.transform(tl, lambda t: jaccard(tokenize(F.col("source")), tokenize(t)))
-    x = src.withColumn("_s", scores).withColumn("_b", F.array_max("_s"))
-    x = x.where((F.col("_b") >= threshold) & (F.col("_b") > 0))
-    return x.select("dataset", F.lit("token").alias("method"), "source",
-                    F.element_at(tl, F.array_position(F.col("_s"), F.col("_b")).cast("int")).alias("target"))
+    scores = F.transform(tl, lambda t: jaccard(tokenize(F.col("_text")), tokenize(t)))
+    texts = src.select(F.col("source").alias("_text")).where("_text is not null").distinct()
+    best = texts.select("_text", F.inline(best_of(scores, tl, lambda s: (s >= threshold) & (s > 0))))
+    return src.join(best, src["source"] == best["_text"]).select(
+        "dataset", F.lit("token").alias("method"), "source", F.col("best_target").alias("target"))
 
 
 def matching_results(spark: SparkSession, d: str) -> DataFrame:
@@ -196,16 +197,20 @@ def results_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cross_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """(train, test, accuracy, f1): the train dataset's mapping applied to the
-    test dataset's sources (A13 counts from an equi-join on the source name)."""
+    """(train, test, accuracy, f1) of every two datasets: the train dataset's
+    mapping applied to the test dataset's sources (A13 counts from an equi-join on
+    the source name; datasets that share no source have F1 0)."""
     src = mapping_sources(spark, d)
     tr = src.select(F.col("dataset").alias("train"), "source", F.col("true_target").alias("_p"))
     te = src.select(F.col("dataset").alias("test"), "source", F.col("true_target").alias("_t"))
     common = tr.join(te, "source").groupBy("train", "test").agg(
         F.count(F.lit(1)).alias("_common"), F.count_if(F.col("_p") == F.col("_t")).alias("_tp"))
     sizes = src.groupBy("dataset").agg(F.count(F.lit(1)).alias("_n"))
-    j = (common.join(sizes.select(F.col("dataset").alias("train"), F.col("_n").alias("_ntr")), "train")
-               .join(sizes.select(F.col("dataset").alias("test"), F.col("_n").alias("_nte")), "test"))
+    # every two datasets, from the list of datasets (the configuration's size)
+    listed = sizes.agg(F.collect_list(F.struct("dataset", "_n")).alias("ds"))
+    both = (listed.select("ds", F.explode("ds").alias("a")).select("a", F.explode("ds").alias("b"))
+            .select(F.col("a.dataset").alias("train"), F.col("a._n").alias("_ntr"), F.col("b.dataset").alias("test"), F.col("b._n").alias("_nte")))
+    j = both.join(common, ["train", "test"], "left").na.fill(0, ["_common", "_tp"])
     tp, fn = F.col("_tp"), F.col("_nte") - F.col("_tp")
     tn = F.col("_ntr") - F.col("_common")
     n = F.col("_nte") + F.col("_ntr") - F.col("_common")
@@ -260,12 +265,6 @@ def best_match_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", "best_target", F.round("best_score", 9).alias("best_score"))
 
 
-def best_match_ratio(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", "p_name")
-    out = fuzzy_best_match(p, "p_name", type_targets(spark, d), threshold=0.3, scorer="ratio")
-    return out.select("p_partkey", "best_target", F.round("best_score", 9).alias("best_score"))
-
-
 # --- classification metrics on labels x documents ----------------------------------------------
 LENGTH_THRESHOLD = 1000
 

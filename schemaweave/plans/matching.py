@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from schemaweave.constants import PAIR_KEY
 from schemaweave.functions.text import with_expanded, with_normalized
 from schemaweave.operators.evaluate import labelled_scores
-from schemaweave.operators.pairs import attach_context, candidate_pairs
+from schemaweave.operators.pairs import attach_context, candidate_pairs, last_descriptions
 from schemaweave.operators.similarity import score_pairs
 from schemaweave.session import scratch_path
 
@@ -30,10 +30,19 @@ SCORE_DIGITS = 9
 # write and read) and read by every evaluation query -- the reference likewise
 # writes its score table once and re-reads it in each evaluation step.
 _MEMO: dict = {}
+PART_KEYS = ("part_catalog", "repr", "scores", "labelled")
+
+
+def table_stamp(spark: SparkSession, path: str) -> tuple:
+    """(file, length, modification time) of a table's files: a changed table is built anew."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(root)))
 
 
 def _materialised(spark: SparkSession, key: str, d: str, build) -> DataFrame:
-    k = (spark.sparkContext.applicationId, key, d)
+    k = (spark.sparkContext.applicationId, key, d, table_stamp(spark, f"{d}/part.parquet" if key in PART_KEYS else d))
     if k not in _MEMO:
         path = scratch_path(spark, key)
         build().write.mode("overwrite").parquet(path)
@@ -78,7 +87,7 @@ def _part_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs_repr(spark: SparkSession, d: str) -> DataFrame:
-    """Candidate pairs with their texts (bounded by the catalog, not by rows)."""
+    """All cross-dataset pairs with their texts (the catalog's square, not the rows')."""
     def build():
         cat = part_catalog(spark, d)
         return attach_context(candidate_pairs(cat), cat)
@@ -98,15 +107,11 @@ def _similarity_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def truth_labels(spark: SparkSession, d: str) -> DataFrame:
     """Pair label: 1 when both columns carry the same description (part type)."""
-    cat = part_catalog(spark, d)
-    rep = pairs_repr(spark, d)
-    desc = cat.select("city", "column_final", "description")
-    l = desc.select(F.col("city").alias("left_city"), F.col("column_final").alias("left_column_final"),
-                    F.col("description").alias("_ld"))
-    r = desc.select(F.col("city").alias("right_city"), F.col("column_final").alias("right_column_final"),
-                    F.col("description").alias("_rd"))
-    j = rep.select(*PAIR_KEY).join(l, ["left_city", "left_column_final"]).join(
-        r, ["right_city", "right_column_final"])
+    desc = last_descriptions(part_catalog(spark, d))
+    l = desc.withColumnsRenamed({"city": "left_city", "column_final": "left_column_final", "description": "_ld"})
+    r = desc.withColumnsRenamed({"city": "right_city", "column_final": "right_column_final", "description": "_rd"})
+    pairs = pairs_repr(spark, d).select(*PAIR_KEY).distinct()
+    j = pairs.join(l, ["left_city", "left_column_final"]).join(r, ["right_city", "right_column_final"])
     return j.select(*PAIR_KEY, F.when(F.col("_ld") == F.col("_rd"), F.lit("1")).otherwise(F.lit("")).alias("is_match"))
 
 

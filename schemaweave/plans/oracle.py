@@ -131,12 +131,9 @@ cat1 AS (SELECT p_brand, p_name, p_type, min(k) OVER (PARTITION BY p_brand, p_na
     row_number() OVER (PARTITION BY p_brand, p_name ORDER BY n DESC, p_type) AS rn FROM cat0),
 cat2 AS (SELECT p_brand AS city, {raw_header('p_name')} AS column_original, p_type AS description, pos FROM cat1 WHERE rn = 1),
 cat AS (SELECT city, column_original, {final} AS column_final, description, pos FROM cat2),
-ent AS (SELECT city, column_original, column_final, {tokens('column_final')} AS tokens FROM cat),
-tok AS (SELECT *, unnest(tokens) AS token FROM ent),
 pairs AS (SELECT l.city AS left_city, r.city AS right_city, l.column_original AS left_column_original,
     l.column_final AS left_column_final, r.column_original AS right_column_original, r.column_final AS right_column_final
-    FROM tok l JOIN tok r ON l.token = r.token AND l.city < r.city
-    WHERE l.token = list_min(list_intersect(l.tokens, r.tokens))),
+    FROM cat l JOIN cat r ON l.city < r.city),
 lastd AS (SELECT city, column_final, arg_max(coalesce(description, ''), pos) AS description FROM cat GROUP BY city, column_final),
 repr AS (SELECT p.*, p.left_column_final AS left_header_only, p.right_column_final AS right_header_only,
     CASE WHEN coalesce(ld.description, '') = '' THEN p.left_column_final ELSE p.left_column_final || ' | ' || ld.description END
@@ -156,8 +153,8 @@ scores AS (SELECT r.left_city, r.right_city, r.left_column_final, r.right_column
     JOIN c_cos c ON c.a = r.left_header_with_context AND c.b = r.right_header_with_context),
 truth AS (SELECT p.left_city, p.right_city, p.left_column_final, p.right_column_final,
     CASE WHEN ld.description = rd.description THEN 1 ELSE 0 END AS is_match
-    FROM pairs p JOIN cat ld ON ld.city = p.left_city AND ld.column_final = p.left_column_final
-    JOIN cat rd ON rd.city = p.right_city AND rd.column_final = p.right_column_final),
+    FROM (SELECT DISTINCT left_city, right_city, left_column_final, right_column_final FROM pairs) p JOIN lastd ld ON ld.city = p.left_city AND ld.column_final = p.left_column_final
+    JOIN lastd rd ON rd.city = p.right_city AND rd.column_final = p.right_column_final),
 labelled AS (SELECT s.left_city, s.right_city, s.left_column_final, s.right_column_final, s.lexical_jaccard,
     s.embedding_header_only_cosine, s.embedding_header_context_cosine, t.is_match
     FROM scores s JOIN truth t USING (left_city, right_city, left_column_final, right_column_final))"""
@@ -318,9 +315,10 @@ xte AS (SELECT dataset AS test, source, true_target AS t FROM src),
 common AS (SELECT train, test, count(*) AS nc, count_if(p = t) AS tp FROM xtr JOIN xte USING (source) GROUP BY train, test),
 sizes AS (SELECT dataset, count(*) AS n FROM src GROUP BY dataset),
 cross_pairs AS (SELECT c.train, c.test,
-    round((c.tp + (a.n - c.nc))::DOUBLE / (b.n + a.n - c.nc), 9) AS accuracy,
-    round(CASE WHEN (2 * c.tp + (b.n - c.tp)) > 0 THEN {f1_expr('c.tp', '(b.n - c.tp)')} ELSE 0.0::DOUBLE END, 9) AS f1
-    FROM common c JOIN sizes a ON a.dataset = c.train JOIN sizes b ON b.dataset = c.test)"""
+    round((c.tp + (c.na - c.nc))::DOUBLE / (c.nb + c.na - c.nc), 9) AS accuracy,
+    round(CASE WHEN (2 * c.tp + (c.nb - c.tp)) > 0 THEN {f1_expr('c.tp', '(c.nb - c.tp)')} ELSE 0.0::DOUBLE END, 9) AS f1
+    FROM (SELECT a.dataset AS train, b.dataset AS test, a.n AS na, b.n AS nb, coalesce(m.nc, 0) AS nc, coalesce(m.tp, 0) AS tp
+          FROM sizes a CROSS JOIN sizes b LEFT JOIN common m ON m.train = a.dataset AND m.test = b.dataset) c)"""
 
 
 def f1_expr(tp: str, fn: str) -> str:
