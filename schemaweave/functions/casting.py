@@ -22,14 +22,23 @@ def parse_bool(col) -> Column:
              .otherwise(F.lit(None).cast("boolean")))
 
 
+# a plain number: no letter suffix, no 'nan' or 'inf' words
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def to_float(col) -> Column:
-    return _c(col).cast("string").try_cast("double")
+    """Double, or null for anything that is not a plain number."""
+    s = F.trim(_c(col).cast("string"))
+    return F.when(s.rlike(_NUMBER), s.try_cast("double"))
 
 
 def to_int(col) -> Column:
-    """Integer via double, so '10.0' parses; a fractional value gives null."""
+    """64-bit integer: as written, else via double, so '10.0' parses; a
+    fractional value gives null."""
+    s = F.trim(_c(col).cast("string"))
     d = to_float(col)
-    return F.when(d == F.floor(d), d.try_cast("bigint")).otherwise(F.lit(None).cast("bigint"))
+    return F.coalesce(F.when(s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("bigint")),
+                      F.when(d == F.floor(d), d.try_cast("bigint")))
 
 
 def parse_timestamp(col, formats: Sequence[str] = TIMESTAMP_FORMATS) -> Column:
@@ -41,13 +50,15 @@ def parse_timestamp(col, formats: Sequence[str] = TIMESTAMP_FORMATS) -> Column:
 def date_plus_hhmm(date_col, time_col) -> Column:
     """'<date> HH:MM' from a date text and an HHMM-ish time text.
 
-    Digits only, left-padded to 4 (lpad also cuts at 4).  A null time yields the
-    date alone, which parses as midnight.
+    A time of day in the date text is cut off first ('2010-01-25T00:00:00',
+    '01/08/2020 12:00:00 AM').  Digits only, left-padded to 4 (lpad also cuts at
+    4).  A null time yields the date alone, which parses as midnight.
     """
+    day = F.regexp_replace(_c(date_col).cast("string"), r"[T ]\d{1,2}:\d{2}.*$", "")
     digits = F.regexp_replace(_c(time_col).cast("string"), r"\D", "")
     t = F.lpad(digits, 4, "0")
     hhmm = F.concat(F.substring(t, 1, 2), F.lit(":"), F.substring(t, 3, 2))
-    return F.trim(F.concat_ws(" ", _c(date_col).cast("string"), hhmm))
+    return F.trim(F.concat_ws(" ", day, hhmm))
 
 
 def flag_from_text(col, pattern: str = "ARREST|BOOKED") -> Column:

@@ -39,7 +39,7 @@ def validate(df: DataFrame, dataset: str, expected: Sequence[str], dataset_type:
     """One row: counts, missing/extra columns, mean null % over columns, is_valid."""
     cols = df.columns
     n = F.count(F.lit(1))
-    frac = [F.count_if(_q(c).isNull()) / n for c in cols]
+    frac = [F.try_divide(F.count_if(_q(c).isNull()), n) for c in cols]  # null for an empty table
     mean_null = (sum(frac[1:], frac[0]) / len(cols) * 100.0) if cols else F.lit(None)
     exp = F.array(*[F.lit(c) for c in expected]) if expected else F.array().cast("array<string>")
     act = F.array(*[F.lit(c) for c in cols]) if cols else F.array().cast("array<string>")

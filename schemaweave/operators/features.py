@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from schemaweave.functions.temporal import round_half_even, temporal_columns
 from schemaweave.operators.clean import drop_nulls, select_available
-from schemaweave.operators.keyed import attach_group_count, dense_codes
+from schemaweave.operators.keyed import attach_group_count, dense_codes, ranked_by_group
 from schemaweave.session import scratch_path
 
 
@@ -84,29 +84,21 @@ def _code_key(col: str, null_label: str = "nan"):
     return F.coalesce(F.col(col).cast("string"), F.lit(null_label))
 
 
-def _encode_many(df: DataFrame, cols: Sequence[str], max_local: int = 100_000) -> DataFrame:
-    """Label-encode several columns (as text, null as 'nan') with code tables
-    all derived from the same ``df`` and joined once each (plan stays linear).
-
-    One job probes the distinct values of every column together; when the
-    total is proven small (at most ``max_local``) the sorted code tables are
-    built on the driver and broadcast, otherwise each column falls back to
-    the range-partitioned :func:`dense_codes`.
-    """
+def _encode_many(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Label-encode several columns (as text, null as 'nan') from one table of
+    (column, value, code), built by one distributed ranking of the distinct
+    values and joined once per column; AQE broadcasts it from its real size."""
     if not cols:
         return df
     out = df.withColumns({f"_k_{c}": _code_key(c) for c in cols})
     pairs = out.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"_k_{c}").alias("v"))
                                           for c in cols]))).distinct()
-    probe = pairs.limit(max_local + 1).collect()
-    spark = df.sparkSession
+    codes = ranked_by_group(pairs, ["c"], "v", "code")
+    path = scratch_path(df.sparkSession, "codes")
+    codes.write.parquet(path)
+    codes = df.sparkSession.read.schema(codes.schema).parquet(path)
     for c in cols:
-        if len(probe) <= max_local:
-            ordered = sorted(r["v"] for r in probe if r["c"] == c)
-            table = F.broadcast(spark.createDataFrame([(v, i) for i, v in enumerate(ordered)],
-                                                      f"`_k_{c}` string, `_code_{c}` bigint"))
-        else:
-            table = dense_codes(out.select(F.col(f"_k_{c}")), f"_k_{c}", f"_code_{c}")
+        table = codes.where(F.col("c") == c).select(F.col("v").alias(f"_k_{c}"), F.col("code").alias(f"_code_{c}"))
         out = out.join(table, f"_k_{c}", "left")
     return out.withColumns({c: F.col(f"_code_{c}") for c in cols}).drop(
         *[f"_k_{c}" for c in cols], *[f"_code_{c}" for c in cols])

@@ -16,7 +16,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from schemaweave.session import scratch_path
 
 
 def any_null(keys: Sequence[str]) -> Column:
@@ -47,58 +48,61 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
     """
     order_by = [c for c in order_by if c not in keys]
     ties = [c for c, t in df.dtypes if c not in keys and c not in order_by and not t.startswith("map")]
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in [*order_by, *ties]])
+    order = [F.col(c).asc_nulls_first() for c in [*order_by, *ties]]
 
-    def dedup(part: DataFrame) -> DataFrame:
+    def dedup(part: DataFrame, by: Sequence[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order)
         return part.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
     if null_keys == "equal":
-        return dedup(df)
-    has_null = any_null(keys)
-    return dedup(df.where(~has_null)).unionByName(df.where(has_null))
-
-
-def dense_codes(values: DataFrame, col: str, code: str, partitions: int | None = None,
-                max_local: int = 100_000) -> DataFrame:
-    """0-based dense rank of the distinct non-null values of ``col``.
-
-    When the distinct set is proven small (at most ``max_local`` values,
-    checked by collecting one more), the sorted code table is built on the
-    driver and broadcast.  Beyond that bound the distinct values are
-    range-partitioned, numbered inside each partition and shifted by the
-    running count of the partitions before it (one row per partition).
-    """
-    distinct = values.select(col).where(F.col(col).isNotNull()).distinct()
-    probe = distinct.limit(max_local + 1).collect()
-    if len(probe) <= max_local:
-        ordered = sorted(r[0] for r in probe)
-        field = distinct.schema.fields[0]
-        schema = T.StructType([T.StructField(col, field.dataType), T.StructField(code, T.LongType())])
-        table = values.sparkSession.createDataFrame([(v, i) for i, v in enumerate(ordered)], schema)
-        return F.broadcast(table)
-    n = partitions or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = distinct.repartitionByRange(n, col).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(col)))
-    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)))
-    # one row per shuffle partition: a proven bound, so broadcast is safe
-    return (local.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
-            .select(col, (F.col("_off") + F.col("_rn") - 1).cast("bigint").alias(code)))
-
-
-def exclusive_running_sum(df: DataFrame, order_col: str, value_col: str, out: str,
-                          partitions: int | None = None) -> DataFrame:
+        return dedup(df, keys)
+    # one pass: a row with a null key gets a group of its own
+    own = F.when(any_null(keys), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    return dedup(df.withColumn("_own", own), [*keys, "_own"]).drop("_own")
+
+
+def dealt_by_range(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` range-partitioned by ``order`` with its partition number ``_pid``.
+
+    The bounds come from a sample, so the rows are written once with their number
+    (shared scratch folder): every later branch sees the same partitions."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    path = scratch_path(spark, "dealt")
+    dealt.write.parquet(path)
+    return spark.read.schema(dealt.schema).parquet(path)
+
+
+def ranked_by_group(df: DataFrame, group: Sequence[str], order: str, code: str) -> DataFrame:
+    """0-based rank ``code`` of each row within ``group`` (not null) by ``order``
+    (unique within the group): ranks within (group, partition), shifted by the
+    counts of the group's earlier partitions."""
+    dealt = dealt_by_range(df, [*group, order])
+    own = [*group, "_pid"]
+    local = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy(*own).orderBy(order)))
+    earlier = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(*own).agg(F.count(F.lit(1)).alias("_n")).select(
+        *own, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    return local.join(offsets, own).select(*df.columns, (F.col("_off") + F.col("_rn") - 1).cast("bigint").alias(code))
+
+
+def dense_codes(values: DataFrame, col: str, code: str) -> DataFrame:
+    """0-based dense rank of the distinct non-null values of ``col``, in Spark's
+    order at every size (NaN last); one row per value."""
+    distinct = values.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_g", F.lit(0))
+    return ranked_by_group(distinct, ["_g"], col, code).drop("_g")
+
+
+def exclusive_running_sum(df: DataFrame, order_col: str, value_col: str, out: str) -> DataFrame:
     """Sum of ``value_col`` over all rows strictly before each row in
     ``order_col`` order (``order_col`` unique), computed without a
     single-partition window: range partitions, a running sum inside each, and
     the totals of earlier partitions (one row per partition) added on."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, order_col).withColumn("_pid", F.spark_partition_id())
+    dealt = dealt_by_range(df, [order_col])
     inner = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumn("_local", F.coalesce(F.sum(value_col).over(inner), F.lit(0)))
-    totals = ranged.groupBy("_pid").agg(F.sum(value_col).alias("_t"))
+    local = dealt.withColumn("_local", F.coalesce(F.sum(value_col).over(inner), F.lit(0)))
+    totals = dealt.groupBy("_pid").agg(F.sum(value_col).alias("_t"))
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # one row per shuffle partition: a proven bound, so broadcast is safe

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from schemaweave.operators.evaluate import prf
 from schemaweave.operators.keyed import exclusive_running_sum
+from schemaweave.session import scratch_path
 
 
 # --- W10 -------------------------------------------------------------------------------
@@ -24,73 +25,82 @@ def hash_rank_key(key: str, seed: int) -> F.Column:
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float = 0.2,
                      seed: int = 42) -> DataFrame:
     """Deterministic stratified split: per class, the round(fraction * n) rows
-    with the smallest md5(key || seed) go to test.  Adds ``is_test``.
+    with the smallest md5(key || seed) go to test.  Adds ``is_test``.  Every row
+    is kept once, also rows that repeat a key; a null label is a class of its own.
 
     Skew-safe exact selection: the k-th smallest hash of a class is found from
     hash-prefix histograms (16 bits, then 16 more inside the boundary bucket),
     which are partial aggregates; only the rows of the final boundary
     sub-bucket (about n / 2^32 of a class) are ranked exactly.
     """
+    spark = df.sparkSession
     h = hash_rank_key(key, seed)
-    b1 = F.conv(F.substring(F.col("_h"), 1, 4), 16, 10).cast("int")
-    b2 = F.conv(F.substring(F.col("_h"), 5, 4), 16, 10).cast("int")
-    d = df.withColumn("_h", h).withColumn("_b1", b1).withColumn("_b2", b2)
+    d = df.withColumn("_h", F.coalesce(h, F.lit("")))
+    d = d.withColumn("_b1", F.coalesce(F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"), F.lit(0)))
+    d = d.withColumn("_b2", F.coalesce(F.conv(F.substring("_h", 5, 4), 16, 10).cast("int"), F.lit(0)))
+    path = scratch_path(spark, "split")  # hashed once; everything below reads this
+    d.write.parquet(path)
+    d = spark.read.schema(d.schema).parquet(path)
 
     def boundary(hist: DataFrame, bucket: str, need: str) -> DataFrame:
         # cumulative counts per class over buckets (<= 65536 rows per class)
         w = Window.partitionBy(label).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
         c = hist.withColumn("_cum", F.sum("_c").over(w))
         hit = c.where((F.col("_cum") >= F.col(need)) & (F.col("_cum") - F.col("_c") < F.col(need)))
-        return hit.select(label, F.col(bucket).alias(f"{bucket}_cut"),
+        return hit.select(F.col(label).alias(f"_l{bucket}"), F.col(bucket).alias(f"{bucket}_cut"),
                           (F.col(need) - (F.col("_cum") - F.col("_c"))).alias(f"{need}_in"))
 
+    def with_cut(rows: DataFrame, cut: DataFrame, bucket: str) -> DataFrame:
+        return rows.join(cut, rows[label].eqNullSafe(cut[f"_l{bucket}"]), "left").drop(f"_l{bucket}")
+
     # class sizes come from the (small) first-level histogram, not another pass over the data
     h1 = d.groupBy(label, "_b1").agg(F.count(F.lit(1)).alias("_c"))
     h1 = h1.withColumn("_k", F.round(F.sum("_c").over(Window.partitionBy(label)) * test_fraction).cast("bigint"))
     cut1 = boundary(h1.where(F.col("_k") > 0), "_b1", "_k")
-    inb = d.join(cut1, label).where(F.col("_b1") == F.col("_b1_cut"))
+    tagged = with_cut(d, cut1, "_b1")
+    inb = tagged.where(F.col("_b1") == F.col("_b1_cut"))
     h2 = inb.groupBy(label, "_b2").agg(F.count(F.lit(1)).alias("_c"), F.first("_k_in").alias("_k_in"))
-    cut2 = boundary(h2, "_b2", "_k_in")
-    edge = (inb.join(cut2, label).where(F.col("_b2") == F.col("_b2_cut"))
-            .withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_h", key)))
-            .where(F.col("_r") <= F.col("_k_in_in")).select(key, F.lit(True).alias("_edge")))
-    # cut tables hold one row per class; AQE broadcasts them when that is small
-    tagged = d.join(cut1, label, "left").join(cut2.select(label, "_b2_cut"), label, "left")
+    tagged = with_cut(tagged, boundary(h2, "_b2", "_k_in"), "_b2")
+    edge = F.coalesce((F.col("_b1") == F.col("_b1_cut")) & (F.col("_b2") == F.col("_b2_cut")), F.lit(False))
     below = (F.col("_b1") < F.col("_b1_cut")) | ((F.col("_b1") == F.col("_b1_cut")) & (F.col("_b2") < F.col("_b2_cut")))
-    out = tagged.join(edge, key, "left").withColumn(
-        "is_test", F.coalesce(below, F.lit(False)) | F.coalesce(F.col("_edge"), F.lit(False)))
-    return out.drop("_h", "_b1", "_b2", "_b1_cut", "_k_in", "_b2_cut", "_edge")
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
+    sure = tagged.where(~edge).select(*df.columns, F.coalesce(below, F.lit(False)).alias("is_test"))
+    at_edge = tagged.where(edge).withColumn("_r", rank).select(*df.columns, (F.col("_r") <= F.col("_k_in_in")).alias("is_test"))
+    return sure.unionByName(at_edge)
 
 
 # --- M1 -------------------------------------------------------------------------------
 def kmeans_clusters(df: DataFrame, key: str, cols: Sequence[str] = ("latitude", "longitude"),
-                    k: int = 50, seed: int = 42, restarts: int = 10, min_rows: int = 1000) -> DataFrame | None:
-    """(key, location_cluster) for rows with coordinates; None when too few rows.
+                    k: int = 50, seed: int = 42, restarts: int = 10) -> DataFrame:
+    """(key, location_cluster) for rows with coordinates, of any number; at most as
+    many clusters as there are distinct points.
 
     Best of ``restarts`` k-means|| fits by training cost."""
     pts = df.select(key, *cols).na.drop(subset=list(cols))
-    if pts.limit(min_rows + 1).count() <= min_rows:
-        return None
+    distinct = pts.select(*cols).distinct().limit(k).count()
+    if distinct < 2:
+        return pts.select(key, F.lit(0).alias("location_cluster"))
     feats = VectorAssembler(inputCols=list(cols), outputCol="_f", handleInvalid="skip").transform(pts).cache()
     best = None
     for i in range(restarts):
-        model = KMeans(k=k, seed=seed + i, featuresCol="_f", predictionCol="location_cluster").fit(feats)
+        model = KMeans(k=min(k, distinct), seed=seed + i, featuresCol="_f", predictionCol="location_cluster").fit(feats)
         cost = model.summary.trainingCost
         if best is None or cost < best[0]:
             best = (cost, model)
-    out = best[1].transform(feats).select(key, F.col("location_cluster").cast("int"))
-    return out
+    feats.unpersist()
+    return best[1].transform(feats).select(key, F.col("location_cluster").cast("int"))
 
 
 # --- M3, M4, M6 --------------------------------------------------------------------------
 def train_models(train: DataFrame, features: Sequence[str], label: str, seed: int = 42,
-                 n_trees: int = 100) -> dict:
+                 n_trees: int = 100, max_depth: int = 30) -> dict:
+    """Both models fitted on ``train``; ``max_depth`` bounds the trees (30 is Spark's limit)."""
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     n_train = max(train.count(), 1)
     lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=1000,
                             regParam=1.0 / n_train, elasticNetParam=0.0, standardization=False)
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees, seed=seed,
-                                featureSubsetStrategy="sqrt", maxDepth=12, impurity="gini")
+                                featureSubsetStrategy="sqrt", maxDepth=max_depth, impurity="gini")
     return {"Logistic Regression": Pipeline(stages=[asm, lr]).fit(train),
             "Random Forest": Pipeline(stages=[asm, rf]).fit(train)}
 
@@ -106,6 +116,9 @@ def class_report(pred: DataFrame, label: str = "label", prediction: str = "predi
     """Per class precision / recall / F1 / support, plus accuracy, macro and
     weighted averages, from (label, prediction) counts."""
     pairs = pred.groupBy(label, prediction).agg(F.count(F.lit(1)).alias("_c"))
+    path = scratch_path(pred.sparkSession, "class-counts")  # classes squared: the input is read once
+    pairs.write.parquet(path)
+    pairs = pred.sparkSession.read.schema(pairs.schema).parquet(path)
     # every (label, prediction) count touches at most two classes
     per = (pairs.withColumn("cls", F.explode(F.array_distinct(F.array(F.col(label), F.col(prediction)))))
            .groupBy("cls").agg(

@@ -73,8 +73,6 @@ def _event_features(spark: SparkSession, d: str) -> DataFrame:
 def kmeans(spark: SparkSession, d: str) -> DataFrame:
     inc = incidents_from_events(spark, d)
     clusters = kmeans_clusters(inc, "incident_id", k=50, restarts=10, seed=42)
-    if clusters is None:
-        return spark.createDataFrame([], "location_cluster int, n bigint")
     return clusters.groupBy("location_cluster").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -6,16 +6,41 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from schemaweave.operators.catalog import METADATA_SCHEMA, metadata_descriptions
 from schemaweave.operators.clean import drop_index_artifacts
 
 
 # --- S1 --------------------------------------------------------------------------------
-def read_csv_robust(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """All-string CSV: '"' quote, '\\' escape, malformed lines dropped, optional row cap."""
-    df = (spark.read.option("header", True).option("quote", '"').option("escape", "\\")
-          .option("mode", "DROPMALFORMED").option("inferSchema", False).csv(path))
+RAW = "_raw_record"
+
+
+def ragged_reader(reader, schema: T.StructType, multi_line: bool = False):
+    """A CSV reader that keeps the raw text of rows whose cells do not fit ``schema``, in a column ``RAW``."""
+    wide = T.StructType([*schema.fields, T.StructField(RAW, T.StringType())])
+    return (reader.schema(wide).option("header", True).option("quote", '"').option("escape", "\\")
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAW).option("multiLine", multi_line)
+            .option("columnPruning", False))  # cells are counted, so every row is split whole
+
+
+def without_over_long(df: DataFrame) -> DataFrame:
+    """Drop rows with more cells than columns; short rows stay, padded with null."""
+    cols = [c for c in df.columns if c != RAW]
+    cells = F.regexp_count(F.regexp_replace(RAW, r'"(?:\\.|[^"\\])*"', ""), F.lit(",")) + 1
+    short = F.col(f"`{cols[-1]}`").isNull() & (cells < len(cols))
+    return df.where(F.col(RAW).isNull() | short).drop(RAW)
+
+
+def read_csv_robust(spark: SparkSession, path: str, limit: int | None = None, multi_line: bool = False) -> DataFrame:
+    """All-string CSV: '"' quote, '\\' escape; rows shorter than the header are
+    padded with null, only longer ones are skipped; optional row cap.
+
+    ``multi_line`` reads quoted line breaks (a file is then one task).  The rows
+    are the same whatever columns are selected or counted."""
+    names = spark.read.option("header", True).option("quote", '"').option("escape", "\\").option("multiLine", multi_line).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    df = without_over_long(ragged_reader(spark.read, schema, multi_line).csv(path))
     return df.limit(limit) if limit else df
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaweave.operators.catalog import profile
-from schemaweave.operators.keyed import first_per_key
+from schemaweave.operators.keyed import any_null, first_per_key
 from schemaweave.session import scratch_path
 
 
@@ -32,31 +32,44 @@ def profile_document(prof: DataFrame) -> DataFrame:
 
 
 # --- S7 --------------------------------------------------------------------------------
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def load_incidents(df: DataFrame, table_path: str, source: str,
                    key: tuple[str, ...] = ("incident_id", "dataset_source")) -> DataFrame:
     """Append a cleaned batch tagged with ``dataset_source``.
 
-    The key is enforced idempotently: first row per key inside the batch, and
-    an anti join against rows already in the table (same source partition
-    only), so a re-run inserts nothing.  Returns the rows written.
+    The key is enforced: rows with a null in it are rejected, the first row per
+    key inside the batch stays, and an anti join against rows already in the table
+    (same source partition only) leaves out the rest, so a re-run inserts nothing.
+    Returns the rows written; :func:`load_counts` compares them with the batch.
     """
     spark: SparkSession = df.sparkSession
-    batch = df.withColumn("dataset_source", F.lit(source))
+    batch = df.withColumn("dataset_source", F.lit(source)).where(~any_null(key))
     batch = first_per_key(batch, list(key), [c for c in batch.columns if c not in key][:1])
-    try:
+    if path_exists(spark, table_path):
         existing = spark.read.parquet(table_path).where(F.col("dataset_source") == source).select(*key)
         batch = batch.join(existing, list(key), "left_anti")
-    except Exception:  # noqa: BLE001 - the table does not exist yet
-        pass
     # stage in the shared checkpoint folder first: the batch plan reads the
     # table it appends to, so it must be materialised before the append
     staged_path = scratch_path(spark, "incidents-batch")
     batch.write.mode("overwrite").parquet(staged_path)
-    staged = spark.read.parquet(staged_path)
+    staged = spark.read.schema(batch.schema).parquet(staged_path)
     staged.write.mode("append").partitionBy("dataset_source").parquet(table_path)
     return staged
 
 
+def load_counts(batch: DataFrame, written: DataFrame, key: str = "incident_id") -> DataFrame:
+    """(n_rows, inserted, rejected, null_keys) of one load; rejected includes the null keys."""
+    zero = F.lit(0).cast("bigint")
+    n = batch.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(key).isNull()).alias("null_keys"), zero.alias("inserted"))
+    w = written.agg(zero.alias("n_rows"), zero.alias("null_keys"), F.count(F.lit(1)).alias("inserted"))
+    total = n.unionByName(w).agg(*[F.sum(c).alias(c) for c in ("n_rows", "inserted", "null_keys")])
+    return total.select("n_rows", "inserted", (F.col("n_rows") - F.col("inserted")).alias("rejected"), "null_keys")
+
+
 # --- S8 --------------------------------------------------------------------------------
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     """Persist an intermediate table and return it re-read (lineage cut)."""

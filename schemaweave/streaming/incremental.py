@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from schemaweave.operators.clean import CleanSpec, clean_source
 from schemaweave.session import checkpoint_root
+from schemaweave.sources.readers import ragged_reader, without_over_long
 from schemaweave.sources.sinks import load_incidents
 
 
@@ -23,11 +24,10 @@ def start_incremental_load(spark: SparkSession, source_dir: str, schema: T.Struc
                            table_path: str, source: str, fmt: str = "csv", checkpoint: str | None = None,
                            trigger_once: bool = False) -> StreamingQuery:
     """Start a stream: new files under ``source_dir`` -> canonical -> incidents table."""
-    reader = spark.readStream.schema(schema)
-    if fmt == "csv":
-        reader = reader.option("header", True).option("quote", '"').option("escape", "\\") \
-            .option("mode", "DROPMALFORMED")
-    stream = reader.format(fmt).load(source_dir)
+    if fmt == "csv":  # as read_csv_robust: short rows padded, over-long ones skipped
+        stream = without_over_long(ragged_reader(spark.readStream, schema).csv(source_dir))
+    else:
+        stream = spark.readStream.schema(schema).format(fmt).load(source_dir)
 
     def write_batch(batch: DataFrame, _epoch: int) -> None:
         load_incidents(clean_source(batch, spec), table_path, source)
