@@ -88,6 +88,14 @@ TYPE_DETECTORS = [
     ("sf_radio", ["Radio Code"]),
 ]
 
+# --- fixed values: header hints of the LA tables, in order; every condition of a line must hold ---
+LA_HINTS = [
+    ("la_crimes", [("any", ["DR_NO", "DATE OCC", "TIME OCC"]), ("any", ["Crm Cd Desc", "CrmCdDesc"])]),
+    ("la_arrests", [("all", ["Report ID", "Arrest Date"])]),
+    ("la_arrests", [("any", ["Charge Description"])]),
+]
+LA_FALLBACK = "la_crimes"
+
 # --- fixed values: column type keywords (substring rules, in order) ------------
 COLUMN_TYPE_RULES = [
     ("code_or_id", ["id", "code", "number", "no"]),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from schemaweave.constants import (BOOL_COLUMNS, CANONICAL_COLUMNS, CANONICAL_SCHEMA,
                                    DATETIME_COLUMNS, DEDUP_KEY_PRIORITY, FLOAT_COLUMNS,
-                                   INT_COLUMNS, TEXT_COLUMNS, TYPE_DETECTORS)
+                                   INT_COLUMNS, TEXT_COLUMNS, TYPE_DETECTORS, LA_FALLBACK, LA_HINTS)
 from schemaweave.functions.casting import (date_plus_hhmm, flag_from_text, parse_bool,
                                            parse_timestamp, to_float, to_int)
 from schemaweave.functions.temporal import fill_year
@@ -97,6 +97,16 @@ def detect_type(columns: Sequence[str], detectors=TYPE_DETECTORS) -> str:
     return "unknown"
 
 
+def detect_by_hints(columns: Sequence[str], hints=LA_HINTS, fallback: str = LA_FALLBACK) -> str:
+    """Type of a table known to belong to one family of types: the first line of
+    hints whose conditions (any / all of some headers) hold, else the fallback."""
+    cols = set(columns)
+    for name, conditions in hints:
+        if all((any if mode == "any" else all)(h in cols for h in headers) for mode, headers in conditions):
+            return name
+    return fallback
+
+
 def route_by_type(catalog: DataFrame, dataset_col: str = "dataset", column_col: str = "column",
                   detectors=TYPE_DETECTORS) -> DataFrame:
     """Over a column catalog: the first detector whose required set is present."""
@@ -220,9 +230,13 @@ def clean_source(df: DataFrame, spec: CleanSpec, null_keys: str = "keep",
 # --- P14 ------------------------------------------------------------------------------
 def process_dispatch(tables: Mapping[str, DataFrame], specs: Mapping[str, CleanSpec],
                      expected: Mapping[str, Sequence[str]], detectors=TYPE_DETECTORS,
-                     null_keys: str = "keep") -> tuple[dict[str, DataFrame], DataFrame]:
+                     null_keys: str = "keep", families: Mapping[str, tuple] | None = None
+                     ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Validate every table, then clean the valid ones with their type's spec.
 
+    ``families`` names tables whose family is known, as {table: (hints, fallback)};
+    they are routed by header hints instead of required columns.
+
     Returns ({name: canonical DataFrame tagged with ``dataset_source``}, the
     validation table).  A table of unknown type, failing validation, or
     without a spec is left out, as the reference skips it; one lazy plan per
@@ -230,14 +244,19 @@ def process_dispatch(tables: Mapping[str, DataFrame], specs: Mapping[str, CleanS
     """
     from schemaweave.operators.catalog import validate
 
+    def type_of(name: str, df: DataFrame) -> str:
+        if families and name in families:
+            return detect_by_hints(df.columns, *families[name])
+        return detect_type(df.columns, detectors)
+
     results, cleaned = None, {}
     for name, df in tables.items():
-        dtype = detect_type(df.columns, detectors)
+        dtype = type_of(name, df)
         v = validate(df, name, expected.get(dtype, []), dtype)
         results = v if results is None else results.unionByName(v)
     valid = {r["dataset"] for r in results.where("is_valid").select("dataset").collect()} if results else set()
     for name, df in tables.items():
-        dtype = detect_type(df.columns, detectors)
+        dtype = type_of(name, df)
         if name in valid and dtype in specs:
             cleaned[name] = clean_source(df, specs[dtype], null_keys).withColumn("dataset_source", F.lit(dtype))
     return cleaned, results

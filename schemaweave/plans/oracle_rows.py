@@ -152,6 +152,15 @@ def rows_sql() -> dict[str, str]:
         "union_incidents": f"""SELECT {ORDERS_CANON}, 'orders' AS dataset_source FROM orders
             LEFT JOIN customer ON o_custkey = c_custkey
             UNION ALL SELECT {EVENTS_CANON}, 'events' AS dataset_source FROM events""",
+        "load_twice": f"""WITH u AS (SELECT incident_id, 'orders' AS dataset_source FROM (SELECT {ORDERS_CANON} FROM orders
+                LEFT JOIN customer ON o_custkey = c_custkey)
+            UNION ALL SELECT incident_id, 'events' FROM (SELECT {EVENTS_CANON} FROM events)),
+            n AS (SELECT dataset_source, count(*) + count_if(incident_id LIKE '%3') AS n_rows,
+                count_if(incident_id NOT LIKE '%0') AS kept, count_if(incident_id LIKE '%0') AS null_keys FROM u GROUP BY dataset_source)
+            SELECT dataset_source, CAST(load AS BIGINT) AS load, CAST(n_rows AS BIGINT) AS n_rows,
+                CAST(CASE load WHEN 1 THEN kept ELSE 0 END AS BIGINT) AS inserted,
+                CAST(n_rows - CASE load WHEN 1 THEN kept ELSE 0 END AS BIGINT) AS rejected,
+                CAST(null_keys AS BIGINT) AS null_keys, CAST(kept AS BIGINT) AS table_rows FROM n, (VALUES (1), (2)) l(load)""",
         "dedup_first": """SELECT event_id, ts, user_id, event_type, value FROM events
             QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1""",
         "profile_nulls": profile_sql(),

@@ -15,7 +15,9 @@ from schemaweave.operators.clean import (CleanSpec, clean_source, detect_type, d
 from schemaweave.operators.features import create_features, frequency_encode, group_count, label_encode, standard_scale
 from schemaweave.operators.keyed import attach_group_count, first_per_key
 from schemaweave.plans.matching import PART_RULES, raw_header, table
-from schemaweave.sources.sinks import union_sources
+from schemaweave.session import scratch_path
+from schemaweave.sources.readers import read_table
+from schemaweave.sources.sinks import load_counts, load_incidents, union_sources
 
 # --- fixed values: how the driver tables map onto the canonical incident schema ---
 ORDERS_SPEC = CleanSpec(
@@ -71,6 +73,24 @@ def union_incidents(spark: SparkSession, d: str) -> DataFrame:
     return union_sources({"orders": canonical_orders(spark, d), "events": canonical_events(spark, d)})
 
 
+def load_twice(spark: SparkSession, d: str) -> DataFrame:
+    """S7 + S9: canonical orders and events, some without an id and some repeated,
+    loaded twice into one table; per source and load the counts, and the rows that a
+    partition-pruned read finds afterwards."""
+    path = scratch_path(spark, "incidents")
+    out = None
+    for source, frame in (("orders", canonical_orders(spark, d)), ("events", canonical_events(spark, d))):
+        batch = frame.withColumn("incident_id", F.when(~F.col("incident_id").endswith("0"), F.col("incident_id")))
+        batch = batch.unionByName(batch.where(F.col("incident_id").endswith("3")))
+        for load in (1, 2):
+            counts = load_counts(batch, load_incidents(batch, path, source))
+            counts = counts.select(F.lit(source).alias("dataset_source"), F.lit(load).cast("bigint").alias("load"), "*")
+            out = counts if out is None else out.unionByName(counts)
+    found = [read_table(spark, path, source=s).groupBy("dataset_source").agg(F.count(F.lit(1)).alias("table_rows")) for s in ("orders", "events")]
+    return out.join(found[0].unionByName(found[1]), "dataset_source", "left").withColumn(
+        "table_rows", F.coalesce("table_rows", F.lit(0)).cast("bigint"))
+
+
 def dedup_first(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
     return first_per_key(e, ["user_id", "event_type"], ["ts", "event_id"])

@@ -124,3 +124,10 @@ def test_checkpoint_folder_is_required_on_a_cluster():
 
     with pytest.raises(ValueError):
         checkpoint_root(Session())
+
+
+def test_la_tables_are_routed_by_hints():
+    from schemaweave.operators.clean import detect_by_hints
+    assert detect_by_hints(["TIME OCC", "Crm Cd Desc", "x"]) == "la_crimes"
+    assert detect_by_hints(["Charge Description"]) == detect_by_hints(["Report ID", "Arrest Date"]) == "la_arrests"
+    assert detect_by_hints(["DR Number", "Date Occurred"]) == "la_crimes" and detect_by_hints(["x"], fallback="unknown") == "unknown"
