@@ -364,13 +364,9 @@ SELECT *, {e} AS expanded_column_name, {tr} AS abbreviation_rules_applied FROM p
 def catalog_pairs_sql() -> str:
     from schemaweave.plans.oracle import jaccard
     return f"""WITH cat AS ({schema_catalog_sql()}),
-ent AS (SELECT dataset_key AS city, original_column_name AS column_original, expanded_column_name AS column_final,
-    {tokens('expanded_column_name')} AS tokens FROM cat),
-tok AS (SELECT *, unnest(tokens) AS token FROM ent),
+ent AS (SELECT dataset_key AS city, expanded_column_name AS column_final FROM cat),
 pairs AS (SELECT l.city AS left_city, r.city AS right_city, l.column_final AS left_column_final,
-    r.column_final AS right_column_final
-    FROM tok l JOIN tok r ON l.token = r.token AND l.city < r.city
-    WHERE l.token = list_min(list_intersect(l.tokens, r.tokens)))
+    r.column_final AS right_column_final FROM ent l JOIN ent r ON l.city < r.city)
 SELECT left_city, right_city, left_column_final, right_column_final,
     {jaccard(tokens('left_column_final'), tokens('right_column_final'))} AS lexical_jaccard,
     CASE WHEN left_column_final = right_column_final THEN 1 ELSE 0 END AS exact_match FROM pairs"""

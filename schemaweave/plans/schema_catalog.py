@@ -46,7 +46,7 @@ def _schema_catalog(spark: SparkSession, d: str, max_values: int) -> DataFrame:
 
 
 def catalog_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Token-blocked column pairs across the profiled tables, with Jaccard and
+    """All column pairs across the profiled tables, with Jaccard and
     exact-match scores (context = the column's sample values)."""
     cat = schema_catalog(spark, d).select(
         F.col("dataset_key").alias("city"), F.col("dataset_key").alias("ds_order"),
