@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from schemaweave.functions.casting import to_float, to_int
 from schemaweave.operators.catalog import METADATA_SCHEMA, attach_metadata, metadata_descriptions
-from schemaweave.operators.features import create_features
+from schemaweave.operators.features import NUMERIC, apply_standard_scaler, create_features, fit_standard_scaler
 from schemaweave.operators.modeling import (class_report, feature_importance_topk, kmeans_clusters, model_summary,
                                             predictions, stratified_split, train_models)
 from schemaweave.plans.matching import table
@@ -67,7 +67,8 @@ def registry(spark: SparkSession, d: str) -> DataFrame:
 
 # --- ML ------------------------------------------------------------------------------------
 def _event_features(spark: SparkSession, d: str) -> DataFrame:
-    return create_features(incidents_from_events(spark, d))
+    """Unscaled: the scaler is fitted on the training rows."""
+    return create_features(incidents_from_events(spark, d), scale=False)
 
 
 def kmeans(spark: SparkSession, d: str) -> DataFrame:
@@ -76,8 +77,8 @@ def kmeans(spark: SparkSession, d: str) -> DataFrame:
     return clusters.groupBy("location_cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
-FEATURES = ["crime_category", "crime_subtype", "location_type", "district", "domestic_flag",
-            "latitude", "longitude", "year", "hour", "day_of_week"]
+# without latitude and location_type: the label is derived from the same value
+FEATURES = ["crime_category", "crime_subtype", "district", "domestic_flag", "longitude", "year", "hour", "day_of_week"]
 
 
 def _train_test(spark: SparkSession, d: str):
@@ -88,7 +89,9 @@ def _train_test(spark: SparkSession, d: str):
     f = f.withColumn("arrest_made", F.col("arrest_made").cast("int"))
     checkpoint_root(spark)
     split = stratified_split(f, "arrest_made", "incident_id", 0.2, 42).checkpoint(eager=True).cache()
-    return split.where(~F.col("is_test")), split.where(F.col("is_test"))
+    train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
+    scaler = fit_standard_scaler(train, [c for c in NUMERIC if c in train.columns])
+    return apply_standard_scaler(train, scaler), apply_standard_scaler(test, scaler)
 
 
 _FITTED: dict = {}
