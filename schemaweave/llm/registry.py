@@ -31,6 +31,7 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op10_brown_lm": brown_lm.op10_brown_lm,
 }.items()}
 ORACLES: dict[str, str] = {
+    "op2_cover_tree": cover_tree.ORACLE,
     "op3_tool_calls": tool_calls.ORACLE,
     "op6_bit_sliced_topk": bit_sliced.ORACLE,
 }
