@@ -200,9 +200,9 @@ def choose_landmarks(toxic: list[str], common: list[str], n: int, near: float =
 
 
 def variants(string: str) -> list[str]:
-    """The string with one letter inserted at either side of its middle letter."""
+    """The string with one letter inserted at either side of its middle letter, cut to a window."""
     at = len(string) // 2
-    return [string[:at] + "x" + string[at:], string[:at + 1] + "e" + string[at + 1:]]
+    return [(string[:at] + "x" + string[at:])[:WINDOW], (string[:at + 1] + "e" + string[at + 1:])[:WINDOW]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int = 8000, landmarks: int = 96,

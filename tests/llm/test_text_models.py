@@ -146,6 +146,8 @@ def test_strings_of_a_text():
     got = toxicity.tokens_of("You i d i o t! an I.D.I.O.T and Élan x")
     assert "idiot" in {toxicity.plain(t) for t in got[:9]} and toxicity.plain("i d i o t") in {toxicity.plain(t) for t in got}
     assert toxicity.plain("élan") == "elan"
+    longest = "abcdefghijklmnop"
+    assert len(longest) == toxicity.WINDOW and (toxicity.linear(toxicity.variants(longest), toxicity.landmark_matrix([longest])) > 0.5).all()
     w = toxicity.windows("x" * 50)
     assert all(len(p) <= toxicity.WINDOW for p in w) and len(w[-1]) >= toxicity.WINDOW // 2
 
