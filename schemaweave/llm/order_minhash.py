@@ -12,9 +12,12 @@ are linked.  Such an alignment stays within (p + q) / 9 positions of the
 diagonal, so it is found inside that band, exactly.
 
 Equal texts are one representative from the start.  In each sketch bucket every
-representative is first aligned with the bucket's smallest one; buckets whose
-members are not all in one class after that align the members of different
-classes.  Links are never collected; classes come from connected components.
+representative is first aligned with the bucket's smallest one.  Buckets that then
+still hold several classes are compared in blocks: the members outside the bucket's
+largest class with all members of other classes.  Before any text is fetched, the
+shingles' numbers by hash slot bound the common ones from above and rule pairs out
+exactly; only the pairs that remain leave a block.  Links are never collected;
+classes come from connected components.
 
 A null text is alone in its class; equal texts without words share one.  Repeated
 rows (same doc_id) are one document with the smallest of its texts.  A null
@@ -38,7 +41,7 @@ from schemaweave.llm.components import connected_components
 _WORD = re.compile(r"[^\W_]+")
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: (sketches, shingles in each, longest text in shingles that gets them; 0: every text)
-SKETCHES = ((32, 6, 0), (16, 2, 48))
+SKETCHES = ((32, 6, 0), (40, 4, 48))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -127,39 +130,125 @@ def aligned(p: np.ndarray, q: np.ndarray, least: float = 0.8) -> float:
     return s if s >= least - 1e-12 else 0.0
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+SLOTS = 512
+
+
+def signature(h: np.ndarray) -> bytes:
+    """Number of labelled shingles by hash slot; empty (bounds nothing) if a number passes 254."""
+    n = np.bincount((mix(h) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    return n.astype(np.uint8).tobytes() if n.max() < 255 else b""
+
+
+def slots(sigs: list[bytes]) -> np.ndarray:
+    """Signatures as rows; -1 in the first slot marks one that bounds nothing."""
+    return np.stack([np.frombuffer(x, np.uint8).astype(np.int16) if x else np.full(SLOTS, -1, np.int16) for x in sigs])
+
+
+def possible(sig: bytes, rows: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of ``slots`` may belong to texts similar to the one of ``sig``."""
+    if not sig:
+        return np.ones(len(rows), dtype=bool)
+    x = np.frombuffer(sig, np.uint8).astype(np.int16)
+    common = np.minimum(rows, x).sum(1, dtype=np.int64)
+    total = rows.sum(1, dtype=np.int64) + x.sum(dtype=np.int64)
+    return (rows[:, 0] < 0) | (common >= least * (total - common) - 1e-9)
+
+
+def _signatures(texts: DataFrame) -> DataFrame:
+    """(id, sig) of the candidates' texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHash()
+        for batch, part in chunks(batches, max_chars=1_000_000):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([signature(shingles(t, words)) for t in part], pa.binary())],
+                                             names=["id", "sig"])
+
+    return texts.mapInArrow(run, "id long, sig binary")
+
+
+def _possible(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+    """The rows (a, b) of ``pairs`` that their signatures do not rule out."""
+    two = (pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
+           .join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sa, sb = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
+            mask = pa.array([possible(x, slots([y]), least)[0] for x, y in zip(sa, sb)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+    return two.mapInArrow(run, "a long, b long")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     """The rows (a, b) of ``pairs`` whose texts are similar enough."""
+    pairs = materialise(_possible(pairs, sigs, least), "omh-possible")
     two = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, kept = WordHash(), {}
+
+        def of(doc: int, cell: pa.Scalar) -> np.ndarray:
+            if doc not in kept:
+                if len(kept) > 300:
+                    kept.clear()
+                kept[doc] = shingles(cell.as_py(), words)
+            return kept[doc]
+
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
-            for i in range(batch.num_rows):
-                for col, doc in (("text_a", a[i]), ("text_b", b[i])):
-                    if doc not in kept:
-                        if len(kept) > 200:
-                            kept.clear()
-                        kept[doc] = shingles(batch.column(col)[i].as_py(), words)
-                if a[i] not in kept:
-                    kept[a[i]] = shingles(batch.column("text_a")[i].as_py(), words)
-                if aligned(kept[a[i]], kept[b[i]], least):
-                    keep.append(i)
+            keep = [i for i in range(batch.num_rows)
+                    if aligned(of(a[i], batch.column("text_a")[i]), of(b[i], batch.column("text_b")[i]), least)]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())],
                                              names=["a", "b"])
 
     return two.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, sketch_sets=SKETCHES, small: int = 64) -> DataFrame:
+def _across(held: DataFrame, sigs: DataFrame, least: float, block: int) -> DataFrame:
+    """(a, b): pairs of different classes within a bucket that may be similar.
+
+    ``held`` has key, id, n and the class c.  Buckets of two were settled with
+    their smallest member, and buckets of the same members are compared once.
+    Members are dealt into blocks, and a block of those outside the largest class
+    meets each block of the bucket."""
+    per = held.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"))
+    keys = (per.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("m").alias("size"), F.bit_xor("x").alias("x"),
+                                   F.max(F.struct("m", (-F.col("c")).alias("low"))).alias("most"))
+            .where("classes > 1 and size > 2").groupBy("x", "size")
+            .agg(F.min(F.struct("key", (-F.col("most.low")).alias("main"), (F.col("size") - F.col("most.m")).alias("out"))).alias("k"))
+            .select(F.col("k.key").alias("key"), "size", F.col("k.main").alias("main"), F.col("k.out").alias("out")))
+    rows = held.join(keys, "key").join(sigs, "id")
+    rows = materialise(rows, "omh-open")
+    deal = lambda df, n, name: (df.groupBy("key", F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / block)).alias("chunk"))
+                                .agg(F.collect_list(F.struct("id", "n", "c", "sig")).alias(name)).drop("chunk"))
+    work = deal(rows.where("c <> main"), "out", "o").join(deal(rows, "size", "m"), "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                o, m = (batch.column(c)[i].values for c in "om")
+                ids, n, c = (m.field(x).to_numpy() for x in ("id", "n", "c"))
+                rows = slots(m.field("sig").to_pylist())
+                left, right = [], []
+                for one, size, cls, sig in zip(*(o.field(x).to_pylist() for x in ("id", "n", "c", "sig"))):
+                    ok = np.nonzero((c != cls) & (np.minimum(n, size) >= least * np.maximum(n, size)))[0]
+                    ok = ok[possible(sig, rows[ok], least)]
+                    left += [min(one, x) for x in ids[ok].tolist()]
+                    right += [max(one, x) for x in ids[ok].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return work.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, sketch_sets=SKETCHES, block: int = 256) -> DataFrame:
     """(doc_id, class_id, kept): class_id is the smallest doc_id of the class, kept marks that document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     # equal texts: one representative, the smallest id
     digest = F.when(F.col("text").isNull(), F.concat(F.lit("null "), F.col("doc_id").cast("string"))).otherwise(F.sha2(F.col("text"), 256))
     rows = materialise(docs.select("doc_id", digest.alias("digest")), "omh-digest").groupBy("doc_id").agg(F.min("digest").alias("digest"))
-    same = rows.groupBy("digest").agg(F.min("doc_id").alias("id"))
+    same = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("id")), "omh-same")  # so that the join can split a hot digest
     member = materialise(rows.join(same, "digest").select("doc_id", "id", "digest"), "omh-member")
     first = member.where("doc_id = id")
     changed = docs.count() != rows.count()
@@ -188,27 +277,17 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, sketch_sets=SKETCHES, s
     star = (keys.join(centre.select("key", F.col("c.id").alias("a"), F.col("c.n").alias("m")), "key")
             .where((F.col("a") < F.col("id")) & longer).select("a", F.col("id").alias("b")).distinct())
     texts = materialise(reps.select("id", "text").join(keys.select("id").distinct(), "id", "left_semi"), "omh-texts")
+    sigs = materialise(_signatures(texts), "omh-signatures")
     done = materialise(star, "omh-star")
-    links = materialise(_verify(done, texts, least), "omh-links")
+    links = materialise(_verify(done, texts, sigs, least), "omh-links")
     cls = connected_components(links)
     while True:  # buckets that still hold several classes
         held = materialise(keys.join(cls, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")), "omh-held")
-        several = (held.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size"))
-                   .where("low < high").select("key", "size"))
-        held = materialise(held.join(several, "key"), "omh-open")
-        left = held.select("key", "size", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("m"))
-        # all members of a small bucket, of a large one each class's smallest, against the other classes' members
-        speakers = left.where((F.col("size") <= small) | (F.col("a") == F.col("ca"))).drop("size")
-        more = (held.join(speakers, "key").where((F.col("c") != F.col("ca")) & longer)
-                .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-                .join(done, ["a", "b"], "left_anti"))
-        more = materialise(more, "omh-more")
-        if not more.take(1):
-            break
-        found = materialise(_verify(more, texts, least), "omh-links")
-        done = done.union(more)
+        more = materialise(_across(held, sigs, least, block).join(done, ["a", "b"], "left_anti"), "omh-more")
+        found = materialise(_verify(more, texts, sigs, least), "omh-links")
         if not found.take(1):
             break
+        done = done.union(more)
         links = links.union(found)
         cls = connected_components(links)
     out = member.join(cls.select("id", "component"), "id", "left").withColumn("class_id", F.coalesce("component", "id"))

@@ -124,8 +124,8 @@ def texts(seed):
     return out
 
 
-@pytest.mark.parametrize("seed,small", [(0, 64), (1, 2)])
-def test_near_duplicate_classes_equal_brute_force(spark, seed, small):
+@pytest.mark.parametrize("seed,block", [(0, 256), (1, 2)])
+def test_near_duplicate_classes_equal_brute_force(spark, seed, block):
     rows = list(enumerate(texts(seed)))
     h = order_minhash.WordHash()
     s = {i: order_minhash.shingles(t or "", h) for i, t in rows}
@@ -133,11 +133,21 @@ def test_near_duplicate_classes_equal_brute_force(spark, seed, small):
              if (rows[a][1] is not None and rows[a][1] == rows[b][1]) or order_minhash.aligned(s[a], s[b])]
     want = groups(range(len(rows)), links)
     df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], DOC)
-    out = order_minhash.near_duplicates(df, small=small).collect()
+    out = order_minhash.near_duplicates(df, block=block).collect()
     assert {r.doc_id: r.class_id for r in out} == want
     assert all(r.kept == (want[r.doc_id] == r.doc_id) for r in out) and len(out) == len(rows)
 
 
+def test_signatures_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        p = rng.integers(0, 2 ** 63, int(rng.integers(1, 900)), dtype=np.uint64)
+        q = np.r_[p[rng.random(len(p)) < rng.uniform(0.6, 1)], rng.integers(0, 2 ** 63, int(rng.integers(0, 1 + len(p) // 4)), dtype=np.uint64)]
+        if len(q) and order_minhash.aligned(p, q):
+            assert order_minhash.possible(order_minhash.signature(p), order_minhash.slots([order_minhash.signature(q)]), 0.8)[0]
+    assert order_minhash.possible(b"", order_minhash.slots([b"", b"\x01" * order_minhash.SLOTS]), 0.8).all()
+
+
 def test_alignment_equals_the_longest_common_subsequence():
     rng = np.random.default_rng(7)
     for _ in range(200):
