@@ -11,8 +11,8 @@
 Both models learn from all labelled documents that reach their stage.  Every
 stage but the last returns the columns of ``documents``; each is written as
 Parquet and read again as the next one's input.  A null doc_id cannot be
-labelled or matched; such rows pass the filters on their text and are left out
-by near_dedup.  Empty tables pass through as empty tables.
+labelled or matched; such rows pass the filters on their text and stay in
+near_dedup.  Empty tables pass through as empty tables.
 """
 
 from __future__ import annotations
@@ -50,10 +50,10 @@ def _kept(docs: DataFrame, scored: DataFrame, condition) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    stay = order_minhash.near_duplicates(docs).where("kept").select("doc_id")
+    goes = order_minhash.near_duplicates(docs).where("not kept").select("doc_id")  # the smaller side
     # rows that repeat a doc_id are one document: its smallest text stays
-    rows = docs.join(stay, "doc_id", "left_semi")
-    twice = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    rows = docs.join(goes, "doc_id", "left_anti")
+    twice = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     twice = materialise(twice, "dedup-repeated")
     if not twice.take(1):
         return rows
