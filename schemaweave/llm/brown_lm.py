@@ -1,11 +1,16 @@
 """Brown class-based bigram model: exchange clustering and smoothed scores.
 
 Tokens are the words of the ASCII-lower-cased text and one end per document.
-The corpus is counted whole.  Clustering works on units: each of the most
-frequent words is a unit, every other word (seen or not) belongs to the unit of
-its last three bytes, or to one common unit.  Exchange moves one unit after the other to the
+The corpus is counted whole.  Clustering starts from units: each of the most
+frequent words is a unit, every other word belongs to the unit of its last three
+bytes, or to one common unit.  Exchange moves one unit after the other to the
 class that gains most log-likelihood, on the bigrams of units, a table bounded by
-parameters.  A token's probability is
+parameters, until none moves.  Then every other word of the vocabulary is moved by
+its own bigrams: its counts before and after each class are summed in Spark over
+the whole corpus, the words move at once, and the class bigrams are counted again,
+until no word has a better class.  A round that lowers the likelihood is undone and
+tried with half of the words.  Only words that training never saw stay in their
+unit's class.  A token's probability is
 P(class | previous class) * P(word | class), with the transition interpolated
 with the class's share and the emission (c + delta) / (T + delta * (V + 1)) over
 the T tokens and V words of the class; a document starts after an end.
@@ -20,7 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -126,7 +131,50 @@ def best_move(n: np.ndarray, own: int, out: np.ndarray, into: np.ndarray, self_n
     gain -= xlogx(left + out.sum() + self_n) - xlogx(left)
     gain -= xlogx(right + into.sum() + self_n) - xlogx(right)
     best = int(np.argmax(gain[1:])) + 1  # class 0 is the end's
-    return (best, float(gain[best] - gain[own])) if gain[best] > gain[own] + 1e-9 else (own, 0.0)
+    least = max(1e-9, 1e-12 * float(n.sum()))  # below that a gain is rounding
+    return (best, float(gain[best] - gain[own])) if gain[best] > gain[own] + least else (own, 0.0)
+
+
+def best_moves(n: np.ndarray, own: np.ndarray, word: np.ndarray, at: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``best_move`` for many words, each against the same class bigrams.
+
+    own: the words' classes; (word, at, c): their counts, at = next class,
+    k + previous class, or 2k for bigrams of the word with itself."""
+    k, w = len(n), len(own)
+    dense = np.bincount(word * (2 * k + 1) + at, weights=c, minlength=w * (2 * k + 1)).reshape(w, 2 * k + 1)
+    self_n, all_w = dense[:, 2 * k], np.arange(w)
+    gain = np.zeros((w, k))
+    for side, other, table in ((dense[:, :k], dense[:, k:2 * k], n.T), (dense[:, k:2 * k], dense[:, :k], n)):
+        u, j = np.nonzero(side)  # table[j]: the bigrams of all classes with class j on this side
+        for s in range(0, len(u), 50_000):
+            us, js = u[s:s + 50_000], j[s:s + 50_000]
+            d, e, at_own = side[us, js], np.arange(len(us)), own[us]
+            m = table[js].astype(float)
+            m[e, at_own] -= d
+            same = js == at_own
+            m[same] -= other[us[same]]
+            m[e[same], at_own[same]] -= self_n[us[same]]
+            f = xlogx(m + d[:, None]) - xlogx(m)
+            f[e, js] = 0.0
+            first = np.nonzero(np.r_[True, us[1:] != us[:-1]])[0]
+            np.add.at(gain, us[first], np.add.reduceat(f, first, axis=0))
+        total = side.sum(1) + self_n
+        sums = np.repeat(table.sum(0)[None, :].astype(float), w, 0)
+        sums[all_w, own] -= total
+        gain -= xlogx(sums + total[:, None]) - xlogx(sums)
+    both = dense[:, :k] + dense[:, k:2 * k] + self_n[:, None]
+    d = np.repeat(np.diag(n)[None, :].astype(float), w, 0)
+    d[all_w, own] -= both[all_w, own]
+    gain += xlogx(d + both) - xlogx(d)
+    best = np.argmax(gain[:, 1:], 1) + 1
+    up = gain[all_w, best] - gain[all_w, own]
+    stay = up <= max(1e-9, 1e-12 * float(n.sum()))
+    return np.where(stay, own, best), np.where(stay, 0.0, up)
+
+
+def likelihood(n: np.ndarray) -> float:
+    """The part of the log-likelihood that depends on the classes."""
+    return float(xlogx(n).sum() - xlogx(n.sum(1)).sum() - xlogx(n.sum(0)).sum())
 
 
 def class_bigrams(rows: DataFrame, cls: np.ndarray, k: int) -> np.ndarray:
@@ -147,13 +195,148 @@ def class_bigrams(rows: DataFrame, cls: np.ndarray, k: int) -> np.ndarray:
     return out.reshape(k, k)
 
 
-def exchange(bigrams: DataFrame, units: int, k: int, rounds: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+def contexts(train: DataFrame, look, cls_of: np.ndarray, own: int, k: int, held: int = 300_000) -> DataFrame:
+    """(word, other, at, n): bigrams of the words that are no units of their own.
+
+    With a frequent word: at = next class, or k + previous class; with another
+    such word: other, at = 0 (word before other); with itself: at = 2k."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, endings, other = look.value
+        local: dict[bytes, int] = {}
+        singles: list[np.ndarray] = []
+        doubles: list[np.ndarray] = []
+        wide = 2 * k + 1
+
+        def out() -> Iterator[pa.RecordBatch]:
+            names = np.array(list(local), dtype=object)
+            one, m = np.unique(np.concatenate(singles or [np.zeros(0, np.int64)]), return_counts=True)
+            two, r = np.unique(np.concatenate(doubles or [np.zeros(0, np.int64)]), return_counts=True)
+            word = np.r_[one // wide, two >> 32]
+            second = np.r_[np.full(len(one), -1), two & 0xFFFFFFFF]
+            at, n = np.r_[one % wide, np.zeros(len(two), np.int64)], np.r_[m, r]
+            for s in range(0, len(word), 100_000):
+                p = slice(s, s + 100_000)
+                others = [names[x] if x >= 0 else None for x in second[p].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(names[word[p]].tolist(), pa.binary()), pa.array(others, pa.binary()),
+                                                  pa.array(at[p].astype(np.int32)), pa.array(n[p].astype(np.int64))], names=["word", "other", "at", "n"])
+            local.clear()
+            singles.clear()
+            doubles.clear()
+
+        index, size = Index(order, endings, other), 0
+        for _, texts in chunks(batches, max_chars=2_000_000):
+            words = [words_of(t) for t in texts]
+            tokens, starts = token_stream(index, words, 0)
+            rest = tokens >= own
+            ids = np.full(len(tokens), -1, dtype=np.int64)
+            flags = rest.tolist()
+            at = 0
+            spell: list[bytes] = []
+            for w in words:
+                spell.extend(compress(w, flags[at:at + len(w)]))
+                at += len(w) + 1
+            ids[rest] = [local.setdefault(w, len(local)) for w in spell]
+            prev = before(np.arange(len(tokens)), starts, -1)
+            b = np.nonzero(prev >= 0)[0]
+            a = prev[b]
+            begins = starts[rest[starts]]  # a document starts after an end
+            singles.append(ids[begins] * wide + k + cls_of[0])
+            x, y = rest[a], rest[b]
+            singles.append(ids[a[x & ~y]] * wide + cls_of[tokens[b[x & ~y]]])
+            singles.append(ids[b[y & ~x]] * wide + k + cls_of[tokens[a[y & ~x]]])
+            p, q = ids[a[x & y]], ids[b[x & y]]
+            singles.append(p[p == q] * wide + 2 * k)
+            doubles.append((p[p != q] << 32) + q[p != q])
+            size += len(tokens)
+            if len(local) > held or size > 8_000_000:
+                yield from out()
+                size = 0
+        yield from out()
+
+    rows = train.select("text").mapInArrow(count, "word binary, other binary, at int, n long")
+    return rows.groupBy("word", "other", "at").agg(F.sum("n").alias("n"))
+
+
+def refine(near: DataFrame, words: DataFrame, fixed: np.ndarray, k: int) -> tuple[DataFrame, np.ndarray]:
+    """Classes (word, cls) of the words after their own exchange, and the class bigrams.
+
+    near: see ``contexts``; words: (word, cls) to start from; fixed: the class
+    bigrams of the other words with one another."""
+    known = near.where("other is null").select("word", "at", "n")
+    pairs = near.where("other is not null").select(F.col("word").alias("a"), F.col("other").alias("b"), "n")
+
+    def gathered(words: DataFrame) -> DataFrame:
+        c = words.select(F.col("word").alias("o"), F.col("cls").alias("oc"))
+        after = pairs.join(c, F.col("b") == F.col("o")).select(F.col("a").alias("word"), F.col("oc").alias("at"), "n")
+        ahead = pairs.join(c, F.col("a") == F.col("o")).select(F.col("b").alias("word"), (F.col("oc") + k).alias("at"), "n")
+        # the flag tells bigrams that two of these words share from those with a frequent one
+        rows = known.withColumn("own", F.lit(True)).union(after.withColumn("own", F.lit(False))).union(ahead.withColumn("own", F.lit(False)))
+        rows = rows.groupBy("word", "own", "at").agg(F.sum("n").alias("n"))
+        rows = rows.groupBy("word").agg(F.collect_list(F.struct("own", "at", "n")).alias("r"))
+        rows = words.join(rows, "word").select("word", "cls", F.col("r.own").alias("own"), F.col("r.at").alias("at"), F.col("r.n").alias("n"))
+        return materialise(rows, "brown-contexts")
+
+    def cells(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        flat = [b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("own", "at", "n")]
+        row = np.repeat(np.arange(b.num_rows), b.column("at").value_lengths().to_numpy())
+        return b.column("cls").to_numpy().astype(np.int64), row, flat[0].astype(bool), flat[1].astype(np.int64), flat[2]
+
+    def bigrams_of(rows: DataFrame) -> np.ndarray:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(k * k)
+            for b in batches:
+                cls, row, own, at, n = cells(b)
+                c = cls[row]
+                code = np.where(at < k, c * k + at, np.where(at < 2 * k, (at - k) * k + c, c * k + c))
+                use = own | (at < k)  # a bigram of two of these words counts at its first
+                total += np.bincount(code[use], weights=n[use], minlength=k * k)
+            at = np.nonzero(total)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["at", "n"])
+
+        out = fixed.reshape(-1).copy()
+        for r in rows.mapInArrow(add, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            out[r["at"]] += r["n"]
+        return out.reshape(k, k)
+
+    def moved(rows: DataFrame, n: np.ndarray) -> DataFrame:
+        def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for s in range(0, b.num_rows, 4000):
+                    part = b.slice(s, 4000)
+                    cls, row, _, at, c = cells(part)
+                    to, _ = best_moves(n, cls, row, at, c)
+                    yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(cls.astype(np.int32)), pa.array(to.astype(np.int32))], names=["word", "cls", "to"])
+
+        return materialise(rows.mapInArrow(move, "word binary, cls int, to int"), "brown-moves")
+
+    at = gathered(words)
+    n = bigrams_of(at)
+    share, turn = 1, 0
+    want = moved(at, n)
+    while want.where("cls <> to").take(1):
+        turn += 1
+        chosen = F.pmod(F.xxhash64(F.lit(turn), "word"), F.lit(share)) == 0
+        tried = want.select("word", F.when(chosen, F.col("to")).otherwise(F.col("cls")).alias("cls"))
+        rows = gathered(tried)
+        m = bigrams_of(rows)
+        if likelihood(m) > likelihood(n):
+            words, n, at = tried, m, rows
+            want = moved(at, n)
+        elif share < 64:
+            share *= 2
+        else:
+            break  # not even a few of the moves together gain anything
+    return words, n
+
+
+def exchange(bigrams: DataFrame, units: int, k: int, rounds: int | None, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the units and the class bigram counts.
 
     ``bigrams`` has one row (a, b, n) per pair of units that occurs, at most the
     square of ``units`` whatever the corpus.  The end stays alone in class 0;
     the other units move one after the other, in order of their number, until a
-    round moves none."""
+    round moves none (or for ``rounds`` rounds)."""
     both = (bigrams.groupBy(F.col("a").alias("unit")).agg(F.collect_list(F.struct("b", "n")).alias("o"))
             .join(bigrams.groupBy(F.col("b").alias("unit")).agg(F.collect_list(F.struct("a", "n")).alias("i")), "unit", "full")
             .select("unit", F.col("o.b").alias("outs"), F.col("o.n").alias("out_n"),
@@ -171,7 +354,7 @@ def exchange(bigrams: DataFrame, units: int, k: int, rounds: int, end: int) -> t
                 n += np.bincount(cls[u] * k + cls[o], weights=on, minlength=k * k).reshape(k, k)
                 if u != end:
                     own[u] = (o[o != u], on[o != u], i[i != u], in_[i != u], float(on[o == u].sum()))
-        for _ in range(rounds):
+        for _ in range(rounds) if rounds else count():
             moved = 0
             for u in sorted(own):
                 o, on, i, in_, self_n = own[u]
@@ -196,7 +379,7 @@ def exchange(bigrams: DataFrame, units: int, k: int, rounds: int, end: int) -> t
 
 
 def score_documents(docs: DataFrame, held_mod: int = 10, classes: int = 48, unit_words: int = 1000, endings: int = 500,
-                    head_words: int = 65_536, rounds: int = 10, prior: float = 20.0) -> DataFrame:
+                    head_words: int = 65_536, rounds: int | None = None, prior: float = 20.0) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
@@ -212,23 +395,19 @@ def score_documents(docs: DataFrame, held_mod: int = 10, classes: int = 48, unit
     own = min(len(order), unit_words + 1)
     in_units = spark.createDataFrame([(bytearray(w),) for w in order[:own]], "word binary")
     rest = vocab.join(F.broadcast(in_units), "word", "left_anti")  # at most unit_words rows
-    by_end = rest.groupBy(F.expr(f"substring(word, -{SUFFIX}, {SUFFIX})").alias("e")).agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("v"))
+    by_end = rest.groupBy(F.expr(f"substring(word, -{SUFFIX}, {SUFFIX})").alias("e")).agg(F.sum("c").alias("t"))
     by_end = materialise(by_end, "brown-endings")
-    ends = sorted((bytes(x["e"]), x["t"], x["v"]) for x in heavy(by_end, "t", endings).collect())
-    all_rest = by_end.agg(F.sum("t").alias("t"), F.sum("v").alias("v")).first()
+    ends = sorted(bytes(x["e"]) for x in heavy(by_end, "t", endings).collect())
     units = own + len(ends) + 1
-    ending_unit = {e: own + i for i, (e, _, _) in enumerate(ends)}
+    ending_unit = {e: own + i for i, e in enumerate(ends)}
     counts = [0 if w == END else head[w] for w in order]
     counts[0] = next((x["c"] for x in vocab.where(F.col("word") == F.lit(END)).collect()), 0)
-    unit_t = np.array([*counts[:own], *(t for _, t, _ in ends), (all_rest["t"] or 0) - sum(t for _, t, _ in ends)], dtype=float)
-    unit_v = np.array([*(1.0 for _ in range(own)), *(v for _, _, v in ends), (all_rest["v"] or 0) - sum(v for _, _, v in ends)], dtype=float)
-    unit_v[0] = float(counts[0] > 0)
 
     # one index space: frequent words first, then the endings' units
     first_end = len(order)
     unit_of = np.array([i if i < own else ending_unit.get(w[-SUFFIX:], units - 1) for i, w in enumerate(order)]
                        + list(range(own, units)), dtype=np.int64)
-    look = spark.sparkContext.broadcast((order, {e: first_end + i for i, (e, _, _) in enumerate(ends)}, first_end + len(ends)))
+    look = spark.sparkContext.broadcast((order, {e: first_end + i for i, e in enumerate(ends)}, first_end + len(ends)))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, seen = Index(*look.value), np.zeros(units * units, dtype=np.int64)
@@ -242,14 +421,42 @@ def score_documents(docs: DataFrame, held_mod: int = 10, classes: int = 48, unit
                                               pa.array(seen[a])], names=["a", "b", "n"])
 
     bigrams = train.select("text").mapInArrow(pairs, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    cls, n = exchange(materialise(bigrams, "brown-bigrams"), units, classes, rounds, 0)
+    bigrams = materialise(bigrams, "brown-bigrams")
+    cls, _ = exchange(bigrams, units, classes, rounds, 0)
+    cls_of = cls[unit_of]
+
+    def unit_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (cls[b.column(c).to_numpy()] for c in ("a", "b"))
+            yield pa.RecordBatch.from_arrays([pa.array(x * classes + y), b.column("n")], names=["at", "n"])
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(*look.value)
+        for b in batches:
+            to = cls_of[np.array([index[w] for w in b.column("word").to_pylist()], dtype=np.int64)]
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(to.astype(np.int32))], names=["word", "cls"])
+
+    # the frequent words keep their classes, all others of the vocabulary move by their own bigrams
+    fixed = np.zeros(classes * classes)
+    between = bigrams.where((F.col("a") < own) & (F.col("b") < own)).mapInArrow(unit_classes, "at long, n long")
+    for x in between.groupBy("at").agg(F.sum("n").alias("n")).collect():
+        fixed[x["at"]] = x["n"]
+    near = materialise(contexts(train, look, cls_of, own, classes), "brown-near")
+    begun = materialise(rest.select("word").mapInArrow(start, "word binary, cls int"), "brown-start")
+    words, n = refine(near, begun, fixed.reshape(classes, classes), classes)
+    words = materialise(words.join(vocab, "word"), "brown-classes")
+    in_head = spark.createDataFrame([(bytearray(w),) for w in order], "word binary")  # at most head_words + 1 rows
+    own_cls = {bytes(x["word"]): x["cls"] for x in words.join(F.broadcast(in_head), "word", "left_semi").select("word", "cls").collect()}
+    cls_of[own:first_end] = [own_cls[w] for w in order[own:]]
 
     # smoothed log10 probabilities, by class and by index
     share = (n.sum(0) + 1) / (n.sum() + classes)
     trans = np.log10((n + prior * share) / (n.sum(1, keepdims=True) + prior))
-    t, v = np.bincount(cls, weights=unit_t, minlength=classes), np.bincount(cls, weights=unit_v, minlength=classes)
+    t, v = (np.bincount(cls[:own], weights=x, minlength=classes) for x in (np.array(counts[:own], dtype=float), np.array([counts[0] > 0] + [1.0] * (own - 1))))
+    for x in words.groupBy("cls").agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("v")).collect():
+        t[x["cls"]] += x["t"]
+        v[x["cls"]] += x["v"]
     spread = np.log10(np.maximum(t + DELTA * (v + 1), DELTA))
-    cls_of = cls[unit_of]
     log_c = np.array([*(np.log10(np.array(counts) + DELTA)), *(0.0 for _ in range(units - own))])
     known = np.array([c > 0 for c in counts] + [False] * (units - own))
     base_norm = float(np.log10(total + DELTA * (distinct + 1)))
@@ -261,28 +468,45 @@ def score_documents(docs: DataFrame, held_mod: int = 10, classes: int = 48, unit
         for batch, texts in chunks(batches, max_chars=2_000_000):
             words = [words_of(x) for x in texts]
             tokens, starts = token_stream(index, words, 0)
-            c = cls_of[tokens]
-            model = trans[cls_of[before(tokens, starts, 0)], c] - spread[c]
             rare = (tokens >= first_end).tolist()
             rest = [list(compress(w, rare[s:s + len(w)])) for w, s in zip(words, starts.tolist())]
+            codes = cls_of[tokens].astype(np.int32)
+            codes[rare] = -1 - codes[rare]  # an unseen word's class, to be replaced if training saw the word
+            ends = [*starts[1:].tolist(), len(tokens)]
+            codes = [codes[s:e].tobytes() for s, e in zip(starts.tolist(), ends)]
             rid = (TaskContext.get().partitionId() << 40) + made + np.arange(len(texts))
             made += len(texts)
             add = lambda x: np.add.reduceat(x, starts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rid), batch.column("doc_id"), batch.column("held_out"), pa.array(add(np.ones(len(tokens), dtype=np.int64))),
-                 pa.array(add(known[tokens].astype(np.int64))), pa.array(add(log_c[tokens])), pa.array(add(model)),
+                 pa.array(add(known[tokens].astype(np.int64))), pa.array(add(log_c[tokens])), pa.array(codes, pa.binary()),
                  pa.array(rest, pa.list_(pa.binary()))],
-                names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "log_c", "model", "rest"])
+                names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "log_c", "codes", "rest"])
+
+    def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trans, spread = tables.value[:2]
+        keep = ["doc_id", "held_out", "n_tokens", "n_known", "log_c", "rest_log", "rest_known"]
+        for b in batches:
+            model = []
+            for codes, found in zip(b.column("codes").to_pylist(), b.column("found")):
+                c = np.frombuffer(codes, dtype=np.int32).astype(np.int64)
+                rare = np.nonzero(c < 0)[0]
+                c = np.where(c < 0, -1 - c, c)
+                if found.is_valid and len(found.values):
+                    c[rare[found.values.field("pos").to_numpy()]] = found.values.field("cls").to_numpy()
+                model.append(float((trans[np.r_[0, c[:-1]], c] - spread[c]).sum()))
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in keep), pa.array(model, pa.float64())], names=[*keep, "model"])
 
     local = materialise(docs.mapInArrow(score, "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, "
-                                               "log_c double, model double, rest array<binary>"), "brown-local")
-    in_head = spark.createDataFrame([(bytearray(w),) for w in order], "word binary")  # at most head_words + 1 rows
-    few = vocab.join(F.broadcast(in_head), "word", "left_anti")
-    found = (local.select("rid", F.explode("rest").alias("word")).join(few, "word", "left")
-             .groupBy("rid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + DELTA)).alias("rest_log"),
-                                 F.count("c").alias("rest_known")))
+                                               "log_c double, codes binary, rest array<binary>"), "brown-local")
+    few = words.join(F.broadcast(in_head), "word", "left_anti")
+    found = (local.select("rid", F.posexplode("rest").alias("pos", "word")).join(few, "word", "left")
+             .groupBy("rid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + DELTA)).alias("rest_log"), F.count("c").alias("rest_known"),
+                                 F.collect_list(F.when(F.col("cls").isNotNull(), F.struct("pos", "cls"))).alias("found")))
+    out = local.drop("rest").join(found, "rid", "left").mapInArrow(
+        transitions, "doc_id long, held_out boolean, n_tokens long, n_known long, log_c double, rest_log double, rest_known long, model double")
     log_all = F.col("log_c") + F.coalesce("rest_log", F.lit(0.0))
-    return local.drop("rest").join(found, "rid", "left").select(
+    return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (log_all - F.col("n_tokens") * F.lit(base_norm)).alias("base_score"), (log_all + F.col("model")).alias("score"))

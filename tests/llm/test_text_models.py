@@ -1,5 +1,6 @@
 import itertools
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -229,6 +230,62 @@ def test_exchange_gain_equals_the_change_of_likelihood():
             assert (best, gain) == (cls[u], 0.0)
 
 
+def test_moves_of_many_words_equal_single_ones():
+    rng = np.random.default_rng(5)
+    k, words = 5, 40
+    cls = rng.integers(1, k, words)
+    near = rng.integers(0, 4, (words, 2 * k + 1)).astype(float)
+    n = rng.integers(0, 50, (k, k)).astype(float)
+    for u in range(words):  # n must hold each word's own bigrams
+        n[cls[u], :] += near[u, :k]
+        n[:, cls[u]] += near[u, k:2 * k]
+        n[cls[u], cls[u]] += near[u, 2 * k]
+    row, at = np.nonzero(near)
+    to, gain = brown_lm.best_moves(n, cls, row, at, near[row, at])
+    for u in range(words):
+        assert (to[u], pytest.approx(gain[u])) == brown_lm.best_move(n, int(cls[u]), near[u, :k], near[u, k:2 * k], near[u, 2 * k])
+
+
+def test_every_rare_word_gets_a_class_by_its_own_bigrams(spark):
+    # "odd" words end as the words after "to" do, but stand after "the"
+    nouns, verbs, odd = ([f"{x}{i}{e}" for i in range(n)] for x, n, e in (("n", 12, "zzz"), ("v", 12, "yyy"), ("o", 3, "yyy")))
+    texts = [f"the {w}" for w in nouns + odd] * 6 + [f"to {w}" for w in verbs] * 6
+    held = [i for i in range(1000, 1400) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows = [*enumerate(texts), *zip(held, ["the o1yyy", "to o1yyy"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in brown_lm.score_documents(docs, classes=6, unit_words=2, endings=2, head_words=8).collect()}
+    right, wrong = (got[i] for i in held)
+    assert right.held_out and wrong.held_out and right.score - right.base_score > wrong.score - wrong.base_score + 0.3
+
+
+def test_refined_classes_are_at_rest_and_counted_exactly(spark):
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}".encode() for i in range(30)]
+    k, fixed = 4, np.array([[0, 5, 2, 1], [3, 1, 4, 1], [4, 2, 0, 2], [1, 3, 1, 6.0]])
+    b = rng.integers(0, 3, (30, 30)) * (rng.random((30, 30)) < 0.3)
+    known = rng.integers(0, 4, (30, 2 * k))
+    rows = [(bytearray(vocab[i]), None, j, int(known[i, j])) for i in range(30) for j in range(2 * k) if known[i, j]]
+    rows += [(bytearray(vocab[i]), None, 2 * k, int(b[i, i])) for i in range(30) if b[i, i]]
+    rows += [(bytearray(vocab[i]), bytearray(vocab[j]), 0, int(b[i, j])) for i in range(30) for j in range(30) if i != j and b[i, j]]
+    near = spark.createDataFrame(rows, "word binary, other binary, at int, n long")
+    start = {w: 1 + i % 3 for i, w in enumerate(vocab)}
+
+    def table(cls):
+        n = fixed.copy()
+        for i, w in enumerate(vocab):
+            n[cls[w], :] += known[i, :k]
+            n[:, cls[w]] += known[i, k:]
+            for j, x in enumerate(vocab):
+                n[cls[w], cls[x]] += b[i, j]
+        return n
+
+    words, n = brown_lm.refine(near, spark.createDataFrame([(bytearray(w), c) for w, c in start.items()], "word binary, cls int"), fixed, k)
+    cls = {bytes(r.word): r.cls for r in words.collect()}
+    assert len(cls) == 30 and np.array_equal(n, table(cls)) and likelihood(n) > likelihood(table(start))
+    for w in vocab:  # no single move gains
+        assert all(likelihood(table({**cls, w: c})) <= likelihood(n) + 1e-6 for c in range(1, k))
+
+
 def test_language_model_beats_the_base_and_handles_empty_tables(spark):
     out = brown_lm.op10_brown_lm(spark, SF)
     r = out.where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.count("*").alias("n")).first()
