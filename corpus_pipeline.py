@@ -8,7 +8,8 @@
    are taken again; documents without words stay once.
 5. packing: pieces placed in sequences of at most 2048 tokens.
 
-Both models learn from all labelled documents that reach their stage.  Every
+Both models learn from all labelled documents that reach their stage.  A stage
+whose model has nothing to learn from (no labels that match) drops nothing.  Every
 stage but the last returns the columns of ``documents``; each is written as
 Parquet and read again as the next one's input.  A null doc_id cannot be
 labelled or matched; such rows pass the filters on their text and stay in
@@ -30,12 +31,16 @@ ORACLE_SQL = None  # no stage but the mixing is expressible in SQL
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    if not model.learnt:
+        return docs
     return _kept(docs, toxicity.score(_framed(docs), model), F.col("predicted") == 0)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     model = quality.fit_labels(docs, table(spark, sf_dir, "labels"), "quality")
+    if not model.learnt:
+        return docs
     return _kept(docs, quality.score(_framed(docs), model), F.col("predicted") == 1)
 
 

@@ -74,6 +74,7 @@ class Model:
     weights: np.ndarray
     knots: np.ndarray  # ridge values, ascending
     levels: np.ndarray  # their calibrated probabilities
+    learnt: bool = True  # False without training rows
 
     def features(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
@@ -109,7 +110,7 @@ def fit(labelled: DataFrame, features: int = 128, gamma: float = 0.03, penalty:
     freq, phase = rng.normal(0, np.sqrt(2 * gamma), (d, features)), rng.uniform(0, 2 * np.pi, features)
     flat = np.zeros(features + 1)
     if not r["n"]:
-        return Model(np.zeros(d), np.ones(d), freq, phase, flat, np.array([0.0]), np.array([0.5]))
+        return Model(np.zeros(d), np.ones(d), freq, phase, flat, np.array([0.0]), np.array([0.5]), False)
     mean = np.array([r[f"m{i}"] for i in range(d)])
     scale = np.array([r[f"s{i}"] or 1.0 for i in range(d)])
     model = Model(mean, np.maximum(scale, 1e-9), freq, phase, flat, np.array([0.0]), np.array([0.5]))

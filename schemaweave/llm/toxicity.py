@@ -142,6 +142,7 @@ class Model:
     slope: float
     intercept: float
     share: float | None = None  # the score of everything, if there is nothing to fit
+    learnt: bool = True  # False if no labelled document was there
 
     def values(self, texts: list[str], cache: Scores) -> np.ndarray:
         """SVM value of each text's most toxic string."""
@@ -216,7 +217,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
     drawn = y.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < rate * 1_000_000)
     sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(drawn), "doc_id").select("text", "y")
     sample = materialise(sample, "toxic-sample")
-    if {r["y"] for r in sample.select("y").distinct().collect()} != {0, 1}:
+    seen = {r["y"] for r in sample.select("y").distinct().collect()}
+    if seen != {0, 1}:
+        flat.learnt = bool(seen)
         return flat
     toxic, common = association(sample)
     if not toxic:

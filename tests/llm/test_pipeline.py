@@ -104,3 +104,14 @@ def test_run_applies_all_stages(spark):
     out = P.run(spark, "/root/testdata/sf0.001")
     assert P.ORACLE_SQL is None and out.columns[0] == "doc_id" and out.count() > 50
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_stages_without_labels_keep_all(spark, tmp_dir):
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5), (2, None, None, None, None), (None, "", "en", "s", 0)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    tables = {"none": [], "null": [(1, None, None)], "other": [(99, 1, 0), (98, 0, 1)], "toxic": [(99, 0, 1)]}
+    for name, rows in tables.items():
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_dir}/{name}/labels.parquet")
+        for stage in (P.drop_toxic, P.keep_quality):
+            out = stage(spark, docs, f"{tmp_dir}/{name}")
+            assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
