@@ -12,7 +12,8 @@ other ones.  A sentence is represented by its string nearest to a landmark; a
 document with label 1 gives its nearest sentence and all strings close to a landmark
 (and copies with an inserted letter), one with label 0 its nearest three
 sentences and its last.  A linear SVM
-is fitted on the Nyström features.  Its value is linear in the explicit features
+is fitted on the Nyström features, and again with the most toxic joined string of
+each document of label 0.  Its value is linear in the explicit features
 of the kernel, so a string is scored from its own subsequences.  A document's
 score is the calibrated value of its most toxic string.
 
@@ -46,10 +47,15 @@ _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][^\w\n]{1,3}){2,}[^\W\d_](?![^\W_])
 _EDGES = ".,;:!?\"'()[]{}|$%&*#-_"
 
 
+_DIGITS = str.maketrans("013457", "oieast")
+
+
 def plain(token: str) -> str:
-    """Letters of the token in lower case without accents."""
+    """Letters of the token in lower case without accents; digits among letters stand for the letters they look like."""
     if token.isascii() and token.isalpha():
         return token
+    if any(map(str.isalpha, token)):
+        token = token.translate(_DIGITS)
     return "".join(c for c in unicodedata.normalize("NFKD", token) if c.isalpha())
 
 
@@ -116,6 +122,68 @@ def landmark_matrix(landmarks: list[str]) -> np.ndarray:
     return z
 
 
+def joined(texts: list[str], weights: np.ndarray, least: np.ndarray) -> list[list[tuple[float, str]]]:
+    """Per text: the joined letters of each run of neighbouring words of a sentence
+    (at most a window) whose value may exceed ``least``, with a bound of the value, best first.
+
+    The bound takes each subsequence's occurrences apart, which makes the norm smaller, never larger."""
+    parts, sizes, place, owner, sentence = [], [], [], [], 0
+    for k, text in enumerate(texts):
+        for s in sentences(text.lower()):
+            words = [p for p in (plain(t.strip(_EDGES)) for t in s.split()) if p]
+            sentence += 1
+            if len(words) > 1:
+                parts += words
+                sizes += map(len, words)
+                place += [sentence] * len(words)
+                owner += [k] * len(words)
+    out: list[list[tuple[float, str]]] = [[] for _ in texts]
+    if not parts:
+        return out
+    letters = "".join(parts)
+    flat = np.frombuffer(letters.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    code = np.where((flat >= 97) & (flat <= 122), flat - 97, 26 + flat % (LETTERS - 26))
+    sums = []
+    for b in range(2, SPAN):
+        n = max(0, len(code) - b)
+        v = np.zeros(n)
+        for a in range(1, b):
+            v += weights[(code[:n] * LETTERS + code[a:n + a]) * LETTERS + code[b:n + b]]
+        sums.append(np.concatenate([[0.0], np.cumsum(v * DECAY ** (b + 1)), np.zeros(b)]))
+    ends, size, place, owner = np.cumsum(sizes), np.array(sizes), np.array(place), np.array(owner)
+    starts, first = ends - size, np.arange(len(size))
+    norms = np.array([max(1e-9, sum(max(0, m - b) * (b - 1) * DECAY ** (2 * b + 2) for b in range(2, SPAN))) for m in range(WINDOW + 1)])
+    for j in range(1, WINDOW):
+        first = first[first + j < len(size)]
+        first = first[(place[first] == place[first + j]) & (ends[first + j] - starts[first] <= WINDOW)]
+        if not len(first):
+            break
+        s, e = starts[first], ends[first + j]
+        v = sum(np.where(e - b > s, c[np.maximum(e - b, s)] - c[s], 0.0) for b, c in zip(range(2, SPAN), sums)) / np.sqrt(norms[e - s])
+        for i in np.nonzero((v > least[owner[first]]) & (e - s > 2))[0].tolist():
+            out[owner[first[i]]].append((float(v[i]) + 1e-9, letters[s[i]:e[i]]))
+    for found in out:
+        found.sort(reverse=True)
+    return out
+
+
+def best_joined(texts: list[str], weights: np.ndarray, least: np.ndarray) -> list[tuple[float, str]]:
+    """Per text the joined string of the largest value, or (least, "") if none exceeds ``least``."""
+    best = [(float(x), "") for x in least]
+    left = joined(texts, weights, least)
+    step = 1
+    while any(left):
+        tried = [(k, s) for k, found in enumerate(left) for _, s in found[:step]]
+        for at in range(0, len(tried), 5000):
+            part = tried[at:at + 5000]
+            for (k, s), v in zip(part, linear([s for _, s in part], weights).tolist()):
+                if v > best[k][0]:
+                    best[k] = (v, s)
+        left = [[x for x in found[step:] if x[0] > best[k][0]] for k, found in enumerate(left)]
+        step *= 4
+    return best
+
+
 class Scores(dict):
     """Token -> value of its best window; filled for many tokens at once, emptied when full."""
 
@@ -151,6 +219,8 @@ class Model:
             cache.learn(set().union(*found[at:at + 200]))
             for k in range(at, min(at + 200, len(found))):
                 found[k] = max(map(cache.__getitem__, found[k]), default=0.0)
+            part = slice(at, at + 200)
+            found[part] = [v for v, _ in best_joined(texts[part], self.weights, np.array(found[part], dtype=float))]
         return np.array(found, dtype=float) + self.bias
 
     def scores(self, texts: list[str], cache: Scores) -> np.ndarray:
@@ -258,6 +328,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
         return flat
     even = F.when(F.col("y") == 1, F.lit(m[0.0] / m[1.0])).otherwise(F.lit(1.0))
     svm = LinearSVC(featuresCol="features", labelCol="y", weightCol="w", maxIter=60, regParam=2e-4, standardization=False)
+    once = svm.fit(train.withColumn("w", even))
+    weights = z @ (nystroem @ once.coefficients.toArray())
+
+    def harder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches):
+            strings = []
+            for at in range(0, len(texts), 200):
+                part = texts[at:at + 200]
+                strings += [s for _, s in best_joined(part, weights, np.zeros(len(part))) if s]
+            k = linear(strings, z) @ nystroem if strings else np.zeros((0, nystroem.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(k), pa.list_(pa.float64())), pa.array([0.0] * len(k), pa.float64())], names=["k", "y"])
+
+    more = materialise(sample.where("y = 0").select("text").mapInArrow(harder, "k array<double>, y double"), "toxic-joined")
+    train = train.union(more.select(array_to_vector("k").alias("features"), "y"))
+    even = F.when(F.col("y") == 1, F.lit((m[0.0] + more.count()) / m[1.0])).otherwise(F.lit(1.0))
     svm = svm.fit(train.withColumn("w", even))
     beta = nystroem @ svm.coefficients.toArray()
     model = Model(z @ beta, float(svm.intercept), 1.0, 0.0)

@@ -167,6 +167,32 @@ def test_toxicity_held_out_and_gapped_insults(spark):
     assert plain[0] >= 0.7 and plain[1] == pytest.approx(plain[0]) and plain[2] == pytest.approx(plain[0]) and plain[3] > plain[4]
 
 
+def test_joined_strings_give_the_largest_kernel_value():
+    rng = np.random.default_rng(4)
+    weights = rng.normal(size=toxicity.LETTERS ** 3)
+    texts = ["You idi ot, go a way now! Banana ban ana. x", "word", "", "a b c d e f", "éa bc 12 dé. " * 3]
+    got = toxicity.best_joined(texts, weights, np.full(len(texts), -9.0))
+    for text, (value, string) in zip(texts, got):
+        runs = set()
+        for s in toxicity.sentences(text.lower()):
+            w = [p for p in (toxicity.plain(t.strip(toxicity._EDGES)) for t in s.split()) if p]
+            runs |= {r for i in range(len(w)) for j in range(i + 2, len(w) + 1) if 2 < len(r := "".join(w[i:j])) <= toxicity.WINDOW}
+        want = {r: toxicity.linear([r], weights)[0] for r in runs}
+        positive = max([v for v in want.values() if v > 0], default=None)
+        if positive is not None:
+            assert value == pytest.approx(positive) and want[string] == pytest.approx(positive)
+    assert got[1] == got[2] == (-9.0, "")
+
+
+def test_split_and_disguised_insults_score_high(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs.where(fold("doc_id", 3) != 1), spark.read.parquet(f"{SF}/labels.parquet"))
+    cache = toxicity.Scores(model.weights)
+    texts = ["the clown of", "the clo wn of", "the cl own of", "the c lo wn of", "the cl0wn of", "the then of"]
+    s = model.scores(texts, cache)
+    assert (s[:5] >= 0.7).all() and s[5] < 0.7
+
+
 def test_toxicity_edge_cases(spark):
     docs = frame(spark, [None, "", "!!!", "a" * 100_000])
     none = spark.createDataFrame([], "doc_id long, toxic int")
