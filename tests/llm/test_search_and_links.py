@@ -214,3 +214,11 @@ def test_tool_calls_of_odd_conversations(spark):
     out = {r.call_id: r for r in tool_calls.link_tool_calls(*tool_calls.conversation_calls(turns), schema).collect()}
     assert set(out) == {"c:1:0", "c:1:1", "c:1:6"}
     assert out["c:1:0"].errors == "missing instructions" and out["c:1:1"].n_results == 2 and out["c:1:6"].kind == "result"
+
+
+def test_labels_that_hold_a_dot_keep_their_links(spark):
+    vectors = [[1.0, 0.0], [1.0, 0.01], [0.0, 1.0], [1.0, 0.02]]
+    for kind, values in (("string", ["a.b", "a.b", "a.b", "a.c"]), ("double", [1.0, 1.0, 1.0, 2.5]), ("string", ["1.0#.x"] * 3 + ["1.0#.y"])):
+        rows = [(i, label, v) for i, (label, v) in enumerate(zip(values, vectors))]
+        out = cover_tree.near_duplicates(spark.createDataFrame(rows, f"vec_id long, label {kind}, embedding array<double>"))
+        assert sorted(map(tuple, out.collect())) == [(0, 1, 0, True), (1, 1, 0, False), (2, 0, 2, True), (3, 0, 3, True)]
