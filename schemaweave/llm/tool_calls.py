@@ -141,10 +141,23 @@ def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def other_turns(turns: DataFrame) -> DataFrame:
+    """The turns that give no call and no result (another or no role, no conv_id or turn), as rows of kind ``turn``."""
+    used = F.col("role").isin("system", "user", "assistant") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    none = F.lit(None).cast("string")
+    return turns.where(~F.coalesce(used, F.lit(False))).select(
+        F.lit("turn").alias("kind"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        none.alias("call_id"), none.alias("tool"), F.lit(None).cast("long").alias("seq"), F.lit(0).cast("long").alias("n_calls"),
+        F.lit(0).cast("long").alias("n_results"), F.lit(False).alias("valid"), none.alias("errors"), none.alias("canonical"))
+
+
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = conversation_calls(table(spark, sf_dir, "conversations"))
+    """The derived calls depend on earlier turns only and their arguments are written here, so of all checks
+    only a missing text can fail; cycles, malformed JSON and unknown or mistyped parameters cannot occur."""
+    turns = table(spark, sf_dir, "conversations")
+    calls, results = conversation_calls(turns)
     schema = spark.createDataFrame(SCHEMA, "tool string, param string, kind string, required boolean")
-    return link_tool_calls(calls, results, schema)
+    return link_tool_calls(calls, results, schema).unionByName(other_turns(turns))
 
 
 ORACLE = r"""

@@ -222,3 +222,12 @@ def test_labels_that_hold_a_dot_keep_their_links(spark):
         rows = [(i, label, v) for i, (label, v) in enumerate(zip(values, vectors))]
         out = cover_tree.near_duplicates(spark.createDataFrame(rows, f"vec_id long, label {kind}, embedding array<double>"))
         assert sorted(map(tuple, out.collect())) == [(0, 1, 0, True), (1, 1, 0, False), (2, 0, 2, True), (3, 0, 3, True)]
+
+
+def test_turns_that_give_no_call_or_result_are_returned(spark, tmp_dir):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, "tool", "t"), (1, 4, None, "n"),
+            (None, 5, "user", "x"), (2, None, "assistant", "y")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_dir}/conversations.parquet")
+    out = tool_calls.op3_tool_calls(spark, tmp_dir).collect()
+    assert sorted((r.conv_id or 0, r.turn or 0) for r in out if r.kind == "turn") == [(0, 5), (1, 3), (1, 4), (2, 0)]
+    assert [r.kind for r in out].count("call") == 2 and len(out) == 6
