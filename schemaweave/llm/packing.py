@@ -1,6 +1,6 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
-Bulk-synchronous best fit.  Documents and gaps are sorted by size; equal sizes
+Best fit in sweeps over runs, on the driver.  Documents and gaps are sorted by size; equal sizes
 are runs, and a run is (size, rank interval), so the state of a round is bounded
 by the sequence length, not by the corpus.  A sweep takes the document runs from
 long to short and gives each the successor gap run (smallest gap that holds it);
