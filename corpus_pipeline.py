@@ -5,7 +5,9 @@
 3. near_dedup: one document of each near-duplicate class stays.
 4. mixing: each source is taken up to its curriculum target; a document taken
    for at least half its words stays, and appears twice if at least half of them
-   are taken again; documents without words stay once.
+   are taken again; documents without words stay once.  The curriculum's positions
+   are not kept, so the schedule does not reach packing.  Rows equal in doc_id
+   (null or repeated), source and size all get the largest of their copies.
 5. packing: pieces placed in sequences of at most 2048 tokens.
 
 Both models learn from all labelled documents that reach their stage.  A stage
