@@ -317,16 +317,20 @@ def refine(near: DataFrame, words: DataFrame, fixed: np.ndarray, k: int) -> tupl
     while want.where("cls <> to").take(1):
         turn += 1
         chosen = F.pmod(F.xxhash64(F.lit(turn), "word"), F.lit(share)) == 0
+        movers = want.where(chosen & (F.col("cls") != F.col("to"))).count()
+        if not movers:  # too small a part
+            share = max(1, share // 2)
+            continue
         tried = want.select("word", F.when(chosen, F.col("to")).otherwise(F.col("cls")).alias("cls"))
         rows = gathered(tried)
         m = bigrams_of(rows)
         if likelihood(m) > likelihood(n):
             words, n, at = tried, m, rows
             want = moved(at, n)
-        elif share < 64:
+        elif movers > 1:
             share *= 2
         else:
-            break  # not even a few of the moves together gain anything
+            break  # the gain of a single move is rounding
     return words, n
 
 
