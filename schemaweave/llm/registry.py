@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from schemaweave.llm import (bit_sliced, brown_lm, cover_tree, language_id, mixing, order_minhash, packing, quality,
+from schemaweave.llm import (bit_sliced, brown_lm, cover_tree, divergence, language_id, mixing, order_minhash, packing, quality,
                              tool_calls, toxicity)
 from schemaweave.session import ship_package
 
@@ -29,9 +29,11 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op8_curriculum_mixing": mixing.op8_curriculum_mixing,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_brown_lm": brown_lm.op10_brown_lm,
+    "op11_source_divergence": divergence.op11_source_divergence,
 }.items()}
 ORACLES: dict[str, str] = {
     "op2_cover_tree": cover_tree.ORACLE,
     "op3_tool_calls": tool_calls.ORACLE,
     "op6_bit_sliced_topk": bit_sliced.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
 }
