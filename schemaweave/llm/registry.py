@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from functools import wraps
 
-from schemaweave.llm import (bit_sliced, brown_lm, cover_tree, divergence, language_id, mixing, order_minhash, packing, quality,
-                             runs, tool_calls, toxicity)
+from schemaweave.llm import (bit_sliced, brown_lm, cover_tree, divergence, html_text, language_id, mixing, order_minhash,
+                             packing, quality, runs, tool_calls, toxicity)
 from schemaweave.session import ship_package
 
 
@@ -30,6 +30,7 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_brown_lm": brown_lm.op10_brown_lm,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_html_extraction": html_text.op12_html_extraction,
     "op13_periodic_runs": runs.op13_periodic_runs,
 }.items()}
 ORACLES: dict[str, str] = {
