@@ -51,7 +51,7 @@ def term_counts(docs: DataFrame, held: int = 400_000) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             for (lang, source), terms in sums.items():
-                n = np.array(list(terms.values()), dtype=np.int64)
+                n = np.array(list(terms.values()), dtype=np.int64).reshape(-1, 2)
                 k = len(terms)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()),
