@@ -1,14 +1,15 @@
 """Evaluation of scored pairs against labels, and of column mappings.
 
 Every metric table is one aggregate pass: per method and threshold the
-confusion counts are conditional counts (``count_if``) in a single ``agg``,
-then unpivoted.  Top-k views use ``orderBy().limit()`` (distributed top-k)
+confusion counts are conditional counts in a single ``agg``, then unpivoted;
+a sweep counts scores per bucket of the threshold grid and sums over buckets.
+``weight`` names a column with the number of pairs that a row stands for.  Top-k views use ``orderBy().limit()`` (distributed top-k)
 or a row_number filter that becomes a WindowGroupLimit below the shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,14 +41,22 @@ def labelled_scores(scores: DataFrame, truth: DataFrame,
     return scores.select(*PAIR_KEY, *score_cols).join(t, PAIR_KEY, "inner")
 
 
-def _confusion_aggs(df_label: str, specs: Sequence[tuple[str, str, float]]) -> list[Column]:
+def _count(condition: Column, weight: str | None) -> Column:
+    return F.count_if(condition) if weight is None else F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0))
+
+
+def _rows(weight: str | None) -> Column:
+    return F.count(F.lit(1)) if weight is None else F.sum(weight)
+
+
+def _confusion_aggs(df_label: str, specs: Sequence[tuple[str, str, float]], weight: str | None = None) -> list[Column]:
     y = F.col(df_label)
     out = []
     for i, (_, score, t) in enumerate(specs):
         p = predict(score, t)
-        out += [F.count_if((p == 1) & (y == 1)).alias(f"tp{i}"),
-                F.count_if((p == 1) & (y == 0)).alias(f"fp{i}"),
-                F.count_if((p == 0) & (y == 1)).alias(f"fn{i}")]
+        out += [_count((p == 1) & (y == 1), weight).alias(f"tp{i}"),
+                _count((p == 1) & (y == 0), weight).alias(f"fp{i}"),
+                _count((p == 0) & (y == 1), weight).alias(f"fn{i}")]
     return out
 
 
@@ -68,11 +77,12 @@ def _unpivot_confusion(agg: DataFrame, specs: Sequence[tuple[str, str, float]],
 
 
 # --- A7 + A8 ---------------------------------------------------------------------------------
-def metrics_table(labelled: DataFrame, methods: Sequence[tuple[str, str, float]] | None = None) -> DataFrame:
+def metrics_table(labelled: DataFrame, methods: Sequence[tuple[str, str, float]] | None = None,
+                  weight: str | None = None) -> DataFrame:
     """Confusion metrics for (method, score column, threshold) triples in one pass."""
     if methods is None:
         methods = [(m, s, FIXED_THRESHOLDS[s]) for s, m, _ in SCORE_METHODS]
-    agg = labelled.agg(*_confusion_aggs("is_match", methods))
+    agg = labelled.agg(*_confusion_aggs("is_match", methods, weight))
     return _unpivot_confusion(agg, methods)
 
 
@@ -85,36 +95,67 @@ def threshold_grid(start: float = 0.1, end: float = 0.9, step: float = 0.1) -> l
     return out
 
 
-def threshold_sweep(labelled: DataFrame, start: float = 0.1, end: float = 0.9, step: float = 0.1) -> DataFrame:
-    """Metrics for every (threshold, method): one aggregate with conditional counts."""
-    specs = [(label, s, t) for t in threshold_grid(start, end, step) for s, _, label in SCORE_METHODS]
-    agg = labelled.agg(*_confusion_aggs("is_match", specs))
-    return _unpivot_confusion(agg, specs)
+def thresholds_reached(score: Column, grid: Sequence[float]) -> Column:
+    """How many thresholds of the ascending ``grid`` are <= ``score`` (a null score reaches none):
+    a binary search whose steps are powers of two, so its cost is the logarithm of the grid."""
+    steps, step = [], 1
+    while step <= len(grid):
+        steps.insert(0, step)
+        step *= 2
+    listed = F.array(*[F.lit(float(t)) for t in grid])
+    search = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, x: F.when(
+        (at + x <= len(grid)) & (F.get(listed, F.least(at + x, F.lit(len(grid))) - 1) <= score), at + x).otherwise(at))
+    return F.coalesce(search, F.lit(0)) if steps else F.lit(0)
+
+
+def threshold_sweep(labelled: DataFrame, start: float = 0.1, end: float = 0.9, step: float = 0.1,
+                    weight: str | None = None, grid: Sequence[float] | None = None) -> DataFrame:
+    """Metrics for every (threshold, method): rows are counted once per method, label and number of
+    thresholds that they reach; a threshold's predictions are the sum over the buckets from it on."""
+    grid = sorted(set(threshold_grid(start, end, step) if grid is None else map(float, grid)))
+    long = labelled.select("is_match", F.lit(1).alias("_w") if weight is None else F.col(weight).alias("_w"), F.inline(F.array(*[
+        F.struct(F.lit(label).alias("method"), F.lit(s).alias("score_column"), F.col(s).cast("double").alias("score"))
+        for s, _, label in SCORE_METHODS])))
+    buckets = (long.withColumn("bucket", thresholds_reached(F.col("score"), grid)).groupBy("method", "score_column", "bucket")
+               .agg(_count(F.col("is_match") == 1, "_w").alias("m"), _count(F.col("is_match") == 0, "_w").alias("o")))
+    # one bucket per threshold and one below the first, also where nothing lies in it
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(grid)))).alias("bucket")
+    methods = labelled.sparkSession.createDataFrame([(label, s) for s, _, label in SCORE_METHODS], "method string, score_column string")
+    full = methods.select("method", "score_column", every).join(buckets, ["method", "score_column", "bucket"], "left").na.fill(0, ["m", "o"])
+    above = Window.partitionBy("method").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = Window.partitionBy("method")
+    n = (full.withColumn("tp", F.sum("m").over(above)).withColumn("fp", F.sum("o").over(above)).withColumn("fn", F.sum("m").over(total) - F.col("tp"))
+         .where(F.col("bucket") > 0).withColumn("threshold", F.get(F.array(*[F.lit(t) for t in grid]), F.col("bucket") - 1)))
+    m = prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    return n.select("method", "score_column", "threshold", m["precision"].alias("precision"), m["recall"].alias("recall"), m["f1"].alias("f1"),
+                    *[F.col(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn")])
 
 
 # --- A10 ---------------------------------------------------------------------------------------
-def f1_by_type(labelled: DataFrame) -> DataFrame:
-    """F1 per pair column type (side types, or 'mixed') and method, with n."""
+def f1_by_type(labelled: DataFrame, weight: str | None = None) -> DataFrame:
+    """F1 per pair column type (side types, or 'mixed') and method, with n; a ``column_type``
+    column is taken as it is."""
     specs = [(m, s, FIXED_THRESHOLDS[s]) for s, m, _ in SCORE_METHODS]
-    typed = labelled.withColumn("column_type", pair_column_type(F.col("left_column_final"),
-                                                                 F.col("right_column_final")))
-    agg = typed.groupBy("column_type").agg(F.count(F.lit(1)).alias("n"), *_confusion_aggs("is_match", specs))
+    typed = labelled if "column_type" in labelled.columns else labelled.withColumn(
+        "column_type", pair_column_type(F.col("left_column_final"), F.col("right_column_final")))
+    agg = typed.groupBy("column_type").agg(_rows(weight).alias("_n"), *_confusion_aggs("is_match", specs, weight)).withColumnRenamed("_n", "n")
     out = _unpivot_confusion(agg, specs, group=["column_type", "n"])
     return out.select("column_type", "method", "f1", F.col("n").cast("bigint").alias("n"))
 
 
 # --- U4 + N6 + A5 --------------------------------------------------------------------------------
-def true_match_column_types(labelled: DataFrame) -> DataFrame:
+def true_match_column_types(labelled: DataFrame, weight: str | None = None) -> DataFrame:
     """Each true match gives two rows: (left name, type), (right name, type)."""
     t = labelled.where(F.col("is_match") == 1)
+    kept = [] if weight is None else [weight]
     sides = F.array(F.struct(F.col("left_column_final").alias("column_name")),
                     F.struct(F.col("right_column_final").alias("column_name")))
-    return (t.select(F.inline(sides))
-             .select("column_name", classify_column(F.col("column_name")).alias("column_type")))
+    return (t.select(*kept, F.inline(sides))
+             .select("column_name", classify_column(F.col("column_name")).alias("column_type"), *kept))
 
 
-def value_counts(df: DataFrame, col: str) -> DataFrame:
-    return df.groupBy(col).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), col)
+def value_counts(df: DataFrame, col: str, weight: str | None = None) -> DataFrame:
+    return df.groupBy(col).agg(_rows(weight).alias("count")).orderBy(F.desc("count"), col)
 
 
 # --- W3 + W4 + N21 -------------------------------------------------------------------------------
@@ -129,17 +170,18 @@ def ground_truth_template(scores: DataFrame, top_n: int = 300,
 
 
 # --- W5 ------------------------------------------------------------------------------------------
-def precision_at_k(labelled: DataFrame, ks: Sequence[int] = (10, 20, 50, 100)) -> DataFrame:
+def precision_at_k(labelled: DataFrame | Callable[[str, int], DataFrame], ks: Sequence[int] = (10, 20, 50, 100)) -> DataFrame:
     """Share of true matches among the k best pairs per method (ties by key).
 
-    Each method's top max(k) is a distributed top-k (TakeOrderedAndProject);
-    only those <= 3*max(k) rows are ranked."""
+    Each method's top max(k) is a distributed top-k (TakeOrderedAndProject) of the
+    labelled pairs, or what a function of (score column, n) returns; only those <=
+    3*max(k) rows are ranked."""
     kmax = max(ks)
     tops = None
     for score, _, label in SCORE_METHODS:
-        top = (labelled.select(*PAIR_KEY, F.col(score).alias("score"), "is_match")
-               .orderBy(F.desc("score"), *[F.asc(k) for k in PAIR_KEY]).limit(kmax)
-               .withColumn("method", F.lit(label)))
+        best = (labelled.orderBy(F.desc(score), *[F.asc(k) for k in PAIR_KEY]).limit(kmax) if isinstance(labelled, DataFrame)
+                else labelled(score, kmax))
+        top = best.select(*PAIR_KEY, F.col(score).alias("score"), "is_match").withColumn("method", F.lit(label))
         tops = top if tops is None else tops.unionByName(top)
     ranked = tops.withColumn("_rn", F.row_number().over(
         Window.partitionBy("method").orderBy(F.desc("score"), *[F.asc(k) for k in PAIR_KEY])))
@@ -154,22 +196,22 @@ def precision_at_k(labelled: DataFrame, ks: Sequence[int] = (10, 20, 50, 100)) -
 
 
 # --- A14 -----------------------------------------------------------------------------------------
-def score_histogram(labelled: DataFrame, bins: int = 20) -> DataFrame:
+def score_histogram(labelled: DataFrame, bins: int = 20, weight: str | None = None) -> DataFrame:
     """Density histogram per (method, label): range = the group's min..max
     (a constant group uses [v-0.5, v+0.5]); the maximum falls in the last bin;
     every bin is reported, empty ones with 0."""
-    long = labelled.select("is_match", F.inline(F.array(*[
+    long = labelled.select("is_match", F.lit(1).alias("_w") if weight is None else F.col(weight).alias("_w"), F.inline(F.array(*[
         F.struct(F.lit(label).alias("method"), F.col(s).cast("double").alias("score"))
         for s, _, label in SCORE_METHODS])))
     bounds = long.groupBy("method", "is_match").agg(F.min("score").alias("_mn"), F.max("score").alias("_mx"),
-                                                   F.count(F.lit(1)).alias("_n"))
+                                                   F.sum("_w").alias("_n"))
     lo = F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn"))
     hi = F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx"))
     bounds = bounds.select("method", "is_match", "_n", lo.alias("lo"), hi.alias("hi"))
     # one row per (method, label): bounded, so the broadcast is safe
     b = long.join(F.broadcast(bounds), ["method", "is_match"])
     idx = F.least(F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
-    counts = b.groupBy("method", "is_match", idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = b.groupBy("method", "is_match", idx.cast("int").alias("bin")).agg(F.sum("_w").alias("count"))
     grid = bounds.select("method", "is_match", "_n", "lo", "hi",
                          F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / bins
@@ -189,31 +231,30 @@ def _error_view(df: DataFrame) -> DataFrame:
 
 def top_false_positives(labelled: DataFrame, n: int = 10,
                         by: str = "embedding_header_context_cosine") -> DataFrame:
-    top = (labelled.where(F.col("is_match") == 0)
-           .orderBy(F.desc(by), *[F.asc(k) for k in PAIR_KEY]).limit(n))
-    return _error_view(top)
+    return _error_view(_first(labelled, 0, F.desc(by), n))
 
 
 def top_false_negatives(labelled: DataFrame, n: int = 10,
                         by: str = "embedding_header_context_cosine") -> DataFrame:
-    top = (labelled.where(F.col("is_match") == 1)
-           .orderBy(F.asc(by), *[F.asc(k) for k in PAIR_KEY]).limit(n))
-    return _error_view(top)
+    return _error_view(_first(labelled, 1, F.asc(by), n))
 
 
 def error_types(labelled: DataFrame, n: int = 200, by: str = "embedding_header_context_cosine") -> DataFrame:
-    top = (labelled.where(F.col("is_match") == 0)
-           .orderBy(F.desc(by), *[F.asc(k) for k in PAIR_KEY]).limit(n))
-    typed = top.select(classify_error(F.col("left_column_final"), F.col("right_column_final"),
-                                      F.col("lexical_jaccard"), F.col(by)).alias("error_type"))
+    typed = _first(labelled, 0, F.desc(by), n).select(classify_error(
+        F.col("left_column_final"), F.col("right_column_final"), F.col("lexical_jaccard"), F.col(by)).alias("error_type"))
     return typed.groupBy("error_type").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _first(labelled: DataFrame, label: int, order: Column, n: int) -> DataFrame:
+    """The first ``n`` pairs of a label, ties by key."""
+    return labelled.where(F.col("is_match") == label).orderBy(order, *[F.asc(k) for k in PAIR_KEY]).limit(n)
+
+
 # --- A6 --------------------------------------------------------------------------------------------
-def match_pivot(labelled: DataFrame) -> DataFrame:
+def match_pivot(labelled: DataFrame, weight: str | None = None) -> DataFrame:
     """Per dataset pair: count of label 0 and label 1 (missing -> 0)."""
     keyed = labelled.withColumn("city_pair", pair_key("left_city", "right_city", " — "))
-    p = keyed.groupBy("city_pair").pivot("is_match", [0, 1]).agg(F.count(F.lit(1)))
+    p = keyed.groupBy("city_pair").pivot("is_match", [0, 1]).agg(_rows(weight))
     return p.select("city_pair", F.coalesce(F.col("0"), F.lit(0)).cast("bigint").alias("non_match"),
                     F.coalesce(F.col("1"), F.lit(0)).cast("bigint").alias("match"))
 

@@ -26,22 +26,28 @@ def dataset_pairs(catalog: DataFrame) -> DataFrame:
             .select("left_city", F.col("r.city").alias("right_city")))
 
 
+def paired_columns(columns: DataFrame, grids: DataFrame, carry: list[str], salts: int = 8) -> DataFrame:
+    """Every left column with every right column of the dataset pairs in ``grids`` (left_city, right_city);
+    ``carry`` names the columns taken from each side, as left_* and right_*.
+
+    The join meets on the right dataset and a salt of the left column, the right
+    columns repeated per salt, so that no task holds all left columns of one dataset pair."""
+    left = (columns.select(F.col("city").alias("left_city"), *[F.col(c).alias(f"left_{c}") for c in carry])
+            .join(grids.select("left_city", "right_city"), "left_city")
+            .withColumn("_salt", F.pmod(F.xxhash64("left_city", *[f"left_{c}" for c in carry]), F.lit(salts)).cast("int")))
+    right = columns.select(F.col("city").alias("right_city"), *[F.col(c).alias(f"right_{c}") for c in carry],
+                           F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    return left.join(right, ["right_city", "_salt"]).select(
+        "left_city", "right_city", *[f"{side}_{c}" for side in ("left", "right") for c in carry])
+
+
 def candidate_pairs(catalog: DataFrame) -> DataFrame:
     """All column pairs of different datasets, each unordered dataset pair once.
 
     Every pair is a candidate: its context texts may agree where its names share
     nothing.  The result is what the operator is defined to return, the square of
-    the catalog's columns (never of table rows), so its work is dealt evenly: the
-    left columns, repeated per dataset pair, are spread by their full key before
-    they meet the right dataset's columns, and AQE splits a dataset that holds a
-    large share of the columns."""
-    ent = catalog.select("city", "column_original", "column_final")
-    n = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = (ent.withColumnsRenamed({"city": "left_city", "column_original": "left_column_original", "column_final": "left_column_final"})
-            .join(dataset_pairs(catalog), "left_city").repartition(n, "left_city", "right_city", "left_column_final"))
-    right = ent.withColumnsRenamed({"city": "right_city", "column_original": "right_column_original", "column_final": "right_column_final"})
-    return left.join(right, "right_city").select(
-        "left_city", "right_city", "left_column_original", "left_column_final", "right_column_original", "right_column_final")
+    the catalog's columns (never of table rows)."""
+    return paired_columns(catalog, dataset_pairs(catalog), ["column_original", "column_final"])
 
 
 def all_pairs_count(catalog: DataFrame) -> DataFrame:
@@ -61,12 +67,25 @@ def last_descriptions(catalog: DataFrame) -> DataFrame:
             .select("city", "column_final", F.col("_l.d").alias("description")))
 
 
-def attach_context(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Header-only and header+context texts for both sides.
+def with_context(catalog: DataFrame) -> DataFrame:
+    """The catalog with ``header_with_context``, looked up by (dataset, final name): when a name
+    repeats the last catalog row (highest ``pos``) wins; no hit gives ''."""
+    last = last_descriptions(catalog).withColumnsRenamed({"description": "_d"})
+    joined = catalog.join(last, ["city", "column_final"], "left")
+    return joined.select(*catalog.columns, context_text(F.col("column_final"), F.coalesce("_d", F.lit(""))).alias("header_with_context"))
 
-    Descriptions are looked up by (dataset, final name); when a name repeats
-    the last catalog row (highest ``pos``) wins; no hit gives ''.
-    """
+
+def pairs_with_context(catalog: DataFrame) -> DataFrame:
+    """All candidate pairs with the header-only and header+context texts of both sides; the texts are
+    looked up once per column, before the columns are paired."""
+    pairs = paired_columns(with_context(catalog), dataset_pairs(catalog), ["column_original", "column_final", "header_with_context"])
+    return pairs.select("left_city", "right_city", "left_column_original", "left_column_final", "right_column_original", "right_column_final",
+                        F.col("left_column_final").alias("left_header_only"), F.col("right_column_final").alias("right_header_only"),
+                        "left_header_with_context", "right_header_with_context")
+
+
+def attach_context(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Header-only and header+context texts for both sides of given pairs (see :func:`with_context`)."""
     last = last_descriptions(catalog)
     ld = last.select(F.col("city").alias("left_city"), F.col("column_final").alias("left_column_final"),
                      F.col("description").alias("_ld"))

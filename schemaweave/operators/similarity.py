@@ -32,7 +32,11 @@ def tfidf_vectors(docs: DataFrame, text_col: str, max_features: int = 100) -> Da
     ``max_features``) and the corpus size are the fitted state brought to the
     driver.
     """
-    occ = docs.groupBy(F.col(text_col).alias("text")).agg(F.count(F.lit(1)).alias("occ"))
+    return tfidf_from_occurrences(docs.groupBy(F.col(text_col).alias("text")).agg(F.count(F.lit(1)).alias("occ")), max_features)
+
+
+def tfidf_from_occurrences(occ: DataFrame, max_features: int = 100) -> DataFrame:
+    """:func:`tfidf_vectors` of a corpus given as distinct texts with their occurrences (text, occ)."""
     tf = (occ.select("text", "occ", F.explode(tfidf_terms(F.coalesce("text", F.lit("")))).alias("term"))
           .groupBy("text", "occ", "term").agg(F.count(F.lit(1)).alias("tf")))
     stats = tf.groupBy("term").agg(F.sum(F.col("occ") * F.col("tf")).alias("freq"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from schemaweave.constants import PAIR_KEY, SCORE_METHODS
 from schemaweave.functions.classify import classify_column
 from schemaweave.operators import evaluate as E
+from schemaweave.operators import sparse as SP
 from schemaweave.operators.modeling import class_report, roc_auc, stratified_split
 from schemaweave.operators.pairs import candidate_pairs
 from schemaweave.operators.sections import extract_sections, items_from_text
@@ -32,8 +33,8 @@ def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
 def exact_match(spark: SparkSession, d: str) -> DataFrame:
     """N22 over every candidate pair: the pairs whose final names are equal,
     with their other scores."""
-    s = M.similarity_scores(spark, d)
-    return s.where(F.col("exact_match") == 1).select(*PAIR_KEY, "lexical_jaccard", "embedding_header_only_cosine")
+    s = M.sparse(spark, d)
+    return SP.expand(s, s.pairs.where(F.col("exact_match") == 1)).select(*PAIR_KEY, "lexical_jaccard", "embedding_header_only_cosine")
 
 
 def tfidf_cosine(spark: SparkSession, d: str) -> DataFrame:
@@ -46,62 +47,64 @@ def merge_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merge_scores_join(spark: SparkSession, d: str) -> DataFrame:
-    """The same score table through the J2 operator: separately built lexical
-    and embedding score tables merged on the 4-column pair key."""
+    """The same score table through the J2 operator: the lexical and the embedding
+    score table merged on the 4-column pair key."""
     from schemaweave.operators.pairs import merge_scores as j2
-    from schemaweave.operators.similarity import embedding_scores, lexical_scores
-    rep = M.pairs_repr(spark, d)
-    lex = lexical_scores(rep).withColumnsRenamed({"left_column_final": "left_column",
-                                                  "right_column_final": "right_column"})
-    out = j2(lex, embedding_scores(rep))
-    return out.withColumns({c: F.round(c, M.SCORE_DIGITS) for c in
-                            ["lexical_jaccard", "embedding_header_only_cosine", "embedding_header_context_cosine"]})
+    scores = M.similarity_scores(spark, d)
+    lex = scores.select(*PAIR_KEY, "lexical_jaccard", "exact_match").withColumnsRenamed(
+        {"left_column_final": "left_column", "right_column_final": "right_column"})
+    return j2(lex, scores.select(*PAIR_KEY, "embedding_header_only_cosine", "embedding_header_context_cosine"))
 
 
 def top_n_template(spark: SparkSession, d: str, n: int = 20) -> DataFrame:
-    return E.ground_truth_template(M.similarity_scores(spark, d), top_n=n)
+    return E.ground_truth_template(SP.top_per_grid(M.sparse(spark, d), "embedding_header_context_cosine", n), top_n=n)
 
 
 def metrics_fixed(spark: SparkSession, d: str) -> DataFrame:
-    return E.metrics_table(M.labelled(spark, d))
+    return E.metrics_table(M.weighted(spark, d), weight="n")
 
 
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return E.threshold_sweep(M.labelled(spark, d))
+    return E.threshold_sweep(M.weighted(spark, d), weight="n")
 
 
 def f1_by_type(spark: SparkSession, d: str) -> DataFrame:
-    return E.f1_by_type(M.labelled(spark, d))
+    return E.f1_by_type(M.weighted(spark, d), weight="n")
 
 
 def type_counts(spark: SparkSession, d: str) -> DataFrame:
-    return E.value_counts(E.true_match_column_types(M.labelled(spark, d)), "column_type")
+    matches = M.weighted(spark, d).withColumnsRenamed({"u_final": "left_column_final", "v_final": "right_column_final"})
+    return E.value_counts(E.true_match_column_types(matches, weight="n"), "column_type", weight="n")
 
 
 def precision_at_k(spark: SparkSession, d: str) -> DataFrame:
-    return E.precision_at_k(M.labelled(spark, d))
+    s = M.sparse(spark, d)
+    return E.precision_at_k(lambda score, n: SP.top_pairs(s, score, n))
 
 
 def histogram(spark: SparkSession, d: str) -> DataFrame:
-    h = E.score_histogram(M.labelled(spark, d))
+    h = E.score_histogram(M.weighted(spark, d), weight="n")
     return h.select("method", "is_match", "bin", F.round("bin_lo", 9).alias("bin_lo"),
                     F.round("bin_hi", 9).alias("bin_hi"), "count", F.round("density", 6).alias("density"))
 
 
+CONTEXT = "embedding_header_context_cosine"
+
+
 def false_pos(spark: SparkSession, d: str) -> DataFrame:
-    return E.top_false_positives(M.labelled(spark, d), n=10)
+    return E.top_false_positives(SP.top_pairs(M.sparse(spark, d), CONTEXT, 10, label=0), n=10)
 
 
 def false_neg(spark: SparkSession, d: str) -> DataFrame:
-    return E.top_false_negatives(M.labelled(spark, d), n=10)
+    return E.top_false_negatives(SP.top_pairs(M.sparse(spark, d), CONTEXT, 10, label=1, ascending=True), n=10)
 
 
 def error_types(spark: SparkSession, d: str) -> DataFrame:
-    return E.error_types(M.labelled(spark, d), n=200)
+    return E.error_types(SP.top_pairs(M.sparse(spark, d), CONTEXT, 200, label=0), n=200)
 
 
 def match_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return E.match_pivot(M.labelled(spark, d))
+    return E.match_pivot(SP.labels_per_grid(M.sparse(spark, d)), weight="n")
 
 
 def curves(spark: SparkSession, d: str) -> DataFrame:

@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from schemaweave.constants import PAIR_KEY
 from schemaweave.functions.text import with_expanded, with_normalized
-from schemaweave.operators.evaluate import labelled_scores
-from schemaweave.operators.pairs import attach_context, candidate_pairs, last_descriptions
-from schemaweave.operators.similarity import score_pairs
+from schemaweave.operators import sparse as SP
+from schemaweave.operators.pairs import pairs_with_context
 from schemaweave.session import scratch_path
 
 # --- fixed values: abbreviation rules used on the part-name catalog (chained) ---
@@ -24,13 +23,13 @@ PART_RULES = [("rod", "rod_bar"), ("bar", "bar_stock"), ("gizmo", "gadget")]
 
 SCORE_DIGITS = 9
 
-# Session-level materialisation of the bounded intermediate tables (pairs,
-# scores, labelled scores): built once per application and data folder,
-# written as Parquet into the shared checkpoint folder (lineage cut, columnar
-# write and read) and read by every evaluation query -- the reference likewise
-# writes its score table once and re-reads it in each evaluation step.
+# Session-level materialisation of the intermediate tables (catalog, text
+# pairs): built once per application and data folder, written as Parquet into
+# the shared checkpoint folder (lineage cut, columnar write and read) and read
+# by every evaluation query -- the reference likewise writes its score table
+# once and re-reads it in each evaluation step.
 _MEMO: dict = {}
-PART_KEYS = ("part_catalog", "repr", "scores", "labelled")
+PART_KEYS = ("part_catalog",)
 
 
 def table_stamp(spark: SparkSession, path: str) -> tuple:
@@ -41,12 +40,17 @@ def table_stamp(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(root)))
 
 
+def written(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
+    """``df`` written to the shared scratch folder and read back."""
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _materialised(spark: SparkSession, key: str, d: str, build) -> DataFrame:
     k = (spark.sparkContext.applicationId, key, d, table_stamp(spark, f"{d}/part.parquet" if key in PART_KEYS else d))
     if k not in _MEMO:
-        path = scratch_path(spark, key)
-        build().write.mode("overwrite").parquet(path)
-        _MEMO[k] = spark.read.parquet(path)
+        _MEMO[k] = written(spark, key, build())
     return _MEMO[k]
 
 
@@ -88,33 +92,24 @@ def _part_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 def pairs_repr(spark: SparkSession, d: str) -> DataFrame:
     """All cross-dataset pairs with their texts (the catalog's square, not the rows')."""
-    def build():
-        cat = part_catalog(spark, d)
-        return attach_context(candidate_pairs(cat), cat)
-    return _materialised(spark, "repr", d, build)
+    return pairs_with_context(part_catalog(spark, d))
 
 
-def similarity_scores(spark: SparkSession, d: str) -> DataFrame:
-    """J1 -> J3 -> {Q1, Q2 -> Q3} -> J2; scores rounded to 9 dp."""
-    return _materialised(spark, "scores", d, lambda: _similarity_scores(spark, d))
-
+def sparse(spark: SparkSession, d: str) -> SP.SparseScores:
+    """J1 -> J3 -> {Q1, Q2 -> Q3} -> J2 and the labels, as weighted text pairs; built once per session.
 
-def _similarity_scores(spark: SparkSession, d: str) -> DataFrame:
-    out = score_pairs(pairs_repr(spark, d))
-    return out.withColumns({c: F.round(c, SCORE_DIGITS) for c in
-                            ["lexical_jaccard", "embedding_header_only_cosine", "embedding_header_context_cosine"]})
+    Label: 1 when both columns carry the same description (part type)."""
+    k = (spark.sparkContext.applicationId, "sparse", d, table_stamp(spark, f"{d}/part.parquet"))
+    if k not in _MEMO:
+        _MEMO[k] = SP.sparse_scores(part_catalog(spark, d), lambda name, df: written(spark, name, df), digits=SCORE_DIGITS)
+    return _MEMO[k]
 
 
-def truth_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Pair label: 1 when both columns carry the same description (part type)."""
-    desc = last_descriptions(part_catalog(spark, d))
-    l = desc.withColumnsRenamed({"city": "left_city", "column_final": "left_column_final", "description": "_ld"})
-    r = desc.withColumnsRenamed({"city": "right_city", "column_final": "right_column_final", "description": "_rd"})
-    pairs = pairs_repr(spark, d).select(*PAIR_KEY).distinct()
-    j = pairs.join(l, ["left_city", "left_column_final"]).join(r, ["right_city", "right_column_final"])
-    return j.select(*PAIR_KEY, F.when(F.col("_ld") == F.col("_rd"), F.lit("1")).otherwise(F.lit("")).alias("is_match"))
+def similarity_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The scores of every column pair, rounded to 9 dp."""
+    return SP.all_pairs_scored(sparse(spark, d)).select(*PAIR_KEY, "lexical_jaccard", "exact_match", *SP.SCORES[1:])
 
 
-def labelled(spark: SparkSession, d: str) -> DataFrame:
-    return _materialised(spark, "labelled", d,
-                         lambda: labelled_scores(similarity_scores(spark, d), truth_labels(spark, d)))
+def weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Scores and labels of all column pairs as rows with a number ``n`` of pairs."""
+    return SP.weighted_pairs(sparse(spark, d))
