@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from schemaweave.constants import PAIR_KEY
@@ -21,44 +21,38 @@ def lexical_scores(pairs: DataFrame, left: str = "left_header_only",
 
 
 # --- Q2 + Q3 + U3 -----------------------------------------------------------------------
-def tfidf_vectors(docs: DataFrame, text_col: str, max_features: int = 100) -> DataFrame:
-    """Fit TF-IDF on a corpus of documents and return one L2-unit vector per
-    distinct text as ``(text, vec map<string,double>)``.
-
-    tf = raw count; idf = ln((1+n)/(1+df)) + 1; the vocabulary is the
-    ``max_features`` terms of highest corpus frequency, ties by term.
-    Documents are first collapsed to distinct texts with an occurrence count,
-    so repeated texts cost nothing.  The vocabulary (bounded by
-    ``max_features``) and the corpus size are the fitted state brought to the
-    driver.
+def tfidf_postings(docs: DataFrame, space: Sequence[str], key: str, max_features: int = 100) -> DataFrame:
+    """Fit TF-IDF on weighted documents (``space`` columns, ``key``, text, occ) and return the L2-unit
+    weights (space, term, ``key``, w) of every document; each space is a corpus with a vocabulary of its own.
+
+    tf = raw count; idf = ln((1+n)/(1+df)) + 1 with ``occ`` occurrences of every document;
+    the vocabulary is the ``max_features`` terms of highest corpus frequency, ties by term.  The fitted
+    state, at most ``max_features`` terms a space, is joined as a broadcast.
     """
-    return tfidf_from_occurrences(docs.groupBy(F.col(text_col).alias("text")).agg(F.count(F.lit(1)).alias("occ")), max_features)
-
-
-def tfidf_from_occurrences(occ: DataFrame, max_features: int = 100) -> DataFrame:
-    """:func:`tfidf_vectors` of a corpus given as distinct texts with their occurrences (text, occ)."""
-    tf = (occ.select("text", "occ", F.explode(tfidf_terms(F.coalesce("text", F.lit("")))).alias("term"))
-          .groupBy("text", "occ", "term").agg(F.count(F.lit(1)).alias("tf")))
-    stats = tf.groupBy("term").agg(F.sum(F.col("occ") * F.col("tf")).alias("freq"),
-                                   F.sum("occ").alias("df"))
-    # one job brings both fitted values: the top terms and (as a row with a
-    # null term) the corpus size
-    top = stats.orderBy(F.desc("freq"), F.asc("term")).limit(max_features)
-    total = occ.agg(F.sum("occ").alias("freq")).select(F.lit(None).cast("string").alias("term"), "freq",
-                                                        F.lit(None).cast("bigint").alias("df"))
-    fitted = top.select("term", "freq", "df").unionByName(total).collect()
-    n_docs = next((r["freq"] for r in fitted if r["term"] is None), 0) or 0
-    vocab = [r for r in fitted if r["term"] is not None]
-    if not vocab:
-        return occ.select("text", F.create_map().cast("map<string,double>").alias("vec"))
-    idf = F.create_map(*[x for r in vocab for x in (
-        F.lit(r["term"]), F.log((1.0 + n_docs) / (1.0 + F.lit(r["df"]).cast("double"))) + 1.0)])
-    w = tf.select("text", "term", (F.col("tf") * F.element_at(idf, F.col("term"))).alias("w"))
-    w = w.where(F.col("w").isNotNull())
-    per_text = w.groupBy("text").agg(F.collect_list(F.struct("term", "w")).alias("tw"),
-                                     F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    vec = F.map_from_entries(F.transform("tw", lambda e: F.struct(e["term"], e["w"] / F.col("norm"))))
-    return occ.select("text").join(per_text.select("text", vec.alias("vec")), "text", "left").select(
+    by = list(space)
+    tf = (docs.select(*by, key, "occ", F.explode(tfidf_terms(F.coalesce("text", F.lit("")))).alias("term"))
+          .groupBy(*by, key, "occ", "term").agg(F.count(F.lit(1)).alias("tf")))
+    stats = tf.groupBy(*by, "term").agg(F.sum(F.col("occ") * F.col("tf")).alias("freq"), F.sum("occ").alias("df"))
+    best = Window.partitionBy(*by).orderBy(F.desc("freq"), F.asc("term"))
+    top = stats.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= max_features)
+    size = docs.groupBy(*by).agg(F.sum("occ").alias("_n"))
+    idf = F.log((1.0 + F.col("_n")) / (1.0 + F.col("df").cast("double"))) + 1.0
+    vocab = top.join(size, by).select(*by, "term", idf.alias("idf"))
+    w = tf.join(F.broadcast(vocab), [*by, "term"]).select(*by, key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by, key)))  # over one document's terms
+    return w.select(*by, "term", key, (F.col("w") / norm).alias("w"))
+
+
+def tfidf_vectors(docs: DataFrame, text_col: str, max_features: int = 100) -> DataFrame:
+    """TF-IDF of a corpus of documents as one L2-unit vector per distinct text,
+    ``(text, vec map<string,double>)``; see :func:`tfidf_postings`.  Documents are first
+    collapsed to distinct texts with an occurrence count, so repeated texts cost nothing."""
+    occ = docs.groupBy(F.col(text_col).alias("text")).agg(F.count(F.lit(1)).alias("occ"))
+    # the text is its own key; a null text has no terms
+    w = tfidf_postings(occ.where("text is not null").select(F.lit(0).alias("_s"), F.col("text").alias("_k"), "text", "occ").union(
+        occ.where("text is null").select(F.lit(0), F.lit(""), F.lit(""), "occ")), ["_s"], "_k", max_features)
+    vecs = w.groupBy(F.col("_k").alias("text")).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("vec"))
+    return occ.select("text").join(vecs, "text", "left").select(
         "text", F.coalesce("vec", F.create_map().cast("map<string,double>")).alias("vec"))
 
 
@@ -68,33 +62,37 @@ def map_dot(a: Column, b: Column) -> Column:
     return F.aggregate(prods, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def with_tfidf_cosine(pairs: DataFrame, left_text: str, right_text: str, out_col: str,
-                      max_features: int = 100) -> DataFrame:
-    """``pairs`` with the cosine of the two sides' TF-IDF vectors; the corpus is
-    both sides of every pair (a text counts once per pair side).
+def with_tfidf_cosines(pairs: DataFrame, spaces: Sequence[tuple[str, str, str]], max_features: int = 100) -> DataFrame:
+    """``pairs`` with, per (left text, right text, out) of ``spaces``, the cosine of the two sides' TF-IDF
+    vectors; a space's corpus is both sides of every pair (a text counts once per pair side).
 
     The vectors, one per distinct text, are looked up for each side, so a pair is
     scored in place; no join on the pair key is needed."""
-    corpus = pairs.select(F.col(left_text).alias("t")).unionAll(pairs.select(F.col(right_text).alias("t")))
-    vecs = tfidf_vectors(corpus, "t", max_features)
-    lv = vecs.select(F.col("text").alias("_lt"), F.col("vec").alias("_lv"))
-    rv = vecs.select(F.col("text").alias("_rt"), F.col("vec").alias("_rv"))
-    j = pairs.join(lv, pairs[left_text].eqNullSafe(lv["_lt"]), "left").join(rv, pairs[right_text].eqNullSafe(rv["_rt"]), "left")
-    return j.select(*pairs.columns, F.coalesce(map_dot(F.col("_lv"), F.col("_rv")), F.lit(0.0)).alias(out_col))
+    j = pairs
+    for i, (left, right, out) in enumerate(spaces):
+        corpus = pairs.select(F.col(left).alias("t")).unionAll(pairs.select(F.col(right).alias("t")))
+        vecs = tfidf_vectors(corpus, "t", max_features)
+        lv = vecs.select(F.col("text").alias(f"_lt{i}"), F.col("vec").alias(f"_lv{i}"))
+        rv = vecs.select(F.col("text").alias(f"_rt{i}"), F.col("vec").alias(f"_rv{i}"))
+        j = j.join(lv, F.col(left).eqNullSafe(F.col(f"_lt{i}")), "left").join(rv, F.col(right).eqNullSafe(F.col(f"_rt{i}")), "left")
+    return j.select(*pairs.columns, *[F.coalesce(map_dot(F.col(f"_lv{i}"), F.col(f"_rv{i}")), F.lit(0.0)).alias(out)
+                                      for i, (_, _, out) in enumerate(spaces)])
 
 
 def tfidf_cosine(pairs: DataFrame, left_text: str, right_text: str, out_col: str,
                  max_features: int = 100) -> DataFrame:
-    return with_tfidf_cosine(pairs, left_text, right_text, out_col, max_features).select(*PAIR_KEY, out_col)
+    return with_tfidf_cosines(pairs, [(left_text, right_text, out_col)], max_features).select(*PAIR_KEY, out_col)
+
+
+_SPACES = [("left_header_only", "right_header_only", "embedding_header_only_cosine"),
+           ("left_header_with_context", "right_header_with_context", "embedding_header_context_cosine")]
 
 
 def score_pairs(pairs_repr: DataFrame, max_features: int = 100) -> DataFrame:
-    """All four scores for every pair (Q1 + Q2/Q3, as J2 merges them), computed in
-    one projection over the pairs with their looked-up vectors."""
-    lh, rh, lc, rc = ("left_header_only", "right_header_only", "left_header_with_context",
-                      "right_header_with_context")
-    j = with_tfidf_cosine(pairs_repr, lh, rh, "embedding_header_only_cosine", max_features)
-    j = with_tfidf_cosine(j, lc, rc, "embedding_header_context_cosine", max_features)
+    """All four scores (Q1 + Q2/Q3, as J2 merges them) of any given pairs with their texts.  For all pairs
+    of a catalog use :mod:`sparse`, which fits and scores without the table of pairs."""
+    lh, rh = "left_header_only", "right_header_only"
+    j = with_tfidf_cosines(pairs_repr, _SPACES, max_features)
     return j.select(*PAIR_KEY, jaccard(tokenize(F.col(lh)), tokenize(F.col(rh))).alias("lexical_jaccard"),
                     exact_match(lh, rh).alias("exact_match"), "embedding_header_only_cosine",
                     "embedding_header_context_cosine")
@@ -102,9 +100,7 @@ def score_pairs(pairs_repr: DataFrame, max_features: int = 100) -> DataFrame:
 
 def embedding_scores(pairs_repr: DataFrame, max_features: int = 100) -> DataFrame:
     """Header-only and header+context cosines (separate vocabularies)."""
-    h = with_tfidf_cosine(pairs_repr, "left_header_only", "right_header_only", "embedding_header_only_cosine", max_features)
-    return with_tfidf_cosine(h, "left_header_with_context", "right_header_with_context", "embedding_header_context_cosine",
-                             max_features).select(*PAIR_KEY, "embedding_header_only_cosine", "embedding_header_context_cosine")
+    return with_tfidf_cosines(pairs_repr, _SPACES, max_features).select(*PAIR_KEY, *[out for _, _, out in _SPACES])
 
 
 # --- bounded target lists ------------------------------------------------------------------

@@ -23,65 +23,68 @@ from pyspark.sql import functions as F
 
 from schemaweave.constants import PAIR_KEY
 from schemaweave.functions.classify import classify_column
-from schemaweave.functions.text import context_text, tfidf_terms, tokenize
+from schemaweave.functions.text import context_text, tokenize
 from schemaweave.operators.keyed import ranked_by_group
 from schemaweave.operators.pairs import last_descriptions, paired_columns
-from schemaweave.operators.similarity import tfidf_from_occurrences
+from schemaweave.operators.similarity import tfidf_postings
 
 SCORES = ["lexical_jaccard", "embedding_header_only_cosine", "embedding_header_context_cosine"]
 Write = Callable[[str, DataFrame], DataFrame]  # writes a table under a name and reads it back
 
 
-@dataclass(frozen=True)
+@dataclass
 class SparseScores:
-    """columns: city, ord, column_original, column_final, pos, u (its text), rank (0-based, by name in its city);
-    texts: u, column_final, description; sizes: city, ord, n; pairs: u <= v with scores, exact_match, is_match and n,
-    the number of column pairs of different cities with these texts; total: number of all such pairs."""
+    """columns: city, ord, column_original, column_final, u (its text); texts: u, column_final, description;
+    sizes: city, ord, n; pairs: u <= v with scores, exact_match, is_match and n, the number of column pairs of
+    different cities with these texts; total: number of all such pairs."""
 
     columns: DataFrame
     texts: DataFrame
     sizes: DataFrame
     pairs: DataFrame
     total: int
+    write: Write
+    _ranked: DataFrame | None = None
+
+    def ranked(self) -> DataFrame:
+        """columns with rank, 0-based by name within the city; written when first asked for."""
+        if self._ranked is None:
+            order = F.struct("column_final", "column_original", F.monotonically_increasing_id().alias("i"))
+            self._ranked = self.write("sparse_ranked", ranked_by_group(self.columns.withColumn("_k", order), ["city"], "_k", "rank").drop("_k"))
+        return self._ranked
 
 
 def catalog_columns(catalog: DataFrame, write: Write) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(columns, texts, sizes) of a catalog; equal to the pair operators in names, descriptions and order."""
     last = last_descriptions(catalog).withColumnsRenamed({"city": "_c", "column_final": "_f", "description": "_d"})
-    sizes = write("sparse_sizes", catalog.groupBy("city").agg(F.min("ds_order").alias("ord"), F.count(F.lit(1)).alias("n")))
+    sizes = catalog.groupBy("city").agg(F.min("ds_order").alias("ord"), F.count(F.lit(1)).alias("n"))
     named = catalog.join(last, F.col("city").eqNullSafe(F.col("_c")) & F.col("column_final").eqNullSafe(F.col("_f")), "left").select(
         "city", "column_original", "column_final", F.coalesce("_d", F.lit("")).alias("description"))
     texts = write("sparse_texts", named.select("column_final", "description").distinct().withColumn("u", F.monotonically_increasing_id()))
-    order = F.struct("column_final", "column_original", F.monotonically_increasing_id().alias("i"))
     key = texts.withColumnsRenamed({"column_final": "_f", "description": "_d"})
-    joined = (named.join(key, F.col("column_final").eqNullSafe(F.col("_f")) & (F.col("description") == F.col("_d")))
-              .join(sizes.select("city", "ord"), "city").select("city", "ord", "column_original", "column_final", "u", order.alias("_k")))
-    columns = write("sparse_columns", ranked_by_group(joined, ["city"], "_k", "rank").drop("_k"))
-    return columns, texts, sizes
+    columns = (named.join(key, F.col("column_final").eqNullSafe(F.col("_f")) & (F.col("description") == F.col("_d")))
+               .join(sizes.select("city", "ord"), "city").select("city", "ord", "column_original", "column_final", "u"))
+    return write("sparse_columns", columns), texts, sizes
 
 
-def _postings(columns: DataFrame, texts: DataFrame, sizes: DataFrame, max_features: int) -> DataFrame:
-    """(kind, term, u, w, n_terms): tokens, both TF-IDF spaces, and equal names and descriptions."""
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+def _postings(columns: DataFrame, texts: DataFrame, sizes: DataFrame, total: int, max_features: int) -> DataFrame:
+    """(kind, term, u, w): tokens, both TF-IDF spaces, and equal names and descriptions."""
     # a column is a side of as many pairs as there are columns in the other datasets
     occ = (columns.join(sizes.select("city", "n"), "city").groupBy("u").agg(F.sum(F.lit(total) - F.col("n")).alias("occ")))
     t = texts.join(occ, "u").withColumn("context", context_text(F.col("column_final"), F.col("description")))
-    parts = [t.select(F.lit("token").alias("kind"), F.explode(tokenize("column_final")).alias("term"), "u", F.lit(1.0).alias("w")),
-             t.select(F.lit("name"), "column_final", "u", F.lit(0.0)), t.select(F.lit("description"), "description", "u", F.lit(0.0))]
-    for kind, text in (("header", "column_final"), ("context", "context")):
-        fitted = tfidf_from_occurrences(t.groupBy(F.col(text).alias("text")).agg(F.sum("occ").alias("occ")), max_features)
-        vec = fitted.select(F.col("text").alias("_t"), F.explode("vec").alias("term", "w"))
-        parts.append(t.join(vec, F.col(text).eqNullSafe(F.col("_t"))).select(F.lit(kind), "term", "u", "w"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    kind = lambda name, value, as_: F.struct(F.lit(name).alias("kind"), value.alias(as_))
+    spaces = t.select("u", "occ", F.inline(F.array(kind("header", F.col("column_final"), "text"), kind("context", F.col("context"), "text"))))
+    plain = t.select("u", F.inline(F.concat(
+        F.transform(tokenize(F.coalesce("column_final", F.lit(""))), lambda x: kind("token", x, "term")),
+        F.array(kind("name", F.col("column_final"), "term"), kind("description", F.col("description"), "term")))))
+    return plain.select("kind", "term", "u", F.lit(1.0).alias("w")).union(tfidf_postings(spaces, ["kind"], "u", max_features).select("kind", "term", "u", "w"))
 
 
 def sparse_scores(catalog: DataFrame, write: Write, max_features: int = 100, digits: int = 9) -> SparseScores:
     """Every text pair with a score or label other than 0 (see the module)."""
     columns, texts, sizes = catalog_columns(catalog, write)
-    posts = write("sparse_postings", _postings(columns, texts, sizes, max_features))
+    n, squares = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0))).first()
+    posts = write("sparse_postings", _postings(columns, texts, sizes, n, max_features))
     a, b = posts.alias("a"), posts.alias("b")
     of = lambda kind, x: F.sum(F.when(F.col("a.kind") == kind, x).otherwise(0.0))
     met = (a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.u") <= F.col("b.u")))
@@ -92,22 +95,20 @@ def sparse_scores(catalog: DataFrame, write: Write, max_features: int = 100, dig
     # column pairs of a text pair: all, less those inside one city
     held = columns.groupBy("u", "city").agg(F.count(F.lit(1)).alias("k"))
     one, two = held.withColumnsRenamed({"k": "ku"}), held.withColumnsRenamed({"u": "v", "k": "kv"})
-    inside = (met.select("u", "v").join(one, "u").join(two, ["v", "city"], "left").groupBy("u", "v")
-              .agg(F.sum(F.col("ku") * F.coalesce("kv", F.lit(0))).alias("inside")))
-    size = columns.groupBy("u").agg(F.count(F.lit(1)).alias("k"))
-    n_terms = texts.select("u", "column_final", "description", F.size(tokenize("column_final")).alias("m"))
-    left = size.join(n_terms, "u").select("u", F.col("k").alias("nu"), F.col("m").alias("mu"), F.col("column_final").alias("u_final"))
-    right = size.join(n_terms, "u").select(F.col("u").alias("v"), F.col("k").alias("nv"), F.col("m").alias("mv"), F.col("column_final").alias("v_final"))
-    j = met.join(inside, ["u", "v"]).join(left, "u").join(right, "v")
-    n = F.when(F.col("u") == F.col("v"), ((F.col("nu") * F.col("nu") - F.col("inside")) / 2).cast("long")).otherwise(F.col("nu") * F.col("nv") - F.col("inside"))
+    inside = (met.select("u", "v").join(one, "u").join(two, ["v", "city"]).groupBy("u", "v")
+              .agg(F.sum(F.col("ku") * F.col("kv")).alias("inside")))
+    side = (columns.groupBy("u").agg(F.count(F.lit(1)).alias("k"))
+            .join(texts.select("u", F.col("column_final").alias("final"), F.size(tokenize("column_final")).alias("m")), "u"))
+    left = side.select("u", F.col("k").alias("nu"), F.col("m").alias("mu"), F.col("final").alias("u_final"))
+    right = side.select(F.col("u").alias("v"), F.col("k").alias("nv"), F.col("m").alias("mv"), F.col("final").alias("v_final"))
+    j = met.join(inside, ["u", "v"], "left").withColumn("inside", F.coalesce("inside", F.lit(0))).join(left, "u").join(right, "v")
+    pairs_n = F.when(F.col("u") == F.col("v"), F.expr("(nu * nu - inside) div 2")).otherwise(F.col("nu") * F.col("nv") - F.col("inside"))
     union = F.col("mu") + F.col("mv") - F.col("shared")
     lexical = F.when(F.col("shared") > 0, F.col("shared") / union).otherwise(0.0)
     pairs = j.select("u", "v", "u_final", "v_final", F.round(lexical, digits).alias(SCORES[0]), F.round("header", digits).alias(SCORES[1]),
-                     F.round("context", digits).alias(SCORES[2]), "exact_match", "is_match", n.alias("n"),
+                     F.round("context", digits).alias(SCORES[2]), "exact_match", "is_match", pairs_n.alias("n"),
                      _type_of(F.col("u_final"), F.col("v_final")).alias("column_type"))
-    pairs = write("sparse_pairs", pairs.where("n > 0"))
-    total = sizes.agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long")).first()[0] or 0
-    return SparseScores(columns, texts, sizes, pairs, total)
+    return SparseScores(columns, texts, sizes, write("sparse_pairs", pairs.where("n > 0")), (n * n - squares) // 2, write)
 
 
 def _type_of(a: Column, b: Column) -> Column:
@@ -167,8 +168,9 @@ def _cells(s: SparseScores, grids: DataFrame) -> DataFrame:
     """The first ``take`` column pairs in key order of every dataset pair of ``grids``."""
     at = grids.where("take > 0").select("left_city", "right_city", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("take") - 1)).alias("i"))
     at = at.select("left_city", "right_city", F.expr("i div width").alias("_lr"), (F.col("i") % F.col("width")).alias("_rr"))
-    left = s.columns.select(F.col("city").alias("left_city"), F.col("rank").alias("_lr"), F.col("column_final").alias("left_column_final"), F.col("u").alias("_lu"))
-    right = s.columns.select(F.col("city").alias("right_city"), F.col("rank").alias("_rr"), F.col("column_final").alias("right_column_final"), F.col("u").alias("_ru"))
+    columns = s.ranked()
+    left = columns.select(F.col("city").alias("left_city"), F.col("rank").alias("_lr"), F.col("column_final").alias("left_column_final"), F.col("u").alias("_lu"))
+    right = columns.select(F.col("city").alias("right_city"), F.col("rank").alias("_rr"), F.col("column_final").alias("right_column_final"), F.col("u").alias("_ru"))
     return at.join(left, ["left_city", "_lr"]).join(right, ["right_city", "_rr"])
 
 
@@ -238,9 +240,11 @@ def top_per_grid(s: SparseScores, by: str, n: int) -> DataFrame:
     counted = hits.groupBy(*city).agg(F.count(F.lit(1)).alias("hits"))
     short = (_grids(s).join(counted, city, "left").withColumn("hits", F.coalesce("hits", F.lit(0))).where(F.col("hits") < n)
              .withColumn("take", F.least(F.col("cells"), F.col("hits") + n)))
-    fill = _scored(s, _cells(s, short)).where(F.col(by) == 0).select(*cols)
+    short = s.write("sparse_short", short)
+    if short.take(1):
+        hits = hits.union(_scored(s, _cells(s, short)).where(F.col(by) == 0).select(*cols))
     best = Window.partitionBy(*city).orderBy(F.desc(by), *[F.asc(k) for k in PAIR_KEY[2:]])
-    return hits.union(fill).withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= n).drop("_rn")
+    return hits.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= n).drop("_rn")
 
 
 def labels_per_grid(s: SparseScores) -> DataFrame:
