@@ -14,14 +14,15 @@ diagonal, so it is found inside that band, exactly.
 Equal texts are one representative from the start.  In each sketch bucket every
 representative is first aligned with the bucket's smallest one.  Buckets that then
 still hold several classes are compared in blocks: the members outside the bucket's
-largest class with all members of other classes.  Before any text is fetched, the
-shingles' numbers by hash slot bound the common ones from above and rule pairs out
-exactly; only the pairs that remain leave a block.  Links are never collected;
-classes come from connected components.
+largest class with all members of other classes, aligned where the blocks meet, and a
+spanning forest of the links found goes out.  Before any alignment the shingles'
+numbers by hash slot bound the common ones from above and rule pairs out
+exactly.  Links are never collected; classes come from connected components.
 
 A null text is alone in its class; equal texts without words share one.  Repeated
-rows (same doc_id) are one document with the smallest of its texts.  A null
-doc_id is ignored.  An empty table gives an empty result.
+rows (same doc_id) are one document with that of its texts whose SHA-256 is
+smallest; ``row_ids`` tells them apart where every row counts.  A null doc_id is
+ignored.  Extra columns are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -206,58 +207,103 @@ def _verify(pairs: DataFrame, texts: DataFrame, sigs: DataFrame, least: float) -
     return two.mapInArrow(run, "a long, b long")
 
 
-def _across(held: DataFrame, sigs: DataFrame, least: float, block: int) -> DataFrame:
-    """(a, b): pairs of different classes within a bucket that may be similar.
+def _shingled(texts: DataFrame) -> DataFrame:
+    """(id, h): the labelled shingles of the texts, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHash()
+        for batch, part in chunks(batches, max_chars=500_000):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingles(t, words).tobytes() for t in part], pa.binary())],
+                                             names=["id", "h"])
+
+    return texts.mapInArrow(run, "id long, h binary")
+
+
+def _across(held: DataFrame, texts: DataFrame, least: float, block: int, load: int = 200_000) -> DataFrame:
+    """(a, b): links between different classes within the buckets, a spanning forest per two blocks.
 
     ``held`` has key, id, n and the class c.  Buckets of two were settled with
     their smallest member, and buckets of the same members are compared once.
-    Members are dealt into blocks, and a block of those outside the largest class
-    meets each block of the bucket."""
-    per = held.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"))
-    keys = (per.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("m").alias("size"), F.bit_xor("x").alias("x"),
+    Members are dealt into blocks of about ``block`` rows or ``load`` shingles; a block of
+    those outside the largest class meets each block of the bucket.  The shingles come along,
+    so pairs are aligned where they meet: each pair that the shingles' numbers by hash slot
+    do not rule out and that is not yet connected through other links.  Only links
+    that connect leave a task, fewer than its members, however many pairs it holds."""
+    per = held.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("id")).alias("x"))
+    keys = (per.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.sum("m").alias("size"), F.sum("w").alias("w"), F.bit_xor("x").alias("x"),
                                    F.max(F.struct("m", (-F.col("c")).alias("low"))).alias("most"))
             .where("classes > 1 and size > 2").groupBy("x", "size")
-            .agg(F.min(F.struct("key", (-F.col("most.low")).alias("main"), (F.col("size") - F.col("most.m")).alias("out"))).alias("k"))
-            .select(F.col("k.key").alias("key"), "size", F.col("k.main").alias("main"), F.col("k.out").alias("out")))
-    rows = held.join(keys, "key").join(sigs, "id")
-    rows = materialise(rows, "omh-open")
-    deal = lambda df, n, name: (df.groupBy("key", F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / block)).alias("chunk"))
-                                .agg(F.collect_list(F.struct("id", "n", "c", "sig")).alias(name)).drop("chunk"))
-    work = deal(rows.where("c <> main"), "out", "o").join(deal(rows, "size", "m"), "key")
+            .agg(F.min(F.struct("key", (-F.col("most.low")).alias("main"), (F.col("size") - F.col("most.m")).alias("out"), "w")).alias("k"))
+            .select(F.col("k.key").alias("key"), F.col("k.main").alias("main"),
+                    F.ceil(F.col("size") / block + F.col("k.w") / load).alias("ms"),
+                    F.ceil(F.col("k.out") / block + F.col("k.w") / load).alias("os")))
+    rows = materialise(held.join(keys, "key"), "omh-open")
+    h = materialise(_shingled(texts.join(rows.select("id").distinct(), "id", "left_semi")), "omh-shingles")
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    out = rows.where("c <> main").select("key", "id", "n", "c", at("os").alias("o"), every("ms").alias("m"), F.lit(0).alias("side"))
+    all_ = rows.select("key", "id", "n", "c", every("os").alias("o"), at("ms").alias("m"), F.lit(1).alias("side"))
+    work = out.union(all_).join(h, "id").repartition("key", "o", "m").sortWithinPartitions("key", "o", "m", "side", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members, root = None, [], {}
+        left: list[int] = []
+        right: list[int] = []
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                o, m = (batch.column(c)[i].values for c in "om")
-                ids, n, c = (m.field(x).to_numpy() for x in ("id", "n", "c"))
-                rows = slots(m.field("sig").to_pylist())
-                left, right = [], []
-                for one, size, cls, sig in zip(*(o.field(x).to_pylist() for x in ("id", "n", "c", "sig"))):
-                    ok = np.nonzero((c != cls) & (np.minimum(n, size) >= least * np.maximum(n, size)))[0]
-                    ok = ok[possible(sig, rows[ok], least)]
-                    left += [min(one, x) for x in ids[ok].tolist()]
-                    right += [max(one, x) for x in ids[ok].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            heads = list(zip(*(batch.column(c).to_pylist() for c in ("key", "o", "m"))))
+            cols = [batch.column(c).to_pylist() for c in ("id", "n", "c", "side", "h")]
+            for head, i, n, c, side, raw in zip(heads, *cols):
+                if head != now:  # the block of those outside the largest class comes first
+                    now, members, root = head, [], {}
+                    held_sig, held_n, held_c = None, None, None
+                shingle = np.frombuffer(raw, dtype=np.uint64)
+                # a class is connected already: its members stand for it
+                root.setdefault(("c", c), ("c", c))
+                if side == 0:
+                    members.append((i, n, c, shingle))
+                    continue
+                if held_sig is None:
+                    held_sig = slots([signature(x[3]) for x in members]) if members else np.zeros((0, SLOTS), np.int16)
+                    held_n, held_c = np.array([x[1] for x in members]), np.array([x[2] for x in members])
+                if not members:
+                    continue
+                ok = np.nonzero((held_c != c) & (np.minimum(held_n, n) >= least * np.maximum(held_n, n)))[0]
+                ok = ok[possible(signature(shingle), held_sig[ok], least)]
+                for k in ok.tolist():
+                    other, _, cls, theirs = members[k]
+                    x, y = find(("c", c)), find(("c", cls))
+                    if x != y and aligned(theirs, shingle, least):
+                        root[x] = y
+                        left.append(min(i, other))
+                        right.append(max(i, other))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            left, right = [], []
 
     return work.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, sketch_sets=SKETCHES, block: int = 256) -> DataFrame:
-    """(doc_id, class_id, kept): class_id is the smallest doc_id of the class, kept marks that document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+def text_classes(texts: DataFrame, least: float = 0.8, sketch_sets=SKETCHES, block: int = 256) -> DataFrame:
+    """(id, class_id) of every id: class_id is the smallest id of its class.  ``texts`` has id (long, not
+    null) and text; rows that repeat an id must repeat its text."""
     # equal texts: one representative, the smallest id
-    digest = F.when(F.col("text").isNull(), F.concat(F.lit("null "), F.col("doc_id").cast("string"))).otherwise(F.sha2(F.col("text"), 256))
-    rows = materialise(docs.select("doc_id", digest.alias("digest")), "omh-digest").groupBy("doc_id").agg(F.min("digest").alias("digest"))
-    same = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("id")), "omh-same")  # so that the join can split a hot digest
-    member = materialise(rows.join(same, "digest").select("doc_id", "id", "digest"), "omh-member")
-    first = member.where("doc_id = id")
-    changed = docs.count() != rows.count()
+    digest = F.when(F.col("text").isNull(), F.concat(F.lit("null "), F.col("id").cast("string"))).otherwise(F.sha2(F.col("text"), 256))
+    rows = materialise(texts.select(F.col("id").alias("own"), digest.alias("digest")), "omh-digest").distinct()
+    same = materialise(rows.groupBy("digest").agg(F.min("own").alias("id")), "omh-same")  # so that the join can split a hot digest
+    member = materialise(rows.join(same, "digest").select("own", "id"), "omh-member")
+    first = same.select("id")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
-        for batch, texts in chunks(batches, max_chars=1_000_000):
+        for batch, part in chunks(batches, max_chars=1_000_000):
             ids, keys, n = [], [], []
-            for i, text in zip(batch.column("id").to_pylist(), texts):
+            for i, text in zip(batch.column("id").to_pylist(), part):
                 h = shingles(text, words)
                 k = sketches(h, sketch_sets)
                 ids.append(np.full(len(k), i, dtype=np.int64))
@@ -265,33 +311,56 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, sketch_sets=SKETCHES, b
                 keys.append(k.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, n)], names=["key", "id", "n"])
 
-    reps = docs.withColumnRenamed("doc_id", "id").where("text is not null")
-    if changed:  # repeated ids: only the text that stands for the id
-        reps = reps.withColumn("digest", F.sha2("text", 256)).join(first.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"])
-    keys = materialise(reps.select("id", "text").mapInArrow(sketch, "key long, id long, n int"), "omh-keys")
-    # copies were sketched as well, for nothing but the time: their rows go here
+    reps = texts.select("id", "text").where("text is not null")
+    keys = materialise(reps.mapInArrow(sketch, "key long, id long, n int"), "omh-keys")
+    # copies were sketched as well, for nothing but the time: their rows go here, and so do those of repeated rows
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
-    keys = materialise(keys.join(shared, "key").join(first.select("id"), "id", "left_semi").select("key", "id", "n"), "omh-shared")
+    keys = materialise(keys.join(shared, "key").join(first, "id", "left_semi").select("key", "id", "n").distinct(), "omh-shared")
     centre = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"))
     longer = F.least("n", "m") >= least * F.greatest("n", "m")  # else the lengths alone rule a link out
     star = (keys.join(centre.select("key", F.col("c.id").alias("a"), F.col("c.n").alias("m")), "key")
             .where((F.col("a") < F.col("id")) & longer).select("a", F.col("id").alias("b")).distinct())
-    texts = materialise(reps.select("id", "text").join(keys.select("id").distinct(), "id", "left_semi"), "omh-texts")
-    sigs = materialise(_signatures(texts), "omh-signatures")
-    done = materialise(star, "omh-star")
-    links = materialise(_verify(done, texts, sigs, least), "omh-links")
+    held_texts = reps.join(keys.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    held_texts = materialise(held_texts, "omh-texts")
+    sigs = materialise(_signatures(held_texts), "omh-signatures")
+    links = materialise(_verify(materialise(star, "omh-star"), held_texts, sigs, least), "omh-links")
     cls = connected_components(links)
-    while True:  # buckets that still hold several classes
-        held = materialise(keys.join(cls, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")), "omh-held")
-        more = materialise(_across(held, sigs, least, block).join(done, ["a", "b"], "left_anti"), "omh-more")
-        found = materialise(_verify(more, texts, sigs, least), "omh-links")
-        if not found.take(1):
-            break
-        done = done.union(more)
-        links = links.union(found)
-        cls = connected_components(links)
-    out = member.join(cls.select("id", "component"), "id", "left").withColumn("class_id", F.coalesce("component", "id"))
-    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    # buckets that still hold several classes
+    held = materialise(keys.join(cls, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")), "omh-held")
+    found = materialise(_across(held, held_texts, least, block), "omh-links")
+    if found.take(1):
+        cls = connected_components(links.union(found))
+    out = member.join(cls.select("id", "component"), "id", "left")
+    return out.select(F.col("own").alias("id"), F.coalesce("component", "id").alias("class_id"))
+
+
+def row_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_id``: the doc_id of the rows whose doc_id stands for one text; rows without
+    a doc_id, or whose doc_id stands for several texts, get a negative number of their own per (doc_id, text)."""
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    digest = F.coalesce(F.sha2(text, 256), F.lit("null"))
+    pairs = materialise(docs.select(doc.alias("d"), digest.alias("g")).distinct(), "omh-rows")
+    several = pairs.where("d is not null").groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d")
+    odd = pairs.join(several, "d", "left_semi").union(pairs.where("d is null"))
+    low = min(0, pairs.agg(F.min("d")).first()[0] or 0)
+    odd = materialise(odd.withColumn("s", F.lit(low - 1) - F.monotonically_increasing_id()), "omh-odd-rows")
+    if not odd.take(1):
+        return docs.withColumn("_id", doc)
+    alone = docs.where("doc_id is not null").join(several.withColumnRenamed("d", "_d"), doc == F.col("_d"), "left_anti").withColumn("_id", doc)
+    rest = docs.withColumn("_g", digest).join(odd, doc.eqNullSafe(F.col("d")) & (F.col("_g") == F.col("g")))
+    return alone.unionByName(rest.select(*docs.columns, F.col("s").alias("_id")))
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, sketch_sets=SKETCHES, block: int = 256) -> DataFrame:
+    """(doc_id, class_id, kept): class_id is the smallest doc_id of the class, kept marks that document."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
+    own = docs.groupBy("id").agg(F.min(F.coalesce(F.sha2("text", 256), F.lit("null"))).alias("g"), F.count(F.lit(1)).alias("n"))
+    again = materialise(own.where("n > 1").select("id", "g"), "omh-again")
+    if again.take(1):  # repeated ids: only the text that stands for the id, that of the smallest digest
+        chosen = docs.withColumn("g", F.coalesce(F.sha2("text", 256), F.lit("null"))).join(again, ["id", "g"]).dropDuplicates(["id"])
+        docs = docs.join(again, "id", "left_anti").union(chosen.select("id", "text"))
+    out = text_classes(docs, least, sketch_sets, block)
+    return out.select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,16 @@ def plain(token: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", token) if c.isalpha())
 
 
+class Plain(dict):
+    """Memo of a word's letters (see ``plain``) without its edges; emptied when full."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 100_000:
+            self.clear()
+        out = self[word] = plain(word.strip(_EDGES))
+        return out
+
+
 def tokens_of(text: str) -> list[str]:
     low = text.lower()
     return [t.strip(_EDGES) for t in low.split()] + _SPACED.findall(low)
@@ -122,7 +132,7 @@ def landmark_matrix(landmarks: list[str]) -> np.ndarray:
     return z
 
 
-def joined(texts: list[str], weights: np.ndarray, least: np.ndarray) -> list[list[tuple[float, str]]]:
+def joined(texts: list[str], weights: np.ndarray, least: np.ndarray, letters_of: Plain) -> list[list[tuple[float, str]]]:
     """Per text: the joined letters of each run of neighbouring words of a sentence
     (at most a window) whose value may exceed ``least``, with a bound of the value, best first.
 
@@ -130,7 +140,7 @@ def joined(texts: list[str], weights: np.ndarray, least: np.ndarray) -> list[lis
     parts, sizes, place, owner, sentence = [], [], [], [], 0
     for k, text in enumerate(texts):
         for s in sentences(text.lower()):
-            words = [p for p in (plain(t.strip(_EDGES)) for t in s.split()) if p]
+            words = list(filter(None, map(letters_of.__getitem__, s.split())))
             sentence += 1
             if len(words) > 1:
                 parts += words
@@ -167,10 +177,10 @@ def joined(texts: list[str], weights: np.ndarray, least: np.ndarray) -> list[lis
     return out
 
 
-def best_joined(texts: list[str], weights: np.ndarray, least: np.ndarray) -> list[tuple[float, str]]:
+def best_joined(texts: list[str], weights: np.ndarray, least: np.ndarray, letters_of: Plain | None = None) -> list[tuple[float, str]]:
     """Per text the joined string of the largest value, or (least, "") if none exceeds ``least``."""
     best = [(float(x), "") for x in least]
-    left = joined(texts, weights, least)
+    left = joined(texts, weights, least, Plain() if letters_of is None else letters_of)
     step = 1
     while any(left):
         tried = [(k, s) for k, found in enumerate(left) for _, s in found[:step]]
@@ -189,7 +199,7 @@ class Scores(dict):
 
     def __init__(self, weights: np.ndarray, limit: int = 200_000):
         super().__init__()
-        self.weights, self.limit = weights, limit
+        self.weights, self.limit, self.plain = weights, limit, Plain()
 
     def learn(self, tokens: set[str]) -> None:
         if len(self) > self.limit:
@@ -214,14 +224,14 @@ class Model:
 
     def values(self, texts: list[str], cache: Scores) -> np.ndarray:
         """SVM value of each text's most toxic string."""
-        found = [set(tokens_of(t)) for t in texts]
-        for at in range(0, len(found), 200):
-            cache.learn(set().union(*found[at:at + 200]))
-            for k in range(at, min(at + 200, len(found))):
-                found[k] = max(map(cache.__getitem__, found[k]), default=0.0)
-            part = slice(at, at + 200)
-            found[part] = [v for v, _ in best_joined(texts[part], self.weights, np.array(found[part], dtype=float))]
-        return np.array(found, dtype=float) + self.bias
+        out: list[float] = []
+        for at in range(0, len(texts), 200):
+            part = texts[at:at + 200]
+            found = [set(tokens_of(t)) for t in part]
+            cache.learn(set().union(*found))
+            best = np.array([max(map(cache.__getitem__, f), default=0.0) for f in found], dtype=float)
+            out += [v for v, _ in best_joined(part, self.weights, best, cache.plain)]
+        return np.array(out, dtype=float) + self.bias
 
     def scores(self, texts: list[str], cache: Scores) -> np.ndarray:
         if self.share is not None:
@@ -235,7 +245,7 @@ def association(sample: DataFrame, limit: int = 600) -> tuple[list[tuple[str, fl
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, max_chars=1_000_000):
             for y, text in zip(batch.column("y").to_pylist(), texts):
                 n[y].update({plain(t) for t in tokens_of(text)})
         words = sorted(w for w in n[0].keys() | n[1].keys() if 3 <= len(w) <= WINDOW)
@@ -281,6 +291,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
     """``fit_docs`` bounds the labelled documents of each class that training reads (chosen by hash)."""
     y = (labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
          .agg((F.avg(label) >= 0.5).cast("int").alias("y")).where("doc_id is not null"))
+    # only labels of documents that training may read count
+    y = materialise(y.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi"), "toxic-labels")
     n = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     flat = Model(np.zeros(LETTERS ** 3), 0.0, 0.0, 0.0, n.get(1, 0) / max(1, sum(n.values())))
     rate = F.when(F.col("y") == 1, F.lit(min(1.0, fit_docs / max(1, n.get(1, 0))))).otherwise(F.lit(min(1.0, fit_docs / max(1, n.get(0, 0)))))
@@ -332,11 +344,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
     weights = z @ (nystroem @ once.coefficients.toArray())
 
     def harder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches):
+        letters_of = Plain()
+        for batch, texts in chunks(batches, max_chars=1_000_000):
             strings = []
             for at in range(0, len(texts), 200):
                 part = texts[at:at + 200]
-                strings += [s for _, s in best_joined(part, weights, np.zeros(len(part))) if s]
+                strings += [s for _, s in best_joined(part, weights, np.zeros(len(part)), letters_of) if s]
             k = linear(strings, z) @ nystroem if strings else np.zeros((0, nystroem.shape[1]))
             yield pa.RecordBatch.from_arrays([pa.array(list(k), pa.list_(pa.float64())), pa.array([0.0] * len(k), pa.float64())], names=["k", "y"])
 
@@ -349,7 +362,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
 
     def maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Scores(model.weights)
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, max_chars=1_000_000):
             values, ys = model.values(texts, cache).tolist(), batch.column("y").to_pylist()
             for text in [t for t, y in zip(texts, ys) if y]:  # its most toxic string with a letter inserted
                 worst = max(tokens_of(text), key=lambda t: (cache.get(t, -9e9), t), default="")
@@ -372,7 +385,7 @@ def score(docs: DataFrame, model: Model, cut: float = 0.7) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Scores(held.value.weights)
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, max_chars=1_000_000):
             s = held.value.scores(texts, cache)
             cols = [*batch.columns, pa.array(s), pa.array((s >= cut).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "score", "predicted"])

@@ -100,6 +100,20 @@ def test_odd_tables(spark):
                 assert docs.count() == 0
 
 
+def test_rows_that_share_an_id_keep_their_texts(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen " * 3
+    rows = [(1, "text a of one", "en"), (1, "quite another text b", "en"), (0, "zero", "en"), (5, None, "en"), (5, long, "en"), (None, "no id", "x"),
+            (None, "other words, no id", "x"), (None, "no id", "y"), (7, "zero", "en"), (8, long + "tail", "en"), (9, "solo", "b"), (9, "solo", "a"), (-4, "minus", "en"),
+            (None, None, "en")]
+    docs = spark.createDataFrame([(i, t, l, "s", 1) for i, t, l in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r.doc_id, r.text, r.lang) for r in P.near_dedup(spark, docs, SF).collect()]
+    want = {"text a of one", "quite another text b", "zero", None, "no id", "other words, no id", "solo", "minus"}
+    texts = [t for _, t, _ in out]
+    assert set(texts) - {long, long + "tail"} == want and set(out) <= set(rows)
+    assert texts.count(None) == 2 and sum(t in (long, long + "tail") for t in texts) == 1 and len(texts) == len(want) + 2
+    assert (0, "zero", "en") in out and (9, "solo", "a") in out
+
+
 def test_run_applies_all_stages(spark):
     out = P.run(spark, "/root/testdata/sf0.001")
     assert P.ORACLE_SQL is None and out.columns[0] == "doc_id" and out.count() > 50
