@@ -2,7 +2,8 @@
 
 1. toxicity: documents predicted toxic go.
 2. quality: documents predicted 0 go.
-3. near_dedup: one document of each near-duplicate class stays.
+3. near_dedup: one row of each near-duplicate class of texts stays; rows that share a
+   doc_id but not a text, and rows without a doc_id, are told apart by their text.
 4. mixing: each source is taken up to its curriculum target; a document taken
    for at least half its words stays, and appears twice if at least half of them
    are taken again; documents without words stay once.  The curriculum's positions
@@ -14,8 +15,7 @@ Both models learn from all labelled documents that reach their stage.  A stage
 whose model has nothing to learn from (no labels that match) drops nothing.  Every
 stage but the last returns the columns of ``documents``; each is written as
 Parquet and read again as the next one's input.  A null doc_id cannot be
-labelled or matched; such rows pass the filters on their text and stay in
-near_dedup.  Empty tables pass through as empty tables.
+labelled; such rows pass the filters on their text.  Empty tables pass through as empty tables.
 """
 
 from __future__ import annotations
@@ -57,15 +57,16 @@ def _kept(docs: DataFrame, scored: DataFrame, condition) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    goes = order_minhash.near_duplicates(docs).where("not kept").select("doc_id")  # the smaller side
-    # rows that repeat a doc_id are one document: its smallest text stays
-    rows = docs.join(goes, "doc_id", "left_anti")
-    twice = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    twice = materialise(twice, "dedup-repeated")
+    keyed = order_minhash.row_ids(docs)
+    classes = order_minhash.text_classes(keyed.select(F.col("_id").alias("id"), F.col("text").cast("string").alias("text")))
+    goes = materialise(classes.where("id <> class_id").select(F.col("id").alias("_id")), "dedup-goes")  # the smaller side
+    rows = keyed.join(goes, "_id", "left_anti")
+    # rows that repeat doc_id and text: one stays
+    twice = materialise(rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id"), "dedup-repeated")
     if not twice.take(1):
-        return rows
-    again = rows.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", F.struct(*docs.columns).alias("r"))).alias("m"))
-    return rows.join(twice, "doc_id", "left_anti").select(docs.columns).union(again.select(*[F.col("m.r").getField(c).alias(c) for c in docs.columns]))
+        return rows.select(docs.columns)
+    again = rows.join(twice, "_id", "left_semi").groupBy("_id").agg(F.min(F.struct(*docs.columns)).alias("r"))
+    return rows.join(twice, "_id", "left_anti").select(docs.columns).union(again.select(*[F.col("r").getField(c).alias(c) for c in docs.columns]))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
