@@ -108,7 +108,7 @@ def collect_bounded(df: DataFrame, max_rows: int) -> list:
     """Collect a target list whose size is checked first (raise beyond the bound)."""
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        raise ValueError(f"target list exceeds {max_rows} rows; use a blocked join instead")
+        raise ValueError(f"target list exceeds {max_rows} rows; use the joins of best_match")
     return rows
 
 
@@ -168,3 +168,12 @@ def fuzzy_best_match(src: DataFrame, text_col: str, targets: Sequence[str],
     texts = src.select(F.col(text_col).alias("_text")).where("_text is not null").distinct()
     best = texts.select("_text", F.inline(best_of(scores, tl, lambda s: (s >= threshold) & (s > 0))))
     return src.join(best, src[text_col] == best["_text"]).drop("_text")
+
+
+def token_best_match(src: DataFrame, text_col: str, targets: Sequence[str], threshold: float) -> DataFrame:
+    """As :func:`fuzzy_best_match` with the Jaccard similarity of the token sets."""
+    tl = F.array(*[F.lit(t) for t in targets])
+    scores = F.transform(tl, lambda t: jaccard(tokenize(F.col("_text")), tokenize(t)))
+    texts = src.select(F.col(text_col).alias("_text")).where("_text is not null").distinct()
+    best = texts.select("_text", F.inline(best_of(scores, tl, lambda s: (s >= threshold) & (s > 0))))
+    return src.join(best, src[text_col] == best["_text"]).drop("_text")

@@ -12,9 +12,12 @@ from schemaweave.operators import sparse as SP
 from schemaweave.operators.modeling import class_report, roc_auc, stratified_split
 from schemaweave.operators.pairs import candidate_pairs
 from schemaweave.operators.sections import extract_sections, items_from_text
-from schemaweave.operators.similarity import collect_bounded, fuzzy_best_match, vector_best_match
+from schemaweave.operators.best_match import fuzzy_best_match_join, token_best_match_join, vector_best_match_join
+from schemaweave.operators.keyed import dense_codes
+from schemaweave.operators.similarity import fuzzy_best_match, token_best_match
 from schemaweave.plans import matching as M
 from schemaweave.plans.matching import table
+from schemaweave.session import ship_package
 
 
 def schema_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -125,14 +128,24 @@ def best_vs_lexical(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- mapping evaluation (Q4, Q5, Q6, A13, J7, A15-A23) -----------------------------------------
-MAX_TARGETS = 1000
+#: Up to so many targets are compiled into a projection over the sources; a longer list is joined.
+INLINE_TARGETS = 64
 
 
-def type_targets(spark: SparkSession, d: str) -> list[str]:
-    """Canonical targets: the distinct part types, lower-cased (size checked)."""
-    rows = collect_bounded(table(spark, d, "part").select(F.lower("p_type").alias("t")).distinct().orderBy("t"),
-                           MAX_TARGETS)
-    return [r["t"] for r in rows]
+def type_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical targets (target, pos): the distinct part types, lower-cased, in their order."""
+    types = table(spark, d, "part").select(F.lower("p_type").alias("target")).where("target is not null").distinct()
+    return dense_codes(types, "target", "pos")
+
+
+def best_by(src: DataFrame, text_col: str, targets: DataFrame, threshold: float, method: str) -> DataFrame:
+    """``src`` with best_target and best_score by edit ratio ("lexical") or token Jaccard ("token")."""
+    few = targets.limit(INLINE_TARGETS + 1).collect()
+    if len(few) > INLINE_TARGETS:
+        join = fuzzy_best_match_join if method == "lexical" else token_best_match_join
+        return join(src, text_col, targets, threshold)
+    listed = [r["target"] for r in sorted(few, key=lambda r: r["pos"])]
+    return (fuzzy_best_match if method == "lexical" else token_best_match)(src, text_col, listed, threshold=threshold)
 
 
 def mapping_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -145,23 +158,11 @@ def predicted_mappings(spark: SparkSession, d: str) -> DataFrame:
     """(dataset, method, source, target): a lexical (edit-ratio) and a token method."""
     targets = type_targets(spark, d)
     src = mapping_sources(spark, d)
-    lex = fuzzy_best_match(src, "source", targets, threshold=0.3)
-    lex = lex.select("dataset", F.lit("lexical").alias("method"), "source", F.col("best_target").alias("target"))
-    tok = _token_best_match(src, targets, threshold=0.3)
+    lex, tok = (best_by(src, "source", targets, 0.3, m).select("dataset", F.lit(m).alias("method"), "source", F.col("best_target").alias("target"))
+                for m in ("lexical", "token"))
     return lex.unionByName(tok)
 
 
-def _token_best_match(src: DataFrame, targets: list[str], threshold: float) -> DataFrame:
-    from schemaweave.functions.text import jaccard, tokenize
-    from schemaweave.operators.similarity import best_of
-    tl = F.array(*[F.lit(t) for t in targets])
-    scores = F.transform(tl, lambda t: jaccard(tokenize(F.col("_text")), tokenize(t)))
-    texts = src.select(F.col("source").alias("_text")).where("_text is not null").distinct()
-    best = texts.select("_text", F.inline(best_of(scores, tl, lambda s: (s >= threshold) & (s > 0))))
-    return src.join(best, src["source"] == best["_text"]).select(
-        "dataset", F.lit("token").alias("method"), "source", F.col("best_target").alias("target"))
-
-
 def matching_results(spark: SparkSession, d: str) -> DataFrame:
     """A13 for every (dataset, method) in one grouped plan (Q6)."""
     src = mapping_sources(spark, d)
@@ -246,28 +247,40 @@ def match_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- vector / fuzzy best match ----------------------------------------------------------------------
-def label_centroids(spark: SparkSession, d: str) -> list[tuple[str, list[float]]]:
-    """Mean embedding per label: the target list (one per label, size checked)."""
+def label_centroids(spark: SparkSession, d: str) -> DataFrame:
+    """Mean embedding per label: the targets (target, pos, vec), in label order."""
     e = table(spark, d, "embeddings")
     dims = F.posexplode("embedding").alias("i", "x")
     c = (e.select("label", dims).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
           .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")))
-    rows = collect_bounded(c.orderBy("label"), MAX_TARGETS)
-    return [(f"label_{r['label']}", [p["x"] for p in r["v"]]) for r in rows]
+    return dense_codes(c, "label", "pos").join(c, "label").select(
+        F.concat(F.lit("label_"), F.col("label").cast("string")).alias("target"), "pos", F.transform("v", lambda p: p["x"]).alias("vec"))
 
 
 def best_match_vector(spark: SparkSession, d: str) -> DataFrame:
+    ship_package(spark)
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    out = vector_best_match(e, "embedding", label_centroids(spark, d), threshold=0.3)
+    out = vector_best_match_join(e, "vec_id", "embedding", label_centroids(spark, d), threshold=0.3)
     return out.select("vec_id", "best_target", F.round("best_score", 6).alias("best_score"))
 
 
 def best_match_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", "p_name")
-    out = fuzzy_best_match(p, "p_name", type_targets(spark, d), threshold=0.3)
+    out = best_by(p, "p_name", type_targets(spark, d), 0.3, "lexical")
     return out.select("p_partkey", "best_target", F.round("best_score", 9).alias("best_score"))
 
 
+def best_match_names(spark: SparkSession, d: str) -> DataFrame:
+    """Every part's abbreviated text (vowels dropped) with its best match among all distinct (name, type)
+    texts: a target list that grows with the table, so the sources meet it over q-grams."""
+    full = F.concat_ws(" ", "p_name", F.lower("p_type"))
+    p = table(spark, d, "part").select("p_partkey", full.alias("full"))
+    targets = dense_codes(p.select(F.col("full").alias("target")).distinct(), "target", "pos")
+    src = p.select("p_partkey", F.translate("full", "aeiou", "").alias("short"))
+    out = fuzzy_best_match_join(src, "short", targets, 0.55)
+    return out.select("p_partkey", "short", "best_target", F.round("best_score", 9).alias("best_score"))
+
+
 # --- classification metrics on labels x documents ----------------------------------------------
 LENGTH_THRESHOLD = 1000
 

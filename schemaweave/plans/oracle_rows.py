@@ -269,6 +269,15 @@ def rows_sql() -> dict[str, str]:
                 FROM part, targets),
             b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY sc DESC, idx) AS rn FROM s)
             SELECT p_partkey, t AS best_target, round(sc, 9) AS best_score FROM b WHERE rn = 1 AND sc >= 0.3::DOUBLE AND sc > 0""",
+        "best_match_names": """WITH p AS (SELECT p_partkey, concat_ws(' ', p_name, lower(p_type)) AS f FROM part),
+            x AS (SELECT p_partkey, translate(f, 'aeiou', '') AS short FROM p),
+            t AS (SELECT DISTINCT f AS t FROM p),
+            s AS (SELECT short, t, CASE WHEN greatest(length(short), length(t)) = 0 THEN 1.0::DOUBLE
+                ELSE 1.0::DOUBLE - levenshtein(lower(short), lower(t)) / greatest(length(short), length(t)) END AS sc
+                FROM (SELECT DISTINCT short FROM x), t),
+            b AS (SELECT * FROM s WHERE sc >= 0.55::DOUBLE AND sc > 0
+                QUALIFY row_number() OVER (PARTITION BY short ORDER BY sc DESC, t) = 1)
+            SELECT p_partkey, x.short, t AS best_target, round(sc, 9) AS best_score FROM x JOIN b ON x.short = b.short""",
     }
 
 
