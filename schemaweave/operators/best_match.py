@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from schemaweave.functions.text import tokenize
 from schemaweave.operators.similarity import levenshtein_ratio
-from schemaweave.session import scratch_path
+from schemaweave.session import scratch_path, ship_package
 
 SALTS = 8
 
@@ -186,6 +186,7 @@ def vector_best_match_join(src: DataFrame, key: str, vec_col: str, targets: Data
     ``targets`` has target, pos and vec; ``key`` is unique among the sources.  Vectors that are null, zero, hold null
     or non-finite components or have another width than the first target match nothing."""
     spark = src.sparkSession
+    ship_package(spark)
     tgt = _written(targets.select("target", F.col("pos").cast("long").alias("pos"), F.col("vec").cast("array<double>").alias("vec")), "best-vectors")
     head = tgt.where("vec is not null and size(vec) > 0").orderBy("pos").limit(1).collect()
     n = tgt.count()

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from schemaweave.functions.text import alnum_key, is_ambiguous, normalize_name, strip_ws
 from schemaweave.operators.keyed import attach_group_count
+from schemaweave.session import ship_package
 
 
 def _q(c: str) -> Column:
@@ -63,38 +67,76 @@ def column_subset_check(columns: Column, required: Sequence[str]) -> Column:
 
 
 # --- A3 ----------------------------------------------------------------------------
+def first_values(state: dict, pos: np.ndarray, values: np.ndarray, n: int) -> dict:
+    """The mergeable state of a column: its ``n`` distinct values of smallest position, as {value: position}.
+
+    A value that ``n`` others precede here cannot be among the first ``n`` of all rows, so states of
+    parts of a table merge into that of the whole."""
+    if len(state) >= n:  # only rows before the last of the first n can change it
+        early = pos <= max(state.values())
+        pos, values = pos[early], values[early]
+    order = np.argsort(pos, kind="stable")
+    seen, fresh, last = dict(state), set(), None
+    for p, v in zip(pos[order].tolist(), values[order].tolist()):
+        if last is not None and p > last:  # n distinct values lie before this row
+            break
+        if v not in seen or p < seen[v]:
+            seen[v] = p
+        fresh.add(v)
+        if len(fresh) >= n:
+            last = p
+    return dict(sorted(seen.items(), key=lambda x: (x[1], x[0]))[:n])
+
+
 def column_profile(df: DataFrame, dataset: str, order_by: str, max_values: int = 5,
                    show: int = 20) -> DataFrame:
     """Per column: dtype, non-null ratio (6 dp), first ``max_values`` distinct
-    trimmed non-empty values in ``order_by`` order joined by ' | '.
-
-    Values are unpivoted to (column, pos, value); the first position of every
-    distinct value is a partial aggregate, and the per-column top-n uses a
-    row_number filter that Spark turns into a WindowGroupLimit below the shuffle.
-    """
-    cols = df.columns
-    dtypes = dict(df.dtypes)
-    ratios = df.agg(F.count(F.lit(1)).alias("_n"),
-                    *[F.count(_q(c)).alias(f"_c{i}") for i, c in enumerate(cols)])
-    ratio_rows = ratios.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"),
-                 F.when(F.col("_n") > 0, F.round(F.col(f"_c{i}") / F.col("_n"), 6))
-                  .otherwise(F.lit(0.0)).alias("non_null_ratio"))
-        for i, c in enumerate(cols)])))
-    cells = df.select(_q(order_by).alias("_pos"), F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), strip_ws(_q(c).cast("string")).alias("value"))
-        for c in cols])))
-    firsts = (cells.where(F.col("value").isNotNull() & (F.col("value") != ""))
-              .groupBy("column", "value").agg(F.min("_pos").alias("_pos")))
-    top = firsts.withColumn("_rn", F.row_number().over(
-        Window.partitionBy("column").orderBy("_pos", "value"))).where(F.col("_rn") <= min(max_values, show))
-    samples = top.groupBy("column").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("_rn", "value"))), lambda s: s["value"]), " | ").alias("sample_values"))
-    dtype_map = F.create_map(*[F.lit(x) for c in cols for x in (c, dtypes[c])])
-    return (ratio_rows.join(samples, "column", "left")
-            .select(F.lit(dataset).alias("dataset"), "column",
-                    F.element_at(dtype_map, F.col("column")).alias("dtype"),
-                    "non_null_ratio", F.coalesce("sample_values", F.lit("")).alias("sample_values")))
+    trimmed non-empty values in ``order_by`` order joined by ' | ' (equal positions by value).
+
+    One scan: every task folds its rows into counts and a bounded state per column (see
+    :func:`first_values`), so a task gives at most ``max_values`` rows a column to the shuffle,
+    whatever the number of distinct values.  ``order_by`` is an integer, date or timestamp column."""
+    n, cols, dtypes = min(max_values, show), df.columns, dict(df.dtypes)
+    ship_package(df.sparkSession)
+    position = F.col(f"`{order_by}`")
+    kind = dtypes[order_by]
+    if kind.startswith("timestamp"):
+        position = F.unix_micros(position.cast("timestamp"))
+    elif kind == "date":
+        position = F.unix_date(position)
+    cells = df.select(F.coalesce(position.cast("long"), F.lit(-2 ** 63)).alias("_pos"),
+                      *[strip_ws(_q(c).cast("string")).alias(f"c{i}") for i, c in enumerate(cols)],
+                      *[_q(c).isNotNull().alias(f"n{i}") for i, c in enumerate(cols)])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, filled, states = 0, [0] * len(cols), [{} for _ in cols]
+        for batch in batches:
+            pos = batch.column("_pos").to_numpy(zero_copy_only=False)
+            rows += batch.num_rows
+            for i in range(len(cols)):
+                filled[i] += pc.sum(batch.column(f"n{i}")).as_py() or 0
+                text = batch.column(f"c{i}")
+                there = pc.fill_null(pc.not_equal(text, ""), False).to_numpy(zero_copy_only=False)
+                if n and len(states[i]) >= n:
+                    there &= pos <= max(states[i].values())
+                if there.any():
+                    states[i] = first_values(states[i], pos[there], text.filter(pa.array(there)).to_numpy(zero_copy_only=False), n)
+        out = [(i, None, None, rows, filled[i]) for i in range(len(cols))]
+        out += [(i, v, p, 0, 0) for i in range(len(cols)) for v, p in states[i].items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))],
+                                         names=["i", "value", "pos", "n", "filled"])
+
+    parts = cells.mapInArrow(fold, "i int, value string, pos long, n long, filled long")
+    folded = parts.groupBy("i", "value").agg(F.min("pos").alias("pos"), F.sum("n").alias("n"), F.sum("filled").alias("filled"))
+    # per column at most n values a task, and one row of counts
+    first = F.slice(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("pos", "value")))), 1, n)
+    per = folded.groupBy("i").agg(F.sum("n").alias("n"), F.sum("filled").alias("filled"), F.array_join(F.transform(first, lambda s: s["value"]), " | ").alias("sample_values"))
+    named = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), F.lit(dtypes[c]).alias("dtype")) for i, c in enumerate(cols)])
+    listed = df.sparkSession.range(1).select(F.inline(named))
+    return listed.join(per, "i", "left").select(
+        F.lit(dataset).alias("dataset"), "column", "dtype",
+        F.when(F.col("n") > 0, F.round(F.col("filled") / F.col("n"), 6)).otherwise(F.lit(0.0)).alias("non_null_ratio"),
+        F.coalesce("sample_values", F.lit("")).alias("sample_values"))
 
 
 # --- N2 + W2 on a catalog ------------------------------------------------------------

@@ -17,7 +17,6 @@ from schemaweave.operators.keyed import dense_codes
 from schemaweave.operators.similarity import fuzzy_best_match, token_best_match
 from schemaweave.plans import matching as M
 from schemaweave.plans.matching import table
-from schemaweave.session import ship_package
 
 
 def schema_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -258,7 +257,6 @@ def label_centroids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_match_vector(spark: SparkSession, d: str) -> DataFrame:
-    ship_package(spark)
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     out = vector_best_match_join(e, "vec_id", "embedding", label_centroids(spark, d), threshold=0.3)
     return out.select("vec_id", "best_target", F.round("best_score", 6).alias("best_score"))
