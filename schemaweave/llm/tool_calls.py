@@ -1,14 +1,15 @@
 """Tool-call linking, native: identifiers, order, schemas, canonical JSON.
 
-Calls and results are joined by identifier.  Calls of a conversation are ordered
+Calls and results are joined by conversation and identifier: equal identifiers of
+two conversations are two calls, and a null conv_id is one conversation.  Calls of a conversation are ordered
 topologically: a call comes after the calls it depends on, else in the order of
 turns.  Arguments are JSON, checked against a table of parameters (tool, param,
 kind, required), and every call is written as one line of canonical JSON (keys
 sorted, no white space) through the variant type.
 
 Calls: conv_id, turn, call_id, tool, arguments (JSON text), depends_on (call_id or
-null).  Results: conv_id, call_id, turn, content.  Repeated calls or results of
-one identifier: the smallest row stands, with the count (n_calls, n_results).  A
+null, of the same conversation).  Results: conv_id, call_id, turn, content.  Repeated calls or
+results of one conversation and identifier: the smallest row stands, with the count (n_calls, n_results).  A
 dependency that does not exist, or on the call itself, is no constraint.  Calls
 on a cycle have no position (null) and the error ``cycle``.  Null or malformed
 arguments give the error ``arguments``; a tool without parameters in the schema
@@ -32,75 +33,80 @@ def unlinked(calls: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def argument_errors(calls: DataFrame, schema: DataFrame) -> DataFrame:
-    """(call_id, errors): sorted error texts of the calls that have any."""
+    """(key, errors): sorted error texts of the calls that have any."""
     schema = schema.select(F.col("tool").alias("s_tool"), "param", "kind", "required")
-    args = calls.select("call_id", "tool", F.try_parse_json("arguments").alias("v"))
+    args = calls.select("key", "tool", F.try_parse_json("arguments").alias("v"))
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    bad = args.where(~is_object).select("call_id", F.lit("arguments").alias("e"))
+    bad = args.where(~is_object).select("key", F.lit("arguments").alias("e"))
     good = args.where(is_object)
     tools = schema.select(F.col("s_tool").alias("tool")).distinct()
-    no_tool = good.join(tools, "tool", "left_anti").select("call_id", F.lit("tool").alias("e"))
+    no_tool = good.join(tools, "tool", "left_anti").select("key", F.lit("tool").alias("e"))
     good = good.join(tools, "tool", "left_semi")
-    given = (good.lateralJoin(good.sparkSession.tvf.variant_explode(F.col("v").outer()))
-             .select("call_id", "tool", F.col("key").alias("param"), F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0).alias("type"))
+    given = (good.alias("g").lateralJoin(good.sparkSession.tvf.variant_explode(F.col("v").outer()).alias("e"))
+             .select("g.key", "tool", F.col("e.key").alias("param"), F.regexp_extract(F.schema_of_variant("e.value"), "^[A-Z]+", 0).alias("type"))
              .where("param is not null"))
     kind = (F.when(F.col("type").isin("BIGINT"), "integer").when(F.col("type").isin("DECIMAL", "DOUBLE", "FLOAT"), "number")
             .when(F.col("type") == "STRING", "string").when(F.col("type") == "BOOLEAN", "boolean")
             .when(F.col("type") == "ARRAY", "array").when(F.col("type") == "OBJECT", "object").otherwise("null"))
-    given = given.select("call_id", "tool", "param", kind.alias("is_kind"))
+    given = given.select("key", "tool", "param", kind.alias("is_kind"))
     known = given.join(schema.withColumnRenamed("s_tool", "tool"), ["tool", "param"], "left")
     fits = (F.col("is_kind") == F.col("kind")) | ((F.col("kind") == "number") & (F.col("is_kind") == "integer")) \
         | (~F.col("required") & (F.col("is_kind") == "null"))
     wrong = known.where(F.col("kind").isNull() | ~fits).select(
-        "call_id", F.concat(F.when(F.col("kind").isNull(), F.lit("unknown ")).otherwise(F.lit("kind ")), "param").alias("e"))
-    needed = good.select("call_id", "tool").join(schema.where("required").withColumnRenamed("s_tool", "tool"), "tool")
-    missing = needed.join(given.select("call_id", "param"), ["call_id", "param"], "left_anti").select(
-        "call_id", F.concat(F.lit("missing "), F.col("param")).alias("e"))
-    return (bad.union(no_tool).union(wrong).union(missing).groupBy("call_id")
+        "key", F.concat(F.when(F.col("kind").isNull(), F.lit("unknown ")).otherwise(F.lit("kind ")), "param").alias("e"))
+    needed = good.select("key", "tool").join(schema.where("required").withColumnRenamed("s_tool", "tool"), "tool")
+    missing = needed.join(given.select("key", "param"), ["key", "param"], "left_anti").select(
+        "key", F.concat(F.lit("missing "), F.col("param")).alias("e"))
+    return (bad.union(no_tool).union(wrong).union(missing).groupBy("key")
             .agg(F.sort_array(F.collect_set("e")).alias("errors")))
 
 
 def topological_level(calls: DataFrame) -> DataFrame:
-    """(call_id, level): the longest chain of dependencies before the call; null on or after a cycle.
+    """(key, level): the longest chain of dependencies before the call; null on or after a cycle.
+    ``calls`` has key, needs (the key depended on, or null), conv (its conversation) and turn.
 
     Conversations whose dependencies all point to earlier turns need no levels
     (their turns are an order already) and get 0.  The others are peeled: in each
     round the calls whose dependencies are all placed get the next level.
     """
-    calls = calls.select("conv_id", "call_id", "turn", "depends_on")
-    other = calls.select("conv_id", F.col("call_id").alias("depends_on"), F.col("turn").alias("d_turn"))
-    edges = calls.join(other, ["conv_id", "depends_on"]).where("call_id <> depends_on")
-    back = edges.where("d_turn > turn or (d_turn = turn and depends_on >= call_id)").select("conv_id").distinct()
-    hard = materialise(calls.join(back, "conv_id", "left_semi").select("call_id"), "calls-hard")
-    easy = calls.join(hard, "call_id", "left_anti").select("call_id", F.lit(0).alias("level"))
-    left = materialise(hard.join(edges.select("call_id", "depends_on"), "call_id", "left"), "calls-left")
+    calls = calls.select("conv", "key", "turn", "needs")
+    other = calls.select(F.col("key").alias("needs"), F.col("turn").alias("d_turn"))
+    edges = calls.join(other, "needs").where("key <> needs")
+    back = edges.where("d_turn > turn or (d_turn = turn and needs >= key)").select("conv").distinct()
+    hard = materialise(calls.join(back, "conv", "left_semi").select("key"), "calls-hard")
+    easy = calls.join(hard, "key", "left_anti").select("key", F.lit(0).alias("level"))
+    left = materialise(hard.join(edges.select("key", "needs"), "key", "left"), "calls-left")
     done, level = easy, 0
     while left.take(1):
-        waits = left.join(left.select(F.col("call_id").alias("depends_on")).distinct(), "depends_on", "left_semi").select("call_id")
-        free = materialise(left.select("call_id").distinct().join(waits.distinct(), "call_id", "left_anti"), "calls-free")
+        waits = left.join(left.select(F.col("key").alias("needs")).distinct(), "needs", "left_semi").select("key")
+        free = materialise(left.select("key").distinct().join(waits.distinct(), "key", "left_anti"), "calls-free")
         if not free.take(1):
             break
         done = done.union(free.withColumn("level", F.lit(level)))
-        left = materialise(left.join(free, "call_id", "left_anti"), "calls-left")
+        left = materialise(left.join(free, "key", "left_anti"), "calls-left")
         level += 1
     return done
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schema: DataFrame) -> DataFrame:
-    """One row per call identifier (kind ``call``) and per result identifier without a call (kind ``result``)."""
+    """One row per conversation and call identifier (kind ``call``) and per result's without a call (kind ``result``)."""
     pick = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn")]
     calls = calls.where(F.col("call_id").isNotNull()).select(*pick, "call_id", "tool", "arguments", "depends_on")
     results = results.where(F.col("call_id").isNotNull()).select(*pick, "call_id", "content")
-    one = lambda df, cols, n: (df.groupBy("call_id").agg(F.min(F.struct(*cols)).alias("r"), F.count(F.lit(1)).alias(n))
-                               .select("call_id", *[F.col(f"r.{c}").alias(c) for c in cols], n))
-    calls = materialise(one(calls, ["turn", "conv_id", "tool", "arguments", "depends_on"], "n_calls"), "calls")
-    results = one(results, ["turn", "conv_id", "content"], "n_results").select(
-        "call_id", F.col("conv_id").alias("r_conv"), F.col("turn").alias("r_turn"), "content", "n_results")
+    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
+    keyed = lambda c: F.concat(conv, F.lit(":"), F.col(c).cast("string"))
+    one = lambda df, cols, n: (df.withColumn("key", keyed("call_id")).groupBy("key").agg(F.min(F.struct(*cols)).alias("r"), F.count(F.lit(1)).alias(n))
+                               .select("key", *[F.col(f"r.{c}").alias(c) for c in cols], n))
+    calls = one(calls, ["turn", "conv_id", "call_id", "tool", "arguments", "depends_on"], "n_calls")
+    calls = materialise(calls.withColumns({"conv": conv, "needs": keyed("depends_on")}), "calls")
+    results = one(results, ["turn", "conv_id", "call_id", "content"], "n_results").select(
+        "key", F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_call"), F.col("turn").alias("r_turn"), "content", "n_results")
     level = topological_level(calls)
-    placed = calls.join(level, "call_id", "left")
-    order = placed.where("level is not null").select(F.coalesce("conv_id", F.lit(-1)).alias("k"), "level", "turn", "call_id")
-    order = range_ranked(order, ["k"], ["level", "turn", "call_id"], name="calls-order").select("call_id", F.col("rank").alias("seq"))
-    linked = placed.join(results, "call_id", "full").join(order, "call_id", "left").join(argument_errors(calls, schema), "call_id", "left")
+    placed = calls.join(level, "key", "left")
+    order = placed.where("level is not null").select(F.col("conv").alias("k"), "level", "turn", "call_id", "key")
+    order = range_ranked(order, ["k"], ["level", "turn", "call_id"], name="calls-order").select("key", F.col("rank").alias("seq"))
+    linked = (placed.join(results, "key", "full").join(order, "key", "left").join(argument_errors(calls, schema), "key", "left")
+              .withColumn("call_id", F.coalesce("call_id", "r_call")))
     is_call = F.col("n_calls").isNotNull()
     cycle = is_call & F.col("level").isNull()
     errors = F.concat(F.when(cycle, F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")), F.coalesce("errors", F.array().cast("array<string>")))
@@ -182,4 +188,7 @@ SELECT CASE WHEN n_calls IS NULL THEN 'result' ELSE 'call' END AS kind, coalesce
   CASE WHEN n_calls IS NOT NULL THEN '{"arguments":' || c1.r.args || ',"id":"' || c1.call_id || '","name":"' || c1.r.tool || '","result":' ||
     coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' END AS canonical
 FROM c1 FULL JOIN r1 ON c1.call_id = r1.call_id
+UNION ALL
+SELECT 'turn', CAST(conv_id AS BIGINT), CAST(turn AS BIGINT), NULL, NULL, NULL, 0, 0, false, NULL, NULL FROM conversations
+WHERE conv_id IS NULL OR turn IS NULL OR role IS NULL OR role NOT IN ('system', 'user', 'assistant')
 """

@@ -216,6 +216,19 @@ def test_tool_calls_of_odd_conversations(spark):
     assert out["c:1:0"].errors == "missing instructions" and out["c:1:1"].n_results == 2 and out["c:1:6"].kind == "result"
 
 
+def test_equal_identifiers_of_two_conversations_stay_apart(spark):
+    schema = spark.createDataFrame([("add", "x", "number", True)], SCHEMA)
+    calls = [(c, t, i, "add", f'{{"x": {t}}}', d, "?") for c in (1, 2, None) for t, i, d in ((1, "call_1", "call_2"), (2, "call_2", None))]
+    calls += [(12, 1, "1:call_1", "add", None, None, "?"), (1, 3, "2:call_1", "add", '{"x": 3}', "call_1", "?")]
+    results = [(1, 5, "call_1", "one", "?"), (2, 6, "call_1", "two", "?"), (3, 7, "call_1", "three", "?"), (None, 8, "call_2", "none", "?")]
+    out = tool_calls.link_tool_calls(spark.createDataFrame(calls, CALL), spark.createDataFrame(results, RESULT), schema).collect()
+    got = {(r.conv_id, r.call_id): (r.kind, r.seq, json.loads(r.canonical)["result"] if r.canonical else None, r.errors) for r in out}
+    assert len(out) == len(got) == 9
+    assert got == {(1, "call_1"): ("call", 1, "one", ""), (1, "call_2"): ("call", 0, None, ""), (2, "call_1"): ("call", 1, "two", ""),
+                   (2, "call_2"): ("call", 0, None, ""), (None, "call_1"): ("call", 1, None, ""), (None, "call_2"): ("call", 0, "none", ""),
+                   (12, "1:call_1"): ("call", 0, None, "arguments"), (1, "2:call_1"): ("call", 2, None, ""), (3, "call_1"): ("result", None, None, None)}
+
+
 def test_labels_that_hold_a_dot_keep_their_links(spark):
     vectors = [[1.0, 0.0], [1.0, 0.01], [0.0, 1.0], [1.0, 0.02]]
     for kind, values in (("string", ["a.b", "a.b", "a.b", "a.c"]), ("double", [1.0, 1.0, 1.0, 2.5]), ("string", ["1.0#.x"] * 3 + ["1.0#.y"])):
