@@ -8,8 +8,9 @@ class that gains most log-likelihood, on the bigrams of units, a table bounded b
 parameters, until none moves.  Then every other word of the vocabulary is moved by
 its own bigrams: its counts before and after each class are summed in Spark over
 the whole corpus, the words move at once, and the class bigrams are counted again,
-until no word has a better class.  A round that lowers the likelihood is undone and
-tried with half of the words.  Only words that training never saw stay in their
+for ``word_rounds`` rounds or until no word has a better class.  A round that lowers the
+likelihood is undone and tried with half of the words; after a round that succeeds all
+may move again.  Only words that training never saw stay in their
 unit's class.  A token's probability is
 P(class | previous class) * P(word | class), with the transition interpolated
 with the class's share and the emission (c + delta) / (T + delta * (V + 1)) over
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaweave.llm.common import chunks, fold, materialise, table
+from schemaweave.llm.common import chunks, fold, materialise, release, table
 
 END = b"\n"  # no word holds white space
 SUFFIX = 3
@@ -258,8 +259,9 @@ def contexts(train: DataFrame, look, cls_of: np.ndarray, own: int, k: int, held:
     return rows.groupBy("word", "other", "at").agg(F.sum("n").alias("n"))
 
 
-def refine(near: DataFrame, words: DataFrame, fixed: np.ndarray, k: int) -> tuple[DataFrame, np.ndarray]:
-    """Classes (word, cls) of the words after their own exchange, and the class bigrams.
+def refine(near: DataFrame, words: DataFrame, fixed: np.ndarray, k: int, rounds: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    """Classes (word, cls) of the words after their own exchange of at most ``rounds`` rounds, and the class
+    bigrams.  A round's tables go when the next one's stand.
 
     near: see ``contexts``; words: (word, cls) to start from; fixed: the class
     bigrams of the other words with one another."""
@@ -312,26 +314,30 @@ def refine(near: DataFrame, words: DataFrame, fixed: np.ndarray, k: int) -> tupl
 
     at = gathered(words)
     n = bigrams_of(at)
-    share, turn = 1, 0
     want = moved(at, n)
-    while want.where("cls <> to").take(1):
-        turn += 1
+    share = 1
+    for turn in range(1, rounds + 1) if rounds is not None else count(1):
         chosen = F.pmod(F.xxhash64(F.lit(turn), "word"), F.lit(share)) == 0
-        movers = want.where(chosen & (F.col("cls") != F.col("to"))).count()
-        if not movers:  # too small a part
+        moves = want.agg(F.count_if(F.col("cls") != F.col("to")).alias("all"), F.count_if(chosen & (F.col("cls") != F.col("to"))).alias("some")).first()
+        if not moves["all"]:
+            break
+        if not moves["some"]:  # too small a part
             share = max(1, share // 2)
             continue
-        tried = want.select("word", F.when(chosen, F.col("to")).otherwise(F.col("cls")).alias("cls"))
-        rows = gathered(tried)
+        rows = gathered(want.select("word", F.when(chosen, F.col("to")).otherwise(F.col("cls")).alias("cls")))
         m = bigrams_of(rows)
         if likelihood(m) > likelihood(n):
-            words, n, at = tried, m, rows
-            want = moved(at, n)
-        elif movers > 1:
-            share *= 2
+            last = (at, want)
+            at, n, want, share = rows, m, moved(rows, m), 1
+            for table_ in last:
+                release(table_)
         else:
-            break  # the gain of a single move is rounding
-    return words, n
+            release(rows)
+            if moves["some"] == 1:
+                break  # the gain of a single move is rounding
+            share *= 2
+    release(at)
+    return want.select("word", "cls"), n
 
 
 def exchange(bigrams: DataFrame, units: int, k: int, rounds: int | None, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -383,8 +389,10 @@ def exchange(bigrams: DataFrame, units: int, k: int, rounds: int | None, end: in
 
 
 def score_documents(docs: DataFrame, held_mod: int = 10, classes: int = 48, unit_words: int = 1000, endings: int = 500,
-                    head_words: int = 65_536, rounds: int | None = None, prior: float = 20.0) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+                    head_words: int = 65_536, rounds: int | None = None, word_rounds: int | None = 4, prior: float = 20.0) -> DataFrame:
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``rounds`` and ``word_rounds`` bound the exchange of the units and of all other words (None: to rest)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        (fold("doc_id", held_mod) == 0).alias("held_out"))
@@ -447,8 +455,9 @@ def score_documents(docs: DataFrame, held_mod: int = 10, classes: int = 48, unit
         fixed[x["at"]] = x["n"]
     near = materialise(contexts(train, look, cls_of, own, classes), "brown-near")
     begun = materialise(rest.select("word").mapInArrow(start, "word binary, cls int"), "brown-start")
-    words, n = refine(near, begun, fixed.reshape(classes, classes), classes)
+    words, n = refine(near, begun, fixed.reshape(classes, classes), classes, word_rounds)
     words = materialise(words.join(vocab, "word"), "brown-classes")
+    release(near)
     in_head = spark.createDataFrame([(bytearray(w),) for w in order], "word binary")  # at most head_words + 1 rows
     own_cls = {bytes(x["word"]): x["cls"] for x in words.join(F.broadcast(in_head), "word", "left_semi").select("word", "cls").collect()}
     cls_of[own:first_end] = [own_cls[w] for w in order[own:]]
