@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from schemaweave.constants import EXPECTED_SCHEMAS
 from schemaweave.plans.evaluation import DOC_HEADERS, DOC_RULES, LENGTH_THRESHOLD
 from schemaweave.plans.matching import PART_RULES
 from schemaweave.plans.oracle import (alnum_key, ambiguous, expanded, norm_trace, normalized, q, raw_header, strip_ws,
                                       tokens)
 from schemaweave.plans.rows import DRIVER_EXPECTED, REFERENCE_TOKENS
 
+MISSING_CHICAGO = ",".join(sorted(set(EXPECTED_SCHEMAS["chicago"]) - {"ID", "Case Number", "Date"}))
+
+
 NULLS = {"s": "CAST(NULL AS VARCHAR)", "b": "CAST(NULL AS BOOLEAN)", "i": "CAST(NULL AS BIGINT)",
          "d": "CAST(NULL AS DOUBLE)", "t": "CAST(NULL AS TIMESTAMP)"}
 
@@ -269,6 +273,15 @@ def rows_sql() -> dict[str, str]:
                 FROM part, targets),
             b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY sc DESC, idx) AS rn FROM s)
             SELECT p_partkey, t AS best_target, round(sc, 9) AS best_score FROM b WHERE rn = 1 AND sc >= 0.3::DOUBLE AND sc > 0""",
+        "dispatch_files": f"""SELECT 'dataset' AS kind, 'chicago_2001' AS name, 'chicago' AS dataset_type, 'processed' AS status,
+                '' AS missing_cols, count(*) AS n_rows FROM orders
+            UNION ALL SELECT 'dataset', 'archive/chicago_2001', 'chicago', 'processed', '', count(*) FROM orders WHERE o_orderstatus = 'F'
+            UNION ALL SELECT 'dataset', 'la_arrests', 'la_arrests', 'processed', '', count(*) FROM events
+            UNION ALL SELECT 'dataset', 'partial', 'chicago', 'invalid', '{MISSING_CHICAGO}', count(*) FROM supplier
+            UNION ALL SELECT 'dataset', 'other', 'unknown', 'unknown', '', count(*) FROM nation
+            UNION ALL SELECT 'dataset', 'broken', NULL, 'unreadable', NULL, NULL
+            UNION ALL SELECT 'type', 'chicago', 'chicago', 'cleaned', NULL, count(DISTINCT o_orderkey) FROM orders
+            UNION ALL SELECT 'type', 'la_arrests', 'la_arrests', 'cleaned', NULL, count(DISTINCT event_id) FROM events""",
         "best_match_names": """WITH p AS (SELECT p_partkey, concat_ws(' ', p_name, lower(p_type)) AS f FROM part),
             x AS (SELECT p_partkey, translate(f, 'aeiou', '') AS short FROM p),
             t AS (SELECT DISTINCT f AS t FROM p),

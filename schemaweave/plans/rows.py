@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from schemaweave.cities import CITY_SPECS
+from schemaweave.constants import EXPECTED_SCHEMAS
 from schemaweave.functions.casting import (date_plus_hhmm, flag_from_text, parse_bool, parse_timestamp,
                                            to_float, to_int)
 from schemaweave.functions.temporal import fill_year, round_half_even, temporal_columns
@@ -12,11 +14,12 @@ from schemaweave.functions.text import alnum_key, clean_text, is_ambiguous, toke
 from schemaweave.operators.catalog import column_profile, profile, validate
 from schemaweave.operators.clean import (CleanSpec, clean_source, detect_type, drop_nulls, filter_isin,
                                          route_by_type, select_available)
+from schemaweave.operators.dispatch import dispatch
 from schemaweave.operators.features import create_features, frequency_encode, group_count, label_encode, standard_scale
 from schemaweave.operators.keyed import attach_group_count, first_per_key
 from schemaweave.plans.matching import PART_RULES, raw_header, table
 from schemaweave.session import scratch_path
-from schemaweave.sources.readers import read_table
+from schemaweave.sources.readers import open_groups, read_table, scan_manifest
 from schemaweave.sources.sinks import load_counts, load_incidents, union_sources
 
 # --- fixed values: how the driver tables map onto the canonical incident schema ---
@@ -130,6 +133,51 @@ def process_valid(spark: SparkSession, d: str) -> DataFrame:
     return v.select("dataset", F.col("row_count").alias("rows_processed"))
 
 
+def city_files(spark: SparkSession, d: str) -> str:
+    """A folder of city-shaped files from the driver tables: Chicago incidents (orders) in two folders of one
+    name, LA arrests (events) as Parquet, a Chicago file without most columns (supplier), a table of unknown
+    type (nation) and a broken Parquet file."""
+    root = scratch_path(spark, "city-files")
+    date = F.date_format(F.col("o_orderdate").cast("timestamp"), "MM/dd/yyyy hh:mm:ss a")
+    key = F.col("o_orderkey").cast("string")
+    o = table(spark, d, "orders").select(
+        key.alias("ID"), F.concat(F.lit("C"), key).alias("Case Number"), date.alias("Date"), F.lit("0 X ST").alias("Block"),
+        F.lit("041A").alias("IUCR"), F.col("o_orderpriority").alias("Primary Type"), F.col("o_orderstatus").alias("Description"),
+        *[F.lit("1").alias(c) for c in EXPECTED_SCHEMAS["chicago"][7:]])
+    o.write.option("header", True).csv(f"{root}/chicago_2001")
+    o.where(F.col("Description") == "F").write.option("header", True).csv(f"{root}/archive/chicago_2001")
+    e = table(spark, d, "events")
+    (e.select(F.col("event_id").cast("string").alias("Report ID"), F.date_format(F.col("ts").cast("timestamp"), "MM/dd/yyyy").alias("Arrest Date"),
+              F.date_format(F.col("ts").cast("timestamp"), "HHmm").alias("Time"), F.lit("3").alias("Area ID"), F.lit("North").alias("Area Name"),
+              F.col("event_type").alias("Charge Group Description"), F.col("event_type").alias("Charge Description"), F.lit("1 A ST").alias("Address"),
+              F.lit("34").alias("LAT"), F.lit("-118").alias("LON"), F.lit("D").alias("Arrest Type Code")).write.parquet(f"{root}/la_arrests"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("ID"), F.col("s_name").alias("Case Number"), F.lit("01/01/2020").alias("Date"))
+    s.write.option("header", True).csv(f"{root}/partial")
+    table(spark, d, "nation").write.option("header", True).csv(f"{root}/other")
+    jvm = spark.sparkContext._jvm
+    broken = jvm.org.apache.hadoop.fs.Path(f"{root}/broken/x.parquet")
+    stream = broken.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(broken)
+    stream.writeBytes("no parquet")
+    stream.close()
+    return root
+
+
+def dispatch_files(spark: SparkSession, d: str) -> DataFrame:
+    """S3 -> P12 -> A2 -> P13 -> W1 over a folder of files: one row per dataset with its status and rows, and
+    one per type with the rows that its cleaner kept."""
+    files = scan_manifest(spark, city_files(spark, d))
+    report, cleaned = dispatch(open_groups(spark, files), CITY_SPECS, EXPECTED_SCHEMAS)
+    out = report.select(F.lit("dataset").alias("kind"), F.col("dataset").alias("name"), "dataset_type", "status", "missing_cols", F.col("row_count").alias("n_rows"))
+    failed = spark.createDataFrame([("dataset", f.dataset, None, "unreadable", None, None) for f in files if f.error],
+                                   "kind string, name string, dataset_type string, status string, missing_cols string, n_rows long")
+    out = out.unionByName(failed)
+    for kind, rows in cleaned.items():
+        n = rows.where(F.col("incident_datetime").isNotNull() & F.col("year").isNotNull()).agg(F.count(F.lit(1)).alias("n_rows"))
+        out = out.unionByName(n.select(F.lit("type").alias("kind"), F.lit(kind).alias("name"), F.lit(kind).alias("dataset_type"),
+                                       F.lit("cleaned").alias("status"), F.lit(None).cast("string").alias("missing_cols"), "n_rows"))
+    return out
+
+
 def column_profile_q(spark: SparkSession, d: str) -> DataFrame:
     return column_profile(table(spark, d, "customer"), "customer", "c_custkey", max_values=5)
 

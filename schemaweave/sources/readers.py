@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import csv
+import logging
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from schemaweave.constants import TYPE_DETECTORS
 from schemaweave.operators.catalog import METADATA_SCHEMA, metadata_descriptions
-from schemaweave.operators.clean import drop_index_artifacts
+from schemaweave.operators.clean import detect_type, drop_index_artifacts
+from schemaweave.operators.dispatch import DATASET, Group
+
+log = logging.getLogger(__name__)
 
 
 # --- S1 --------------------------------------------------------------------------------
@@ -24,9 +31,9 @@ def ragged_reader(reader, schema: T.StructType, multi_line: bool = False):
             .option("columnPruning", False))  # cells are counted, so every row is split whole
 
 
-def without_over_long(df: DataFrame) -> DataFrame:
-    """Drop rows with more cells than columns; short rows stay, padded with null."""
-    cols = [c for c in df.columns if c != RAW]
+def without_over_long(df: DataFrame, width: int | None = None) -> DataFrame:
+    """Drop rows with more cells than columns (the first ``width`` ones); short rows stay, padded with null."""
+    cols = [c for c in df.columns if c != RAW][:width]
     cells = F.regexp_count(F.regexp_replace(RAW, r'"(?:\\.|[^"\\])*"', ""), F.lit(",")) + 1
     short = F.col(f"`{cols[-1]}`").isNull() & (cells < len(cols))
     return df.where(F.col(RAW).isNull() | short).drop(RAW)
@@ -63,21 +70,89 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
             .option("pathGlobFilter", glob).load(root).select("path", "length"))
 
 
-def scan_directory(spark: SparkSession, root: str, globs: Sequence[str] = ("*.csv", "*.parquet"),
-                   limit: int | None = None) -> dict[str, DataFrame]:
-    """One lazily read table per discovered file (name = file stem); unreadable
-    files are skipped.  Only the file list (metadata) reaches the driver."""
-    out: dict[str, DataFrame] = {}
+@dataclass
+class SourceFile:
+    """A discovered file: its dataset (folder under the root, or the stem of a file in the root itself),
+    format and header; ``error`` says why it cannot be read."""
+
+    path: str
+    dataset: str
+    format: str
+    columns: list[str] | None
+    error: str | None
+
+
+def _csv_header(spark: SparkSession, path: str) -> list[str]:
+    """The first line's cells; only the head of the file is read."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+    try:
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    if not line:
+        raise ValueError("no header")
+    return next(csv.reader([line.removeprefix("\ufeff")], escapechar="\\"))
+
+
+def scan_manifest(spark: SparkSession, root: str, globs: Sequence[str] = ("*.csv", "*.parquet")) -> list[SourceFile]:
+    """Every data file under ``root`` with its header, by path; files that cannot be read stay, with the error.
+
+    The driver sees one entry and one header per file, no rows.  Files without a byte are not listed."""
+    out = []
     for g in globs:
         for row in list_files(spark, root, g).select("path").collect():
             path = row["path"]
-            stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+            inner = path.split(root.rstrip("/").split(":", 1)[-1].lstrip("/"), 1)[-1].lstrip("/")
+            folder, _, name = inner.rpartition("/")
+            columns, error, kind = None, None, "csv" if name.endswith(".csv") else "parquet"
             try:
-                df = read_csv_robust(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
-            except Exception:  # noqa: BLE001 - unreadable files are logged and skipped
-                continue
-            df = drop_index_artifacts(df)
-            out[stem] = df.limit(limit) if limit else df
+                columns = _csv_header(spark, path) if kind == "csv" else spark.read.parquet(path).columns
+            except Exception as e:  # noqa: BLE001 - one bad file leaves the others readable; the error is kept
+                error = f"{type(e).__name__}: {e}"[:300]
+                log.warning("%s cannot be read: %s", path, error)
+            out.append(SourceFile(path, folder or name.rpartition(".")[0], kind, columns, error))
+    return sorted(out, key=lambda f: f.path)
+
+
+def open_groups(spark: SparkSession, files: Sequence[SourceFile], detectors=TYPE_DETECTORS) -> list[Group]:
+    """The readable files, one scan per detected type, format and header, with the dataset of every row."""
+    by: dict[tuple, list[SourceFile]] = {}
+    for f in files:
+        if f.error is None and f.columns:
+            by.setdefault((detect_type(f.columns, detectors), f.format, tuple(f.columns)), []).append(f)
+    groups = []
+    for (kind, fmt, columns), members in sorted(by.items()):
+        paths = [f.path for f in members]
+        names = spark.createDataFrame([(f.path.rsplit("/", 1)[0], f.path.rsplit("/", 1)[-1], f.dataset) for f in members], "_folder string, _file string, _dataset string")
+        if fmt == "csv":
+            schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+            rows = ragged_reader(spark.read, schema).csv(paths).select("*", F.col("_metadata.file_path").alias("_path"))
+            rows = without_over_long(rows.select(*[F.col(f"`{c}`") for c in rows.columns if c not in (RAW, "_path")], "_path", RAW), len(columns))
+        else:
+            rows = spark.read.parquet(*paths).select("*", F.col("_metadata.file_path").alias("_path"))
+        at = [F.regexp_extract("_path", r"^(?:[a-z]+:/*)?/?(.*)/[^/]+$", 1), F.regexp_extract("_path", r"([^/]+)$", 1)]
+        rows = rows.withColumns({"_f": at[0], "_n": at[1]})
+        names = names.select(F.regexp_extract("_folder", r"^(?:[a-z]+:/*)?/?(.*)$", 1).alias("_f"), F.col("_file").alias("_n"), "_dataset")
+        rows = rows.join(F.broadcast(names), ["_f", "_n"]).drop("_f", "_n", "_path")  # one row per file
+        rows = drop_index_artifacts(rows)
+        groups.append(Group(kind, [c for c in rows.columns if c != DATASET], rows))
+    return groups
+
+
+def scan_directory(spark: SparkSession, root: str, globs: Sequence[str] = ("*.csv", "*.parquet"),
+                   limit: int | None = None) -> dict[str, DataFrame]:
+    """One lazily read table per discovered dataset (folder under ``root``, or stem in it) and header; a
+    dataset with several formats or headers gets a number from its second one on.  Unreadable files are logged."""
+    out: dict[str, DataFrame] = {}
+    for g in open_groups(spark, scan_manifest(spark, root, globs)):
+        for r in g.rows.select(DATASET).distinct().orderBy(DATASET).collect():
+            df = g.rows.where(F.col(DATASET) == r[0]).drop(DATASET)
+            name, n = r[0], 2
+            while name in out:
+                name, n = f"{r[0]}#{n}", n + 1
+            out[name] = df.limit(limit) if limit else df
     return out
 
 
