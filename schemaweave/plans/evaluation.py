@@ -225,6 +225,11 @@ def cross_matrix(spark: SparkSession, d: str) -> DataFrame:
     return cross_pairs(spark, d)
 
 
+def cross_matrix_wide(spark: SparkSession, d: str) -> DataFrame:
+    """A21 pivoted: a row per train dataset, a column per test dataset."""
+    return E.cross_matrix(cross_pairs(spark, d), "f1")
+
+
 def generalise(spark: SparkSession, d: str) -> DataFrame:
     g = E.generalisation_summary(cross_pairs(spark, d), "f1")
     return g.select("train", *[F.round(c, 9).alias(c) for c in ["same_score", "mean_other", "drop"]])

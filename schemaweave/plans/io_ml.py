@@ -11,10 +11,10 @@ from schemaweave.operators.features import NUMERIC, apply_standard_scaler, creat
 from schemaweave.operators.modeling import (class_report, feature_importance_topk, kmeans_clusters, model_summary,
                                             predictions, stratified_split, train_models)
 from schemaweave.plans.matching import table
-from schemaweave.plans.rows import incidents_from_events
+from schemaweave.plans.rows import canonical_orders, incidents_from_events
 from schemaweave.session import checkpoint_root, scratch_path
 from schemaweave.sources.readers import dataset_registry, read_csv_robust, read_csv_sniff, scan_with_provenance
-from schemaweave.sources.sinks import write_table
+from schemaweave.sources.sinks import write_canonical, write_table
 
 
 def source_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +31,18 @@ def source_roundtrip(spark: SparkSession, d: str) -> DataFrame:
                          F.col("c_mktsegment"))
 
 
+def canonical_write(spark: SparkSession, d: str) -> DataFrame:
+    """S6: canonical orders written as Parquet, CSV and profile; the profile document read back, one row per
+    column, with the rows of both files."""
+    paths = write_canonical(canonical_orders(spark, d), scratch_path(spark, "canonical"), "orders")
+    doc = spark.read.schema("n_rows long, n_cols long, columns map<string, struct<dtype string, null_pct double>>").json(paths["profile"])
+    n = [spark.read.parquet(paths["parquet"]).agg(F.count(F.lit(1)).alias("parquet_rows")), read_csv_robust(spark, paths["csv"]).agg(F.count(F.lit(1)).alias("csv_rows"))]
+    rows = doc.select("n_rows", "n_cols", F.explode("columns").alias("column", "c"))
+    for one in n:  # one row each
+        rows = rows.join(F.broadcast(one))
+    return rows.select("column", "c.dtype", "c.null_pct", "n_rows", "n_cols", "parquet_rows", "csv_rows")
+
+
 def json_docs(spark: SparkSession, d: str) -> DataFrame:
     """Column-metadata JSON documents built from events, in both shapes."""
     e = table(spark, d, "events")

@@ -351,6 +351,9 @@ def mapping_sql() -> dict[str, str]:
             FROM rlong GROUP BY metric"""),
         "results_wide": with_mapping(f"SELECT dataset, {wide} FROM results GROUP BY dataset"),
         "cross_matrix": with_mapping("SELECT * FROM cross_pairs"),
+        # one column per brand of the part table
+        "cross_matrix_wide": with_mapping("SELECT train, " + ", ".join(
+            f"max(CASE WHEN test = 'Brand#{i}' THEN f1 END) AS \"Brand#{i}\"" for i in range(1, 26)) + " FROM cross_pairs GROUP BY train"),
         "generalise": with_mapping("""SELECT train, max(CASE WHEN train = test THEN f1 END) AS same_score,
             round(avg(CASE WHEN train <> test THEN f1 END), 9) AS mean_other,
             round(max(CASE WHEN train = test THEN f1 END) - avg(CASE WHEN train <> test THEN f1 END), 9) AS drop

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from schemaweave.constants import EXPECTED_SCHEMAS
+from schemaweave.constants import CANONICAL_SCHEMA, EXPECTED_SCHEMAS
 from schemaweave.plans.evaluation import DOC_HEADERS, DOC_RULES, LENGTH_THRESHOLD
 from schemaweave.plans.matching import PART_RULES
 from schemaweave.plans.oracle import (alnum_key, ambiguous, expanded, norm_trace, normalized, q, raw_header, strip_ws,
                                       tokens)
 from schemaweave.plans.rows import DRIVER_EXPECTED, REFERENCE_TOKENS
+from schemaweave.plans.schema_catalog import FINAL_COLUMNS
 
 MISSING_CHICAGO = ",".join(sorted(set(EXPECTED_SCHEMAS["chicago"]) - {"ID", "Case Number", "Date"}))
 
@@ -211,8 +212,13 @@ def rows_sql() -> dict[str, str]:
         "token_sets": token_sets_sql(),
         "features_full": features_sql(),
         "schema_catalog": schema_catalog_sql(),
+        "final_schema": f"SELECT {', '.join(FINAL_COLUMNS)} FROM ({schema_catalog_sql()})",
         "catalog_pairs": catalog_pairs_sql(),
         "section_extract": sections_sql(),
+        "canonical_write": "\nUNION ALL\n".join(
+            f"""SELECT '{f.name}' AS "column", '{f.dataType.simpleString()}' AS dtype, round(count_if({f.name} IS NULL) * 100.0::DOUBLE / count(*), 2) AS null_pct,
+            count(*) AS n_rows, CAST({len(CANONICAL_SCHEMA.fields)} AS BIGINT) AS n_cols, count(*) AS parquet_rows, count(*) AS csv_rows
+            FROM (SELECT {ORDERS_CANON} FROM orders LEFT JOIN customer ON o_custkey = c_custkey)""" for f in CANONICAL_SCHEMA.fields),
         "source_roundtrip": """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment
             FROM customer""",
         "scan_files": """SELECT 'customer.parquet' AS source_file, count(*) AS n_rows FROM customer

@@ -15,6 +15,7 @@ from schemaweave.functions.text import is_ambiguous, with_expanded, with_normali
 from schemaweave.operators.catalog import column_profile
 from schemaweave.operators.pairs import candidate_pairs
 from schemaweave.operators.similarity import lexical_scores
+from schemaweave.operators.clean import project_final
 from schemaweave.plans.matching import _materialised, table
 
 # --- fixed values: tables profiled and the key that orders their rows ---------
@@ -55,3 +56,13 @@ def catalog_pairs(spark: SparkSession, d: str) -> DataFrame:
     pairs = candidate_pairs(cat).withColumns({"left_header_only": F.col("left_column_final"),
                                              "right_header_only": F.col("right_column_final")})
     return lexical_scores(pairs)
+
+
+# --- fixed values: columns of the final schema table, in order ---
+FINAL_COLUMNS = ["dataset_key", "original_column_name", "normalized_column_name", "expanded_column_name", "inferred_dtype",
+                 "non_null_ratio_est", "sample_values", "normalization_steps", "abbreviation_rules_applied", "flag_ambiguous_or_abbrev"]
+
+
+def final_schema(spark: SparkSession, d: str) -> DataFrame:
+    """P5: the fixed projection of the column catalog; a missing column is an error."""
+    return project_final(schema_catalog(spark, d), FINAL_COLUMNS)
