@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from schemaweave.operators.evaluate import prf
-from schemaweave.operators.keyed import exclusive_running_sum
-from schemaweave.session import scratch_path
+from schemaweave.operators.keyed import exclusive_running_sum, ranked_by_group
+from schemaweave.session import scratch_path, ship_package
 
 
 # --- W10 -------------------------------------------------------------------------------
@@ -31,7 +32,8 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
     Skew-safe exact selection: the k-th smallest hash of a class is found from
     hash-prefix histograms (16 bits, then 16 more inside the boundary bucket),
     which are partial aggregates; only the rows of the final boundary
-    sub-bucket (about n / 2^32 of a class) are ranked exactly.
+    sub-bucket (about n / 2^32 of a class, and all rows of a key that lies there) are
+    ranked exactly, over range partitions, so one key may hold any share of a class.
     """
     spark = df.sparkSession
     h = hash_rank_key(key, seed)
@@ -63,32 +65,98 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float =
     tagged = with_cut(tagged, boundary(h2, "_b2", "_k_in"), "_b2")
     edge = F.coalesce((F.col("_b1") == F.col("_b1_cut")) & (F.col("_b2") == F.col("_b2_cut")), F.lit(False))
     below = (F.col("_b1") < F.col("_b1_cut")) | ((F.col("_b1") == F.col("_b1_cut")) & (F.col("_b2") < F.col("_b2_cut")))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
     sure = tagged.where(~edge).select(*df.columns, F.coalesce(below, F.lit(False)).alias("is_test"))
-    at_edge = tagged.where(edge).withColumn("_r", rank).select(*df.columns, (F.col("_r") <= F.col("_k_in_in")).alias("is_test"))
-    return sure.unionByName(at_edge)
+    rest = [c for c, t in df.dtypes if c != key and not t.startswith("map")]
+    order = F.struct("_h", key, *rest, F.monotonically_increasing_id().alias("_i"))
+    of = F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("null"))
+    at_edge = ranked_by_group(tagged.where(edge).withColumns({"_o": order, "_g": of}), ["_g"], "_o", "_r")
+    return sure.unionByName(at_edge.select(*df.columns, (F.col("_r") < F.col("_k_in_in")).alias("is_test")))
 
 
 # --- M1 -------------------------------------------------------------------------------
+def first_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ centres out of a sample: each next one drawn by squared distance to the nearest so far."""
+    out = [sample[rng.integers(len(sample))]]
+    near = ((sample - out[0]) ** 2).sum(1)
+    while len(out) < k and near.sum() > 0:
+        out.append(sample[rng.choice(len(sample), p=near / near.sum())])
+        near = np.minimum(near, ((sample - out[-1]) ** 2).sum(1))
+    return np.array(out + [out[-1]] * (k - len(out)))
+
+
+def lloyd_step(points: DataFrame, centres: np.ndarray, fixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sums, counts, costs) of every restart's clusters in one scan of ``points`` (column x): a task gives
+    one row per restart and cluster; restarts flagged in ``fixed`` are left out."""
+    restarts, k, width = centres.shape
+    held = points.sparkSession.sparkContext.broadcast((centres, fixed))  # restarts x clusters x columns
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, fixed = held.value
+        sums, n, cost = np.zeros((restarts, k, width)), np.zeros((restarts, k), dtype=np.int64), np.zeros((restarts, k))
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            for r in np.nonzero(~fixed)[0].tolist():
+                d = ((x[:, None, :] - centres[r][None, :, :]) ** 2).sum(2)
+                at = d.argmin(1)
+                n[r] += np.bincount(at, minlength=k)
+                cost[r] += np.bincount(at, weights=d[np.arange(len(x)), at], minlength=k)
+                for j in range(width):
+                    sums[r, :, j] += np.bincount(at, weights=x[:, j], minlength=k)
+        r, c = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(c), pa.array(n[r, c]), pa.array(cost[r, c]), *(pa.array(sums[r, c, j]) for j in range(width))],
+                                         names=["r", "c", "n", "cost", *(f"s{j}" for j in range(width))])
+
+    parts = points.select("x").mapInArrow(assign, "r long, c long, n long, cost double, " + ", ".join(f"s{j} double" for j in range(width)))
+    rows = parts.groupBy("r", "c").agg(*[F.sum(x).alias(x) for x in ["n", "cost", *(f"s{j}" for j in range(width))]]).collect()  # restarts x clusters
+    sums, n, cost = np.zeros((restarts, k, width)), np.zeros((restarts, k)), np.zeros(restarts)
+    for x in rows:
+        n[x["r"], x["c"]] = x["n"]
+        cost[x["r"]] += x["cost"]
+        sums[x["r"], x["c"]] = [x[f"s{j}"] for j in range(width)]
+    return sums, n, cost
+
+
 def kmeans_clusters(df: DataFrame, key: str, cols: Sequence[str] = ("latitude", "longitude"),
-                    k: int = 50, seed: int = 42, restarts: int = 10) -> DataFrame:
+                    k: int = 50, seed: int = 42, restarts: int = 10, iterations: int = 20, tolerance: float = 1e-4,
+                    seed_rows: int = 4000) -> DataFrame:
     """(key, location_cluster) for rows with coordinates, of any number; at most as
     many clusters as there are distinct points.
 
-    Best of ``restarts`` k-means|| fits by training cost."""
-    pts = df.select(key, *cols).na.drop(subset=list(cols))
-    distinct = pts.select(*cols).distinct().limit(k).count()
+    The restarts advance together: one scan per iteration gives the partial sums of all of them, and
+    the cheapest one assigns the clusters.  Only the first centres come from a sample, of
+    ``seed_rows`` points at most, drawn by hash; iterations end when no centre moves by
+    more than ``tolerance``, or after ``iterations``."""
+    ship_package(df.sparkSession)
+    pts = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop(subset=list(cols))
+    path = scratch_path(df.sparkSession, "kmeans-points")
+    pts.select(key, F.array(*cols).alias("x")).write.parquet(path)
+    points = df.sparkSession.read.parquet(path)
+    distinct = points.select("x").distinct().limit(k).count()
     if distinct < 2:
-        return pts.select(key, F.lit(0).alias("location_cluster"))
-    feats = VectorAssembler(inputCols=list(cols), outputCol="_f", handleInvalid="skip").transform(pts).cache()
-    best = None
-    for i in range(restarts):
-        model = KMeans(k=min(k, distinct), seed=seed + i, featuresCol="_f", predictionCol="location_cluster").fit(feats)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    feats.unpersist()
-    return best[1].transform(feats).select(key, F.col("location_cluster").cast("int"))
+        return points.select(key, F.lit(0).alias("location_cluster"))
+    k = min(k, distinct)
+    sample = np.array([r["x"] for r in points.select("x", F.xxhash64(F.lit(seed), "x", key).alias("h")).orderBy("h").limit(seed_rows).collect()])
+    centres = np.stack([first_centres(sample, k, np.random.default_rng(seed + i)) for i in range(restarts)])
+    best, fixed = np.full(restarts, np.inf), np.zeros(restarts, dtype=bool)
+    for _ in range(iterations + 1):  # the last scan only tells the costs
+        sums, n, cost = lloyd_step(points, centres, fixed)
+        best = np.where(fixed, best, cost)
+        moved = np.where(n[:, :, None] > 0, sums / np.maximum(n, 1)[:, :, None], centres)
+        far = np.sqrt(((moved - centres) ** 2).sum(2)).max(1)
+        new = fixed | (far <= tolerance)
+        if new.all() or _ == iterations:
+            break
+        centres = np.where(new[:, None, None], centres, moved)
+        fixed = new
+    chosen = df.sparkSession.sparkContext.broadcast(centres[int(best.argmin())])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            at = ((x[:, None, :] - chosen.value[None, :, :]) ** 2).sum(2).argmin(1) if len(x) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(at.astype(np.int32))], names=[key, "location_cluster"])
+
+    return points.mapInArrow(nearest, f"`{key}` {dict(points.dtypes)[key]}, location_cluster int")
 
 
 # --- M3, M4, M6 --------------------------------------------------------------------------

@@ -89,6 +89,13 @@ def kmeans(spark: SparkSession, d: str) -> DataFrame:
     return clusters.groupBy("location_cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
+def features_clustered(spark: SparkSession, d: str) -> DataFrame:
+    """M1 -> M5: the features with the location clusters of the incidents (a label, so not scaled)."""
+    inc = incidents_from_events(spark, d)
+    clusters = kmeans_clusters(inc, "incident_id", k=50, restarts=10, seed=42)
+    return create_features(inc, clusters=clusters)
+
+
 # without latitude and location_type: the label is derived from the same value
 FEATURES = ["crime_category", "crime_subtype", "district", "domestic_flag", "longitude", "year", "hour", "day_of_week"]
 
