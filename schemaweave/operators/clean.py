@@ -159,7 +159,7 @@ def deduplicate(df: DataFrame, key_priority: Sequence[Sequence[str]] = DEDUP_KEY
                 order_by: Sequence[str] = (), null_keys: str = "keep") -> DataFrame:
     """First fully present key set wins; first row per key by ``order_by``.
 
-    Skew-safe: the first row is a partial aggregate, not a window.
+    Skew-safe: ``row_number() = 1`` becomes a WindowGroupLimit, one row per key and map task.
     """
     for keys in key_priority:
         if all(k in df.columns for k in keys):
