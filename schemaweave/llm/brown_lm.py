@@ -30,11 +30,12 @@ from itertools import compress, count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaweave.llm.common import chunks, fold, materialise, release, table
+from schemaweave.llm.common import chunks, fold, materialise, release, table, tidy
 
 END = b"\n"  # no word holds white space
 SUFFIX = 3
@@ -196,8 +197,30 @@ def class_bigrams(rows: DataFrame, cls: np.ndarray, k: int) -> np.ndarray:
     return out.reshape(k, k)
 
 
-def contexts(train: DataFrame, look, cls_of: np.ndarray, own: int, k: int, held: int = 300_000) -> DataFrame:
-    """(word, other, at, n): bigrams of the words that are no units of their own.
+def word_id(word: bytes, seed: int) -> int:
+    """A signed 64-bit number of the word."""
+    x = xxhash.xxh3_64_intdigest(word, seed)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def numbered(vocab: DataFrame) -> tuple[DataFrame, int]:
+    """(word, c, id) and the seed of the ids: the first seed that gives no two words of the vocabulary one id."""
+    seed, fields = 0, ", ".join(f"{c} {t}" for c, t in vocab.dtypes)
+    while True:
+        def run(batches: Iterator[pa.RecordBatch], seed: int = seed) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = [word_id(w, seed) for w in b.column("word").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.int64())], names=[*b.schema.names, "id"])
+
+        out = materialise(vocab.mapInArrow(run, f"{fields}, id long"), "brown-ids")
+        if not out.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):
+            return out, seed
+        release(out)
+        seed += 1
+
+
+def contexts(train: DataFrame, look, cls_of: np.ndarray, own: int, k: int, seed: int, held: int = 300_000) -> DataFrame:
+    """(word, other, at, n): bigrams of the words that are no units of their own, words as their ids (see ``numbered``).
 
     With a frequent word: at = next class, or k + previous class; with another
     such word: other, at = 0 (word before other); with itself: at = 2k."""
@@ -210,7 +233,7 @@ def contexts(train: DataFrame, look, cls_of: np.ndarray, own: int, k: int, held:
         wide = 2 * k + 1
 
         def out() -> Iterator[pa.RecordBatch]:
-            names = np.array(list(local), dtype=object)
+            names = np.array([word_id(w, seed) for w in local], dtype=np.int64)
             one, m = np.unique(np.concatenate(singles or [np.zeros(0, np.int64)]), return_counts=True)
             two, r = np.unique(np.concatenate(doubles or [np.zeros(0, np.int64)]), return_counts=True)
             word = np.r_[one // wide, two >> 32]
@@ -218,8 +241,9 @@ def contexts(train: DataFrame, look, cls_of: np.ndarray, own: int, k: int, held:
             at, n = np.r_[one % wide, np.zeros(len(two), np.int64)], np.r_[m, r]
             for s in range(0, len(word), 100_000):
                 p = slice(s, s + 100_000)
-                others = [names[x] if x >= 0 else None for x in second[p].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(names[word[p]].tolist(), pa.binary()), pa.array(others, pa.binary()),
+                none = second[p] < 0
+                others = np.where(none, 0, names[np.maximum(second[p], 0)])
+                yield pa.RecordBatch.from_arrays([pa.array(names[word[p]]), pa.array(others, mask=none),
                                                   pa.array(at[p].astype(np.int32)), pa.array(n[p].astype(np.int64))], names=["word", "other", "at", "n"])
             local.clear()
             singles.clear()
@@ -255,7 +279,7 @@ def contexts(train: DataFrame, look, cls_of: np.ndarray, own: int, k: int, held:
                 size = 0
         yield from out()
 
-    rows = train.select("text").mapInArrow(count, "word binary, other binary, at int, n long")
+    rows = train.select("text").mapInArrow(count, "word long, other long, at int, n long")
     return rows.groupBy("word", "other", "at").agg(F.sum("n").alias("n"))
 
 
@@ -310,7 +334,7 @@ def refine(near: DataFrame, words: DataFrame, fixed: np.ndarray, k: int, rounds:
                     to, _ = best_moves(n, cls, row, at, c)
                     yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(cls.astype(np.int32)), pa.array(to.astype(np.int32))], names=["word", "cls", "to"])
 
-        return materialise(rows.mapInArrow(move, "word binary, cls int, to int"), "brown-moves")
+        return materialise(rows.mapInArrow(move, f"word {dict(rows.dtypes)['word']}, cls int, to int"), "brown-moves")
 
     at = gathered(words)
     n = bigrams_of(at)
@@ -331,11 +355,13 @@ def refine(near: DataFrame, words: DataFrame, fixed: np.ndarray, k: int, rounds:
             at, n, want, share = rows, m, moved(rows, m), 1
             for table_ in last:
                 release(table_)
+            del last
         else:
             release(rows)
             if moves["some"] == 1:
                 break  # the gain of a single move is rounding
             share *= 2
+        tidy(near.sparkSession)
     release(at)
     return want.select("word", "cls"), n
 
@@ -446,18 +472,21 @@ def score_documents(docs: DataFrame, held_mod: int = 10, classes: int = 48, unit
         index = Index(*look.value)
         for b in batches:
             to = cls_of[np.array([index[w] for w in b.column("word").to_pylist()], dtype=np.int64)]
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(to.astype(np.int32))], names=["word", "cls"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(to.astype(np.int32))], names=["word", "cls"])
 
     # the frequent words keep their classes, all others of the vocabulary move by their own bigrams
     fixed = np.zeros(classes * classes)
     between = bigrams.where((F.col("a") < own) & (F.col("b") < own)).mapInArrow(unit_classes, "at long, n long")
     for x in between.groupBy("at").agg(F.sum("n").alias("n")).collect():
         fixed[x["at"]] = x["n"]
-    near = materialise(contexts(train, look, cls_of, own, classes), "brown-near")
-    begun = materialise(rest.select("word").mapInArrow(start, "word binary, cls int"), "brown-start")
+    known_words, seed = numbered(rest)
+    near = materialise(contexts(train, look, cls_of, own, classes, seed), "brown-near")
+    begun = materialise(known_words.mapInArrow(start, "word long, cls int"), "brown-start")
+    tidy(spark)
     words, n = refine(near, begun, fixed.reshape(classes, classes), classes, word_rounds)
-    words = materialise(words.join(vocab, "word"), "brown-classes")
+    words = materialise(words.withColumnRenamed("word", "id").join(known_words, "id").select("word", "cls", "c"), "brown-classes")
     release(near)
+    tidy(spark)
     in_head = spark.createDataFrame([(bytearray(w),) for w in order], "word binary")  # at most head_words + 1 rows
     own_cls = {bytes(x["word"]): x["cls"] for x in words.join(F.broadcast(in_head), "word", "left_semi").select("word", "cls").collect()}
     cls_of[own:first_end] = [own_cls[w] for w in order[own:]]
