@@ -301,7 +301,10 @@ def refine(near: DataFrame, words: DataFrame, fixed: np.ndarray, k: int, rounds:
         rows = rows.groupBy("word", "own", "at").agg(F.sum("n").alias("n"))
         rows = rows.groupBy("word").agg(F.collect_list(F.struct("own", "at", "n")).alias("r"))
         rows = words.join(rows, "word").select("word", "cls", F.col("r.own").alias("own"), F.col("r.at").alias("at"), F.col("r.n").alias("n"))
-        return materialise(rows, "brown-contexts")
+        out = materialise(rows, "brown-contexts")
+        del rows, c, after, ahead
+        tidy(near.sparkSession)
+        return out
 
     def cells(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         flat = [b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("own", "at", "n")]
