@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -41,10 +42,26 @@ def to_int(col) -> Column:
                       F.when(d == F.floor(d), d.try_cast("bigint")))
 
 
+def literal_shape(fmt: str) -> str | None:
+    """LIKE pattern (lower case) of the characters that every text of a datetime format holds, in order; none
+    for formats with optional parts.  It never rejects a text that the format parses."""
+    if any(c in fmt for c in "[]{}#\\"):
+        return None
+    plain = re.sub(r"'([^']*)'|([A-Za-z]+)", lambda m: "%" if m[1] is None else (m[1] or "'").replace("_", "%"), fmt)
+    return re.sub("%+", "%", f"%{plain.lower()}%")
+
+
 def parse_timestamp(col, formats: Sequence[str] = TIMESTAMP_FORMATS) -> Column:
-    """First format that parses wins; failures give null (timestamp_ntz)."""
+    """First format that parses wins; failures give null (timestamp_ntz).
+
+    A failed attempt costs an exception, so a format is tried on texts of its shape only."""
     s = F.trim(_c(col).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in formats])
+
+    def attempt(fmt: str) -> Column:
+        parsed, shape = F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz"), literal_shape(fmt)
+        return parsed if shape is None else F.when(F.lower(s).like(shape), parsed)
+
+    return F.coalesce(*[attempt(f) for f in formats])
 
 
 def date_plus_hhmm(date_col, time_col) -> Column:

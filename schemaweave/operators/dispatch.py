@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schemaweave.operators.clean import CleanSpec, clean_source, deduplicate
+from schemaweave.session import scratch_path
 
 DATASET = "_dataset"
 
@@ -40,6 +41,12 @@ def validate_group(group: Group, expected: Sequence[str], max_null_pct: float =
                       (F.lit(not missing) & (F.col("_null") < max_null_pct)).alias("is_valid"))
 
 
+def _written(facts: DataFrame) -> DataFrame:
+    path = scratch_path(facts.sparkSession, "dataset-facts")
+    facts.write.parquet(path)
+    return facts.sparkSession.read.schema(facts.schema).parquet(path)
+
+
 def dispatch(groups: Sequence[Group], specs: Mapping[str, CleanSpec], expected: Mapping[str, Sequence[str]],
              null_keys: str = "keep") -> tuple[DataFrame | None, dict[str, DataFrame]]:
     """(report, {type: canonical rows tagged with dataset_source}).
@@ -52,7 +59,7 @@ def dispatch(groups: Sequence[Group], specs: Mapping[str, CleanSpec], expected:
         facts = validate_group(g, expected.get(g.dataset_type, []))
         status = (F.lit("unknown") if g.dataset_type == "unknown" else
                   F.when(~F.col("is_valid"), "invalid").otherwise("processed" if g.dataset_type in specs else "no_cleaner"))
-        facts = facts.withColumn("status", status)
+        facts = _written(facts.withColumn("status", status))  # read by the report and by the choice of rows: scanned once
         report = facts if report is None else report.unionByName(facts)
         if g.dataset_type in specs and not set(expected.get(g.dataset_type, [])) - set(g.columns):
             valid = facts.where(F.col("status") == "processed").select(F.col("dataset").alias(DATASET))

@@ -125,17 +125,17 @@ def open_groups(spark: SparkSession, files: Sequence[SourceFile], detectors=TYPE
     groups = []
     for (kind, fmt, columns), members in sorted(by.items()):
         paths = [f.path for f in members]
-        names = spark.createDataFrame([(f.path.rsplit("/", 1)[0], f.path.rsplit("/", 1)[-1], f.dataset) for f in members], "_folder string, _file string, _dataset string")
+        names = spark.createDataFrame([(f.path, f.dataset) for f in members], "_path string, _dataset string")
         if fmt == "csv":
             schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
             rows = ragged_reader(spark.read, schema).csv(paths).select("*", F.col("_metadata.file_path").alias("_path"))
             rows = without_over_long(rows.select(*[F.col(f"`{c}`") for c in rows.columns if c not in (RAW, "_path")], "_path", RAW), len(columns))
         else:
             rows = spark.read.parquet(*paths).select("*", F.col("_metadata.file_path").alias("_path"))
-        at = [F.regexp_extract("_path", r"^(?:[a-z]+:/*)?/?(.*)/[^/]+$", 1), F.regexp_extract("_path", r"([^/]+)$", 1)]
-        rows = rows.withColumns({"_f": at[0], "_n": at[1]})
-        names = names.select(F.regexp_extract("_folder", r"^(?:[a-z]+:/*)?/?(.*)$", 1).alias("_f"), F.col("_file").alias("_n"), "_dataset")
-        rows = rows.join(F.broadcast(names), ["_f", "_n"]).drop("_f", "_n", "_path")  # one row per file
+        # scheme and slashes differ between listing and scan ("file:/" and "file:///"); no regex, as it is done per row
+        plain = F.expr("ltrim('/', substring(_path, locate(':/', _path) + 1))")
+        names = names.select(plain.alias("_p"), "_dataset")
+        rows = rows.withColumn("_p", plain).join(F.broadcast(names), "_p").drop("_p", "_path")  # one row per file
         rows = drop_index_artifacts(rows)
         groups.append(Group(kind, [c for c in rows.columns if c != DATASET], rows))
     return groups
