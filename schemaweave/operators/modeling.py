@@ -15,7 +15,21 @@ from pyspark.sql import functions as F
 
 from schemaweave.operators.evaluate import prf
 from schemaweave.operators.keyed import exclusive_running_sum, ranked_by_group
-from schemaweave.session import scratch_path, ship_package
+from schemaweave.session import checkpoint_root, scratch_path, ship_package
+
+# rows a task takes before more are opened, up to the cores; and the most it takes (a forest draws its samples per
+# task, so small tables stay as they are)
+FIT_ROWS, EACH_FIT_TASK = 20_000, 200_000
+POINTS, EACH_POINTS_TASK = 5_000, 200_000
+
+
+def spread(df: DataFrame, rows: int, least: int, most: int) -> DataFrame:
+    """``df`` (of ``rows`` rows) over as many tasks as there are cores, each with ``least`` rows or more and
+    about ``most`` at most: small files come as one task whatever work hangs on a row."""
+    tasks = max(min(df.sparkSession.sparkContext.defaultParallelism, rows // least), -(-rows // most))
+    if tasks <= df.rdd.getNumPartitions():
+        return df
+    return df.repartition(tasks).sortWithinPartitions(*df.columns)  # the same rows in each task at every run
 
 
 # --- W10 -------------------------------------------------------------------------------
@@ -84,6 +98,23 @@ def first_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.nd
     return np.array(out + [out[-1]] * (k - len(out)))
 
 
+def nearest_centres(x: np.ndarray, centres: np.ndarray, rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centre, its squared distance) of every row, in blocks that stay in the processor's cache."""
+    at, near = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+    d, t = np.empty((2, min(rows, len(x)), len(centres)))
+    for i in range(0, len(x), rows):
+        part = x[i:i + rows]
+        a, b = d[:len(part)], t[:len(part)]
+        a[:] = 0.0
+        for j in range(x.shape[1]):
+            np.subtract(part[:, j, None], centres[None, :, j], out=b)
+            np.multiply(b, b, out=b)
+            np.add(a, b, out=a)
+        at[i:i + rows] = a.argmin(1)
+        near[i:i + rows] = a[np.arange(len(part)), at[i:i + rows]]
+    return at, near
+
+
 def lloyd_step(points: DataFrame, centres: np.ndarray, fixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sums, counts, costs) of every restart's clusters in one scan of ``points`` (column x): a task gives
     one row per restart and cluster; restarts flagged in ``fixed`` are left out."""
@@ -96,10 +127,9 @@ def lloyd_step(points: DataFrame, centres: np.ndarray, fixed: np.ndarray) -> tup
         for batch in batches:
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             for r in np.nonzero(~fixed)[0].tolist():
-                d = ((x[:, None, :] - centres[r][None, :, :]) ** 2).sum(2)
-                at = d.argmin(1)
+                at, near = nearest_centres(x, centres[r])
                 n[r] += np.bincount(at, minlength=k)
-                cost[r] += np.bincount(at, weights=d[np.arange(len(x)), at], minlength=k)
+                cost[r] += np.bincount(at, weights=near, minlength=k)
                 for j in range(width):
                     sums[r, :, j] += np.bincount(at, weights=x[:, j], minlength=k)
         r, c = np.nonzero(n)
@@ -131,6 +161,11 @@ def kmeans_clusters(df: DataFrame, key: str, cols: Sequence[str] = ("latitude",
     path = scratch_path(df.sparkSession, "kmeans-points")
     pts.select(key, F.array(*cols).alias("x")).write.parquet(path)
     points = df.sparkSession.read.parquet(path)
+    dealt = spread(points, points.count(), POINTS, EACH_POINTS_TASK)
+    if dealt is not points:  # every iteration reads them: one task per written file
+        path = scratch_path(df.sparkSession, "kmeans-points")
+        dealt.write.parquet(path)
+        points = df.sparkSession.read.parquet(path)
     distinct = points.select("x").distinct().limit(k).count()
     if distinct < 2:
         return points.select(key, F.lit(0).alias("location_cluster"))
@@ -153,7 +188,7 @@ def kmeans_clusters(df: DataFrame, key: str, cols: Sequence[str] = ("latitude",
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            at = ((x[:, None, :] - chosen.value[None, :, :]) ** 2).sum(2).argmin(1) if len(x) else np.zeros(0)
+            at, _ = nearest_centres(x, chosen.value)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(at.astype(np.int32))], names=[key, "location_cluster"])
 
     return points.mapInArrow(nearest, f"`{key}` {dict(points.dtypes)[key]}, location_cluster int")
@@ -162,15 +197,22 @@ def kmeans_clusters(df: DataFrame, key: str, cols: Sequence[str] = ("latitude",
 # --- M3, M4, M6 --------------------------------------------------------------------------
 def train_models(train: DataFrame, features: Sequence[str], label: str, seed: int = 42,
                  n_trees: int = 100, max_depth: int = 30) -> dict:
-    """Both models fitted on ``train``; ``max_depth`` bounds the trees (30 is Spark's limit)."""
+    """Both models fitted on ``train``; ``max_depth`` bounds the trees (30 is Spark's limit).
+
+    Rows are few bytes but pass every tree at every level, so they are spread over the cores; the
+    nodes they have reached are kept with them instead of walking the trees anew at each level."""
+    checkpoint_root(train.sparkSession)  # long chains of node ids are cut there
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     n_train = max(train.count(), 1)
+    train = spread(train.select(*dict.fromkeys([*features, label])), n_train, FIT_ROWS, EACH_FIT_TASK).cache()
     lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=1000,
                             regParam=1.0 / n_train, elasticNetParam=0.0, standardization=False)
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees, seed=seed,
-                                featureSubsetStrategy="sqrt", maxDepth=max_depth, impurity="gini")
-    return {"Logistic Regression": Pipeline(stages=[asm, lr]).fit(train),
-            "Random Forest": Pipeline(stages=[asm, rf]).fit(train)}
+                                featureSubsetStrategy="sqrt", maxDepth=max_depth, impurity="gini", cacheNodeIds=True)
+    fitted = {"Logistic Regression": Pipeline(stages=[asm, lr]).fit(train),
+              "Random Forest": Pipeline(stages=[asm, rf]).fit(train)}
+    train.unpersist()
+    return fitted
 
 
 def predictions(model, test: DataFrame, label: str, key: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,57 @@ def test_la_tables_are_routed_by_hints():
     assert detect_by_hints(["TIME OCC", "Crm Cd Desc", "x"]) == "la_crimes"
     assert detect_by_hints(["Charge Description"]) == detect_by_hints(["Report ID", "Arrest Date"]) == "la_arrests"
     assert detect_by_hints(["DR Number", "Date Occurred"]) == "la_crimes" and detect_by_hints(["x"], fallback="unknown") == "unknown"
+
+
+def test_a_format_is_tried_only_on_texts_of_its_shape(spark):
+    from schemaweave.constants import TIMESTAMP_FORMATS
+    from schemaweave.functions.casting import literal_shape, parse_timestamp
+
+    texts = ["05/03/2016 11:40:00 PM", "05/03/2016 11:40:00 pm", "2016-05-03T10:11:12", "2016-05-03t10:11:12", "2016-05-03 10:11:12", "2016-05-03 10:11",
+             "05/03/2016 10:11", "2016-05-03", "05/03/2016", " 05/03/2016 ", "1", "", None, "13/13/2016", "5/3/2016", "2016-5-3", "a-b-c", "x/y/z p:q:r s", "+12016-05-03"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.coalesce(*[F.try_to_timestamp(F.trim("t"), F.lit(f)).cast("timestamp_ntz") for f in TIMESTAMP_FORMATS])
+    rows = df.select("t", parse_timestamp("t").cast("string").alias("a"), plain.cast("string").alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and sum(r.a is not None for r in rows) >= 9
+    shapes = [literal_shape(f) for f in TIMESTAMP_FORMATS]
+    assert sum(bool(spark.range(1).where(F.lit("1").like(s)).count()) for s in shapes) == 0  # "1" is parsed by no attempt
+    assert literal_shape("yyyy[-MM]") is None
+
+
+def test_loads_read_a_frame_cleaned_once(spark, monkeypatch):
+    from schemaweave.plans import rows as R
+
+    cleaned = R.canonical_orders(spark, "/root/testdata/sf0.001")
+    names = []
+    keep = R.written
+    monkeypatch.setattr(R, "written", lambda s, n, df: names.append(n) or keep(s, n, df))
+    assert R.load_twice(spark, "/root/testdata/sf0.001").count() == 4 and cleaned.count() > 0
+    assert names == ["canonical-orders", "canonical-events"]
+
+
+def test_rows_are_spread_over_the_cores(spark):
+    from schemaweave.operators.modeling import spread
+
+    df = spark.range(2000).selectExpr("id", "id % 7 as v").coalesce(1)
+    out = spread(df, 2000, 500, 10_000)
+    assert out.rdd.getNumPartitions() == min(4, spark.sparkContext.defaultParallelism) and sorted(out.collect()) == sorted(df.collect())
+    assert spread(df, 2000, 5000, 10_000) is df and spread(df, 2000, 5000, 100).rdd.getNumPartitions() == 20
+
+
+def test_forest_keeps_the_nodes_of_its_rows(spark):
+    from schemaweave.operators.modeling import train_models
+
+    df = spark.range(300).selectExpr("cast(id % 17 as double) as a", "cast(id % 2 as int) as y")
+    fitted = train_models(df, ["a"], "y", n_trees=3, max_depth=4)
+    assert fitted["Random Forest"].stages[-1].getCacheNodeIds() and fitted["Random Forest"].stages[-1].getNumTrees == 3
+
+
+def test_nearest_centres_equal_the_plain_distances():
+    from schemaweave.operators.modeling import nearest_centres
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 1024, 2500):
+        x, c = rng.normal(size=(n, 2)), rng.normal(size=(50, 2))
+        at, near = nearest_centres(x, c)
+        d = ((x[:, None, :] - c[None, :, :]) ** 2).sum(2)
+        assert np.array_equal(at, d.argmin(1) if n else []) and np.array_equal(near, d[np.arange(n), at])
