@@ -48,6 +48,9 @@ _EDGES = ".,;:!?\"'()[]{}|$%&*#-_"
 
 
 _DIGITS = str.maketrans("013457", "oieast")
+_FOREIGN, _TOKEN, _OTHER_SPACE = re.compile(r"[^\x00-\x7f]+"), re.compile(r"\S+"), re.compile(r"[^\S\x00-\x7f]")
+_NORMS = np.array([max(1e-9, sum(max(0, m - b) * (b - 1) * DECAY ** (2 * b + 2) for b in range(2, SPAN))) for m in range(WINDOW + 1)]) ** 0.5
+SLACK = 1e-7  # of bounds, for rounding
 
 
 def plain(token: str) -> str:
@@ -63,12 +66,47 @@ class Plain(dict):
     """Memo of a word's letters (see ``plain``) without its edges; emptied when full."""
 
     def __missing__(self, word: str) -> str:
-        if len(self) > 100_000:
+        if len(self) > 20_000:
             self.clear()
         out = self[word] = plain(word.strip(_EDGES))
         return out
 
 
+class Spelt(dict):
+    """Memo of runs of other than ASCII characters written so that ASCII rules read them: each character
+    becomes its letters, a space or "-".  \\1 stands for a numeral that no letter rule covers, \\0 for a
+    character that is a letter without letters or the reverse: the words of such a text are spelt one by one."""
+
+    def __init__(self):
+        super().__init__()
+        self.plain = Plain()
+
+    def __missing__(self, run: str) -> str:
+        if len(self) > 20_000:
+            self.clear()
+        out = self[run] = "".join(map(self.letters, run))
+        return out
+
+    @staticmethod
+    def letters(c: str) -> str:
+        out = plain(c)
+        if bool(out) != c.isalpha():
+            return "\0"
+        return out or (" " if c.isspace() else "\1" if c.isalnum() and not c.isdecimal() else "-")
+
+    def word(self, word: str) -> str:
+        return word if word.isascii() else (self.plain[word] or "-") + (word[-1] if word[-1] in ".!?" else "")
+
+    def text(self, low: str) -> tuple[str, bool]:
+        """The text, and whether every character stayed one character."""
+        if low.isascii():
+            return low, True
+        out = _FOREIGN.sub(lambda m: self[m[0]], low)
+        if "\0" in out:
+            return _OTHER_SPACE.sub(" ", _TOKEN.sub(lambda m: self.word(m[0]), low)), False
+        return out, len(out) == len(low) and "\1" not in out
+
+
 def tokens_of(text: str) -> list[str]:
     low = text.lower()
     return [t.strip(_EDGES) for t in low.split()] + _SPACED.findall(low)
@@ -90,12 +128,21 @@ def explicit(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, value) of the normalised kernel features, sorted by row."""
     n = len(strings)
     code = np.full((n, WINDOW), -1, dtype=np.int64)
-    flat = np.frombuffer("".join(strings).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    latin = (flat >= 97) & (flat <= 122)
-    flat = np.where(latin, flat - 97, 26 + flat % (LETTERS - 26))
+    flat = np.frombuffer("".join(strings).encode("utf-32-le"), dtype=np.uint32)
     size = np.fromiter(map(len, strings), dtype=np.int64, count=n)
     row = np.repeat(np.arange(n), size)
-    code[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+    code[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = letter_codes(flat)
+    return features(code)
+
+
+def letter_codes(points: np.ndarray) -> np.ndarray:
+    points = points.astype(np.int64)
+    return np.where((points >= 97) & (points <= 122), points - 97, 26 + points % (LETTERS - 26))
+
+
+def features(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``explicit`` of strings given as rows of letter codes, -1 behind their end."""
+    n = len(code)
     keys, values = [], []
     for a, b in OFFSETS:
         x, y, z = code[:, :WINDOW - b], code[:, a:WINDOW - b + a], code[:, b:]
@@ -114,14 +161,20 @@ def explicit(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, feature, value / norm[row]
 
 
-def linear(strings: list[str], weights: np.ndarray) -> np.ndarray:
-    """Products of the strings' normalised features with ``weights`` (features, or features x m)."""
-    row, feature, value = explicit(strings)
+def linear(strings: list[str] | np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Products of the normalised features of strings (or rows of letter codes) with ``weights`` (features, or features x m)."""
+    row, feature, value = features(strings) if isinstance(strings, np.ndarray) else explicit(strings)
     w = weights if weights.ndim == 2 else weights[:, None]
     out = np.zeros((len(strings), w.shape[1]))
-    if len(row):
-        first = np.nonzero(np.r_[True, row[1:] != row[:-1]])[0]
-        out[row[first]] = np.add.reduceat(w[feature] * value[:, None], first, axis=0)
+    if w.shape[1] > 1:  # features without a weight add nothing
+        used = w.any(axis=1)[feature]
+        row, feature, value = row[used], feature[used], value[used]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][:len(row)])
+    # blocks of whole rows, of about a million products each
+    cuts = [*range(0, len(first), max(1, 1_000_000 // (120 * w.shape[1]))), len(first)] if len(row) else []
+    for a, b in zip(cuts, cuts[1:]):
+        part = slice(first[a], first[b] if b < len(first) else len(row))
+        out[row[first[a:b]]] = np.add.reduceat(w[feature[part]] * value[part, None], first[a:b] - first[a], axis=0)
     return out if weights.ndim == 2 else out[:, 0]
 
 
@@ -132,66 +185,174 @@ def landmark_matrix(landmarks: list[str]) -> np.ndarray:
     return z
 
 
-def joined(texts: list[str], weights: np.ndarray, least: np.ndarray, letters_of: Plain) -> list[list[tuple[float, str]]]:
-    """Per text: the joined letters of each run of neighbouring words of a sentence
-    (at most a window) whose value may exceed ``least``, with a bound of the value, best first.
-
-    The bound takes each subsequence's occurrences apart, which makes the norm smaller, never larger."""
-    parts, sizes, place, owner, sentence = [], [], [], [], 0
-    for k, text in enumerate(texts):
-        for s in sentences(text.lower()):
-            words = list(filter(None, map(letters_of.__getitem__, s.split())))
-            sentence += 1
-            if len(words) > 1:
-                parts += words
-                sizes += map(len, words)
-                place += [sentence] * len(words)
-                owner += [k] * len(words)
-    out: list[list[tuple[float, str]]] = [[] for _ in texts]
-    if not parts:
-        return out
-    letters = "".join(parts)
-    flat = np.frombuffer(letters.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    code = np.where((flat >= 97) & (flat <= 122), flat - 97, 26 + flat % (LETTERS - 26))
-    sums = []
-    for b in range(2, SPAN):
-        n = max(0, len(code) - b)
-        v = np.zeros(n)
-        for a in range(1, b):
-            v += weights[(code[:n] * LETTERS + code[a:n + a]) * LETTERS + code[b:n + b]]
-        sums.append(np.concatenate([[0.0], np.cumsum(v * DECAY ** (b + 1)), np.zeros(b)]))
-    ends, size, place, owner = np.cumsum(sizes), np.array(sizes), np.array(place), np.array(owner)
-    starts, first = ends - size, np.arange(len(size))
-    norms = np.array([max(1e-9, sum(max(0, m - b) * (b - 1) * DECAY ** (2 * b + 2) for b in range(2, SPAN))) for m in range(WINDOW + 1)])
-    for j in range(1, WINDOW):
-        first = first[first + j < len(size)]
-        first = first[(place[first] == place[first + j]) & (ends[first + j] - starts[first] <= WINDOW)]
-        if not len(first):
-            break
-        s, e = starts[first], ends[first + j]
-        v = sum(np.where(e - b > s, c[np.maximum(e - b, s)] - c[s], 0.0) for b, c in zip(range(2, SPAN), sums)) / np.sqrt(norms[e - s])
-        for i in np.nonzero((v > least[owner[first]]) & (e - s > 2))[0].tolist():
-            out[owner[first[i]]].append((float(v[i]) + 1e-9, letters[s[i]:e[i]]))
-    for found in out:
-        found.sort(reverse=True)
-    return out
-
-
-def best_joined(texts: list[str], weights: np.ndarray, least: np.ndarray, letters_of: Plain | None = None) -> list[tuple[float, str]]:
-    """Per text the joined string of the largest value, or (least, "") if none exceeds ``least``."""
-    best = [(float(x), "") for x in least]
-    left = joined(texts, weights, least, Plain() if letters_of is None else letters_of)
-    step = 1
-    while any(left):
-        tried = [(k, s) for k, found in enumerate(left) for _, s in found[:step]]
-        for at in range(0, len(tried), 5000):
-            part = tried[at:at + 5000]
-            for (k, s), v in zip(part, linear([s for _, s in part], weights).tolist()):
-                if v > best[k][0]:
-                    best[k] = (v, s)
-        left = [[x for x in found[step:] if x[0] > best[k][0]] for k, found in enumerate(left)]
-        step *= 4
-    return best
+SPACE, OTHER, UNDERSCORE, NUMBER, DIGIT, LETTER = range(6)  # a digit looks like a letter, a number does not
+_KIND = np.array([SPACE if chr(c).isspace() else LETTER if chr(c).isalpha() or c == 128 else DIGIT if c in _DIGITS
+                  else NUMBER if chr(c).isdigit() else UNDERSCORE if chr(c) == "_" else OTHER for c in range(129)], dtype=np.uint8)
+_LOOKS = np.array([_DIGITS.get(c, c) for c in range(128)], dtype=np.uint8)
+
+
+class Letters:
+    """The letters of all words of some texts one after the other, and bounds of the value of any run of them.
+
+    Words without letters are left out.  A bound takes each subsequence's occurrences apart,
+    which makes the norm smaller, never larger, so it bounds values above 0 only."""
+
+    def __init__(self, texts: list[str], weights: np.ndarray, spelt: Spelt):
+        low = [t.lower() for t in texts]
+        own, even = zip(*map(spelt.text, low))
+        whole = "\n".join(own) + "\n"
+        narrow = whole.isascii()
+        points = np.frombuffer(whole.encode("ascii"), np.uint8) if narrow else np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        kind = np.full(len(points) + 2, SPACE, dtype=np.uint8)
+        kind[1:-1] = _KIND[points if narrow else np.minimum(points, 128)]
+        edges = np.flatnonzero((kind[1:] == SPACE) != (kind[:-1] == SPACE))
+        first, last = edges[::2], edges[1::2]
+        stops = np.cumsum(np.fromiter(map(len, own), dtype=np.int64, count=len(own)) + 1)
+        owner = np.searchsorted(stops, first, side="right")
+
+        # single letters a few characters apart: only texts with two of them may spell a string that way
+        alone = np.flatnonzero((kind[1:-1] == LETTER) & (kind[2:] < UNDERSCORE) & (kind[:-2] < NUMBER))
+        near = alone[:-1][np.diff(alone) <= 4]
+        may = {*np.searchsorted(stops, near, side="right").tolist(), *(k for k, e in enumerate(even) if not e)}
+        self.spaced = [(k, w) for k in sorted(may) for t in _SPACED.findall(low[k]) for w in windows(plain(t))]
+
+        letter = kind[1:-1] == LETTER
+        count = np.r_[0, np.cumsum(letter)]
+        digit = np.flatnonzero(kind[1:-1] == DIGIT)
+        if len(digit):  # they count in words that have a letter
+            word = np.searchsorted(first, digit, side="right") - 1
+            letter[digit[count[last[word]] > count[first[word]]]] = True
+            count = np.r_[0, np.cumsum(letter)]
+        ended = np.zeros(len(first) + 1, dtype=bool)  # a sentence before the word
+        ended[np.searchsorted(first, np.flatnonzero(points == 10))] = True
+        ended[1:] |= np.isin(points[last - 1], (33, 46, 63))
+        sentence = np.cumsum(ended[:-1])
+        start, end = count[first], count[last]
+        # a text without tokens counts as one without letters
+        self.short = np.bincount(owner, minlength=len(texts)) == 0
+        self.short[owner[end - start < 3]] = True
+        has = end > start
+        self.start, self.end, self.owner, self.sentence = start[has], end[has], owner[has], sentence[has]
+        self.points = points[letter]
+        if narrow:
+            self.points = _LOOKS[self.points]
+        else:
+            self.points = np.where(self.points < 128, _LOOKS[np.minimum(self.points, 127)], self.points)
+        self.weights, self.code = weights, letter_codes(self.points)
+
+        n = len(self.code)
+        x, y, z = self.code * LETTERS ** 2, self.code * LETTERS, self.code
+        self.sums, self.begin, self.finish = [], np.zeros(n + 1), np.zeros(n + 1)
+        for b in range(2, SPAN):
+            m = max(0, n - b)
+            v = np.zeros(m)
+            xz = x[:m] + z[b:b + m]
+            for a in range(1, b):
+                v += weights[xz + y[a:a + m]]
+            c = np.zeros(n + 1)
+            np.cumsum(v * DECAY ** (b + 1), out=c[1:m + 1])
+            self.sums.append(c)
+            self.begin += c
+            self.finish[b:] += c[:max(0, n + 1 - b)]
+
+    def bound(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """A bound of the value of the letters from ``s`` to before ``e``."""
+        v = self.finish[e] - self.begin[s]
+        few = np.flatnonzero(e - s < SPAN - 1)
+        f, g = s[few], e[few]
+        v[few] = sum(np.where(g - b > f, c[np.maximum(g - b, f)] - c[f], 0.0) for b, c in zip(range(2, SPAN), self.sums))
+        return v / _NORMS[e - s]
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, start, end) of the windows of words of at least three letters."""
+        size = self.end - self.start
+        step = WINDOW // 2
+        n = np.where(size <= WINDOW, 1, -(-(size - step) // step)) * (size > 2)
+        word = np.repeat(np.arange(len(size)), n)
+        s = self.start[word] + step * (np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n))
+        return self.owner[word], s, np.minimum(s + WINDOW, self.end[word])
+
+    def runs(self, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, start, end, bound) of runs of neighbouring words of a sentence, at most a window
+        and at least three letters, whose value may exceed the text's ``least``."""
+        found: list[tuple[np.ndarray, ...]] = []
+        least, first = least[self.owner], np.arange(len(self.start))
+        for j in range(1, WINDOW):
+            first = first[:np.searchsorted(first, len(self.start) - j)]
+            first = first[(self.sentence[first] == self.sentence[first + j]) & (self.end[first + j] - self.start[first] <= WINDOW)]
+            if not len(first):
+                break
+            s, e = self.start[first], self.end[first + j]
+            v = self.bound(s, e)
+            at = np.flatnonzero((v + SLACK > least[first]) & (e - s > 2))
+            found.append((self.owner[first[at]], s[at], e[at], v[at]))
+        none = np.zeros(0, dtype=np.int64)
+        return tuple(map(np.concatenate, zip(*found))) if found else (none, none, none, np.zeros(0))
+
+    def search(self, best: np.ndarray, owner: np.ndarray, s: np.ndarray, e: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Raises ``best`` (by text) to the largest value of the given runs of letters; the run that did it by text, or -1."""
+        chosen = np.full(len(best), -1)
+        left = np.flatnonzero(bound + SLACK > best[owner])
+        left = left[np.lexsort((-bound[left], owner[left]))]
+        step = 1
+        while len(left):
+            who = owner[left]
+            head = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+            now = np.arange(len(left)) - np.repeat(head, np.diff(np.r_[head, len(left)])) < step
+            tried, left = left[now], left[~now]
+            for at in range(0, len(tried), 5000):
+                part = tried[at:at + 5000]
+                place = s[part][:, None] + np.arange(WINDOW)
+                code = np.where(place < e[part][:, None], self.code[np.minimum(place, len(self.code) - 1)], -1)
+                _, once, same = np.unique((code + 1).astype(np.uint8).view(f"S{WINDOW}")[:, 0], return_index=True, return_inverse=True)
+                v, k = linear(code[once], self.weights)[same], owner[part]
+                old = best.copy()
+                np.maximum.at(best, k, v)
+                up = np.flatnonzero((v == best[k]) & (v > old[k]))[::-1]  # the first of equals counts
+                chosen[k[up]] = part[up]
+            left = left[bound[left] + SLACK > best[owner[left]]]
+            step *= 4
+        return chosen
+
+    def best_words(self) -> np.ndarray:
+        """The largest value of a string of each text, joined ones apart; 0 without any string."""
+        best = np.where(self.short, 0.0, -np.inf)
+        owner, s, e = self.words()
+        v = self.bound(s, e)
+        # a value below 0 lies above its bound, and below 0
+        self.search(best, owner, s, e, np.maximum(v, 0.0))
+        if self.spaced:
+            np.maximum.at(best, [k for k, _ in self.spaced], linear([w for _, w in self.spaced], self.weights))
+        return best
+
+    def best_runs(self, best: np.ndarray) -> list[str]:
+        """Raises ``best`` to the largest value of a joined string; that string by text, or ""."""
+        owner, s, e, bound = self.runs(best)
+        return ["" if i < 0 else self.points[s[i]:e[i]].astype("<u4").tobytes().decode("utf-32-le")
+                for i in self.search(best, owner, s, e, bound).tolist()]
+
+
+def pieces(texts: list[str], most: int = 200_000) -> Iterator[list[str]]:
+    """The texts in lists of about ``most`` characters at most (a longer text makes its own list)."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > most:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
+def best_joined(texts: list[str], weights: np.ndarray, least: np.ndarray, spelt: Spelt | None = None) -> list[tuple[float, str]]:
+    """Per text the joined letters of a run of neighbouring words of a sentence (at most a window)
+    of the largest value, or (least, "") if none exceeds ``least``."""
+    if not len(texts):
+        return []
+    best = np.array(least, dtype=float)
+    strings = Letters(texts, weights, Spelt() if spelt is None else spelt).best_runs(best)
+    return list(zip(best.tolist(), strings))
 
 
 class Scores(dict):
@@ -199,13 +360,13 @@ class Scores(dict):
 
     def __init__(self, weights: np.ndarray, limit: int = 200_000):
         super().__init__()
-        self.weights, self.limit, self.plain = weights, limit, Plain()
+        self.weights, self.limit, self.plain, self.spelt = weights, limit, Plain(), Spelt()
 
     def learn(self, tokens: set[str]) -> None:
         if len(self) > self.limit:
             self.clear()
         new = [t for t in tokens if t not in self]
-        parts = [(t, w) for t in new for w in windows(plain(t))]
+        parts = [(t, w) for t in new for w in windows(self.plain[t])]
         for at in range(0, len(parts), 5000):
             part = parts[at:at + 5000]
             for (t, _), v in zip(part, linear([w for _, w in part], self.weights).tolist()):
@@ -224,14 +385,13 @@ class Model:
 
     def values(self, texts: list[str], cache: Scores) -> np.ndarray:
         """SVM value of each text's most toxic string."""
-        out: list[float] = []
-        for at in range(0, len(texts), 200):
-            part = texts[at:at + 200]
-            found = [set(tokens_of(t)) for t in part]
-            cache.learn(set().union(*found))
-            best = np.array([max(map(cache.__getitem__, f), default=0.0) for f in found], dtype=float)
-            out += [v for v, _ in best_joined(part, self.weights, best, cache.plain)]
-        return np.array(out, dtype=float) + self.bias
+        out = [np.zeros(0)]
+        for part in pieces(texts):
+            letters = Letters(part, self.weights, cache.spelt)
+            best = letters.best_words()
+            letters.best_runs(best)
+            out.append(best)
+        return np.concatenate(out) + self.bias
 
     def scores(self, texts: list[str], cache: Scores) -> np.ndarray:
         if self.share is not None:
@@ -245,9 +405,10 @@ def association(sample: DataFrame, limit: int = 600) -> tuple[list[tuple[str, fl
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: tuple[Counter, Counter] = (Counter(), Counter())
+        letters_of = Plain()
         for batch, texts in chunks(batches, max_chars=1_000_000):
             for y, text in zip(batch.column("y").to_pylist(), texts):
-                n[y].update({plain(t) for t in tokens_of(text)})
+                n[y].update(set(map(letters_of.__getitem__, tokens_of(text))))
         words = sorted(w for w in n[0].keys() | n[1].keys() if 3 <= len(w) <= WINDOW)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([n[1][w] for w in words], pa.int64()),
                                           pa.array([n[0][w] for w in words], pa.int64())], names=["s", "p", "q"])
@@ -314,9 +475,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
     bad = sum(s in {t for t, _ in toxic} for s in marks)
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, max_chars=1_000_000):
+        letters_of = Plain()
+        for batch, texts in chunks(batches, max_chars=200_000):
             near: dict[str, float] = {}
-            found = [[{p for t in tokens_of(s) for p in windows(plain(t))} for s in sentences(text)] for text in texts]
+            found = [[{p for t in tokens_of(s) for p in windows(letters_of[t])} for s in sentences(text)] for text in texts]
             new = sorted(set().union(*(s for doc in found for s in doc)))
             for at in range(0, len(new), 1000):
                 part = new[at:at + 1000]
@@ -344,12 +506,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
     weights = z @ (nystroem @ once.coefficients.toArray())
 
     def harder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters_of = Plain()
-        for batch, texts in chunks(batches, max_chars=1_000_000):
-            strings = []
-            for at in range(0, len(texts), 200):
-                part = texts[at:at + 200]
-                strings += [s for _, s in best_joined(part, weights, np.zeros(len(part)), letters_of) if s]
+        spelt = Spelt()
+        for batch, texts in chunks(batches, max_chars=200_000):
+            strings = [s for part in pieces(texts) for _, s in best_joined(part, weights, np.zeros(len(part)), spelt) if s]
             k = linear(strings, z) @ nystroem if strings else np.zeros((0, nystroem.shape[1]))
             yield pa.RecordBatch.from_arrays([pa.array(list(k), pa.list_(pa.float64())), pa.array([0.0] * len(k), pa.float64())], names=["k", "y"])
 
@@ -362,10 +521,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
 
     def maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Scores(model.weights)
-        for batch, texts in chunks(batches, max_chars=1_000_000):
+        for batch, texts in chunks(batches, max_chars=200_000):
             values, ys = model.values(texts, cache).tolist(), batch.column("y").to_pylist()
             for text in [t for t, y in zip(texts, ys) if y]:  # its most toxic string with a letter inserted
-                worst = max(tokens_of(text), key=lambda t: (cache.get(t, -9e9), t), default="")
+                found = tokens_of(text)
+                cache.learn(set(found))
+                worst = max(found, key=lambda t: (cache.get(t, -9e9), t), default="")
                 new = [v for w in windows(plain(worst)) for v in variants(w)[:1] if len(w) < WINDOW]
                 values += (linear(new, model.weights) + model.bias).tolist() if new else []
                 ys += [1] * len(new)

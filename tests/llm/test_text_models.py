@@ -184,6 +184,24 @@ def test_joined_strings_give_the_largest_kernel_value():
     assert got[1] == got[2] == (-9.0, "")
 
 
+def test_values_are_the_largest_of_all_strings_and_few_are_evaluated(monkeypatch):
+    rng = np.random.default_rng(5)
+    weights = rng.normal(size=toxicity.LETTERS ** 3)
+    letters = list("abcdeiot")
+    many = [" ".join("".join(rng.choice(letters, rng.integers(5, 9))) for _ in range(500)) for _ in range(4)]
+    odd = ["", "...", "ab", "word", "cl0wn 1.", "You idi ot! \u2122 1 \u2122x1", "x\xb2 \xb2 a\xa0b.c d", "\u041a\u0438\u0440 \u0438\u043b", "a \xe9 i o", "\ufb01 n d", "abc" * 20]
+    model = toxicity.Model(weights, 0.0, 1.0, 0.0)
+    seen, linear = [], toxicity.linear
+    monkeypatch.setattr(toxicity, "linear", lambda strings, w: seen.append(len(strings)) or linear(strings, w))
+    got = model.values(many + odd, toxicity.Scores(weights)).tolist()
+    assert sum(seen) < 400  # of some 2000 words and their joined runs
+    monkeypatch.undo()
+    for text, value in zip(many + odd, got):
+        found = [p for t in toxicity.tokens_of(text) for p in toxicity.windows(toxicity.plain(t))]
+        words = max(linear(found, weights).tolist(), default=0.0)
+        assert value == max(words, toxicity.best_joined([text], weights, np.array([words]))[0][0])
+
+
 def test_split_and_disguised_insults_score_high(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     model = toxicity.fit(docs.where(fold("doc_id", 3) != 1), spark.read.parquet(f"{SF}/labels.parquet"))
