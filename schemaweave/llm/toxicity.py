@@ -166,9 +166,6 @@ def linear(strings: list[str] | np.ndarray, weights: np.ndarray) -> np.ndarray:
     row, feature, value = features(strings) if isinstance(strings, np.ndarray) else explicit(strings)
     w = weights if weights.ndim == 2 else weights[:, None]
     out = np.zeros((len(strings), w.shape[1]))
-    if w.shape[1] > 1:  # features without a weight add nothing
-        used = w.any(axis=1)[feature]
-        row, feature, value = row[used], feature[used], value[used]
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][:len(row)])
     # blocks of whole rows, of about a million products each
     cuts = [*range(0, len(first), max(1, 1_000_000 // (120 * w.shape[1]))), len(first)] if len(row) else []
@@ -233,12 +230,8 @@ class Letters:
         self.short[owner[end - start < 3]] = True
         has = end > start
         self.start, self.end, self.owner, self.sentence = start[has], end[has], owner[has], sentence[has]
-        self.points = points[letter]
-        if narrow:
-            self.points = _LOOKS[self.points]
-        else:
-            self.points = np.where(self.points < 128, _LOOKS[np.minimum(self.points, 127)], self.points)
-        self.weights, self.code = weights, letter_codes(self.points)
+        points = points[letter]
+        self.weights, self.code = weights, letter_codes(np.where(points < 128, _LOOKS[np.minimum(points, 127)], points))
 
         n = len(self.code)
         x, y, z = self.code * LETTERS ** 2, self.code * LETTERS, self.code
@@ -289,9 +282,8 @@ class Letters:
         none = np.zeros(0, dtype=np.int64)
         return tuple(map(np.concatenate, zip(*found))) if found else (none, none, none, np.zeros(0))
 
-    def search(self, best: np.ndarray, owner: np.ndarray, s: np.ndarray, e: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        """Raises ``best`` (by text) to the largest value of the given runs of letters; the run that did it by text, or -1."""
-        chosen = np.full(len(best), -1)
+    def search(self, best: np.ndarray, owner: np.ndarray, s: np.ndarray, e: np.ndarray, bound: np.ndarray) -> None:
+        """Raises ``best`` (by text) to the largest value of the given runs of letters."""
         left = np.flatnonzero(bound + SLACK > best[owner])
         left = left[np.lexsort((-bound[left], owner[left]))]
         step = 1
@@ -305,14 +297,9 @@ class Letters:
                 place = s[part][:, None] + np.arange(WINDOW)
                 code = np.where(place < e[part][:, None], self.code[np.minimum(place, len(self.code) - 1)], -1)
                 _, once, same = np.unique((code + 1).astype(np.uint8).view(f"S{WINDOW}")[:, 0], return_index=True, return_inverse=True)
-                v, k = linear(code[once], self.weights)[same], owner[part]
-                old = best.copy()
-                np.maximum.at(best, k, v)
-                up = np.flatnonzero((v == best[k]) & (v > old[k]))[::-1]  # the first of equals counts
-                chosen[k[up]] = part[up]
+                np.maximum.at(best, owner[part], linear(code[once], self.weights)[same])
             left = left[bound[left] + SLACK > best[owner[left]]]
             step *= 4
-        return chosen
 
     def best_words(self) -> np.ndarray:
         """The largest value of a string of each text, joined ones apart; 0 without any string."""
@@ -325,11 +312,9 @@ class Letters:
             np.maximum.at(best, [k for k, _ in self.spaced], linear([w for _, w in self.spaced], self.weights))
         return best
 
-    def best_runs(self, best: np.ndarray) -> list[str]:
-        """Raises ``best`` to the largest value of a joined string; that string by text, or ""."""
-        owner, s, e, bound = self.runs(best)
-        return ["" if i < 0 else self.points[s[i]:e[i]].astype("<u4").tobytes().decode("utf-32-le")
-                for i in self.search(best, owner, s, e, bound).tolist()]
+    def best_runs(self, best: np.ndarray) -> None:
+        """Raises ``best`` to the largest value of a joined string (see ``best_joined``, which names the string)."""
+        self.search(best, *self.runs(best))
 
 
 def pieces(texts: list[str], most: int = 200_000) -> Iterator[list[str]]:
@@ -345,14 +330,66 @@ def pieces(texts: list[str], most: int = 200_000) -> Iterator[list[str]]:
         yield part
 
 
-def best_joined(texts: list[str], weights: np.ndarray, least: np.ndarray, spelt: Spelt | None = None) -> list[tuple[float, str]]:
-    """Per text the joined letters of a run of neighbouring words of a sentence (at most a window)
-    of the largest value, or (least, "") if none exceeds ``least``."""
-    if not len(texts):
-        return []
-    best = np.array(least, dtype=float)
-    strings = Letters(texts, weights, Spelt() if spelt is None else spelt).best_runs(best)
-    return list(zip(best.tolist(), strings))
+def joined(texts: list[str], weights: np.ndarray, least: np.ndarray, letters_of: Plain) -> list[list[tuple[float, str]]]:
+    """Per text: the joined letters of each run of neighbouring words of a sentence
+    (at most a window) whose value may exceed ``least``, with a bound of the value, best first.
+
+    The bound takes each subsequence's occurrences apart, which makes the norm smaller, never larger."""
+    parts, sizes, place, owner, sentence = [], [], [], [], 0
+    for k, text in enumerate(texts):
+        for s in sentences(text.lower()):
+            words = list(filter(None, map(letters_of.__getitem__, s.split())))
+            sentence += 1
+            if len(words) > 1:
+                parts += words
+                sizes += map(len, words)
+                place += [sentence] * len(words)
+                owner += [k] * len(words)
+    out: list[list[tuple[float, str]]] = [[] for _ in texts]
+    if not parts:
+        return out
+    letters = "".join(parts)
+    flat = np.frombuffer(letters.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    code = np.where((flat >= 97) & (flat <= 122), flat - 97, 26 + flat % (LETTERS - 26))
+    sums = []
+    for b in range(2, SPAN):
+        n = max(0, len(code) - b)
+        v = np.zeros(n)
+        for a in range(1, b):
+            v += weights[(code[:n] * LETTERS + code[a:n + a]) * LETTERS + code[b:n + b]]
+        sums.append(np.concatenate([[0.0], np.cumsum(v * DECAY ** (b + 1)), np.zeros(b)]))
+    ends, size, place, owner = np.cumsum(sizes), np.array(sizes), np.array(place), np.array(owner)
+    starts, first = ends - size, np.arange(len(size))
+    norms = np.array([max(1e-9, sum(max(0, m - b) * (b - 1) * DECAY ** (2 * b + 2) for b in range(2, SPAN))) for m in range(WINDOW + 1)])
+    for j in range(1, WINDOW):
+        first = first[first + j < len(size)]
+        first = first[(place[first] == place[first + j]) & (ends[first + j] - starts[first] <= WINDOW)]
+        if not len(first):
+            break
+        s, e = starts[first], ends[first + j]
+        v = sum(np.where(e - b > s, c[np.maximum(e - b, s)] - c[s], 0.0) for b, c in zip(range(2, SPAN), sums)) / np.sqrt(norms[e - s])
+        for i in np.nonzero((v > least[owner[first]]) & (e - s > 2))[0].tolist():
+            out[owner[first[i]]].append((float(v[i]) + 1e-9, letters[s[i]:e[i]]))
+    for found in out:
+        found.sort(reverse=True)
+    return out
+
+
+def best_joined(texts: list[str], weights: np.ndarray, least: np.ndarray, letters_of: Plain | None = None) -> list[tuple[float, str]]:
+    """Per text the joined string of the largest value, or (least, "") if none exceeds ``least``."""
+    best = [(float(x), "") for x in least]
+    left = joined(texts, weights, least, Plain() if letters_of is None else letters_of)
+    step = 1
+    while any(left):
+        tried = [(k, s) for k, found in enumerate(left) for _, s in found[:step]]
+        for at in range(0, len(tried), 5000):
+            part = tried[at:at + 5000]
+            for (k, s), v in zip(part, linear([s for _, s in part], weights).tolist()):
+                if v > best[k][0]:
+                    best[k] = (v, s)
+        left = [[x for x in found[step:] if x[0] > best[k][0]] for k, found in enumerate(left)]
+        step *= 4
+    return best
 
 
 class Scores(dict):
@@ -476,7 +513,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters_of = Plain()
-        for batch, texts in chunks(batches, max_chars=200_000):
+        for batch, texts in chunks(batches, max_chars=1_000_000):
             near: dict[str, float] = {}
             found = [[{p for t in tokens_of(s) for p in windows(letters_of[t])} for s in sentences(text)] for text in texts]
             new = sorted(set().union(*(s for doc in found for s in doc)))
@@ -506,9 +543,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
     weights = z @ (nystroem @ once.coefficients.toArray())
 
     def harder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelt = Spelt()
-        for batch, texts in chunks(batches, max_chars=200_000):
-            strings = [s for part in pieces(texts) for _, s in best_joined(part, weights, np.zeros(len(part)), spelt) if s]
+        letters_of = Plain()
+        for batch, texts in chunks(batches, max_chars=1_000_000):
+            strings = []
+            for at in range(0, len(texts), 200):
+                part = texts[at:at + 200]
+                strings += [s for _, s in best_joined(part, weights, np.zeros(len(part)), letters_of) if s]
             k = linear(strings, z) @ nystroem if strings else np.zeros((0, nystroem.shape[1]))
             yield pa.RecordBatch.from_arrays([pa.array(list(k), pa.list_(pa.float64())), pa.array([0.0] * len(k), pa.float64())], names=["k", "y"])
 
@@ -521,7 +561,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
 
     def maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Scores(model.weights)
-        for batch, texts in chunks(batches, max_chars=200_000):
+        for batch, texts in chunks(batches, max_chars=1_000_000):
             values, ys = model.values(texts, cache).tolist(), batch.column("y").to_pylist()
             for text in [t for t, y in zip(texts, ys) if y]:  # its most toxic string with a letter inserted
                 found = tokens_of(text)
