@@ -24,22 +24,23 @@ probabilities from the smoothing alone.  Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import compress, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaweave.llm.common import chunks, fold, materialise, release, table, tidy
+from schemaweave.llm.common import fold, materialise, release, table, tidy
 
 END = b"\n"  # no word holds white space
 SUFFIX = 3
 DELTA = 0.1
+SMALL = 32  # counts whose gains are tabulated
 
 
 def words_of(text: str) -> list[bytes]:
@@ -47,25 +48,41 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def word_counts(train: DataFrame, held: int = 300_000) -> DataFrame:
+def spelled(batches: Iterator[pa.RecordBatch], max_chars: int = 4_000_000
+            ) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of the batches of about ``max_chars`` bytes of text at most (a single longer row makes its own
+    slice), with their distinct words, all tokens as numbers of these (the end, after each document, as the next
+    number), and where each document starts and ends."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(size):
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + max_chars, "right")))
+            part = batch.slice(at, to - at)
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part.column("text"), "")))
+            words, cuts = lists.flatten(), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+            some = pc.greater(pc.binary_length(words), 0)  # white space at a text's ends leaves empty words
+            cuts = np.r_[0, np.cumsum(some.to_numpy(zero_copy_only=False))][cuts]
+            coded = words.filter(some).cast(pa.binary()).dictionary_encode()
+            ends = cuts[1:] + np.arange(part.num_rows)
+            tokens = np.full(cuts[-1] + part.num_rows, len(coded.dictionary), dtype=np.int64)
+            inner = np.ones(len(tokens), dtype=bool)
+            inner[ends] = False
+            tokens[inner] = coded.indices.to_numpy()
+            starts, distinct = cuts[:-1] + np.arange(part.num_rows), coded.dictionary
+            del lists, words, some, coded, inner, cuts
+            yield part, distinct, tokens, starts, ends
+            at = to
+    pa.default_memory_pool().release_unused()  # workers live on, beside the executor's heap
+
+
+def word_counts(train: DataFrame) -> DataFrame:
     """word (binary), c: over all training texts, one end each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())],
-                                              names=["word", "n"])
-            seen.clear()
-            return rows
-
-        for _, texts in chunks(batches, max_chars=2_000_000):
-            for text in texts:
-                seen.update(words_of(text))
-            seen[END] += len(texts)
-            if len(seen) > held:
-                yield out()
-        yield out()
+        for _, words, tokens, _, _ in spelled(batches):
+            words = pa.concat_arrays([words, pa.array([END], pa.binary())])
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(tokens, minlength=len(words)))], names=["word", "n"])
 
     return train.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -93,15 +110,10 @@ class Index(dict):
         return self.endings.get(word[-SUFFIX:], self.other)
 
 
-def token_stream(index: Index, words: list[list[bytes]], end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of all tokens of the documents, each followed by an end, and where each document starts."""
-    out, starts = [], []
+def indices(index: Index, words: pa.Array, end: int) -> np.ndarray:
+    """The index of each distinct word, then that of the end."""
     look = index.__getitem__
-    for w in words:
-        starts.append(len(out))
-        out.extend(map(look, w))
-        out.append(end)
-    return np.array(out, dtype=np.int64), np.array(starts, dtype=np.int64)
+    return np.array([*map(look, words.to_pylist()), end], dtype=np.int64)
 
 
 def before(tokens: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
@@ -146,28 +158,38 @@ def best_moves(n: np.ndarray, own: np.ndarray, word: np.ndarray, at: np.ndarray,
     dense = np.bincount(word * (2 * k + 1) + at, weights=c, minlength=w * (2 * k + 1)).reshape(w, 2 * k + 1)
     self_n, all_w = dense[:, 2 * k], np.arange(w)
     gain = np.zeros((w, k))
+    small = np.arange(SMALL + 1)
     for side, other, table in ((dense[:, :k], dense[:, k:2 * k], n.T), (dense[:, k:2 * k], dense[:, :k], n)):
+        table = np.ascontiguousarray(table, dtype=float)
+        # by count and class on this side: what the bigrams add to each class; counts are mostly small
+        steps = xlogx(table[None] + small[:, None, None]) - xlogx(table)[None]
         u, j = np.nonzero(side)  # table[j]: the bigrams of all classes with class j on this side
-        for s in range(0, len(u), 50_000):
-            us, js = u[s:s + 50_000], j[s:s + 50_000]
+        for s in range(0, len(u), 16_000):
+            us, js = u[s:s + 16_000], j[s:s + 16_000]
             d, e, at_own = side[us, js], np.arange(len(us)), own[us]
-            m = table[js].astype(float)
-            m[e, at_own] -= d
-            same = js == at_own
-            m[same] -= other[us[same]]
-            m[e[same], at_own[same]] -= self_n[us[same]]
-            f = xlogx(m + d[:, None]) - xlogx(m)
+            f = steps[np.minimum(d, SMALL).astype(np.int64), js]
+            big = d > SMALL
+            f[big] = xlogx(table[js[big]] + d[big, None]) - xlogx(table[js[big]])
+            m = table[js, at_own] - d  # in its own class, the word's bigrams come off first
+            f[e, at_own] = xlogx(m + d) - xlogx(m)
+            same = np.nonzero(js == at_own)[0]
+            m = table[js[same]] - other[us[same]]
+            m[np.arange(len(same)), at_own[same]] -= d[same] + self_n[us[same]]
+            f[same] = xlogx(m + d[same, None]) - xlogx(m)
             f[e, js] = 0.0
             first = np.nonzero(np.r_[True, us[1:] != us[:-1]])[0]
-            np.add.at(gain, us[first], np.add.reduceat(f, first, axis=0))
-        total = side.sum(1) + self_n
-        sums = np.repeat(table.sum(0)[None, :].astype(float), w, 0)
-        sums[all_w, own] -= total
-        gain -= xlogx(sums + total[:, None]) - xlogx(sums)
+            gain[us[first]] += np.add.reduceat(f, first, axis=0)
+        total, sums = side.sum(1) + self_n, table.sum(0)
+        steps = xlogx(sums[None] + small[:, None]) - xlogx(sums)[None]
+        f = steps[np.minimum(total, SMALL).astype(np.int64)]
+        big = total > SMALL
+        f[big] = xlogx(sums[None] + total[big, None]) - xlogx(sums)[None]
+        f[all_w, own] = xlogx(sums[own]) - xlogx(sums[own] - total)
+        gain -= f
     both = dense[:, :k] + dense[:, k:2 * k] + self_n[:, None]
-    d = np.repeat(np.diag(n)[None, :].astype(float), w, 0)
-    d[all_w, own] -= both[all_w, own]
-    gain += xlogx(d + both) - xlogx(d)
+    u, j = np.nonzero(both)
+    d = np.diag(n).astype(float)[j] - np.where(own[u] == j, both[u, j], 0.0)
+    gain[u, j] += xlogx(d + both[u, j]) - xlogx(d)
     best = np.argmax(gain[:, 1:], 1) + 1
     up = gain[all_w, best] - gain[all_w, own]
     stay = up <= max(1e-9, 1e-12 * float(n.sum()))
@@ -219,154 +241,291 @@ def numbered(vocab: DataFrame) -> tuple[DataFrame, int]:
         seed += 1
 
 
-def contexts(train: DataFrame, look, cls_of: np.ndarray, own: int, k: int, seed: int, held: int = 300_000) -> DataFrame:
-    """(word, other, at, n): bigrams of the words that are no units of their own, words as their ids (see ``numbered``).
+#: A block's share of bigrams. word: ids; cls: their classes; k_: contexts with frequent words (how many by word,
+#: at, n; at = next class, k + previous class, or 2k with itself); f_ and p_: the other such words that follow and
+#: precede (how many by word, ids, n).
+PARTS = ("word", "cls", "k_len", "k_at", "k_n", "f_len", "f_id", "f_n", "p_len", "p_id", "p_n")
+PACKED = "block int, " + ", ".join(f"{c} binary" for c in PARTS)
+
+
+#: A block's bigrams as summed, and with its neighbours' classes put in.
+BLOCK = ("word", "cls", "k_len", "k_at", "k_n", "pair", "flag", "pair_n", "send_to", "send_len", "send")
+CELLS = ("word", "cls", "len", "at", "n", "send_to", "send_len", "send", "bigrams")
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Whole numbers in the smallest type that holds them."""
+    for t in ("B", "H", "I"):
+        if not len(a) or a.min() >= 0 and a.max() <= np.iinfo(t).max:
+            return t.encode() + a.astype(t).tobytes()
+    return b"q" + a.astype("q").tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, dtype=chr(b[0]), offset=1).astype(np.int64)
+
+
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and their sums of n."""
+    if not len(key):
+        return key, n
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
+    return key[first], np.add.reduceat(n[order], first)
+
+
+def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
+    return (ids.view(np.uint64) % np.uint64(blocks)).astype(np.int64)
+
+
+def packed(blocks: int, ids: np.ndarray, cls: np.ndarray | None, known: tuple, pairs: tuple) -> Iterator[pa.RecordBatch]:
+    """Rows of PACKED, one per block. known: (word, at, n); pairs: (word, following word, n), words as places in ids."""
+    home = block_of(ids, blocks)
+    order = np.lexsort((ids, home))
+    place = np.empty(len(ids), dtype=np.int64)
+    place[order] = np.arange(len(ids))
+    ids, home, w = ids[order], home[order], len(ids)
+    lists = []
+    for key, value, n in (known, pairs, (pairs[1], pairs[0], pairs[2])):
+        by = np.argsort(place[key], kind="stable")
+        length = np.bincount(place[key], minlength=w)
+        lists.append((length, np.r_[0, np.cumsum(length)], value[by] if value is known[1] else ids[place[value[by]]], n[by]))
+    first = np.nonzero(np.r_[True, home[1:] != home[:-1]])[0] if w else []
+    rows = []
+    for s, e in zip(first, [*first[1:], w]):
+        row = [pack(ids[s:e]), pack(cls[order][s:e] if cls is not None else ids[:0])]
+        for length, cuts, value, n in lists:
+            row += [pack(length[s:e]), pack(value[cuts[s]:cuts[e]]), pack(n[cuts[s]:cuts[e]])]
+        rows.append((int(home[s]), *row))
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i + 1] for r in rows], pa.binary()) for i in range(len(PARTS)))],
+                                     names=["block", *PARTS])
+
+
+NONE = (np.zeros(0, np.int64),) * 3
+
+
+def contexts(train: DataFrame, look, cls_of: np.ndarray, own: int, k: int, seed: int, blocks: int) -> DataFrame:
+    """Bigrams of the words that are no units of their own, words as their ids (see ``numbered``), as rows of
+    PACKED: each slice of texts gives one row to every block that holds words of its, for them to be summed there.
+    A bigram of two such words goes to both words' blocks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(*look.value)
+        for _, words, tokens, starts, _ in spelled(batches):
+            at = indices(index, words, 0)
+            rest, cls = at >= own, cls_of[at]
+            ids = np.array([word_id(w, seed) for w in compress(words.to_pylist(), rest.tolist())], dtype=np.int64)
+            place = np.cumsum(rest) - 1
+            is_rest = rest[tokens]
+            inner = np.ones(len(tokens), dtype=bool)
+            inner[starts] = False
+            b = np.nonzero(inner)[0]
+            a = b - 1
+            x, y = is_rest[a], is_rest[b]
+            begins = starts[is_rest[starts]]  # a document starts after an end
+            p, q = place[tokens[a[x & y]]], place[tokens[b[x & y]]]
+            same = p == q
+            wide = 2 * k + 1
+            known, m = np.unique(np.concatenate([
+                place[tokens[begins]] * wide + k + cls_of[0],
+                place[tokens[a[x & ~y]]] * wide + cls[tokens[b[x & ~y]]],
+                place[tokens[b[y & ~x]]] * wide + k + cls[tokens[a[y & ~x]]],
+                p[same] * wide + 2 * k]), return_counts=True)
+            two, r = np.unique((p[~same] << 32) + q[~same], return_counts=True)
+            yield from packed(blocks, ids, None, (known // wide, known % wide, m), (two >> 32, two & 0xFFFFFFFF, r))
+
+    return train.select("text").mapInArrow(count, PACKED)
+
+
+def packed_rows(near: DataFrame, blocks: int) -> DataFrame:
+    """Rows (word, other, at, n), words as ids, as rows of PACKED.
 
     With a frequent word: at = next class, or k + previous class; with another
     such word: other, at = 0 (word before other); with itself: at = 2k."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, endings, other = look.value
-        local: dict[bytes, int] = {}
-        singles: list[np.ndarray] = []
-        doubles: list[np.ndarray] = []
-        wide = 2 * k + 1
-
-        def out() -> Iterator[pa.RecordBatch]:
-            names = np.array([word_id(w, seed) for w in local], dtype=np.int64)
-            one, m = np.unique(np.concatenate(singles or [np.zeros(0, np.int64)]), return_counts=True)
-            two, r = np.unique(np.concatenate(doubles or [np.zeros(0, np.int64)]), return_counts=True)
-            word = np.r_[one // wide, two >> 32]
-            second = np.r_[np.full(len(one), -1), two & 0xFFFFFFFF]
-            at, n = np.r_[one % wide, np.zeros(len(two), np.int64)], np.r_[m, r]
-            for s in range(0, len(word), 100_000):
-                p = slice(s, s + 100_000)
-                none = second[p] < 0
-                others = np.where(none, 0, names[np.maximum(second[p], 0)])
-                yield pa.RecordBatch.from_arrays([pa.array(names[word[p]]), pa.array(others, mask=none),
-                                                  pa.array(at[p].astype(np.int32)), pa.array(n[p].astype(np.int64))], names=["word", "other", "at", "n"])
-            local.clear()
-            singles.clear()
-            doubles.clear()
-
-        index, size = Index(order, endings, other), 0
-        for _, texts in chunks(batches, max_chars=2_000_000):
-            words = [words_of(t) for t in texts]
-            tokens, starts = token_stream(index, words, 0)
-            rest = tokens >= own
-            ids = np.full(len(tokens), -1, dtype=np.int64)
-            flags = rest.tolist()
-            at = 0
-            spell: list[bytes] = []
-            for w in words:
-                spell.extend(compress(w, flags[at:at + len(w)]))
-                at += len(w) + 1
-            ids[rest] = [local.setdefault(w, len(local)) for w in spell]
-            prev = before(np.arange(len(tokens)), starts, -1)
-            b = np.nonzero(prev >= 0)[0]
-            a = prev[b]
-            begins = starts[rest[starts]]  # a document starts after an end
-            singles.append(ids[begins] * wide + k + cls_of[0])
-            x, y = rest[a], rest[b]
-            singles.append(ids[a[x & ~y]] * wide + cls_of[tokens[b[x & ~y]]])
-            singles.append(ids[b[y & ~x]] * wide + k + cls_of[tokens[a[y & ~x]]])
-            p, q = ids[a[x & y]], ids[b[x & y]]
-            singles.append(p[p == q] * wide + 2 * k)
-            doubles.append((p[p != q] << 32) + q[p != q])
-            size += len(tokens)
-            if len(local) > held or size > 8_000_000:
-                yield from out()
-                size = 0
-        yield from out()
-
-    rows = train.select("text").mapInArrow(count, "word long, other long, at int, n long")
-    return rows.groupBy("word", "other", "at").agg(F.sum("n").alias("n"))
-
-
-def refine(near: DataFrame, words: DataFrame, fixed: np.ndarray, k: int, rounds: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            word, at, n = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("word", "at", "n"))
+            two = pc.is_valid(b.column("other")).to_numpy(zero_copy_only=False)
+            other = pc.fill_null(b.column("other"), 0).to_numpy()[two]
+            ids, place = np.unique(np.r_[word, other], return_inverse=True)
+            w, o = place[:len(word)], place[len(word):]
+            yield from packed(blocks, ids, None, (w[~two], at[~two], n[~two]), (w[two], o, n[two]))
+
+    return near.mapInArrow(run, PACKED)
+
+
+def refine(near: DataFrame, words: DataFrame, fixed: np.ndarray, k: int, rounds: int | None = None, blocks: int = 1) -> tuple[DataFrame, np.ndarray]:
     """Classes (word, cls) of the words after their own exchange of at most ``rounds`` rounds, and the class
     bigrams.  A round's tables go when the next one's stand.
 
-    near: see ``contexts``; words: (word, cls) to start from; fixed: the class
-    bigrams of the other words with one another."""
-    known = near.where("other is null").select("word", "at", "n")
-    pairs = near.where("other is not null").select(F.col("word").alias("a"), F.col("other").alias("b"), "n")
-
-    def gathered(words: DataFrame) -> DataFrame:
-        c = words.select(F.col("word").alias("o"), F.col("cls").alias("oc"))
-        after = pairs.join(c, F.col("b") == F.col("o")).select(F.col("a").alias("word"), F.col("oc").alias("at"), "n")
-        ahead = pairs.join(c, F.col("a") == F.col("o")).select(F.col("b").alias("word"), (F.col("oc") + k).alias("at"), "n")
-        # the flag tells bigrams that two of these words share from those with a frequent one
-        rows = known.withColumn("own", F.lit(True)).union(after.withColumn("own", F.lit(False))).union(ahead.withColumn("own", F.lit(False)))
-        rows = rows.groupBy("word", "own", "at").agg(F.sum("n").alias("n"))
-        rows = rows.groupBy("word").agg(F.collect_list(F.struct("own", "at", "n")).alias("r"))
-        rows = words.join(rows, "word").select("word", "cls", F.col("r.own").alias("own"), F.col("r.at").alias("at"), F.col("r.n").alias("n"))
+    near: see ``contexts`` (or rows, see ``packed_rows``, also with words that are no ids); words: (word, cls) to
+    start from; fixed: the class bigrams of the other words with one another.  Words lie in ``blocks`` blocks by
+    id.  A block sends each other one the classes of those of its words that have neighbours there, in order of
+    their ids; the receiver knows the same order from its own bigrams."""
+    spark, wide, spelling = words.sparkSession, 2 * k + 1, None
+    if dict(words.dtypes)["word"] != "bigint":
+        spelling, seed = numbered(words)
+        number = F.udf(lambda w: None if w is None else word_id(bytes(w), seed), "long")
+        near = near.select(number("word").alias("word"), number("other").alias("other"), "at", "n")
+        words = spelling.select(F.col("id").alias("word"), "cls")
+    if "block" not in near.columns:
+        near = packed_rows(near, blocks)
+
+    def first_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from packed(blocks, b.column("word").to_numpy(), b.column("cls").to_numpy().astype(np.int64), NONE, NONE)
+
+    def build(rows: pa.Table) -> pa.Table:
+        """The block's bigrams summed. Pairs are ordered by the other word's block and id, so that ``new`` alone
+        tells the other word: where the next one's pairs start. send_: to which blocks how many of which words."""
+        parts = {c: [unpack(x) for x in rows.column(c).to_pylist()] for c in PARTS}
+        start = [i for i, c in enumerate(parts["cls"]) if len(c)]
+        join = lambda xs: np.concatenate([*xs, np.zeros(0, np.int64)])
+        ids, cls = join(parts["word"][i] for i in start), join(parts["cls"][i] for i in start)
+        order = np.argsort(ids)
+        ids, cls, w = ids[order], cls[order], len(ids)
+        place = [np.searchsorted(ids, x) for x in parts["word"]]
+        of = {s: join(np.repeat(p, n) if len(n) else p[:0] for p, n in zip(place, parts[f"{s}_len"])) for s in "kfp"}
+        known, known_n = summed(of["k"] * wide + join(parts["k_at"]), join(parts["k_n"]))
+        other, back = np.unique(np.r_[join(parts["f_id"]), join(parts["p_id"])], return_inverse=True)
+        home = block_of(other, blocks)
+        by = np.lexsort((other, home))
+        rank = np.empty(len(other), dtype=np.int64)
+        rank[by] = np.arange(len(other))
+        side = np.r_[of["f"] * 2, of["p"] * 2 + 1]
+        pair, pair_n = summed(rank[back] * (2 * w) + side, np.r_[join(parts["f_n"]), join(parts["p_n"])])
+        rank, side = pair // max(1, 2 * w), pair % max(1, 2 * w)
+        new = np.diff(rank, prepend=-1)
+        to, to_at = np.unique(home[by][rank], return_inverse=True)
+        send = np.unique(to_at * w + side // 2)
+        starts = np.bincount(send // max(1, w), minlength=len(to))
+        idx = send % max(1, w)
+        return pa.table([[rows.column("block")[0].as_py()]] + [pa.array([pack(x)], pa.binary()) for x in (
+            ids, cls, np.bincount(known // wide, minlength=w), known % wide, known_n, side // 2, (side % 2) + 2 * new, pair_n, to, starts,
+            idx)], schema=pa.schema([("block", pa.int32()), *((c, pa.binary()) for c in BLOCK)]))
+
+    def mail(block: int, cls: np.ndarray, to: np.ndarray, length: np.ndarray, idx: np.ndarray, moves: tuple[int, int]) -> list[tuple]:
+        cuts = np.r_[0, np.cumsum(length)]
+        return [(block, -1, pack(cls), *moves), *((int(t), block, pack(cls[idx[s:e]]), 0, 0) for t, s, e in zip(to, cuts, cuts[1:]))]
+
+    def letters(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["block", "sender", "cls", "wish", "moved"])
+
+    def first_mail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                yield letters(mail(r["block"], *(unpack(r[c]) for c in ("cls", "send_to", "send_len", "send")), (0, 0)))
+
+    def gather(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The words' counts by class with the classes that came in, and the class bigrams of the block."""
+        r = left.to_pylist()[0]
+        got = {x["sender"]: unpack(x["cls"]) for x in right.to_pylist()}
+        cls, w = got[-1], len(got[-1])
+        near_cls = np.concatenate([*(got[t] for t in unpack(r["send_to"]).tolist()), np.zeros(0, np.int64)])
+        flag, word, n = unpack(r["flag"]), unpack(r["pair"]), unpack(r["pair_n"])
+        oc = near_cls[np.cumsum(flag >> 1) - 1]
+        after = flag & 1 == 0
+        known, at, known_n = np.repeat(np.arange(w), unpack(r["k_len"])), unpack(r["k_at"]), unpack(r["k_n"])
+        c = cls[known]
+        total = np.bincount(np.where(at < k, c * k + at, np.where(at < 2 * k, (at - k) * k + c, c * k + c)), weights=known_n, minlength=k * k)
+        total += np.bincount(cls[word[after]] * k + oc[after], weights=n[after], minlength=k * k)  # a bigram of two of these words counts at its first
+        dense = np.bincount(np.r_[known * wide + at, word * wide + np.where(after, oc, oc + k)], weights=np.r_[known_n, n], minlength=w * wide)
+        cell = np.nonzero(dense)[0]
+        out = [r["word"], pack(cls), pack(np.bincount(cell // wide, minlength=w)), pack(cell % wide), pack(dense[cell].astype(np.int64)),
+               r["send_to"], r["send_len"], r["send"], pack(total.astype(np.int64))]
+        return pa.table([[r["block"]], *([x] for x in out)], schema=pa.schema([("block", pa.int32()), *((c, pa.binary()) for c in CELLS)]))
+
+    def gathered(letters: DataFrame) -> DataFrame:
+        rows = table_.groupBy("block").cogroup(letters.select("block", "sender", "cls").groupBy("block")).applyInArrow(
+            gather, "block int, " + ", ".join(f"{c} binary" for c in CELLS))
         out = materialise(rows, "brown-contexts")
-        del rows, c, after, ahead
-        tidy(near.sparkSession)
+        del rows
+        tidy(spark)
         return out
 
-    def cells(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        flat = [b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("own", "at", "n")]
-        row = np.repeat(np.arange(b.num_rows), b.column("at").value_lengths().to_numpy())
-        return b.column("cls").to_numpy().astype(np.int64), row, flat[0].astype(bool), flat[1].astype(np.int64), flat[2]
-
     def bigrams_of(rows: DataFrame) -> np.ndarray:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k * k)
+            total = np.zeros(k * k, dtype=np.int64)
             for b in batches:
-                cls, row, own, at, n = cells(b)
-                c = cls[row]
-                code = np.where(at < k, c * k + at, np.where(at < 2 * k, (at - k) * k + c, c * k + c))
-                use = own | (at < k)  # a bigram of two of these words counts at its first
-                total += np.bincount(code[use], weights=n[use], minlength=k * k)
+                for x in b.column("bigrams").to_pylist():
+                    total += unpack(x)
             at = np.nonzero(total)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
         out = fixed.reshape(-1).copy()
-        for r in rows.mapInArrow(add, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        for r in rows.select("bigrams").mapInArrow(add, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
             out[r["at"]] += r["n"]
         return out.reshape(k, k)
 
-    def moved(rows: DataFrame, n: np.ndarray) -> DataFrame:
+    def moved(rows: DataFrame, n: np.ndarray, turn: int, share: int) -> DataFrame:
+        """The classes that the words want, sent out: by those that a hash chooses, one of ``share``."""
+        key = xxhash.xxh64_intdigest(turn.to_bytes(4, "little"), 42)
+
         def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for s in range(0, b.num_rows, 4000):
-                    part = b.slice(s, 4000)
-                    cls, row, _, at, c = cells(part)
-                    to, _ = best_moves(n, cls, row, at, c)
-                    yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(cls.astype(np.int32)), pa.array(to.astype(np.int32))], names=["word", "cls", "to"])
-
-        return materialise(rows.mapInArrow(move, f"word {dict(rows.dtypes)['word']}, cls int, to int"), "brown-moves")
-
-    at = gathered(words)
+                for r in b.to_pylist():
+                    ids, cls, length, at, c = (unpack(r[x]) for x in ("word", "cls", "len", "at", "n"))
+                    cuts, to = np.r_[0, np.cumsum(length)], cls.copy()
+                    for s in range(0, len(cls), 4000):
+                        e = min(len(cls), s + 4000)
+                        p = slice(cuts[s], cuts[e])
+                        to[s:e], _ = best_moves(n, cls[s:e], np.repeat(np.arange(e - s), length[s:e]), at[p], c[p])
+                    wish = to != cls
+                    chosen = wish
+                    if share > 1:
+                        hashes = np.array([xxhash.xxh64_intdigest(i.tobytes(), key) for i in ids], dtype=np.uint64).view(np.int64)
+                        chosen = wish & (hashes % share == 0)
+                    yield letters(mail(r["block"], np.where(chosen, to, cls), *(unpack(r[x]) for x in ("send_to", "send_len", "send")),
+                                       (int(wish.sum()), int(chosen.sum()))))
+
+        return materialise(rows.drop("bigrams").mapInArrow(move, "block int, sender int, cls binary, wish long, moved long"), "brown-mail")
+
+    both = near.select("block", *PARTS).unionByName(words.select("word", F.col("cls").cast("long").alias("cls")).mapInArrow(first_classes, PACKED))
+    table_ = materialise(both.groupBy("block").applyInArrow(build, "block int, " + ", ".join(f"{c} binary" for c in BLOCK)), "brown-near")
+    del near, both
+    tidy(spark)
+    post = materialise(table_.select("block", "cls", "send_to", "send_len", "send").mapInArrow(first_mail, "block int, sender int, cls binary, wish long, moved long"), "brown-mail")
+    at = gathered(post)
+    release(post)
     n = bigrams_of(at)
-    want = moved(at, n)
     share = 1
     for turn in range(1, rounds + 1) if rounds is not None else count(1):
-        chosen = F.pmod(F.xxhash64(F.lit(turn), "word"), F.lit(share)) == 0
-        moves = want.agg(F.count_if(F.col("cls") != F.col("to")).alias("all"), F.count_if(chosen & (F.col("cls") != F.col("to"))).alias("some")).first()
+        post = moved(at, n, turn, share)
+        moves = post.agg(F.sum("wish").alias("all"), F.sum("moved").alias("some")).first()
         if not moves["all"]:
+            release(post)
             break
         if not moves["some"]:  # too small a part
+            release(post)
             share = max(1, share // 2)
             continue
-        rows = gathered(want.select("word", F.when(chosen, F.col("to")).otherwise(F.col("cls")).alias("cls")))
+        rows = gathered(post)
+        release(post)
         m = bigrams_of(rows)
         if likelihood(m) > likelihood(n):
-            last = (at, want)
-            at, n, want, share = rows, m, moved(rows, m), 1
-            for table_ in last:
-                release(table_)
-            del last
+            release(at)
+            at, n, share = rows, m, 1
         else:
             release(rows)
             if moves["some"] == 1:
                 break  # the gain of a single move is rounding
             share *= 2
-        tidy(near.sparkSession)
+        tidy(spark)
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for w, c in zip(b.column("word").to_pylist(), b.column("cls").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(unpack(w)), pa.array(unpack(c).astype(np.int32))], names=["word", "cls"])
+
+    out = materialise(at.select("word", "cls").mapInArrow(classes, "word long, cls int"), "brown-refined")
     release(at)
-    return want.select("word", "cls"), n
+    release(table_)
+    if spelling is not None:
+        out = out.withColumnRenamed("word", "id").join(spelling.select("id", "word"), "id").select("word", "cls")
+    return out, n
 
 
 def exchange(bigrams: DataFrame, units: int, k: int, rounds: int | None, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -418,10 +577,12 @@ def exchange(bigrams: DataFrame, units: int, k: int, rounds: int | None, end: in
 
 
 def score_documents(docs: DataFrame, held_mod: int = 10, classes: int = 48, unit_words: int = 1000, endings: int = 500,
-                    head_words: int = 65_536, rounds: int | None = None, word_rounds: int | None = 4, prior: float = 20.0) -> DataFrame:
+                    head_words: int = 65_536, rounds: int | None = None, word_rounds: int | None = 4, prior: float = 20.0,
+                    block_tokens: int = 500_000) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    ``rounds`` and ``word_rounds`` bound the exchange of the units and of all other words (None: to rest)."""
+    ``rounds`` and ``word_rounds`` bound the exchange of the units and of all other words (None: to rest);
+    the other words' bigrams lie in blocks of about ``block_tokens`` of their occurrences."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        (fold("doc_id", held_mod) == 0).alias("held_out"))
@@ -452,9 +613,9 @@ def score_documents(docs: DataFrame, held_mod: int = 10, classes: int = 48, unit
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, seen = Index(*look.value), np.zeros(units * units, dtype=np.int64)
-        for _, texts in chunks(batches, max_chars=2_000_000):
-            tokens, starts = token_stream(index, [words_of(t) for t in texts], 0)
-            seen += np.bincount(unit_of[before(tokens, starts, 0)] * units + unit_of[tokens], minlength=units * units)
+        for _, words, tokens, starts, _ in spelled(batches):
+            unit = unit_of[indices(index, words, 0)]
+            seen += np.bincount(unit[before(tokens, starts, len(words))] * units + unit[tokens], minlength=units * units)
         at = np.nonzero(seen)[0]
         for k in range(0, max(1, len(at)), 100_000):
             a = at[k:k + 100_000]
@@ -483,12 +644,11 @@ def score_documents(docs: DataFrame, held_mod: int = 10, classes: int = 48, unit
     for x in between.groupBy("at").agg(F.sum("n").alias("n")).collect():
         fixed[x["at"]] = x["n"]
     known_words, seed = numbered(rest)
-    near = materialise(contexts(train, look, cls_of, own, classes, seed), "brown-near")
-    begun = materialise(known_words.mapInArrow(start, "word long, cls int"), "brown-start")
-    tidy(spark)
-    words, n = refine(near, begun, fixed.reshape(classes, classes), classes, word_rounds)
+    blocks = max(1, -(-(total - sum(counts[:own])) // block_tokens))
+    begun = materialise(known_words.mapInArrow(start, "word long, cls int"), "brown-start")  # no two Python steps in a task
+    near = contexts(train, look, cls_of, own, classes, seed, blocks)
+    words, n = refine(near, begun, fixed.reshape(classes, classes), classes, word_rounds, blocks)
     words = materialise(words.withColumnRenamed("word", "id").join(known_words, "id").select("word", "cls", "c"), "brown-classes")
-    release(near)
     tidy(spark)
     in_head = spark.createDataFrame([(bytearray(w),) for w in order], "word binary")  # at most head_words + 1 rows
     own_cls = {bytes(x["word"]): x["cls"] for x in words.join(F.broadcast(in_head), "word", "left_semi").select("word", "cls").collect()}
@@ -510,22 +670,21 @@ def score_documents(docs: DataFrame, held_mod: int = 10, classes: int = 48, unit
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, made = Index(*look.value), 0
         trans, spread, cls_of, log_c, known = tables.value
-        for batch, texts in chunks(batches, max_chars=2_000_000):
-            words = [words_of(x) for x in texts]
-            tokens, starts = token_stream(index, words, 0)
-            rare = (tokens >= first_end).tolist()
-            rest = [list(compress(w, rare[s:s + len(w)])) for w, s in zip(words, starts.tolist())]
-            codes = cls_of[tokens].astype(np.int32)
+        for batch, words, tokens, starts, ends in spelled(batches):
+            spell, tokens = tokens, indices(index, words, 0)[tokens]
+            rare = tokens >= first_end
+            cuts = np.r_[0, np.cumsum(rare)][np.r_[starts, len(tokens)]].astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(cuts), words.take(pa.array(spell[rare])))
+            codes = cls_of[tokens].astype(np.int16 if len(trans) < 1 << 15 else np.int32)
             codes[rare] = -1 - codes[rare]  # an unseen word's class, to be replaced if training saw the word
-            ends = [*starts[1:].tolist(), len(tokens)]
-            codes = [codes[s:e].tobytes() for s, e in zip(starts.tolist(), ends)]
-            rid = (TaskContext.get().partitionId() << 40) + made + np.arange(len(texts))
-            made += len(texts)
+            cuts = (np.r_[starts, len(tokens)] * codes.itemsize).astype(np.int32)
+            codes = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(codes)])
+            rid = (TaskContext.get().partitionId() << 40) + made + np.arange(len(starts))
+            made += len(starts)
             add = lambda x: np.add.reduceat(x, starts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rid), batch.column("doc_id"), batch.column("held_out"), pa.array(add(np.ones(len(tokens), dtype=np.int64))),
-                 pa.array(add(known[tokens].astype(np.int64))), pa.array(add(log_c[tokens])), pa.array(codes, pa.binary()),
-                 pa.array(rest, pa.list_(pa.binary()))],
+                [pa.array(rid), batch.column("doc_id"), batch.column("held_out"), pa.array(ends - starts + 1),
+                 pa.array(add(known[tokens].astype(np.int64))), pa.array(add(log_c[tokens])), codes, rest],
                 names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "log_c", "codes", "rest"])
 
     def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -534,7 +693,7 @@ def score_documents(docs: DataFrame, held_mod: int = 10, classes: int = 48, unit
         for b in batches:
             model = []
             for codes, found in zip(b.column("codes").to_pylist(), b.column("found")):
-                c = np.frombuffer(codes, dtype=np.int32).astype(np.int64)
+                c = np.frombuffer(codes, dtype=np.int16 if len(trans) < 1 << 15 else np.int32).astype(np.int64)
                 rare = np.nonzero(c < 0)[0]
                 c = np.where(c < 0, -1 - c, c)
                 if found.is_valid and len(found.values):

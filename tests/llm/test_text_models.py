@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -330,6 +331,52 @@ def test_refined_classes_are_at_rest_and_counted_exactly(spark):
         assert all(likelihood(table({**cls, w: c})) <= likelihood(n) + 1e-6 for c in range(1, k))
 
 
+def test_moves_by_tabulated_gains_equal_single_ones_for_large_counts():
+    rng = np.random.default_rng(6)
+    k, words = 5, 30
+    cls = rng.integers(1, k, words)
+    near = (rng.integers(0, 4, (words, 2 * k + 1)) * rng.choice([1, 9, 70], (words, 2 * k + 1))).astype(float)
+    n = rng.integers(0, 500, (k, k)).astype(float)
+    for u in range(words):
+        n[cls[u], :] += near[u, :k]
+        n[:, cls[u]] += near[u, k:2 * k]
+        n[cls[u], cls[u]] += near[u, 2 * k]
+    row, at = np.nonzero(near)
+    to, gain = brown_lm.best_moves(n, cls, row, at, near[row, at])
+    for u in range(words):
+        assert (to[u], pytest.approx(gain[u])) == brown_lm.best_move(n, int(cls[u]), near[u, :k], near[u, k:2 * k], near[u, 2 * k])
+
+
+def test_tokens_of_slices_are_the_words_of_each_text(spark):
+    texts = ["  The cat\tsat ", None, "", "\x0b \n", "é É\xa0x the", "a", "a b c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    for size in (1, 12, 1000):
+        got = []
+        for _, words, tokens, starts, ends in brown_lm.spelled([batch], size):
+            names = [*words.to_pylist(), None]
+            got += [[names[t] for t in tokens[s:e + 1]] for s, e in zip(starts, ends)]
+        assert got == [[*brown_lm.words_of(t or ""), None] for t in texts]
+
+
+def test_rare_bigrams_lie_in_blocks_and_give_the_same_classes_in_any_number(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"{'abc'[i % 3]}{rng.integers(0, 60)}" for i in range(rng.integers(0, 60))) for _ in range(120)]
+    docs = frame(spark, texts)
+    rows, keep = {}, brown_lm.materialise
+
+    def counted(df, name):
+        out = keep(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(brown_lm, "materialise", counted)
+    kwargs = {"classes": 5, "unit_words": 4, "endings": 2, "head_words": 9}
+    one = {r.doc_id: r.score for r in brown_lm.score_documents(docs, **kwargs).collect()}
+    assert rows["brown-near"] == rows["brown-contexts"] == 1  # not a row for each of thousands of bigrams
+    many = {r.doc_id: r.score for r in brown_lm.score_documents(docs, **kwargs, block_tokens=400).collect()}
+    assert 5 <= rows["brown-near"] == rows["brown-contexts"] <= 9 and many == pytest.approx(one)
+
+
 def test_language_model_beats_the_base_and_handles_empty_tables(spark):
     out = brown_lm.op10_brown_lm(spark, SF)
     r = out.where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.count("*").alias("n")).first()
