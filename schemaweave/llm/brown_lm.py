@@ -25,7 +25,7 @@ probabilities from the smoothing alone.  Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress, count
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -99,21 +99,22 @@ def heavy(df: DataFrame, col: str, limit: int) -> DataFrame:
     return df.where(bin_ >= level) if level is not None else df.limit(0)
 
 
-class Index(dict):
+class Index:
     """Word -> index: a frequent word's own, else that of its ending's unit."""
 
     def __init__(self, words: list[bytes], endings: dict[bytes, int], other: int):
-        super().__init__(zip(words, range(len(words))))
-        self.endings, self.other = endings, other
+        self.words, self.endings = pa.array(words, pa.binary()), pa.array([*endings], pa.binary())
+        self.at = np.array([*endings.values(), other], dtype=np.int64)
 
-    def __missing__(self, word: bytes) -> int:
-        return self.endings.get(word[-SUFFIX:], self.other)
+    def of(self, words: pa.Array) -> np.ndarray:
+        ending = pc.fill_null(pc.index_in(pc.binary_slice(words, -SUFFIX), value_set=self.endings), -1)
+        own = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.where(own >= 0, own, self.at[ending.to_numpy(zero_copy_only=False)])
 
 
 def indices(index: Index, words: pa.Array, end: int) -> np.ndarray:
     """The index of each distinct word, then that of the end."""
-    look = index.__getitem__
-    return np.array([*map(look, words.to_pylist()), end], dtype=np.int64)
+    return np.r_[index.of(words), end]
 
 
 def before(tokens: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
@@ -311,11 +312,11 @@ def contexts(train: DataFrame, look, cls_of: np.ndarray, own: int, k: int, seed:
     A bigram of two such words goes to both words' blocks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*look.value)
+        index, digest = Index(*look.value), xxhash.xxh3_64_intdigest  # see word_id
         for _, words, tokens, starts, _ in spelled(batches):
             at = indices(index, words, 0)
             rest, cls = at >= own, cls_of[at]
-            ids = np.array([word_id(w, seed) for w in compress(words.to_pylist(), rest.tolist())], dtype=np.int64)
+            ids = np.array([digest(w, seed) for w in words.filter(pa.array(rest[:-1])).to_pylist()], dtype=np.uint64).view(np.int64)
             place = np.cumsum(rest) - 1
             is_rest = rest[tokens]
             inner = np.ones(len(tokens), dtype=bool)
@@ -323,14 +324,15 @@ def contexts(train: DataFrame, look, cls_of: np.ndarray, own: int, k: int, seed:
             b = np.nonzero(inner)[0]
             a = b - 1
             x, y = is_rest[a], is_rest[b]
+            two, left, right = x & y, x & ~y, y & ~x
             begins = starts[is_rest[starts]]  # a document starts after an end
-            p, q = place[tokens[a[x & y]]], place[tokens[b[x & y]]]
+            p, q = place[tokens[a[two]]], place[tokens[b[two]]]
             same = p == q
             wide = 2 * k + 1
             known, m = np.unique(np.concatenate([
                 place[tokens[begins]] * wide + k + cls_of[0],
-                place[tokens[a[x & ~y]]] * wide + cls[tokens[b[x & ~y]]],
-                place[tokens[b[y & ~x]]] * wide + k + cls[tokens[a[y & ~x]]],
+                place[tokens[a[left]]] * wide + cls[tokens[b[left]]],
+                place[tokens[b[right]]] * wide + k + cls[tokens[a[right]]],
                 p[same] * wide + 2 * k]), return_counts=True)
             two, r = np.unique((p[~same] << 32) + q[~same], return_counts=True)
             yield from packed(blocks, ids, None, (known // wide, known % wide, m), (two >> 32, two & 0xFFFFFFFF, r))
@@ -635,7 +637,7 @@ def score_documents(docs: DataFrame, held_mod: int = 10, classes: int = 48, unit
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*look.value)
         for b in batches:
-            to = cls_of[np.array([index[w] for w in b.column("word").to_pylist()], dtype=np.int64)]
+            to = cls_of[index.of(b.column("word"))]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(to.astype(np.int32))], names=["word", "cls"])
 
     # the frequent words keep their classes, all others of the vocabulary move by their own bigrams
