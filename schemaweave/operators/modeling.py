@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from schemaweave.operators.evaluate import prf
+from schemaweave.operators.forest import fit_forest
 from schemaweave.operators.keyed import exclusive_running_sum, ranked_by_group
 from schemaweave.session import checkpoint_root, scratch_path, ship_package
 
@@ -21,6 +22,8 @@ from schemaweave.session import checkpoint_root, scratch_path, ship_package
 # task, so small tables stay as they are)
 FIT_ROWS, EACH_FIT_TASK = 20_000, 200_000
 POINTS, EACH_POINTS_TASK = 5_000, 200_000
+# rows that MLlib's forest is fitted on; above, its deep trees outgrow the driver and its sums the rows (see forest.py)
+MLLIB_FOREST_ROWS = 20_000
 
 
 def spread(df: DataFrame, rows: int, least: int, most: int) -> DataFrame:
@@ -199,18 +202,22 @@ def train_models(train: DataFrame, features: Sequence[str], label: str, seed: in
                  n_trees: int = 100, max_depth: int = 30) -> dict:
     """Both models fitted on ``train``; ``max_depth`` bounds the trees (30 is Spark's limit).
 
-    Rows are few bytes but pass every tree at every level, so they are spread over the cores; the
-    nodes they have reached are kept with them instead of walking the trees anew at each level."""
+    Rows are few bytes but pass every tree at every level, so they are spread over the cores.  Up to
+    ``MLLIB_FOREST_ROWS`` rows MLlib fits the forest, with the nodes that rows have reached kept with
+    them; larger ones are grown by :func:`fit_forest`, tree by tree, by the same rules but with draws of its own."""
     checkpoint_root(train.sparkSession)  # long chains of node ids are cut there
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     n_train = max(train.count(), 1)
     train = spread(train.select(*dict.fromkeys([*features, label])), n_train, FIT_ROWS, EACH_FIT_TASK).cache()
     lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=1000,
                             regParam=1.0 / n_train, elasticNetParam=0.0, standardization=False)
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees, seed=seed,
-                                featureSubsetStrategy="sqrt", maxDepth=max_depth, impurity="gini", cacheNodeIds=True)
-    fitted = {"Logistic Regression": Pipeline(stages=[asm, lr]).fit(train),
-              "Random Forest": Pipeline(stages=[asm, rf]).fit(train)}
+    fitted = {"Logistic Regression": Pipeline(stages=[asm, lr]).fit(train)}
+    if n_train > MLLIB_FOREST_ROWS:
+        fitted["Random Forest"] = fit_forest(train, features, label, n_train, n_trees, seed, max_depth)
+    else:
+        rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees, seed=seed,
+                                    featureSubsetStrategy="sqrt", maxDepth=max_depth, impurity="gini", cacheNodeIds=True)
+        fitted["Random Forest"] = Pipeline(stages=[asm, rf]).fit(train)
     train.unpersist()
     return fitted
 
